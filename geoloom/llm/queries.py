@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, langid, ngram_jaccard, spm, token_files, toxicity, vptree
+from . import chat, common, decontam, html_extract, langid, ngram_jaccard, pii, spm, token_files, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1)
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, directory)
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(pii.detect(docs, pii.fit(docs)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -60,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_vantage_point_search": op3_vantage_point_search,
     "op4_decontamination": op4_decontamination,
+    "op5_host_paths": op5_host_paths,
     "op9_merge_dropout": op9_merge_dropout,
     "op6_token_files": op6_token_files,
+    "op7_weak_supervision": op7_weak_supervision,
     "op8_toxicity": op8_toxicity,
     "op10_chat_trees": op10_chat_trees,
 }

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 SIGN = "▁"
 #: Segmentations that a worker keeps, and the longest word whose segmentation is kept.
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     """docs with a column ids (array<int>)."""
     kept = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = rows.schema.add("ids", "array<int>")
+    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches):
         model = Model.load(model_path)

@@ -255,3 +255,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """doc_id, held_out, score, predicted."""
     lexicon = fit(labelled(docs, labels))
     return score(docs, lexicon).select("doc_id", common.holdout(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_below(docs: DataFrame, lexicon: Lexicon, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            texts = batch[text_col].cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([own.score(t) < threshold for part in _parts(texts) for t in fold(part)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
