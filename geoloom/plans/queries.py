@@ -1 +1,485 @@
-QUERIES = {}
+"""Queries of the engine's operators over the layers derived from the driver's tables."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from geoloom.functions import geometry, measure, mercator, props
+from geoloom.operators import cache, dbscan, features, joins, mapmatch, network, raster, search, tiles
+from geoloom.sources import geojson
+
+from . import documents, views
+
+BOX = (116.2, 39.6, 116.8, 40.1)
+EPS_M, MIN_POINTS = 150.0, 4
+CUTOFFS = [600, 1200, 2000]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def bbox_filter(spark, sf):
+    return features.bbox_filter(views.features(spark, sf), *BOX).select("fid", "lon", "lat")
+
+
+@query
+def items_page(spark, sf):
+    page = features.page(features.bbox_filter(views.features(spark, sf), *BOX), offset=10, limit=25)
+    return page.select("idx", "fid", "name", "number_matched", "number_returned", "has_next")
+
+
+@query
+def feature_by_id(spark, sf):
+    return features.by_id(views.features(spark, sf), "42").select("fid", "name", "kind", "lon", "lat")
+
+
+@query
+def project_fields(spark, sf):
+    return features.project_fields(views.features(spark, sf), ["name", "kind"])
+
+
+@query
+def page_limits(spark, sf):
+    asked = F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).otherwise(F.col("p_size") * 700 - 2000)
+    rows = views.table(spark, sf, "part").select("p_partkey", asked.cast("int").alias("requested"))
+    return rows.select("p_partkey", "requested", features.normalize_limit(F.col("requested")).alias("http_limit"), features.normalize_limit(F.col("requested"), features.TOOL_DEFAULT_LIMIT, features.TOOL_MAX_LIMIT).alias("tool_limit"))
+
+
+@query
+def layer_extent(spark, sf):
+    return features.extent(views.features(spark, sf))
+
+
+def _mixed_props(spark, sf):
+    """Properties whose first values differ in kind from later ones."""
+    k = F.col("c_custkey")
+    value = F.create_map(
+        F.lit("name"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.lit("rank"), F.when(k % 3 == 0, F.concat(F.lit('"'), k.cast("string"), F.lit('"'))).otherwise(k.cast("string")),
+        F.lit("open"), F.when(k % 2 == 0, "true").otherwise("17"), F.lit("late"), F.when(k >= 10, "1.5"),
+    )
+    return views.table(spark, sf, "customer").select(k.alias("idx"), F.map_filter(value, lambda _, v: v.isNotNull()).alias("props"))
+
+
+@query
+def field_kinds(spark, sf):
+    return features.field_kinds(_mixed_props(spark, sf), props.field_kind)
+
+
+def _layers(spark, sf) -> DataFrame:
+    """name, title, minzoom, maxzoom, corners, n, fields, serves_tiles, serves_features of the derived layers."""
+    out = None
+    for name, title, rows, maxzoom, fields in (("points", "Points", views.features(spark, sf), 14, {"name": "String"}), ("queries", "", views.query_points(spark, sf).selectExpr("lon as xmin", "lat as ymin", "lon as xmax", "lat as ymax"), None, {"name": "String"}), ("tracks", "Tracks", views.lines(spark, sf), 16, {"level": "Number"})):
+        kinds = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
+        one = features.extent(rows).select(F.lit(name).alias("name"), F.lit(title).alias("title"), F.lit(0).alias("minzoom"), F.lit(maxzoom).cast("int").alias("maxzoom"), "west", "south", "east", "north", "n", kinds.alias("fields"), F.lit(True).alias("serves_tiles"), F.lit(True).alias("serves_features"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def catalog_layers(spark, sf):
+    return _layers(spark, sf).select("name", "title", "n", "west", "south", "east", "north", "serves_tiles", "serves_features")
+
+
+@query
+def tilejson(spark, sf):
+    return documents.tilejson(_layers(spark, sf)).select("name", "minzoom", "maxzoom", F.round("center_lon", 6).alias("center_lon"), F.round("center_lat", 6).alias("center_lat"), "center_zoom")
+
+
+@query
+def wmts_matrix(spark, sf):
+    top = _layers(spark, sf).agg(F.max(F.coalesce("maxzoom", F.lit(22))).alias("z")).first()["z"]
+    return documents.matrices(spark, top)
+
+
+@query
+def join_layer_catalog(spark, sf):
+    contents = views.table(spark, sf, "nation").select(F.col("n_name").alias("table_name"), F.col("n_regionkey").alias("kind"))
+    columns = views.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).join(views.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    columns = columns.select(F.col("n_name").alias("table_name"), F.when(F.col("n_nationkey") % 2 == 0, 4326).otherwise(3857).alias("srs_id"), "n")
+    return contents.join(columns, "table_name").select("table_name", "kind", "srs_id", "n")
+
+
+@query
+def mercator_fwd(spark, sf):
+    x, y = mercator.to_meters(F.col("lon"), F.col("lat"))
+    return views.points(spark, sf).select("fid", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query
+def mercator_inv(spark, sf):
+    lon, lat = mercator.to_degrees(F.col("mx") / 10.0, (F.col("my") - 39000000) * 5.0)
+    return views.points(spark, sf).select("fid", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+def _assigned(spark, sf):
+    x, y = mercator.tile_of(F.col("lon"), F.col("lat"), F.col("z"))
+    rows = views.points(spark, sf).withColumn("z", F.explode(F.array(F.lit(4), F.lit(8), F.lit(12))))
+    return rows.select("fid", "z", x.alias("x"), y.alias("y"))
+
+
+@query
+def tile_assign(spark, sf):
+    return _assigned(spark, sf)
+
+
+@query
+def tile_bounds(spark, sf):
+    t = _assigned(spark, sf).select("z", "x", "y").distinct()
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    metres = dict(zip(("minx", "miny", "maxx", "maxy"), mercator.bounds_3857(z, x, y)))
+    degrees = dict(zip(("west", "south", "east", "north"), mercator.bounds_4326(z, x, y)))
+    return t.select("z", "x", "y", *[F.round(v, 3).alias(k) for k, v in metres.items()], *[F.round(v, 6).alias(k) for k, v in degrees.items()])
+
+
+def _tile_names(spark, sf):
+    k = F.col("p_partkey").cast("bigint")
+    return views.table(spark, sf, "part").select(k.alias("id"), (F.col("p_size") % 28 - 1).cast("int").alias("z"), (k * 7919 % 40000 - 3).alias("x"), (k * 104729 % 50000 - 3).alias("y"))
+
+
+@query
+def tile_valid(spark, sf):
+    return _tile_names(spark, sf).select("id", "z", "x", "y", mercator.tile_valid(F.col("z"), F.col("x"), F.col("y")).alias("valid"))
+
+
+@query
+def tile_zoom_filter(spark, sf):
+    return _tile_names(spark, sf).where(F.col("z").between(4, 9))
+
+
+@query
+def tile_flip_lookup(spark, sf):
+    k = F.col("p_partkey").cast("bigint")
+    store = views.table(spark, sf, "part").select(F.lit(9).alias("zoom_level"), (k % 512).alias("tile_column"), (k * 31 % 512).alias("tile_row"), F.col("p_name").alias("tile_data"))
+    asked = views.table(spark, sf, "customer").select((F.col("c_custkey") % 512).alias("x"), F.when(F.col("c_custkey") % 2 == 0, 511 - F.col("c_custkey") % 512 * 31 % 512).otherwise(F.col("c_custkey") * 17 % 512).alias("y"), F.lit(9).alias("z")).distinct()
+    return tiles.flip_lookup(asked, store).select("z", "x", "y", "tile_data")
+
+
+def _keyed(spark, sf):
+    return tiles.tile_features(views.lines(spark, sf), 8, 15)
+
+
+@query
+def tile_features(spark, sf):
+    return _keyed(spark, sf).select("z", "x", "y", F.col("feature").alias("fid"))
+
+
+@query
+def tile_counts(spark, sf):
+    return tiles.tile_counts(_keyed(spark, sf))
+
+
+@query
+def tile_build(spark, sf):
+    p = views.points(spark, sf)
+    geom = F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("coords"))
+    rows = p.select(F.col("fid").alias("idx"), F.col("fid").cast("string").alias("fid"), "name", geom.alias("geom"), F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
+    return tiles.build(tiles.tile_features(rows, 6, 10), "points", ["name"]).select("z", "x", "y", "n", F.length("tile").alias("bytes"))
+
+
+@query
+def haversine(spark, sf):
+    s = views.query_points(spark, sf).select(F.col("fid").alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    p = views.points(spark, sf).join(F.broadcast(s), (F.col("fid") % 10) == F.col("sid"))
+    return p.select("fid", "sid", F.round(measure.haversine(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")), 1).alias("dist_m"))
+
+
+@query
+def meters_per_degree(spark, sf):
+    mx, my = measure.meters_per_degree(F.col("lat") * 2 - 10)
+    return views.points(spark, sf).select("fid", F.round(mx, 3).alias("lon_m"), my.alias("lat_m"))
+
+
+@query
+def project_on_segment(spark, sf):
+    s = views.segments(spark, sf)
+    t = views.tracks(spark, sf).where("seq = 0")
+    both = s.join(F.broadcast(t), F.col("sid") % 50 == F.col("user_id"))
+    x, y, share = measure.project_on_segment(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return both.select("sid", "user_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(share, 6).alias("fraction"))
+
+
+@query
+def bbox_center(spark, sf):
+    return views.lines(spark, sf).select(F.col("feature").alias("fid"), F.round((F.col("xmin") + F.col("xmax")) / 2, 6).alias("lon"), F.round((F.col("ymin") + F.col("ymax")) / 2, 6).alias("lat"))
+
+
+@query
+def bbox_parse(spark, sf):
+    k = F.col("c_custkey")
+    w, s = (k % 360 - 180).cast("string"), (k % 180 - 90).cast("string")
+    e, n = (k * 7 % 360 - 180).cast("string"), (k * 11 % 180 - 90).cast("string")
+    text = F.when(k % 9 == 0, F.concat_ws(",", w, s, e)).when(k % 9 == 1, F.concat_ws(",", w, s, F.lit("NaN"), n)).when(k % 9 == 2, F.concat_ws(",", w, s, F.lit("0"), e, n, F.lit("9"))).when(k % 9 == 3, F.lit("")).otherwise(F.concat_ws(",", w, s, e, n))
+    rows = views.table(spark, sf, "customer").select(k.alias("fid"), props.parse_bbox(text).alias("b"))
+    return rows.select("fid", "b.valid", "b.west", "b.south", "b.east", "b.north")
+
+
+@query
+def grid_bin(spark, sf):
+    return features.grid_bin(views.features(spark, sf).select("fid", "xmin", "ymin", "xmax", "ymax")).select("fid", "x0", "y0", "x1", "y1")
+
+
+def _ids(spark, sf):
+    return views.points(spark, sf).select(F.col("fid").alias("id"), "lon", "lat")
+
+
+@query
+def eps_join(spark, sf):
+    placed = joins.planar(_ids(spark, sf))
+    return joins.eps_join(placed.select("id", "x", "y"), EPS_M).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first"), F.sum("b").alias("total")).withColumnRenamed("a", "fid")
+
+
+def _labels(spark, sf):
+    return dbscan.labels(_ids(spark, sf), EPS_M, MIN_POINTS)
+
+
+@query
+def dbscan_labels(spark, sf):
+    return _labels(spark, sf).select(F.col("id").alias("fid"), "cluster")
+
+
+@query
+def dbscan_summary(spark, sf):
+    s = dbscan.summary(_labels(spark, sf))
+    return s.select("cluster", "n", *[F.round(c, 6).alias(c) for c in ("lon", "lat", "west", "south", "east", "north")])
+
+
+@query
+def dbscan_totals(spark, sf):
+    return dbscan.totals(_labels(spark, sf))
+
+
+OPTIONS = network.NetworkOptions(speed_field="speed", oneway_field="oneway")
+
+
+def _network(spark, sf):
+    return network.edges_of(views.lines(spark, sf), OPTIONS)
+
+
+@query
+def network_edges(spark, sf):
+    e = _network(spark, sf).withColumn("time_s", network.travel_seconds(F.col("duration_s"), F.col("length_m"), F.col("speed")))
+    return e.select("feature", "pos", "reverse", "fx", "fy", "tx", "ty", F.col("flevel").cast("int").alias("level"), F.round("length_m", 1).alias("length_m"), F.round("speed", 6).alias("speed"), F.round("time_s", 1).alias("time_s"))
+
+
+@query
+def network_nodes(spark, sf):
+    n = network.numbered(network.nodes_of(_network(spark, sf)))
+    return n.select("node", "qx", "qy", F.col("level").cast("int").alias("level"), "lon", "lat").withColumn("node", F.col("node").cast("bigint"))
+
+
+@query
+def network_stats(spark, sf):
+    e = _network(spark, sf)
+    return network.stats(e, network.nodes_of(e)).select("node_count", "edge_count", F.round("max_speed", 6).alias("max_speed"), "west", "south", "east", "north")
+
+
+@query
+def segments_undirected(spark, sf):
+    return network.undirected(_network(spark, sf)).select("feature", "pos", "reverse", "fx", "fy", "tx", "ty")
+
+
+@query
+def props_extract(spark, sf):
+    raw = F.get_json_object("props", "$.k")
+    k = F.col("event_id")
+    kept = F.when(k % 4 == 0, F.concat(F.lit('"'), raw, F.lit('"'))).when(k % 4 == 1, F.when(k % 3 == 0, "true").otherwise("false")).when(k % 4 == 2, F.when(k % 3 == 0, '"yes"').otherwise('"no"')).otherwise(raw)
+    rows = views.table(spark, sf, "events").select("event_id", kept.alias("v"))
+    return rows.select("event_id", props.prop_float(F.col("v")).alias("as_float"), props.prop_bool(F.col("v")).alias("as_bool"), props.prop_string(F.col("v")).alias("as_string"), props.field_kind(F.col("v")).alias("kind"))
+
+
+def _track_points(spark, sf):
+    return views.tracks(spark, sf)
+
+
+@query
+def nearest_node(spark, sf):
+    asked = _track_points(spark, sf).select((F.col("user_id") * 1000000 + F.col("seq")).alias("qid"), "lon", "lat")
+    n = views.nodes(spark, sf).select(F.col("node").alias("pid"), (F.col("mx") / 1e6).alias("lon"), (F.col("my") / 1e6).alias("lat"))
+    return joins.nearest(asked, n, 60.0, 1, 41.0).select("qid", F.col("pid").alias("node"), F.round("dist_m", 1).alias("dist_m"))
+
+
+@query
+def nearby_edges(spark, sf):
+    asked = _track_points(spark, sf).where("seq % 4 = 0").select((F.col("user_id") * 1000000 + F.col("seq")).alias("qid"), "lon", "lat")
+    s = views.segments(spark, sf).select("sid", "ax", "ay", "bx", "by")
+    return joins.nearby_segments(asked, s, 50.0, 5, 41.0).select("qid", "rank", "sid", F.round("dist_m", 1).alias("dist_m"))
+
+
+def _graph(spark, sf):
+    return search.Graph.collect(views.edges(spark, sf), "w")
+
+
+@query
+def sssp(spark, sf):
+    asked = spark.createDataFrame([(0, [(0, 0)])], "req bigint, seeds array<struct<node:bigint,cost:bigint>>")
+    return search.reach(asked, _graph(spark, sf)).select("node", "cost")
+
+
+@query
+def sssp_relax(spark, sf):
+    """The relational form, near its seeds: a corner of the lattice."""
+    near = views.edges(spark, sf).where("src % 50 < 5 and dst % 50 < 5 and src < 250 and dst < 250")
+    return search.relax(spark.createDataFrame([(0, 0, 0)], "req bigint, node bigint, cost bigint"), near).select("node", "cost")
+
+
+@query
+def sssp_seeded(spark, sf):
+    asked = spark.createDataFrame([(0, [(0, 500), (120, 0), (199, 250)])], "req bigint, seeds array<struct<node:bigint,cost:bigint>>")
+    return search.reach(asked, _graph(spark, sf)).select("node", "cost")
+
+
+@query
+def shortest_path(spark, sf):
+    asked = views.table(spark, sf, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("req"), (F.col("s_suppkey") * 13 % 200).alias("src"), (F.col("s_suppkey") * 37 % 200).alias("dst"))
+    got = search.shortest(asked, _graph(spark, sf))
+    return got.select("req", "cost", F.col("nodes")[0].alias("src"), F.element_at("nodes", -1).alias("dst"))
+
+
+def _reached(spark, sf):
+    seeds = F.array(F.struct((F.col("s_suppkey") * 17 % 200).alias("node"), F.lit(0).cast("bigint").alias("cost")))
+    asked = views.table(spark, sf, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("req"), seeds.alias("seeds"))
+    return search.reach(asked, _graph(spark, sf), max(CUTOFFS))
+
+
+@query
+def isochrone_reach(spark, sf):
+    r = _reached(spark, sf).withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in CUTOFFS])))
+    return r.where("cost <= cutoff").groupBy("req", "cutoff").agg(F.count("*").alias("reached"))
+
+
+def _frontier(spark, sf):
+    return raster.frontier(_reached(spark, sf), views.edges(spark, sf), CUTOFFS)
+
+
+@query
+def isochrone_frontier(spark, sf):
+    return _frontier(spark, sf).select("req", "cutoff", "src", "dst", "full", F.round("fraction", 6).alias("fraction"))
+
+
+def _lattice_segments(spark, sf):
+    """Full frontier segments in whole units of 100 micro-degrees from the lattice's corner."""
+    n = views.nodes(spark, sf)
+    a = n.select(F.col("node").alias("src"), ((F.col("mx") - 116000000) / 100).alias("ax"), ((F.col("my") - 39900000) / 100).alias("ay"))
+    b = n.select(F.col("node").alias("dst"), ((F.col("mx") - 116000000) / 100).alias("bx"), ((F.col("my") - 39900000) / 100).alias("by"))
+    return _frontier(spark, sf).where("full").join(a, "src").join(b, "dst").select("req", "cutoff", "ax", "ay", "bx", "by")
+
+
+@query
+def raster_cells(spark, sf):
+    return raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"])
+
+
+@query
+def raster_dilate(spark, sf):
+    return raster.dilate(raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"]), ["req", "cutoff"])
+
+
+def _contours(spark, sf):
+    marked = raster.dilate(raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"]), ["req", "cutoff"])
+    return raster.marching_segments(marked, ["req", "cutoff"])
+
+
+@query
+def marching_segments(spark, sf):
+    return _contours(spark, sf)
+
+
+@query
+def isochrone_areas(spark, sf):
+    shapes = raster.areas(_contours(spark, sf), ["req", "cutoff"])
+    return shapes.select("req", "cutoff", F.size("polygons").alias("polygons"), F.round(F.aggregate("polygons", F.lit(0.0), lambda s, p: s + F.abs(measure.ring_area(p[0]))), 1).alias("area"))
+
+
+@query
+def track_steps(spark, sf):
+    t = views.tracks(spark, sf).select(F.col("user_id").alias("trace"), "seq", "lon", "lat")
+    return mapmatch.track_steps(t).select("trace", "seq", F.round("step_m", 1).alias("step_m"))
+
+
+def _lattice_hmm(spark, sf):
+    """Whole-number lattice of the first points of each track: states are the nodes within 1500 micro-degrees on both axes."""
+    t = views.tracks(spark, sf).where("seq < 8").select(F.col("user_id").alias("trace"), F.col("seq").cast("int").alias("step"), "mx", "my")
+    n = views.nodes(spark, sf).select(F.col("node").alias("state"), F.col("mx").alias("nx"), F.col("my").alias("ny"), F.floor(F.col("mx") / 1500).alias("cx"), F.floor(F.col("my") / 1500).alias("cy"))
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    t = t.withColumns({"cx": F.explode(F.transform(near, lambda i: F.floor(F.col("mx") / 1500) + i))}).withColumn("cy", F.explode(F.transform(near, lambda i: F.floor(F.col("my") / 1500) + i)))
+    e = t.join(n, ["cx", "cy"]).where((F.abs(F.col("mx") - F.col("nx")) <= 1500) & (F.abs(F.col("my") - F.col("ny")) <= 1500))
+    e = e.select("trace", "step", "state", (-(F.abs(F.col("mx") - F.col("nx")) + F.abs(F.col("my") - F.col("ny")))).alias("e"), "nx", "ny", "mx", "my")
+    a = e.select("trace", (F.col("step") + 1).alias("step"), F.col("state").alias("state_from"), F.col("nx").alias("ax"), F.col("ny").alias("ay"), F.col("mx").alias("pmx"), F.col("my").alias("pmy"))
+    b = e.select("trace", "step", F.col("state").alias("state_to"), "nx", "ny", "mx", "my")
+    moved = F.abs(F.col("nx") - F.col("ax")) + F.abs(F.col("ny") - F.col("ay"))
+    straight = F.abs(F.col("mx") - F.col("pmx")) + F.abs(F.col("my") - F.col("pmy"))
+    return e, a.join(b, ["trace", "step"]).select("trace", "step", "state_from", "state_to", (-F.abs(moved - straight)).alias("t"))
+
+
+@query
+def viterbi(spark, sf):
+    e, t = _lattice_hmm(spark, sf)
+    return mapmatch.viterbi(e.select("trace", "step", "state", "e"), t)
+
+
+@query
+def map_match(spark, sf):
+    s = views.segments(spark, sf)
+    s = s.withColumn("length_m", measure.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    both = s.select("src", "dst", "length_m", F.col("bx").alias("lon"), F.col("by").alias("lat")).unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", F.col("ax").alias("lon"), F.col("ay").alias("lat")))
+    graph = search.Graph.collect(both, "length_m", extra=["lon", "lat"])
+    t = views.tracks(spark, sf).where("user_id % 10 = 0").select(F.col("user_id").alias("trace"), "seq", "lon", "lat")
+    got = mapmatch.match(t, s.select("sid", "ax", "ay", "bx", "by", "src", "dst", "length_m"), graph)
+    return got.select("trace", "length_m", "points_total", "points_matched", "points_unmatched", F.size("geometry").alias("vertices"))
+
+
+@query
+def ring_area(spark, sf):
+    ring = F.transform(F.col("parts")[0], lambda p: F.struct(F.round(p["x"] * 1e6 - 116010000.0, 0).alias("x"), F.round(p["y"] * 1e6 - 39903000.0, 0).alias("y")))
+    return views.lines(spark, sf).select(F.col("feature").alias("fid"), measure.ring_area(ring).alias("area"))
+
+
+@query
+def safe_key(spark, sf):
+    k = F.col("c_custkey")
+    key = F.when(k % 5 == 0, F.concat(F.lit("../"), "c_name")).when(k % 5 == 1, F.concat(F.lit("tiles/"), k.cast("string"), F.lit("/52/24"))).when(k % 5 == 2, F.concat(F.lit("a/../"), k.cast("string"))).when(k % 5 == 3, F.concat(k.cast("string"), F.lit(" x"))).otherwise(F.concat(F.lit("a.b-"), k.cast("string")))
+    return views.table(spark, sf, "customer").select(k.alias("fid"), key.alias("key"), props.safe_key(key).alias("safe"))
+
+
+@query
+def scan_geojson(spark, sf):
+    f = views.features(spark, sf)
+    geom = F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("coords"))
+    docs = f.select(geojson.feature_json(F.col("fid"), F.col("props"), geom).alias("value"))
+    back = geojson.features_of(docs)
+    return back.select("fid", F.col("geom.type").alias("type"), F.col("xmin").alias("lon"), F.col("ymin").alias("lat"), props.prop_string(F.col("props")["name"]).alias("name"), props.prop_bool(F.col("props")["scattered"]).alias("scattered"))
+
+
+@query
+def parse_gpb(spark, sf):
+    """GeoPackage blobs of the points: little-endian, with and without an envelope, some broken or empty."""
+    @F.pandas_udf("binary")
+    def blob(k: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
+        def one(i, x, y):
+            if i % 11 == 0:
+                return b"XX"
+            flags = 1 | (2 if i % 3 == 0 else 0) | (16 if i % 7 == 0 else 0)
+            head = b"GP\0" + bytes([flags]) + struct.pack("<i", 4326)
+            return head + (struct.pack("<dddd", x, x, y, y) if i % 3 == 0 else b"") + struct.pack("<BIdd", 1, 1, x, y)
+
+        return pd.Series([one(*r) for r in zip(k, lon, lat)])
+
+    rows = views.points(spark, sf).select("fid", geometry.gpb_geometry(blob("fid", "lon", "lat")).alias("g"))
+    at = F.col("g.geom.coords")
+    return rows.select("fid", "g.ok", "g.srs", F.get(F.get(F.get(at, F.lit(0)), F.lit(0)), F.lit(0))["x"].alias("lon"), F.get(F.get(F.get(at, F.lit(0)), F.lit(0)), F.lit(0))["y"].alias("lat"))
+
+
+@query
+def cache_sweep(spark, sf):
+    o = views.table(spark, sf, "orders")
+    entries = o.select(F.format_string("points/%d/%d", F.col("o_orderkey") % 15, F.col("o_orderkey")).alias("key"), (1000 + F.col("o_orderkey") * 31 % 5000).alias("size"), (F.col("o_orderkey") * 7919 % 100000).alias("mtime"))
+    return cache.sweep(entries, 100000, 90000, 12_000_000).select("key", "size")
