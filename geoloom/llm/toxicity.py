@@ -260,11 +260,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def keep_below(docs: DataFrame, lexicon: Lexicon, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow can't take names with dots
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            texts = batch[text_col].cast(pa.string()).to_pylist()
+            texts = batch.column(at).cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([own.score(t) < threshold for part in _parts(texts) for t in fold(part)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
