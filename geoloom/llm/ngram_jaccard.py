@@ -7,10 +7,14 @@ signature whole: rare tokens are indexed singly; frequent tokens are dealt by ha
 tokens in the prefix yields its pairs of tokens and survives c - 1 losses. Two linked documents therefore always
 share a signature, which is sparse even where every single token is frequent. Candidates are verified on whole sets.
 
+Each signature of a document carries the most tokens that a partner can share if this is the first signature they
+share: those from the token on, or the frequent ones. This bounds the similarity of a pair before any set is read.
+
 The shared signatures of a group of m near copies name m(m-1)/2 pairs; for components these are not emitted. Each
-signature first proposes a star (smallest member against the others); verified links are merged into components;
-only pairs of a signature that still lie in different components are proposed after that, passed through an upper
-bound of their overlap and verified. No link that would change a component is lost.
+signature first proposes a star (the member with the fewest tokens of its own against the others); verified links are
+merged into components. After that a signature only concerns members that its best member of another component could
+still link with by the bound; pairs of these in different components are bounded again and verified. No link that
+would change a component is lost.
 
 Copies (equal sets) are one class throughout and represented by their smallest id.
 
@@ -85,18 +89,20 @@ def _sum_slices(batches):
     yield _arrow([(i, np.minimum(255, np.ceil(4 * np.log2(v + 1.0))).astype(np.uint8).tobytes(), int(v.sum())) for i, v in sums.items()], schema)
 
 
-def signatures(u: np.ndarray, level: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """Signatures of a token set: level has the count class of each token, classes from ``frequent`` on are frequent."""
+def signatures(u: np.ndarray, level: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a token set and what a partner can share at most from each on; level has the count class of each
+    token, classes from ``frequent`` on are frequent."""
     n = len(u)
     if n == 0:
-        return u
+        return u, np.zeros(0, np.int32)
     tau = n - -(-percent * n // 100)
     order = np.lexsort((u, level))
     u, level = u[order], level[order]
     rare = int(np.searchsorted(level, frequent))
+    left = np.arange(n, n - min(rare, tau + 1), -1, dtype=np.int32)
     if rare > tau:
-        return common.mix(u[: tau + 1])
-    out = [common.mix(u[:rare])]
+        return common.mix(u[: tau + 1]), left
+    out, lefts = [common.mix(u[:rare])], [left]
     # the number of classes depends on the size; a document also serves the next number that a larger partner may have
     largest = n * 100 // percent
     for groups in {_groups(n, percent), _groups(largest, percent)}:
@@ -114,7 +120,9 @@ def signatures(u: np.ndarray, level: np.ndarray, frequent: int, percent: int) ->
             own = np.sort(rest[:end][cls[:end] == c])
             i, j = np.triu_indices(len(own), 1)
             out.append(common.mix(own[i] * np.uint64(0x9E3779B97F4A7C15) + own[j] + np.uint64(groups)))
-    return np.unique(np.concatenate(out))
+            lefts.append(np.full(len(i), n - rare, np.int32))
+    got, at = np.unique(np.concatenate(out), return_index=True)
+    return got, np.concatenate(lefts)[at]
 
 
 def _groups(n: int, percent: int) -> int:
@@ -122,23 +130,26 @@ def _groups(n: int, percent: int) -> int:
 
 
 def _read_signatures(k: int, buckets: int, percent: int, shared, frequent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("histogram", pa.binary()), ("signature", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("histogram", pa.binary()), ("signature", pa.list_(pa.int64())), ("rest", pa.list_(pa.int32()))])
 
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids, sizes, hist, sigs, ends = [], [], [], [], [0]
+            ids, sizes, hist, sigs, rests, ends = [], [], [], [], [], [0]
             for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"].to_pylist(), k)):
                 if not len(u):
                     continue
-                got = signatures(u, levels[(u & np.uint64(buckets - 1)).astype(np.int64)], frequent, percent)
+                got, left = signatures(u, levels[(u & np.uint64(buckets - 1)).astype(np.int64)], frequent, percent)
                 ids.append(doc)
                 sizes.append(len(u))
                 hist.append(_histogram(u))
                 sigs.append(got.view(np.int64))
+                rests.append(left)
                 ends.append(ends[-1] + len(got))
             values = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hist, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema=schema)
+            left = pa.array(np.concatenate(rests) if rests else np.zeros(0, np.int32))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hist, pa.binary()), pa.ListArray.from_arrays(at, values), pa.ListArray.from_arrays(at, left)], schema=schema)
 
     return run
 
@@ -218,20 +229,23 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int =
     frequent = int(np.ceil(4 * np.log2(8 * mean + 64)))
 
     classes = common.materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    drawn = docs.mapInArrow(_read_signatures(k, buckets, percent, shared, frequent), "doc_id bigint, n bigint, histogram binary, signature array<bigint>")
+    drawn = docs.mapInArrow(_read_signatures(k, buckets, percent, shared, frequent), "doc_id bigint, n bigint, histogram binary, signature array<bigint>, rest array<int>")
     drawn = common.materialize(drawn.join(common.bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), "signatures")
-    flat = drawn.select("doc_id", F.explode("signature").alias("signature"))
-    least = flat.groupBy("signature").agg(F.count("*").alias("m"), F.min("doc_id").alias("a")).where("m > 1").select("signature", "a")
-    members = common.materialize(flat.join(least, "signature"), "members")  # of signatures with two documents at least
-    tried = common.materialize(members.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+    flat = drawn.select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("signature", "rest")).alias("s")).select("s.signature", "doc_id", "n", "s.rest")
+    star = F.min(F.struct((F.col("n") - F.col("rest")).alias("own"), "n", "doc_id", "rest")).alias("p")
+    best = flat.groupBy("signature").agg(F.count("*").alias("m"), star).where("m > 1").select("signature", "p")
+    members = common.materialize(flat.join(best, "signature"), "members")  # of signatures with two documents at least
+    tried = members.where((F.col("doc_id") != F.col("p.doc_id")) & _may_link("n", "rest", "p.n", "p.rest", percent))
+    tried = common.materialize(tried.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct(), "stars")
     links = common.materialize(_verified(_possible(tried, drawn, percent), docs, k, percent), "links")
     found = components(links)
 
-    at = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = at.groupBy("signature").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("signature")
-    at = common.materialize(at.join(mixed, "signature", "left_semi"), "mixed")
-    rest = at.select("signature", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(at.select("signature", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "signature").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = common.materialize(_possible(rest.join(tried, ["a", "b"], "left_anti"), drawn, percent), "rest")
+    at = members.select("signature", "doc_id", "n", "rest").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    at = common.materialize(at.join(_open(at, percent), ["signature", "c"]).where(F.least("rest", "most") * 100 >= (F.col("n") + F.col("own")) * percent).drop("own", "most"), "open")
+    one, two = (at.select("signature", *[F.col(c).alias(c + x) for c in ("doc_id", "n", "rest", "c")]) for x in "ab")
+    pairs = one.join(two, "signature").where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("ca") != F.col("cb")) & _may_link("na", "resta", "nb", "restb", percent))
+    rest = pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = common.materialize(_possible(rest, drawn, percent), "rest")
     more = common.materialize(_verified(rest, docs, k, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
@@ -239,6 +253,22 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int =
     return own.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _may_link(na: str, resta: str, nb: str, restb: str, percent: int):
+    """Whether a pair whose first shared signature this is can be similar enough."""
+    most = F.least(resta, restb)
+    return most * 100 >= (F.col(na) + F.col(nb) - most) * percent
+
+
+def _open(at: DataFrame, percent: int) -> DataFrame:
+    """For each signature and component c in it: the fewest own tokens (own) and the most others (most) that a member of
+    another component has."""
+    each = at.groupBy("signature", "c").agg(F.min(F.col("n") - F.col("rest")).alias("own"), F.max("rest").alias("most"))
+    top = each.groupBy("signature").agg(F.min(F.struct("own", "c")).alias("t"), F.max("most").alias("most"), F.count("*").alias("m")).where("m > 1")
+    both = each.select("signature", "c", "own").join(top, "signature")
+    second = both.where("c <> t.c").groupBy("signature").agg(F.min("own").alias("own2"))
+    return both.join(second, "signature").select("signature", "c", F.when(F.col("c") == F.col("t.c"), F.col("own2")).otherwise(F.col("t.own")).alias("own"), "most")
+
+
 def _possible(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and histograms don't rule out."""
     one = drawn.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha"))
