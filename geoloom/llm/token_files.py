@@ -30,46 +30,78 @@ from . import common
 SEQUENCE = 1024
 BATCH = 64  # sequences a batch
 END_ID = 2
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations, and stems (about 200 bytes each).
+CACHE_WORDS, CACHE_STEMS = 350_000, 600_000
+_TAIL = ".,;:!?*%$&#"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
-_CACHE: dict[str, dict] = {}
-
-
-def encoder(path: str):
-    """texts -> list of uint32 arrays, as ``encode(text, add_special_tokens=False)`` gives them.
-
-    The vocabulary's splitting pattern never joins what blanks separate, so words between ASCII blanks are encoded
-    once and kept; texts with special tokens' strings go through the library whole."""
-    from tokenizers import Tokenizer
-
-    if path not in _CACHE:
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _CACHE[path] = {"t": t, "special": [x.content for x in t.get_added_tokens_decoder().values()], "words": {}}
-    own = _CACHE[path]
-    t, special, words = own["t"], own["special"], own["words"]
-
-    def run(texts: list[str]) -> list[np.ndarray]:
+_CACHE: dict[tuple[str, str], "Encoder"] = {}
+
+
+class Encoder:
+    """Encodes texts as ``encode(text, add_special_tokens=False)`` of the tokenizers library does.
+
+    The vocabulary's splitting pattern never joins what blanks separate, nor a letter or number with the signs after
+    it, and it ignores case. So words between ASCII blanks are looked up, a new one is taken apart into its stem and
+    the signs after it, and only stems that are new go through the library, in one batch. Texts that hold a special
+    token's string go through the library whole."""
+
+    def __init__(self, path: str, width: str):
+        from tokenizers import Tokenizer
+
+        self.width = width
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def load(cls, path: str, width: str) -> "Encoder":
+        if (path, width) not in _CACHE:
+            _CACHE[path, width] = cls(path, width)
+        return _CACHE[path, width]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        stem = word.rstrip(_TAIL)
+        tail = word[len(stem) :]
+        if tail and not (stem and stem[-1].isalnum()):
+            stem, tail = word, ""
+        return (stem.lower() if stem and max(stem) < "\u0130" else stem), tail
+
+    def _learn(self, fresh: list[str]) -> None:
+        parts = [self._parts(w) for w in fresh]
+        stems = self.stems
+        if len(stems) > CACHE_STEMS:
+            stems.clear()
+            stems[""] = b""
+        new = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            stems[x] = self._bytes(e.ids)
+        for w, (stem, tail) in zip(fresh, parts):
+            self.words[w] = stems[stem] + stems[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned integers of the chosen width."""
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        fresh = [w for w in {w for s in split for w in s} if w not in words]
-        for w, e in zip(fresh, t.encode_batch_fast(fresh, add_special_tokens=False)):
-            words[w] = e.ids
-        out = []
-        for x, s in zip(texts, split):
-            if any(y in x for y in special):
-                out.append(np.array(t.encode(x, add_special_tokens=False).ids, np.uint32))
-                continue
-            ids: list[int] = []
-            for w in s:
-                ids += words[w]
-            out.append(np.array(ids, np.uint32))
-        return out
-
-    return run
+        if len(self.words) > CACHE_WORDS:
+            self.before, self.words = self.words, {"": b""}
+        words, before, fresh = self.words, self.before, []
+        for w in {w for s in split for w in s}:
+            if w not in words:
+                got = before.get(w)
+                if got is None:
+                    fresh.append(w)
+                else:
+                    words[w] = got
+        self._learn(fresh)
+        get = words.__getitem__
+        return [self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids) if any(y in x for y in self.special) else b"".join(map(get, s)) for x, s in zip(texts, split)]
 
 
 class _Writer:
@@ -113,7 +145,8 @@ def _write_files(directory: str, tokenizer: str, end_id: int, length: int, width
 
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(directory)
-        encode = encoder(tokenizer)
+        encode = Encoder.load(tokenizer, width).encode
+        end = np.array([end_id], width).tobytes()
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
         writer, sink, index, docs, at, first = None, None, None, 0, 0, None
         for batch in batches:
@@ -126,7 +159,7 @@ def _write_files(directory: str, tokenizer: str, end_id: int, length: int, width
                 index = pa.ipc.new_file(index_sink, INDEX)
                 first = batch["doc_id"][0].as_py()
             texts = [t or "" for t in batch["text"].to_pylist()]
-            raw = [np.append(ids, np.uint32(end_id)).astype(width) for _, part in common.chunks(texts) for ids in encode(part)]
+            raw = [np.frombuffer(ids + end, width) for _, part in common.chunks(texts) for ids in encode(part)]
             sizes = np.array([len(r) for r in raw], np.int64)
             index.write_batch(pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=INDEX))
             for r in raw:
