@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,13 @@ def chunks(texts: list, most: int = CHUNK_BYTES):
         yield at, texts[at:]
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches cut to so many rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_words(texts: list[bytes], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of UTF-8 texts, A-Z lowered, cut at the separator bytes.
 
@@ -122,10 +130,15 @@ def shingle(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list, k: int, separators: np.ndarray = _SPACE):
-    """Yields the sorted distinct shingle hashes of each text (str or None), in order."""
-    raw = [t.encode() if t else b"" for t in texts]
-    for _, part in chunks(raw):
-        h, first, _, _ = hash_words(part, separators)
-        for i in range(len(part)):
-            yield np.unique(shingle(h[first[i] : first[i + 1]], k))
+def shingle_sets(texts, k: int, separators: np.ndarray = _SPACE):
+    """Yields the sorted distinct shingle hashes of each text of an Arrow array or list, in order. Arrow's bytes are used
+    as they are, a slice at a time, so that no more than a slice is held as Python objects."""
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        if isinstance(part, pa.Array):
+            part = part.cast(pa.binary()).to_pylist()
+        raw = [(t.encode() if isinstance(t, str) else t) if t else b"" for t in part]
+        for _, own in chunks(raw):
+            h, first, _, _ = hash_words(own, separators)
+            for i in range(len(own)):
+                yield np.unique(shingle(h[first[i] : first[i + 1]], k))

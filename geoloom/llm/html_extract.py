@@ -200,7 +200,7 @@ def _votes(batches):
         votes.clear()
         return out
 
-    for batch in batches:
+    for batch in common.small(batches):
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
             for share, c in scored(*parse(page or "")):
                 votes[host, c.path] += round(1000 * share)  # whole numbers: sums don't depend on their order
@@ -210,7 +210,7 @@ def _votes(batches):
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in common.small(batches):
         texts = [extract(page or "", path) for page, path in zip(batch["html"].to_pylist(), batch["path"].to_pylist())]
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -66,7 +66,7 @@ def _count(buckets: int):
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in common.small(batches):
             texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
             for at, part in _parts(texts):
                 grams, first = hashed_ngrams(part, buckets)
@@ -114,7 +114,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in common.small(batches):
             texts = batch["text"].to_pylist()
             best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
             for at, part in _parts(texts) if langs else ():

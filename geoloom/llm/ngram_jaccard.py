@@ -61,14 +61,14 @@ def _read_sets(k: int, buckets: int):
                 total = got if total is None else total + got
                 held, size = [], 0
 
-        for batch in batches:
+        for batch in common.small(batches):
             rows = []
-            for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"].to_pylist(), k)):
+            for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"], k)):
                 rows.append((doc, len(u), *_identity(u), None, None))
                 if len(u):
                     held.append(u & np.uint64(buckets - 1))
                     size += len(u)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     add()
             yield _arrow(rows, schema)
         add()
@@ -134,9 +134,9 @@ def _read_signatures(k: int, buckets: int, percent: int, shared, frequent: int):
 
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in common.small(batches):
             ids, sizes, hist, sigs, rests, ends = [], [], [], [], [], [0]
-            for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"].to_pylist(), k)):
+            for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"], k)):
                 if not len(u):
                     continue
                 got, left = signatures(u, levels[(u & np.uint64(buckets - 1)).astype(np.int64)], frequent, percent)
@@ -176,8 +176,8 @@ def _bound(percent: int):
 
 def _read_full(k: int):
     def run(batches):
-        for batch in batches:
-            sets = list(common.shingle_sets(batch["text"].to_pylist(), k))
+        for batch in common.small(batches):
+            sets = list(common.shingle_sets(batch["text"], k))
             ends = np.cumsum([0, *map(len, sets)])
             values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "tokens"])

@@ -92,7 +92,7 @@ def _parts(texts: list):
 def _features(batches):
     """Numbers of toxic and other texts that hold each word beginning and word."""
     seen = (Counter(), Counter())
-    for batch in batches:
+    for batch in common.small(batches):
         labels = iter(batch["toxic"].to_pylist())
         for part in _parts(batch["text"].to_pylist()):
             for words in (t.split() for t in fold(part)):
@@ -170,7 +170,7 @@ class Lexicon:
 def _contexts(lexicon: Lexicon):
     def run(batches):
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in common.small(batches):
             labels = iter(batch["toxic"].to_pylist())
             for part in _parts(batch["text"].to_pylist()):
                 for t in fold(part):
@@ -182,7 +182,7 @@ def _contexts(lexicon: Lexicon):
 
 def _measured(lexicon: Lexicon):
     def run(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             x = [lexicon.measure(t) for part in _parts(batch["text"].to_pylist()) for t in fold(part)]
             yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in x], pa.float64()) for k in range(3)), batch["toxic"]], ["a", "b", "c", "toxic"])
 
@@ -237,7 +237,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in common.small(batches):
             got = [own.score(t) for part in _parts(batch["text"].to_pylist()) for t in fold(part)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, pa.float64())], ["doc_id", "score"])
 
@@ -265,7 +265,7 @@ def keep_below(docs: DataFrame, lexicon: Lexicon, threshold: float, text_col: st
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in common.small(batches):
             texts = batch.column(at).cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([own.score(t) < threshold for part in _parts(texts) for t in fold(part)], pa.bool_()))
 
