@@ -52,16 +52,17 @@ def paths(messages: DataFrame) -> DataFrame:
     leaves = up.join(has_child, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")), "left_anti")
     at = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("distance"))
     total, reach = up.count(), 1
-    while True:
-        step = up.where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
-        if step.isEmpty():
+    up = up.where("up is not null")
+    while True:  # up holds the messages that have an ancestor this far; few are left after some rounds
+        if up.isEmpty():
             return at
         if reach > total:
             raise ValueError("messages reply in a circle")
+        step = up.select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         more = at.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).select("tree", "leaf", F.col("up").alias("id"), (F.col("distance") + reach).alias("distance"))
         at = common.materialize(at.unionByName(more), "paths")
         far = up.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"))
-        up = up.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left").select("tree", "id", F.col("up2").alias("up"))
+        up = up.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i"))).select("tree", "id", F.col("up2").alias("up"))
         up = common.materialize(up, "reach")
         reach *= 2
 
