@@ -1,12 +1,12 @@
 """Benchmark decontamination by SimHash windows.
 
-Words are runs of letters and digits, A-Z lowered. For each benchmark item of L words the windows of L words of a
+Words are runs of letters and digits (and of all signs outside ASCII), in lower case. For each benchmark item of L words the windows of L words of a
 document are compared with it by the weighted Jaccard similarity of their k-word shingles, the weights being the
 numbers of occurrences; at ``threshold`` or more the window holds the item. Items of fewer than k words are one
 shingle.
 
-Three steps reach the windows: (1) a window can only be that similar if enough of its shingles occur in benchmark
-items at all, which running sums over a hash lookup tell for all windows; (2) the windows left get a 128-bit SimHash
+Three steps reach the windows: (1) a window can only be that similar to an item if enough of its shingles occur in that
+item, which a hash lookup and running sums tell for all windows; (2) the windows left get a 128-bit SimHash
 and meet the fingerprints of items of their size through a multi-index of eight 16-bit blocks: two fingerprints
 within ``radius`` differ by at most radius // 8 bits in some block, so comparing blocks within that distance finds
 all of them; (3) the exact similarity decides. At a similarity of 0.8 fingerprints differ by 19 bits on average with
@@ -36,11 +36,33 @@ WORD_GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """128-bit fingerprint as eight 16-bit blocks of weighted shingle hashes."""
+def lowered(text: str | None) -> str:
+    """The text in lower case, with as many code points."""
+    return text.replace("İ", "i").lower() if text else ""
+
+
+def simhash(shingles: np.ndarray) -> np.ndarray:
+    """128-bit fingerprint of shingles, each as often as it occurs, as eight 16-bit blocks."""
+    return window_prints(shingles, np.zeros(1, np.int64), len(shingles))[0]
+
+
+def window_prints(shingles: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """Fingerprints of the windows of count shingles at starts; sums run over each cluster of starts."""
+    out = np.empty((len(starts), BLOCKS), np.uint16)
+    for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 4 * count) + 1):
+        if len(part):
+            a, b = int(starts[part[0]]), int(starts[part[-1]]) + count
+            sums = np.zeros((b - a + 1, _BITS), np.int32)
+            np.cumsum(_bits(shingles[a:b]), axis=0, out=sums[1:])
+            own = starts[part] - a
+            out[part] = np.packbits(sums[own + count] - sums[own] > 0, axis=1).view(np.uint16)
+    return out
+
+
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    """The 128 hash bits of each shingle as 1 and -1."""
     two = np.stack([shingles, common.mix(shingles + np.uint64(0x9E3779B97F4A7C15))], 1)
-    bits = np.unpackbits(two.view(np.uint8).reshape(len(shingles), 16), axis=1)
-    return np.packbits((weights @ (bits.astype(np.float64) * 2 - 1)) > 0).view(np.uint16)
+    return np.unpackbits(two.view(np.uint8).reshape(len(shingles), 16), axis=1).astype(np.int32) * 2 - 1
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -57,68 +79,76 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int):
         self.k, self.threshold, self.radius = k, threshold, radius
-        h, first, _, _ = common.hash_words([t.encode() for _, t in items], WORD_GAPS) if items else (np.zeros(0, np.uint64), [0], None, None)
+        h, first, _, _ = common.hash_words([lowered(t).encode() for _, t in items], WORD_GAPS) if items else (np.zeros(0, np.uint64), [0], None, None)
         by: dict[int, list] = {}
         for i, (item, _) in enumerate(items):
             words = h[first[i] : first[i + 1]]
             if len(words):
-                by.setdefault(len(words), []).append((item, common.shingle(words, k)))
+                by.setdefault(len(words), []).append((item, common.shingle(words, min(k, len(words)))))
         self.sizes = {}
         for size, own in sorted(by.items()):
-            prints = np.stack([simhash(s, np.ones(len(s))) for _, s in own])
+            prints = np.stack([simhash(s) for _, s in own])
             count = len(own[0][1])
             # both windows have count shingles: similarity s needs an intersection of 2 s / (1 + s) of them
             least = int(np.ceil(2 * threshold / (1 + threshold) * count - 1e-9))
             self.sizes[size] = (own, prints, count, least)
-        every = [s for own, *_ in self.sizes.values() for _, s in own]
-        self.known = {n: np.unique(np.concatenate([s for size, (own, *_) in self.sizes.items() if min(k, size) == n for _, s in own])) for n in {min(k, size) for size in self.sizes}} if every else {}
-        self.marks = {n: self._marked(v) for n, v in self.known.items()}
-
-    @staticmethod
-    def _marked(known: np.ndarray) -> np.ndarray:
-        marks = np.zeros(1 << 20, bool)
-        marks[(known >> np.uint64(44)).astype(np.int64)] = True
-        return marks
-
-    def _member(self, n: int, shingles: np.ndarray) -> np.ndarray:
-        out = self.marks[n][(shingles >> np.uint64(44)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        if len(at):
-            where = np.minimum(np.searchsorted(self.known[n], shingles[at]), len(self.known[n]) - 1)
-            out[at] = self.known[n][where] == shingles[at]
+        self.known = {}
+        for n in sorted({min(k, size) for size in self.sizes}):
+            rows = [(s, size, i) for size, (own, *_) in self.sizes.items() if min(k, size) == n for i, (_, s) in enumerate(own)]
+            shingles = np.concatenate([np.unique(s) for s, _, _ in rows])
+            number = np.repeat(np.arange(len(rows)), [len(np.unique(s)) for s, _, _ in rows])
+            order = np.argsort(shingles, kind="stable")
+            shingles, number = shingles[order], number[order]
+            marks = np.zeros(1 << 20, bool)
+            marks[(shingles >> np.uint64(44)).astype(np.int64)] = True
+            least = np.array([self.sizes[size][3] for _, size, _ in rows])
+            self.known[n] = (shingles, number, [(size, i) for _, size, i in rows], least, marks)
+
+    def _hits(self, n: int, shingles: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """(size, number) of each item that a window can be similar enough to, with the places of its shingles."""
+        known, number, rows, least, marks = self.known[n]
+        at = np.flatnonzero(marks[(shingles >> np.uint64(44)).astype(np.int64)])
+        if not len(at):
+            return {}
+        low, high = np.searchsorted(known, shingles[at]), np.searchsorted(known, shingles[at], "right")
+        times = high - low
+        places = np.repeat(at, times)
+        if not len(places):
+            return {}
+        items = number[np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(places))]
+        enough = np.flatnonzero(np.bincount(items, minlength=len(rows)) >= least)
+        return {rows[i]: places[items == i] for i in enough}
+
+    def within(self, size: int, prints: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the items of this size within the radius of each fingerprint."""
+        own, out = self.sizes[size][1], []
+        for f in prints:
+            apart = _POP16[own ^ f]
+            near = np.flatnonzero((apart <= self.radius // BLOCKS).any(1))  # some block of any within the radius is this near
+            out.append(near[apart[near].sum(1, dtype=np.int64) <= self.radius])
         return out
 
-    def within(self, size: int, fingerprint: np.ndarray) -> np.ndarray:
-        """Numbers of the items of this size within the radius of the fingerprint."""
-        prints = self.sizes[size][1]
-        near = np.zeros(len(prints), bool)
-        for b in range(BLOCKS):  # some block of any print within the radius is this near
-            near |= _POP16[prints[:, b] ^ fingerprint[b]] <= self.radius // BLOCKS
-        at = np.flatnonzero(near)
-        return at[_POP16[prints[at] ^ fingerprint].sum(1, dtype=np.int64) <= self.radius]
-
     def find(self, words: np.ndarray):
         """Yields (item, first word, words, similarity): per item the most similar window, the first of ties."""
         best: dict[int, tuple] = {}
-        sums: dict[int, tuple] = {}
         for n in self.known:
-            if len(words) >= n:
-                s = common.shingle(words, n)
-                hit = self._member(n, s)
-                if hit.any():
-                    sums[n] = (s, np.concatenate([[0], np.cumsum(hit)]))
-        for size, (own, _, count, least) in self.sizes.items() if sums else ():
-            got = sums.get(min(self.k, size))
-            if got is None or len(words) < size:
+            if len(words) < n:
                 continue
-            s, run = got
-            for at in np.flatnonzero(run[count:] - run[:-count] >= least):
-                window = s[at : at + count]
-                for i in self.within(size, simhash(window, np.ones(count))):
-                    item, shingles = own[i]
-                    sim = similarity(window, shingles)
-                    if sim >= self.threshold - 1e-12 and (item not in best or sim > best[item][2]):
-                        best[item] = (int(at), size, sim)
+            s = common.shingle(words, n)
+            for (size, _), places in self._hits(n, s).items():
+                own, _, count, least = self.sizes[size]
+                if len(words) < size:
+                    continue
+                run = np.zeros(len(s) + 1, np.int32)
+                run[places + 1] = 1
+                run = np.cumsum(run)
+                starts = np.flatnonzero(run[count:] - run[:-count] >= least)
+                for at, near in zip(starts.tolist(), self.within(size, window_prints(s, starts, count))):
+                    for i in near:
+                        item, shingles = own[i]
+                        sim = similarity(s[at : at + count], shingles)
+                        if sim >= self.threshold - 1e-12 and (item not in best or (-sim, at) < (-best[item][2], best[item][0])):
+                            best[item] = (at, size, sim)
         for item, (at, size, sim) in sorted(best.items()):
             yield item, at, size, sim
 
@@ -136,8 +166,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
 
     def run(batches):
         index: Index = shared.value
-        for batch in batches:
-            ids, raw = batch["doc_id"].to_pylist(), [(t or "").encode() for t in batch["text"].to_pylist()]
+        for batch in common.small(batches):
+            ids, raw = batch["doc_id"].to_pylist(), [lowered(t).encode() for t in batch["text"].to_pylist()]
             rows = []
             for base, part in common.chunks(raw):
                 h, first, starts, ends = common.hash_words(part, WORD_GAPS)
