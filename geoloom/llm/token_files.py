@@ -31,7 +31,8 @@ SEQUENCE = 1024
 BATCH = 64  # sequences a batch
 END_ID = 2
 #: Words whose ids a worker keeps in each of two generations, and stems (about 200 bytes each).
-CACHE_WORDS, CACHE_STEMS = 350_000, 600_000
+CACHE_WORDS, CACHE_STEMS = 500_000, 1_000_000
+_JOINED = 500
 _TAIL = ".,;:!?*%$&#"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _CACHE: dict[tuple[str, str], "Encoder"] = {}
@@ -53,6 +54,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
         self.words: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
@@ -81,7 +84,17 @@ class Encoder:
             stems.clear()
             stems[""] = b""
         new = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        plain = [x for x in new if x.isalnum()] if self.bar is not None else []
+        for at in range(0, len(plain), _JOINED):
+            # one call for many stems, which a sign that none of them holds keeps apart
+            part = plain[at : at + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            cuts = np.flatnonzero(ids == self.bar)
+            raw, size = ids.tobytes(), ids.itemsize
+            for x, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                stems[x] = raw[a * size : b * size]
+        rest = [x for x in new if x not in stems]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             stems[x] = self._bytes(e.ids)
         for w, (stem, tail) in zip(fresh, parts):
             self.words[w] = stems[stem] + stems[tail]
@@ -149,7 +162,7 @@ def _write_files(directory: str, tokenizer: str, end_id: int, length: int, width
         end = np.array([end_id], width).tobytes()
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
         writer, sink, index, docs, at, first = None, None, None, 0, 0, None
-        for batch in batches:
+        for batch in common.small(batches):
             if not batch.num_rows:
                 continue
             if writer is None:
@@ -230,7 +243,7 @@ def read(manifest: DataFrame, directory: str) -> DataFrame:
 
     def run(batches):
         fs, _ = pafs.FileSystem.from_uri(directory)
-        for batch in batches:
+        for batch in common.small(batches):
             for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist()):
                 tokens = TokenFile(fs, path + ".arrow")
                 index = pa.ipc.open_file(fs.open_input_file(path + ".index"))
