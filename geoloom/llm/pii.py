@@ -17,6 +17,7 @@ nothing is added. An input column of the names ``spans`` or ``text`` in ``redact
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,20 +37,22 @@ SPELT_EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x2
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?<![0-9][\x20])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])(?![\x20.][0-9])"
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
 FIRST_NAMES = "James|John|Robert|Michael|William|David|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Hans|Peter|Klaus|Ursula|Jean|Pierre|Marie|Claude|José|Juan|Carmen|María"
-NAME = rf"(?<![\p{{L}}])(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}{{1,24}}|(?:{FIRST_NAMES})\x20\p{{Lu}}\p{{Ll}}{{1,24}})(?![\p{{L}}])"
+NAME = rf"(?=[A-Z])(?<![\p{{L}}])(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}{{1,24}}|(?:{FIRST_NAMES})\x20\p{{Lu}}\p{{Ll}}{{1,24}})(?![\p{{L}}])"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 FOR = r"(?i)(?:e-?mail|mail|contact|kontakt|correo|courriel|call|tel|phone|fon|fax|mobile|card|karte|tarjeta|carte|visa|credit|address|adresse|name|nom|nombre|ip|host)\W{0,3}$"
 AGAINST = r"(?i)(?:version|isbn|issn|serial|order|invoice|figure|fig|section|chapter|no\.|nr\.|id|§|#|\$|€|=)\W{0,2}$"
 
-#: (kind, base, pattern, a cheap test of texts that may match)
+# First a sign that some pattern with digits can match, then a test for each pattern: most texts are read once.
+DIGITS = r"[0-9][0-9.\x20()-]"
+#: (kind, base, pattern, whether it needs digits, strings of which one must occur, test or None)
 PATTERNS = (
-    ("email", True, EMAIL, "@"),
-    ("ip", True, IP, r"[0-9]\.[0-9]"),
-    ("card", True, CARD, r"[0-9](?:[\x20-]?[0-9]){13}"),
-    ("phone", True, PHONE, r"\+[0-9]"),
-    ("email", False, SPELT_EMAIL, r"[\[(]at[\])]"),
-    ("phone", False, LOCAL_PHONE, r"[0-9]{3}[\x20.-][0-9]{4}"),
-    ("name", False, NAME, rf"(?:{TITLES})\.?\x20\p{{Lu}}|(?:{FIRST_NAMES})\x20\p{{Lu}}"),
+    ("email", True, EMAIL, False, ("@",), None),
+    ("ip", True, IP, True, (".",), r"[0-9]\.[0-9]"),
+    ("card", True, CARD, True, (), r"[0-9](?:[\x20-]?[0-9]){13}"),
+    ("phone", True, PHONE, True, ("+",), r"\+[0-9]"),
+    ("email", False, SPELT_EMAIL, False, ("at)", "at]"), r"[\[(]at[\])]"),
+    ("phone", False, LOCAL_PHONE, True, (), r"[0-9]{3}[\x20.-][0-9]{4}"),
+    ("name", False, NAME, False, (), rf"(?=[A-Z])(?:(?:{TITLES})\.?|{FIRST_NAMES})\x20\p{{Lu}}"),
 )
 VOTERS = ("form", "checks", "gazetteer", "context", "against")
 
@@ -97,9 +100,16 @@ def votes(kind: str, base: bool, value: Column, before: Column, after: Column) -
     return [form, checks, gazetteer, context, against]
 
 
-def _matched(text: Column, pattern: str, test: str) -> tuple[Column, Column]:
-    """(texts between the matches, matches); empty arrays where the cheap test fails."""
-    may = text.rlike(test) if test != "@" else F.instr(text, "@") > 0
+def _may(text: Column, digits: Column, needs: bool, strings: tuple, test: str | None) -> Column:
+    """A cheap test whether a pattern may match; it reads no more than it must."""
+    may = digits if needs else F.lit(True)
+    if strings:
+        may = may & reduce(lambda a, b: a | b, [F.instr(text, s) > 0 for s in strings])
+    return may & text.rlike(test) if test else may
+
+
+def _matched(text: Column, pattern: str, may: Column) -> tuple[Column, Column]:
+    """(texts between the matches, matches); empty arrays where the test fails."""
     none = F.array().cast("array<string>")
     return F.when(may, F.split(text, pattern, -1)).otherwise(none), F.when(may, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(none)
 
@@ -132,12 +142,14 @@ def _hits(kind: str, base: bool, pieces: Column, found: Column, starts: Column |
 
 def _with_matches(docs: DataFrame, text: Column, places: bool) -> tuple[DataFrame, list[Column]]:
     """docs with helper columns, and an array column of hits for each pattern."""
-    for k, (_, _, pattern, test) in enumerate(PATTERNS):
-        pieces, found = _matched(text, pattern, test)
+    docs = docs.withColumn("__digits", text.rlike(DIGITS))
+    docs = docs.withColumns({f"__may{k}": _may(text, F.col("__digits"), *p[3:]) for k, p in enumerate(PATTERNS)})
+    for k, p in enumerate(PATTERNS):
+        pieces, found = _matched(text, p[2], F.col(f"__may{k}"))
         docs = docs.withColumns({f"__pieces{k}": pieces, f"__found{k}": found})
     if places:
         docs = docs.withColumns({f"__starts{k}": F.when(F.size(f"__found{k}") > 0, _starts(F.col(f"__pieces{k}"), F.col(f"__found{k}"))) for k in range(len(PATTERNS))})
-    hits = [_hits(kind, base, F.col(f"__pieces{k}"), F.col(f"__found{k}"), F.col(f"__starts{k}") if places else None) for k, (kind, base, _, _) in enumerate(PATTERNS)]
+    hits = [_hits(kind, base, F.col(f"__pieces{k}"), F.col(f"__found{k}"), F.col(f"__starts{k}") if places else None) for k, (kind, base, *_) in enumerate(PATTERNS)]
     return docs, hits
 
 
@@ -236,8 +248,10 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     kinds, and loose ones last. A null text stays null."""
     columns = docs.columns
     rows = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    for kind, base, pattern, test in PATTERNS:
-        pieces, found = _matched(F.col("__text"), pattern, test)
+    rows = rows.withColumn("__digits", F.col("__text").rlike(DIGITS))
+    for kind, base, pattern, needs, strings, test in PATTERNS:
+        rows = rows.withColumn("__may", _may(F.col("__text"), F.col("__digits"), needs, strings, test))
+        pieces, found = _matched(F.col("__text"), pattern, F.col("__may"))
         rows = rows.withColumns({"__pieces": pieces, "__found": found})
         hits = _hits(kind, base, F.col("__pieces"), F.col("__found"))
         shown = F.zip_with("__found", hits, _shown(kind, model))
