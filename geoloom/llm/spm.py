@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding with seeded merge dropout, and lossless decoding.
 
-Pieces, scores and byte pieces come from a public model file; merging is done here. A text is cut before every run of
-blanks and around every run of newlines (no merge reaches over these), blanks become the word-start sign, and each word is merged
-by an agenda: of all adjacent pairs that form a piece the best score goes first, the left one of ties. A candidate
-merge is skipped when a keyed hash of (seed, variant, word, place, piece) falls below the dropout rate; skipping
-holds for that candidate alone, as it leaves the agenda. The variant of a word is a keyed hash of the document's id
-and the word's number, taken modulo ``variants``, so that one word is cut in different ways within and across
-documents while a worker can keep its segmentations. Characters without a piece, and word-start signs that the text
-itself holds, become UTF-8 byte pieces. Every text decodes to itself.
+Merging works through an agenda: of all adjacent pairs that form a piece the best score goes first, the left one of
+ties. A candidate merge is skipped when the keyed hash of (seed, variant, piece) falls below the dropout rate, so a
+variant of the vocabulary lacks some merges. A text is cut at newlines into segments; a keyed hash of (seed, document
+id, segment number) picks the variant of each, so that the same words are cut in different ways within and across
+documents, and every run with the same seed gives the same ids.
+
+The library's own agenda does the work: a variant is the public model file in which the skipped merges' pieces are
+renamed to strings that no merge can reach (ids and scores stay). ``Model.agenda`` is the same procedure in Python;
+tests hold one against the other. Characters without a piece become UTF-8 byte pieces, as do newlines, NULs and
+word-start signs that the text itself holds, and no blank is added or removed: every text decodes to itself.
 
 A null text is empty: no ids. Rows with a null id take the id 0 for the hash. Repeated rows are encoded alike. Other
 columns are kept by ``encode``; an existing column ``ids`` is replaced.
@@ -25,25 +27,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from . import common
+
 SIGN = "▁"
-#: Segmentations that a worker keeps, and the longest word whose segmentation is kept.
-CACHE_WORDS = 500_000
-CACHE_CHARS = 64
+_APART = re.compile(f"([{SIGN}\0\n])")
+_PRIVATE = 0xF0000  # no piece holds two characters from here on, so no merge reaches three of them
 _MODELS: dict[str, "Model"] = {}
 
 
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        b = data[at]
+        at += 1
+        n |= (b & 0x7F) << shift
+        shift += 7
+        if b < 0x80:
+            return n, at
+
+
+def _field(number: int, payload: bytes) -> bytes:
+    out, n = bytearray([number << 3 | 2]), len(payload)
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes(out) + bytes([n]) + payload
+
+
 class Model:
-    """Pieces of a SentencePiece BPE model file."""
+    """A public SentencePiece BPE model file and its variants."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+        with open(path, "rb") as f:
+            raw = f.read()
+        sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.scores: dict[str, tuple[float, int]] = {}
-        self.bytes = {}
+        self.bytes: dict[int, int] = {}
         self.out: list[bytes] = []
-        for i, p in enumerate(self.pieces):
+        for i in range(sp.vocab_size()):
+            p = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
                 self.out.append(bytes([int(p[3:5], 16)]))
@@ -52,7 +76,8 @@ class Model:
             else:
                 self.scores[p] = (sp.get_score(i), i)
                 self.out.append(p.replace(SIGN, " ").encode())
-        self.cache: dict[tuple, list[int]] = {}
+        self._parts, self._rest = self._split(raw)
+        self._variants: dict[tuple, object] = {}
 
     @classmethod
     def load(cls, path: str) -> "Model":
@@ -60,35 +85,73 @@ class Model:
             _MODELS[path] = cls(path)
         return _MODELS[path]
 
-    def _ids(self, piece: str) -> list[int]:
-        got = self.scores.get(piece)
-        return [got[1]] if got else [self.bytes[b] for b in piece.replace(SIGN, " ").encode()]
-
-    def merge(self, word: str, dropout: float, key: int) -> list[int]:
-        """Ids of one word, whose blanks are signs already; NUL stands for a literal sign."""
-        symbols, n = list(word), len(word)
+    @staticmethod
+    def _split(raw: bytes) -> tuple[list[bytes], bytes]:
+        """The pieces' messages, and all else with no blank to be added at the start of a text."""
+        at, pieces, rest = 0, [], b""
+        while at < len(raw):
+            start = at
+            key, at = _varint(raw, at)
+            n, at = _varint(raw, at)  # all fields of a model file are messages
+            body = raw[at : at + n]
+            at += n
+            if key >> 3 == 1:
+                pieces.append(body)
+            elif key >> 3 != 3:
+                rest += raw[start:at]
+        # fixed values: normalizer_spec with the identity rule, add_dummy_prefix and remove_extra_whitespaces off
+        return pieces, rest + _field(3, _field(1, b"identity") + b"\x18\x00\x20\x00\x28\x01")
+
+    @staticmethod
+    def skips(piece: str, dropout: float, seed: int, variant: int) -> bool:
+        """Whether merges into a piece are skipped in a variant."""
+        if len(piece) < 2 or not dropout:
+            return False
+        h = zlib.crc32(piece.encode(), (seed * 1000003 + variant * 7919) & 0xFFFFFFFF)
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
+        return (h ^ h >> 15) < dropout * 4294967296.0
+
+    def variant(self, dropout: float, seed: int, variant: int):
+        """The library's processor for a variant."""
+        key = (dropout, seed, variant if dropout else 0)
+        if key not in self._variants:
+            import sentencepiece
+
+            pieces = list(self._parts)
+            for p, (_, i) in self.scores.items():
+                if self.skips(p, dropout, seed, variant):
+                    body = pieces[i]
+                    n, at = _varint(body, 1)  # the piece is a message's first field
+                    name = "".join(chr(_PRIVATE + d) for d in (i >> 12, i >> 6 & 63, i & 63))
+                    pieces[i] = _field(1, name.encode()) + body[at + n :]
+            self._variants[key] = sentencepiece.SentencePieceProcessor(model_proto=b"".join(_field(1, p) for p in pieces) + self._rest)
+        return self._variants[key]
+
+    def forget(self) -> None:
+        """Frees the variants, which a worker would else hold through other work."""
+        self._variants.clear()
+
+    def agenda(self, segment: str, dropout: float, seed: int, variant: int) -> list[int]:
+        """Ids of a segment without newlines, NULs and literal signs, merged here."""
+        symbols = list(segment.replace(" ", SIGN))
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        scores = self.scores
-        agenda: list[tuple] = []
-        # a candidate's draw comes from the keyed hash of its place and piece
-        least = int(dropout * (1 << 32))
+        heap: list[tuple] = []
 
         def propose(i: int) -> None:
-            j = after[i]
-            if j < n:
-                piece = symbols[i] + symbols[j]
-                got = scores.get(piece)
-                if got and not (least and zlib.crc32(f"{i}:{piece}".encode(), key) * 2654435761 % (1 << 32) < least):
-                    heapq.heappush(agenda, (-got[0], i, piece))
+            if after[i] < n:
+                piece = symbols[i] + symbols[after[i]]
+                got = self.scores.get(piece)
+                if got and not self.skips(piece, dropout, seed, variant):
+                    heapq.heappush(heap, (-got[0], i, piece))
 
         for i in range(n - 1):
             propose(i)
-        while agenda:
-            _, i, piece = heapq.heappop(agenda)
-            if not symbols[i]:
-                continue
+        while heap:
+            _, i, piece = heapq.heappop(heap)
             j = after[i]
-            if j >= n or symbols[i] + symbols[j] != piece:
+            if not symbols[i] or j >= n or symbols[i] + symbols[j] != piece:
                 continue  # one of the two has merged meanwhile
             symbols[i], symbols[j] = piece, ""
             after[i] = after[j]
@@ -99,67 +162,70 @@ class Model:
                 propose(before[i])
         out: list[int] = []
         for s in symbols:
-            if s == "\0":
-                out += [self.bytes[b] for b in SIGN.encode()]
-            elif s:
-                out += self._ids(s)
+            if s:
+                got = self.scores.get(s)
+                out += [got[1]] if got else [self.bytes[b] for b in s.encode()]
         return out
 
-    def encode(self, text: str, doc_key: int, seed: int, dropout: float, variants: int) -> list[int]:
-        if not text:
-            return []
-        if SIGN in text or "\0" in text:
-            return self._encode_marked(text, doc_key, seed, dropout, variants)
-        out: list[int] = []
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        number = zlib.crc32(b"%d:%d" % (seed, doc_key))
-        single = variants == 1 or not dropout
-        for word in _WORD.findall(text.replace(" ", SIGN)):
-            v = 0 if single else number % variants
-            number = (number * 1664525 + 1013904223) >> 3 & 0xFFFFFFFF if not single else 0
-            ids = cache.get((word, v))
-            if ids is None:
-                ids = self.merge(word, dropout, zlib.crc32(word.encode("utf-8", "surrogatepass"), seed * 1000003 + v & 0xFFFFFFFF))
-                if len(word) <= CACHE_CHARS:
-                    cache[(word, v)] = ids
-            out += ids
-        return out
-
-    def _encode_marked(self, text: str, *how) -> list[int]:
-        """Texts with literal signs or NULs: these become byte pieces on their own."""
-        out: list[int] = []
-        for part in re.split("([▁\0])", text):
-            if part in (SIGN, "\0"):
-                out += [self.bytes[b] for b in part.encode()]
-            else:
-                out += self.encode(part, *how)
+    def encode(self, texts: list[str], keys: list[int], dropout: float, seed: int, variants: int) -> list[np.ndarray]:
+        """Ids of each text; keys are the documents' ids."""
+        asked: dict[int, list[str]] = {}
+        plan: list[list] = []
+        for text, key in zip(texts, keys):
+            steps: list = []
+            for number, part in enumerate(_APART.split(text)):
+                if number % 2:
+                    steps.append([self.bytes[b] for b in part.encode()])
+                elif part:
+                    v = zlib.crc32(b"%d:%d" % (key, number), seed & 0xFFFFFFFF) % variants if dropout else 0
+                    own = asked.setdefault(v, [])
+                    steps.append((v, len(own)))
+                    own.append(part)
+            plan.append(steps)
+        got = {v: self.variant(dropout, seed, v).encode(parts, out_type=int, num_threads=1) for v, parts in asked.items()}
+        out = []
+        for steps in plan:
+            ids: list[int] = []
+            for s in steps:
+                ids += s if isinstance(s, list) else got[s[0]][s[1]]
+            out.append(np.array(ids, np.int32))
         return out
 
     def decode(self, ids) -> str:
-        out = self.out
-        return b"".join([out[i] for i in ids]).decode("utf-8", "surrogatepass")
+        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
 
-_WORD = re.compile(f"{SIGN}+[^{SIGN}\n]*|\n+|[^{SIGN}\n]+")
+def _parts(texts: list[str], most: int = 1 << 20):
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield at, texts[at:]
 
 
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column ids (array<int>)."""
     kept = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at_id, at_text = kept.index(id_col), kept.index(text_col)
+    # plain names on the way, as mapInArrow can't take names with dots
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).toDF(*[f"c{i}" for i in range(len(kept))])
     schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches):
         model = Model.load(model_path)
-        for batch in batches:
-            ids = [np.array(model.encode(t, i or 0, seed, dropout, variants), np.int32) for i, t in zip(batch[id_col].to_pylist(), batch[text_col].cast(pa.string()).to_pylist())]
+        for batch in common.small(batches):
+            texts = [t or "" for t in batch.column(at_text).cast(pa.string()).to_pylist()]
+            keys = [k or 0 for k in batch.column(at_id).to_pylist()]
+            ids = [x for at, part in _parts(texts) for x in model.encode(part, keys[at : at + len(part)], dropout, seed, variants)]
             ends = np.cumsum([0, *map(len, ids)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "ids"])
+        model.forget()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, "ids")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -167,7 +233,7 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFram
 
     def run(batches):
         model = Model.load(model_path)
-        for batch in batches:
+        for batch in common.small(batches):
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array([model.decode(x or []) for x in batch["ids"].to_pylist()], pa.string())], [id_col, "text"])
 
     return rows.select(id_col, "ids").mapInArrow(run, f"{id_col} bigint, text string")
@@ -182,12 +248,14 @@ def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int
         import hashlib
 
         model = Model.load(model_path)
-        for batch in batches:
+        for batch in common.small(batches):
+            docs, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
             got = []
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = model.encode(t or "", i or 0, seed, dropout, variants)
-                back = model.decode(ids)
-                got.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
+            for at, part in _parts(texts):
+                for i, (t, ids) in enumerate(zip(part, model.encode(part, [k or 0 for k in docs[at : at + len(part)]], dropout, seed, variants)), at):
+                    back = model.decode(ids.tolist())
+                    got.append((docs[i], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got) if got else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["doc_id", "n_tokens", "ids_crc32", "text_sha256", "lossless"])
+        model.forget()
 
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text_sha256 string, lossless boolean")
