@@ -108,12 +108,13 @@ def _match_one(pdf: pd.DataFrame, graph: Graph, sigma: float, beta: float):
     for i in range(1, len(rows)):
         straight = _haversine((rows[i - 1]["lon"], rows[i - 1]["lat"]), (rows[i]["lon"], rows[i]["lat"]))
         before, now = rows[i - 1]["c"], rows[i]["c"]
+        targets = {n for c in now for n, _ in _exits(c)}
         reached: dict[tuple, dict] = {}
         own, back = [-math.inf] * len(now), [-1] * len(now)
         for j, p in enumerate(before):
             key = (p["sid"], round(p["fraction"], 9))
             if key not in reached:
-                reached[key] = graph.search(_exits(p), 10 * straight + 2000)
+                reached[key] = graph.search(_exits(p), 10 * straight + 2000, targets=targets)
             for m, c in enumerate(now):
                 route = abs(c["fraction"] - p["fraction"]) * c["len"] if c["sid"] == p["sid"] else _entry(reached[key], c)[0]
                 if route < math.inf:

@@ -39,9 +39,9 @@ class Graph:
         pdf = pdf.sort_values([*(order or []), "src", "dst", "__w"], kind="stable").reset_index(drop=True)
         return cls(pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64), pdf["__w"].to_numpy(), n, {c: pdf[c].to_numpy() for c in extra})
 
-    def search(self, seeds, cutoff: float = float("inf"), target: int = -1, weight: np.ndarray | None = None):
+    def search(self, seeds, cutoff: float = float("inf"), target: int = -1, weight: np.ndarray | None = None, targets: set[int] | None = None):
         """Costs and predecessor edges of the nodes reached from seeds [(node, cost)]: {node: (cost, edge)}. Ties settle
-        by node, then by edge."""
+        by node, then by edge. With targets the search ends once all of them are settled; their costs and paths are final."""
         weights = self.weight if weight is None else weight
         best: dict[int, tuple] = {}
         heap = []
@@ -49,7 +49,7 @@ class Graph:
             if cost <= cutoff and (node not in best or cost < best[node][0]):
                 best[node] = (cost, -1)
                 heapq.heappush(heap, (cost, node))
-        done = set()
+        done, open_ = set(), set(targets) if targets is not None else None
         while heap:
             cost, node = heapq.heappop(heap)
             if node in done or cost > best[node][0]:
@@ -57,6 +57,10 @@ class Graph:
             done.add(node)
             if node == target:
                 break
+            if open_ is not None:
+                open_.discard(node)
+                if not open_:
+                    break
             for k in range(self.first[node], self.first[node + 1]):
                 to, total = int(self.dst[k]), cost + weights[k]
                 if total <= cutoff and to not in done and (to not in best or total < best[to][0]):

@@ -309,7 +309,7 @@ def nearest_node(spark, sf):
 
 @query
 def nearby_edges(spark, sf):
-    asked = _track_points(spark, sf).where("seq % 4 = 0").select((F.col("user_id") * 1000000 + F.col("seq")).alias("qid"), "lon", "lat")
+    asked = _track_points(spark, sf).select((F.col("user_id") * 1000000 + F.col("seq")).alias("qid"), "lon", "lat")
     s = views.segments(spark, sf).select("sid", "ax", "ay", "bx", "by")
     return joins.nearby_segments(asked, s, 50.0, 5, 41.0).select("qid", "rank", "sid", F.round("dist_m", 1).alias("dist_m"))
 
@@ -406,8 +406,8 @@ def track_steps(spark, sf):
 
 
 def _lattice_hmm(spark, sf):
-    """Whole-number lattice of the first points of each track: states are the nodes within 1500 micro-degrees on both axes."""
-    t = views.tracks(spark, sf).where("seq < 8").select(F.col("user_id").alias("trace"), F.col("seq").cast("int").alias("step"), "mx", "my")
+    """Whole-number lattice of each track: states are the nodes within 1500 micro-degrees on both axes."""
+    t = views.tracks(spark, sf).select(F.col("user_id").alias("trace"), F.col("seq").cast("int").alias("step"), "mx", "my")
     n = views.nodes(spark, sf).select(F.col("node").alias("state"), F.col("mx").alias("nx"), F.col("my").alias("ny"), F.floor(F.col("mx") / 1500).alias("cx"), F.floor(F.col("my") / 1500).alias("cy"))
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     t = t.withColumns({"cx": F.explode(F.transform(near, lambda i: F.floor(F.col("mx") / 1500) + i))}).withColumn("cy", F.explode(F.transform(near, lambda i: F.floor(F.col("my") / 1500) + i)))
@@ -432,7 +432,7 @@ def map_match(spark, sf):
     s = s.withColumn("length_m", measure.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     both = s.select("src", "dst", "length_m", F.col("bx").alias("lon"), F.col("by").alias("lat")).unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", F.col("ax").alias("lon"), F.col("ay").alias("lat")))
     graph = search.Graph.collect(both, "length_m", extra=["lon", "lat"])
-    t = views.tracks(spark, sf).where("user_id % 10 = 0").select(F.col("user_id").alias("trace"), "seq", "lon", "lat")
+    t = views.tracks(spark, sf).select(F.col("user_id").alias("trace"), "seq", "lon", "lat")
     got = mapmatch.match(t, s.select("sid", "ax", "ay", "bx", "by", "src", "dst", "length_m"), graph)
     return got.select("trace", "length_m", "points_total", "points_matched", "points_unmatched", F.size("geometry").alias("vertices"))
 
