@@ -112,7 +112,7 @@ def relax(seeds: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Data
     """(req, node, cost) from seeds (req, node, cost) over edges (src, dst, w), by rounds of joins from the nodes whose cost
     fell last; for networks of any size."""
     best = cc.cut(seeds.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax")
-    front = best
+    front, edges = best, cc.cut(edges, "relax")
     for _ in range(most_rounds):
         step = front.join(edges, front["node"] == edges["src"]).select("req", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("req", "node").agg(F.min("cost").alias("new"))
         front = cc.cut(step.join(best, ["req", "node"], "left").where("cost is null or new < cost").select("req", "node", F.col("new").alias("cost")), "relax")

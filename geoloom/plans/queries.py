@@ -326,9 +326,8 @@ def sssp(spark, sf):
 
 @query
 def sssp_relax(spark, sf):
-    """The relational form, near its seeds: a corner of the lattice."""
-    near = views.edges(spark, sf).where("src % 50 < 5 and dst % 50 < 5 and src < 250 and dst < 250")
-    return search.relax(spark.createDataFrame([(0, 0, 0)], "req bigint, node bigint, cost bigint"), near).select("node", "cost")
+    """The relational form over the whole lattice."""
+    return search.relax(spark.createDataFrame([(0, 0, 0)], "req bigint, node bigint, cost bigint"), views.edges(spark, sf)).select("node", "cost")
 
 
 @query
