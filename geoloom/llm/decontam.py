@@ -3,13 +3,13 @@
 Words are runs of letters and digits (and of all signs outside ASCII), in lower case. For each benchmark item of L words the windows of L words of a
 document are compared with it by the weighted Jaccard similarity of their k-word shingles, the weights being the
 numbers of occurrences; at ``threshold`` or more the window holds the item. Items of fewer than k words are one
-shingle.
+shingle. A document shorter than the item is one window as a whole.
 
 Three steps reach the windows: (1) a window can only be that similar to an item if enough of its shingles occur in that
 item, which a hash lookup and running sums tell for all windows; (2) the windows left get a 128-bit SimHash
 and meet the fingerprints of items of their size through a multi-index of eight 16-bit blocks: two fingerprints
 within ``radius`` differ by at most radius // 8 bits in some block, so comparing blocks within that distance finds
-all of them; (3) the exact similarity decides. At a similarity of 0.8 fingerprints differ by 19 bits on average with
+all of them (a whole shorter document goes on without this step); (3) the exact similarity decides. At a similarity of 0.8 fingerprints differ by 19 bits on average with
 a deviation of 4, so the default radius of 39 misses about one such window in a million.
 
 The benchmark is broadcast; its size is checked against ``MAX_WORDS``. Null and empty texts and items match nothing.
@@ -101,12 +101,12 @@ class Index:
             shingles, number = shingles[order], number[order]
             marks = np.zeros(1 << 20, bool)
             marks[(shingles >> np.uint64(44)).astype(np.int64)] = True
-            least = np.array([self.sizes[size][3] for _, size, _ in rows])
-            self.known[n] = (shingles, number, [(size, i) for _, size, i in rows], least, marks)
+            counts = np.array([self.sizes[size][2] for _, size, _ in rows])
+            self.known[n] = (shingles, number, [(size, i) for _, size, i in rows], counts, marks)
 
     def _hits(self, n: int, shingles: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(size, number) of each item that a window can be similar enough to, with the places of its shingles."""
-        known, number, rows, least, marks = self.known[n]
+        known, number, rows, counts, marks = self.known[n]
         at = np.flatnonzero(marks[(shingles >> np.uint64(44)).astype(np.int64)])
         if not len(at):
             return {}
@@ -116,6 +116,8 @@ class Index:
         if not len(places):
             return {}
         items = number[np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(places))]
+        # of a document with fewer shingles than the item the window is the whole of it
+        least = np.ceil(self.threshold / (1 + self.threshold) * (np.minimum(len(shingles), counts) + counts) - 1e-9)
         enough = np.flatnonzero(np.bincount(items, minlength=len(rows)) >= least)
         return {rows[i]: places[items == i] for i in enough}
 
@@ -135,9 +137,13 @@ class Index:
             if len(words) < n:
                 continue
             s = common.shingle(words, n)
-            for (size, _), places in self._hits(n, s).items():
+            for (size, number), places in self._hits(n, s).items():
                 own, _, count, least = self.sizes[size]
                 if len(words) < size:
+                    item, shingles = own[number]
+                    sim = similarity(s, shingles)
+                    if sim >= self.threshold - 1e-12 and (item not in best or (-sim, 0) < (-best[item][2], best[item][0])):
+                        best[item] = (0, len(words), sim)
                     continue
                 run = np.zeros(len(s) + 1, np.int32)
                 run[places + 1] = 1
