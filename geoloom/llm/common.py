@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only below this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
@@ -18,13 +20,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-#: Bytes hashed at once; a longer single text is still taken whole.
+#: Bytes hashed and characters classified at once; a longer single text is still taken whole.
 CHUNK_BYTES = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: What the JVM hands to a Python worker at once, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is configured."""
+    """The folder that driver and executors share. Where none is configured a local one serves a single JVM; on a cluster
+    that is an error."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not got and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return got.rstrip("/") if got else "file:///tmp/checkpoints/geoloom"
 
 
@@ -45,9 +53,52 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``limit`` rows (counted), else df itself for a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most ``limit`` rows of ``most_bytes`` in all (counted, 16 bytes a column and
+    the lengths of its strings), else df itself for a shuffle join."""
+    size = F.lit(16 * len(df.columns))
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+    got = df.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= limit and (got["b"] or 0) <= most_bytes else df
+
+
+def cols(names: list[str]) -> list:
+    """Columns by their names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names with dots can't go through Arrow functions."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, after each of which the worker's free memory goes back to the system:
+    a worker lives through many stages, beside others."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            conf.set(key, most)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def trim() -> None:
+    """Returns memory that Arrow and the allocator hold in reserve."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def holdout(doc_id) -> "F.Column":
@@ -130,6 +181,21 @@ def shingle(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def _cut(text: bytes, separators: np.ndarray):
+    """Pieces of a long text of about CHUNK_BYTES, cut at separators."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK_BYTES
+        while end < len(text):
+            gap = np.flatnonzero(separators[np.frombuffer(text, np.uint8, min(4096, len(text) - end), end)])
+            if len(gap):
+                end += int(gap[0]) + 1
+                break
+            end += 4096
+        yield text[at:end]
+        at = end
+
+
 def shingle_sets(texts, k: int, separators: np.ndarray = _SPACE):
     """Yields the sorted distinct shingle hashes of each text of an Arrow array or list, in order. Arrow's bytes are used
     as they are, a slice at a time, so that no more than a slice is held as Python objects."""
@@ -139,6 +205,11 @@ def shingle_sets(texts, k: int, separators: np.ndarray = _SPACE):
             part = part.cast(pa.binary()).to_pylist()
         raw = [(t.encode() if isinstance(t, str) else t) if t else b"" for t in part]
         for _, own in chunks(raw):
+            if len(own[0]) > 4 * CHUNK_BYTES:
+                yield np.unique(shingle(np.concatenate([hash_words([x], separators)[0] for x in _cut(own[0], separators)]), k))
+                own = own[1:]
+            if not own:
+                continue
             h, first, _, _ = hash_words(own, separators)
             for i in range(len(own)):
                 yield np.unique(shingle(h[first[i] : first[i + 1]], k))
