@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hash buckets of the document counts (bytes broadcast). More buckets tell rare tokens apart in larger corpora.
-BUCKETS = 1 << 22
+#: Hash buckets of the document counts (bytes broadcast), at least and at most; in between there is one for every 64
+#: tokens, so that rare tokens stay apart in larger corpora. Fewer only make the prefixes less selective.
+BUCKETS, MOST_BUCKETS = 1 << 22, 1 << 25
+#: Members of a signature that meet in one task.
+BLOCK = 512
 SLICES = 64
 HISTOGRAM = 64
 
@@ -52,26 +55,15 @@ def _read_sets(k: int, buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        total, held, size = None, [], 0
-
-        def add():
-            nonlocal total, held, size
-            if held:
-                got = np.bincount(np.concatenate(held).astype(np.int64), minlength=buckets).astype(np.uint32)
-                total = got if total is None else total + got
-                held, size = [], 0
-
+        total = None
         for batch in common.small(batches):
             rows = []
+            total = np.zeros(buckets, np.uint32) if total is None else total
             for doc, u in zip(batch["doc_id"].to_pylist(), common.shingle_sets(batch["text"], k)):
                 rows.append((doc, len(u), *_identity(u), None, None))
-                if len(u):
-                    held.append(u & np.uint64(buckets - 1))
-                    size += len(u)
-                if size > 1 << 20:
-                    add()
+                # the tokens of a text are distinct, but not their buckets
+                np.add.at(total, (u & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
             yield _arrow(rows, schema)
-        add()
         if total is not None:
             step = buckets // SLICES
             yield _arrow([(None, None, None, None, i, zstandard.compress(total[i * step : (i + 1) * step].tobytes(), 1)) for i in range(SLICES)], schema)
@@ -189,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) that link, by their whole sets; docs has doc_id, text."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.join(common.bounded(ids), "doc_id", "left_semi")
-    sets = common.materialize(texts.mapInArrow(_read_full(k), "doc_id bigint, tokens array<bigint>"), "sets")
+    sets = common.materialize(common.map_arrow(texts, _read_full(k), "doc_id bigint, tokens array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
     return shared.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
@@ -212,16 +204,19 @@ def components(edges: DataFrame) -> DataFrame:
         e = small
 
 
-def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each document; percent is the Jaccard threshold, met or exceeded."""
+def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document; percent is the Jaccard threshold, met or exceeded. ``unique``
+    says that no id repeats, which is else checked."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    read = common.materialize(docs.mapInArrow(_read_sets(k, buckets), "doc_id bigint, n bigint, h1 bigint, h2 bigint, slice int, counts binary"), "read")
+    if not unique and not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = common.materialize(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "single")
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << int(size // (6 * 64)).bit_length()))
+    read = common.materialize(common.map_arrow(docs, _read_sets(k, buckets), "doc_id bigint, n bigint, h1 bigint, h2 bigint, slice int, counts binary"), "read")
     own = read.where("slice is null").select("doc_id", "n", "h1", "h2")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        return components_of(common.materialize(docs, "single"), k, percent, buckets)
-    summed = read.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_sum_slices, "slice int, level binary, total bigint").collect()  # SLICES rows, one byte a bucket
+    summed = common.map_arrow(read.where("slice is not null").select("slice", "counts").repartition("slice"), _sum_slices, "slice int, level binary, total bigint").collect()  # SLICES rows, one byte a bucket
     by = {r["slice"]: r for r in summed}
     empty = bytes(buckets // SLICES)
     shared = spark.sparkContext.broadcast(b"".join(by[i]["level"] if i in by else empty for i in range(SLICES)))
@@ -229,7 +224,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int =
     frequent = int(np.ceil(4 * np.log2(8 * mean + 64)))
 
     classes = common.materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    drawn = docs.mapInArrow(_read_signatures(k, buckets, percent, shared, frequent), "doc_id bigint, n bigint, histogram binary, signature array<bigint>, rest array<int>")
+    drawn = common.map_arrow(docs, _read_signatures(k, buckets, percent, shared, frequent), "doc_id bigint, n bigint, histogram binary, signature array<bigint>, rest array<int>")
     drawn = common.materialize(drawn.join(common.bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), "signatures")
     flat = drawn.select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("signature", "rest")).alias("s")).select("s.signature", "doc_id", "n", "s.rest")
     star = F.min(F.struct((F.col("n") - F.col("rest")).alias("own"), "n", "doc_id", "rest")).alias("p")
@@ -242,8 +237,10 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int =
 
     at = members.select("signature", "doc_id", "n", "rest").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     at = common.materialize(at.join(_open(at, percent), ["signature", "c"]).where(F.least("rest", "most") * 100 >= (F.col("n") + F.col("own")) * percent).drop("own", "most"), "open")
-    one, two = (at.select("signature", *[F.col(c).alias(c + x) for c in ("doc_id", "n", "rest", "c")]) for x in "ab")
-    pairs = one.join(two, "signature").where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("ca") != F.col("cb")) & _may_link("na", "resta", "nb", "restb", percent))
+    at = _dealt(at)
+    one, two = (at.select("signature", "low", "high", *[F.col(c).alias(c + x) for c in ("doc_id", "n", "rest", "c", "block")]) for x in "ab")
+    apart = (F.col("low") == F.col("high")) | (F.col("blocka") != F.col("blockb"))  # each pair of members meets once
+    pairs = one.join(two, ["signature", "low", "high"]).where(apart & (F.col("doc_ida") < F.col("doc_idb")) & (F.col("ca") != F.col("cb")) & _may_link("na", "resta", "nb", "restb", percent))
     rest = pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = common.materialize(_possible(rest, drawn, percent), "rest")
     more = common.materialize(_verified(rest, docs, k, percent), "links")
@@ -253,6 +250,37 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int =
     return own.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _dealt(at: DataFrame) -> DataFrame:
+    """The members of each signature dealt into blocks of about BLOCK by a hash of their id, once for each pair of blocks
+    (low, high) that theirs is in: two members meet in one of these groups, none of which grows with the signature."""
+    sizes = at.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    rows = at.join(common.bounded(common.materialize(sizes, "sizes")), "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one row of each group of linked rows stays: that of the smallest
+    id (null comes last), of rows with the same id that whose text has the smallest hash. Rows without words stay all.
+    Rows are compared each for itself, whether or not their ids repeat."""
+    rows = common.plain(docs)
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    if rows.groupBy(own).count().where(f"count > 1 or {own} is null").isEmpty():
+        found = components_of(rows, k, percent, id_col=own, text_col=text, unique=True)
+        gone = common.materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "gone")
+        rows = rows.withColumn("__row", F.col(own).cast("long"))
+    else:
+        # a number for each row, fixed by writing it
+        rows = common.materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        found = common.materialize(components_of(rows, k, percent, id_col="__row", text_col=text, unique=True).where("n_shingles > 0"), "found")
+        order = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.xxhash64(text).alias("hash"), F.col("__row").alias("row"))
+        each = found.join(rows.select(F.col("__row").alias("doc_id"), order.alias("o")), "doc_id")
+        first = each.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.row").alias("doc_id"))
+        gone = common.materialize(found.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("__row")), "gone")
+    return rows.join(common.bounded(gone), "__row", "left_anti").drop("__row").toDF(*docs.columns)
+
+
 def _may_link(na: str, resta: str, nb: str, restb: str, percent: int):
     """Whether a pair whose first shared signature this is can be similar enough."""
     most = F.least(resta, restb)
@@ -274,4 +302,4 @@ def _possible(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     one = drawn.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha"))
     two = drawn.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb"))
     both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bound(percent), "a bigint, b bigint")
+    return common.map_arrow(both.select("a", "b", "na", "nb", "ha", "hb"), _bound(percent), "a bigint, b bigint")
