@@ -1,19 +1,25 @@
 """Benchmark decontamination by SimHash windows.
 
-Words are runs of letters and digits (and of all signs outside ASCII), in lower case. For each benchmark item of L words the windows of L words of a
-document are compared with it by the weighted Jaccard similarity of their k-word shingles, the weights being the
-numbers of occurrences; at ``threshold`` or more the window holds the item. Items of fewer than k words are one
-shingle. A document shorter than the item is one window as a whole.
-
-Three steps reach the windows: (1) a window can only be that similar to an item if enough of its shingles occur in that
-item, which a hash lookup and running sums tell for all windows; (2) the windows left get a 128-bit SimHash
-and meet the fingerprints of items of their size through a multi-index of eight 16-bit blocks: two fingerprints
-within ``radius`` differ by at most radius // 8 bits in some block, so comparing blocks within that distance finds
-all of them (a whole shorter document goes on without this step); (3) the exact similarity decides. At a similarity of 0.8 fingerprints differ by 19 bits on average with
-a deviation of 4, so the default radius of 39 misses about one such window in a million.
+Words are runs of letters and digits (and of all signs outside ASCII), in lower case. For each benchmark item of L
+words the windows of L words of a document are compared with it by the weighted Jaccard similarity of their k-word
+shingles, the weights being the numbers of occurrences; at ``threshold`` or more the window holds the item. Items of
+fewer than k words are one shingle. A document shorter than the item is one window as a whole.
+
+A window of n shingles and an item of c can only be that similar if they share threshold / (1 + threshold) * (n + c) of
+them; windows of which fewer occur in the benchmark at all are left out by running sums. The others get a 256-bit
+SimHash, in which the j-th occurrence of a shingle counts as a feature of its own: so every feature weighs 1, and the
+weighted similarity is that of the sets of features. Items of the window's size are looked up in a multi-index of
+32 8-bit blocks: a table for each block tells for a block's value the items whose block differs in at most
+b = radius // 32 bits. Two fingerprints within ``radius`` are that near in at least 32 - radius // (b + 1) blocks, so
+the items that so many tables name are all items within the radius, and some more. Their whole fingerprints are
+compared, and the exact similarity then decides.
+
+At a similarity of 0.8 each bit differs with probability 0.152 whatever the words are, 39 of 256 on average with a
+deviation of 5.7; the default radius of 79 is passed by about one such window in 10^11.
 
 The benchmark is broadcast; its size is checked against ``MAX_WORDS``. Null and empty texts and items match nothing.
-Repeated documents are matched each; repeated items by each id. Rows with a null id are left out.
+Repeated documents are matched each; repeated items by each id. Rows of documents with a null id give no match, but
+``keep_clean`` decides on every row.
 """
 
 from __future__ import annotations
@@ -27,13 +33,13 @@ from . import common
 
 #: Words of all items together that may be broadcast (about 100 bytes each).
 MAX_WORDS = 5_000_000
-RADIUS = 39
-BLOCKS = 8
-_BITS = 128
+RADIUS = 79
+BLOCKS = 32
+_BITS = 256
+_AT_ONCE = 256  # windows that get fingerprints at once
 
 WORD_GAPS = np.ones(256, dtype=bool)
 WORD_GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def lowered(text: str | None) -> str:
@@ -41,28 +47,20 @@ def lowered(text: str | None) -> str:
     return text.replace("İ", "i").lower() if text else ""
 
 
-def simhash(shingles: np.ndarray) -> np.ndarray:
-    """128-bit fingerprint of shingles, each as often as it occurs, as eight 16-bit blocks."""
-    return window_prints(shingles, np.zeros(1, np.int64), len(shingles))[0]
-
-
-def window_prints(shingles: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """Fingerprints of the windows of count shingles at starts; sums run over each cluster of starts."""
-    out = np.empty((len(starts), BLOCKS), np.uint16)
-    for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > 4 * count) + 1):
-        if len(part):
-            a, b = int(starts[part[0]]), int(starts[part[-1]]) + count
-            sums = np.zeros((b - a + 1, _BITS), np.int32)
-            np.cumsum(_bits(shingles[a:b]), axis=0, out=sums[1:])
-            own = starts[part] - a
-            out[part] = np.packbits(sums[own + count] - sums[own] > 0, axis=1).view(np.uint16)
-    return out
-
-
-def _bits(shingles: np.ndarray) -> np.ndarray:
-    """The 128 hash bits of each shingle as 1 and -1."""
-    two = np.stack([shingles, common.mix(shingles + np.uint64(0x9E3779B97F4A7C15))], 1)
-    return np.unpackbits(two.view(np.uint8).reshape(len(shingles), 16), axis=1).astype(np.int32) * 2 - 1
+def fingerprints(windows: np.ndarray) -> np.ndarray:
+    """256-bit fingerprints (32 8-bit blocks) of windows, one row of shingles each."""
+    count = windows.shape[1]
+    s = np.sort(windows, axis=1)
+    place = np.arange(count)
+    first = np.where(np.diff(s, axis=1, prepend=s[:, :1]) != 0, place, 0)
+    nth = (place - np.maximum.accumulate(first, axis=1)).astype(np.uint64)  # which occurrence of its shingle
+    features = common.mix(s + nth * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.zeros((len(s), _BITS), np.int32)
+    for word in range(_BITS // 64):
+        h = common.mix(features + np.uint64(word * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(s), count, 8), axis=2)
+        sums[:, word * 64 : (word + 1) * 64] = bits.sum(1, dtype=np.int32)
+    return np.packbits(2 * sums > count, axis=1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,61 +72,51 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+class MultiIndex:
+    """Fingerprints by their blocks: for each block and value a bit mask of the fingerprints that are near in it (1 kB of
+    tables a fingerprint)."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        near = radius // BLOCKS
+        self.blocks = max(1, BLOCKS - radius // (near + 1))
+        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ prints.T[:, None, :])
+        self.tables = np.packbits(apart <= near, axis=2, bitorder="little")  # block, value, mask
+
+    def within(self, found: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the fingerprints within the radius of each of several."""
+        masks = self.tables[np.arange(BLOCKS), found]  # fingerprint, block, mask
+        times = np.unpackbits(masks, axis=2, count=len(self.prints), bitorder="little").sum(1, dtype=np.uint8)
+        i, number = np.nonzero(times >= self.blocks)
+        close = np.bitwise_count(self.prints[number] ^ found[i]).sum(1, dtype=np.int64) <= self.radius
+        return np.split(number[close], np.cumsum(np.bincount(i[close], minlength=len(found)))[:-1])
+
+
 class Index:
-    """Items by number of words: shingles, fingerprints and their blocks."""
+    """Items by number of words: their shingles and the multi-index of their fingerprints."""
 
     def __init__(self, items: list[tuple[int, str]], k: int, threshold: float, radius: int):
-        self.k, self.threshold, self.radius = k, threshold, radius
+        self.k, self.threshold = k, threshold
         h, first, _, _ = common.hash_words([lowered(t).encode() for _, t in items], WORD_GAPS) if items else (np.zeros(0, np.uint64), [0], None, None)
         by: dict[int, list] = {}
         for i, (item, _) in enumerate(items):
             words = h[first[i] : first[i + 1]]
             if len(words):
                 by.setdefault(len(words), []).append((item, common.shingle(words, min(k, len(words)))))
-        self.sizes = {}
-        for size, own in sorted(by.items()):
-            prints = np.stack([simhash(s) for _, s in own])
-            count = len(own[0][1])
-            # both windows have count shingles: similarity s needs an intersection of 2 s / (1 + s) of them
-            least = int(np.ceil(2 * threshold / (1 + threshold) * count - 1e-9))
-            self.sizes[size] = (own, prints, count, least)
-        self.known = {}
+        self.sizes = {size: (own, MultiIndex(fingerprints(np.stack([s for _, s in own])), radius), len(own[0][1])) for size, own in sorted(by.items())}
+        self.known = {}  # by words a shingle: all shingles of items, and marks of their first bits
         for n in sorted({min(k, size) for size in self.sizes}):
-            rows = [(s, size, i) for size, (own, *_) in self.sizes.items() if min(k, size) == n for i, (_, s) in enumerate(own)]
-            shingles = np.concatenate([np.unique(s) for s, _, _ in rows])
-            number = np.repeat(np.arange(len(rows)), [len(np.unique(s)) for s, _, _ in rows])
-            order = np.argsort(shingles, kind="stable")
-            shingles, number = shingles[order], number[order]
+            shingles = np.unique(np.concatenate([s for size, (own, _, _) in self.sizes.items() if min(k, size) == n for _, s in own]))
             marks = np.zeros(1 << 20, bool)
             marks[(shingles >> np.uint64(44)).astype(np.int64)] = True
-            counts = np.array([self.sizes[size][2] for _, size, _ in rows])
-            self.known[n] = (shingles, number, [(size, i) for _, size, i in rows], counts, marks)
+            self.known[n] = (shingles, marks)
 
-    def _hits(self, n: int, shingles: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(size, number) of each item that a window can be similar enough to, with the places of its shingles."""
-        known, number, rows, counts, marks = self.known[n]
+    def _hits(self, n: int, shingles: np.ndarray) -> np.ndarray:
+        """Places of shingles that occur in items."""
+        known, marks = self.known[n]
         at = np.flatnonzero(marks[(shingles >> np.uint64(44)).astype(np.int64)])
-        if not len(at):
-            return {}
-        low, high = np.searchsorted(known, shingles[at]), np.searchsorted(known, shingles[at], "right")
-        times = high - low
-        places = np.repeat(at, times)
-        if not len(places):
-            return {}
-        items = number[np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(places))]
-        # of a document with fewer shingles than the item the window is the whole of it
-        least = np.ceil(self.threshold / (1 + self.threshold) * (np.minimum(len(shingles), counts) + counts) - 1e-9)
-        enough = np.flatnonzero(np.bincount(items, minlength=len(rows)) >= least)
-        return {rows[i]: places[items == i] for i in enough}
-
-    def within(self, size: int, prints: np.ndarray) -> list[np.ndarray]:
-        """Numbers of the items of this size within the radius of each fingerprint."""
-        own, out = self.sizes[size][1], []
-        for f in prints:
-            apart = _POP16[own ^ f]
-            near = np.flatnonzero((apart <= self.radius // BLOCKS).any(1))  # some block of any within the radius is this near
-            out.append(near[apart[near].sum(1, dtype=np.int64) <= self.radius])
-        return out
+        low = np.searchsorted(known, shingles[at])
+        return at[known[np.minimum(low, len(known) - 1)] == shingles[at]]
 
     def find(self, words: np.ndarray):
         """Yields (item, first word, words, similarity): per item the most similar window, the first of ties."""
@@ -137,37 +125,47 @@ class Index:
             if len(words) < n:
                 continue
             s = common.shingle(words, n)
-            for (size, number), places in self._hits(n, s).items():
-                own, _, count, least = self.sizes[size]
-                if len(words) < size:
-                    item, shingles = own[number]
-                    sim = similarity(s, shingles)
-                    if sim >= self.threshold - 1e-12 and (item not in best or (-sim, 0) < (-best[item][2], best[item][0])):
-                        best[item] = (0, len(words), sim)
+            hits = self._hits(n, s)
+            run = None
+            for size, (own, index, count) in self.sizes.items() if len(hits) else ():
+                if min(self.k, size) != n:
+                    continue
+                # of a document with fewer shingles than the item the window is the whole of it
+                width = min(len(s), count)
+                least = int(np.ceil(self.threshold / (1 + self.threshold) * (width + count) - 1e-9))
+                if len(hits) < least or width < least:
                     continue
-                run = np.zeros(len(s) + 1, np.int32)
-                run[places + 1] = 1
-                run = np.cumsum(run)
-                starts = np.flatnonzero(run[count:] - run[:-count] >= least)
-                for at, near in zip(starts.tolist(), self.within(size, window_prints(s, starts, count))):
-                    for i in near:
-                        item, shingles = own[i]
-                        sim = similarity(s[at : at + count], shingles)
-                        if sim >= self.threshold - 1e-12 and (item not in best or (-sim, at) < (-best[item][2], best[item][0])):
-                            best[item] = (at, size, sim)
+                if run is None:
+                    run = np.zeros(len(s) + 1, np.int32)
+                    run[hits + 1] = 1
+                    run = np.cumsum(run, dtype=np.int32)
+                starts = np.flatnonzero(run[width:] - run[:-width] >= least)
+                for k in range(0, len(starts), _AT_ONCE):
+                    part = starts[k : k + _AT_ONCE]
+                    windows = s[part[:, None] + np.arange(width)]
+                    for at, window, found in zip(part.tolist(), windows, index.within(fingerprints(windows))):
+                        for i in found:
+                            item, shingles = own[i]
+                            sim = similarity(window, shingles)
+                            if sim >= self.threshold - 1e-12 and (item not in best or (-sim, at) < (-best[item][2], best[item][0])):
+                                best[item] = (at, min(size, len(words)), sim)
         for item, (at, size, sim) in sorted(best.items()):
             yield item, at, size, sim
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_char, end_char, similarity: per document and item the most similar window; positions are
-    code points, end exclusive."""
-    spark = docs.sparkSession
+def _index(benchmark: DataFrame, k: int, threshold: float, radius: int):
+    """The broadcast index of a benchmark whose size is checked."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     words = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     if words > MAX_WORDS * 6:
         raise ValueError(f"the benchmark has {words} characters; up to {MAX_WORDS * 6} may be broadcast: split it")
-    shared = spark.sparkContext.broadcast(Index([tuple(r) for r in items.orderBy("item_id", "text").collect()], k, threshold, radius))
+    return benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.orderBy("item_id", "text").collect()], k, threshold, radius))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, start_char, end_char, similarity: per document and item the most similar window; positions are
+    code points, end exclusive."""
+    shared = _index(benchmark, k, threshold, radius)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
@@ -187,4 +185,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint, start_char bigint, end_char bigint, similarity double")
+    return common.map_arrow(rows, run, "doc_id bigint, item_id bigint, start_char bigint, end_char bigint, similarity double")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item; each row is judged by itself, whatever its id."""
+    shared, at = _index(benchmark, k, threshold, radius), docs.columns.index(text_col)
+    rows = common.plain(docs)
+
+    def run(batches):
+        index: Index = shared.value
+        for batch in common.small(batches):
+            keep = []
+            for _, part in common.chunks([lowered(t).encode() for t in batch.column(at).cast(pa.string()).to_pylist()]):
+                h, first, _, _ = common.hash_words(part, WORD_GAPS)
+                keep += [next(index.find(h[first[i] : first[i + 1]]), None) is None for i in range(len(part))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return common.map_arrow(rows, run, rows.schema).toDF(*docs.columns)
