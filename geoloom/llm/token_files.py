@@ -10,7 +10,7 @@ Tasks write under a name of their own and rename the whole file, so that a retri
 only files named in the manifest count.
 
 A null text is empty and yields the end id alone. Rows with a null id are left out; repeated ids are written each, in
-order of their texts. Special tokens spelt in a text follow the tokenizers library's default. Other columns are
+order of a hash of their texts. Special tokens spelt in a text follow the tokenizers library's default. Other columns are
 dropped.
 """
 
@@ -30,8 +30,9 @@ from . import common
 SEQUENCE = 1024
 BATCH = 64  # sequences a batch
 END_ID = 2
-#: Words whose ids a worker keeps in each of two generations, and stems (about 200 bytes each).
-CACHE_WORDS, CACHE_STEMS = 500_000, 1_000_000
+#: Bytes of words, stems and their ids that a worker keeps in each of two generations, about.
+CACHE_BYTES = 64 << 20
+_ENTRY = 180  # bytes of an entry besides its text and ids
 _JOINED = 500
 _TAIL = ".,;:!?*%$&#"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -41,12 +42,18 @@ _CACHE: dict[tuple[str, str], "Encoder"] = {}
 class Encoder:
     """Encodes texts as ``encode(text, add_special_tokens=False)`` of the tokenizers library does.
 
-    The vocabulary's splitting pattern never joins what blanks separate, nor a letter or number with the signs after
-    it, and it ignores case. So words between ASCII blanks are looked up, a new one is taken apart into its stem and
-    the signs after it, and only stems that are new go through the library, in one batch. Texts that hold a special
-    token's string go through the library whole."""
+    The vocabulary's normaliser composes (NFC), turns white space into blanks and lowers; its pattern never joins what
+    blanks separate. A blank neither composes with its neighbours nor lowers anything across itself, so a text's ids are
+    those of its words between ASCII blanks one after another, and a word that came up before is looked up. Words whose
+    characters all lie below U+0130 are taken apart further: there normalising is lowering, character by character and
+    letter to letter, so the pattern always cuts between a letter or number and a sign of ``_TAIL`` after it, and the
+    stem may be looked up in lower case. All other words go through the library as they are. Texts that hold a special
+    token's string go through the library whole. Another vocabulary must have the same normaliser and pattern, which
+    the constructor checks; else every text goes through the library whole."""
 
     def __init__(self, path: str, width: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.width = width
@@ -54,11 +61,15 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+        pattern = split[0]["pattern"].get("Regex", "") if split else ""
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split[0].get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-        self.words: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.size, self.words, self.before, self.stems = 0, {"": b""}, {}, {"": b""}
 
     @classmethod
     def load(cls, path: str, width: str) -> "Encoder":
@@ -66,44 +77,53 @@ class Encoder:
             _CACHE[path, width] = cls(path, width)
         return _CACHE[path, width]
 
+    def forget(self) -> None:
+        """Frees the caches, which a worker would else hold through other work."""
+        self.size, self.words, self.before, self.stems = 0, {"": b""}, {}, {"": b""}
+
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
+        if max(word) >= "\u0130":
+            return word, ""
         stem = word.rstrip(_TAIL)
-        tail = word[len(stem) :]
-        if tail and not (stem and stem[-1].isalnum()):
-            stem, tail = word, ""
-        return (stem.lower() if stem and max(stem) < "\u0130" else stem), tail
+        if not stem or len(stem) < len(word) and not stem[-1].isalnum():
+            return word, ""
+        return stem.lower(), word[len(stem) :]
 
     def _learn(self, fresh: list[str]) -> None:
         parts = [self._parts(w) for w in fresh]
         stems = self.stems
-        if len(stems) > CACHE_STEMS:
-            stems.clear()
-            stems[""] = b""
         new = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
-        plain = [x for x in new if x.isalnum()] if self.bar is not None else []
+        plain = [x for x in new if "|" not in x] if self.bar is not None else []
         for at in range(0, len(plain), _JOINED):
-            # one call for many stems, which a sign that none of them holds keeps apart
+            # one call for many of them, kept apart by a sign between blanks that none of them holds
             part = plain[at : at + _JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(part)], add_special_tokens=False)[0].ids, self.width)
             cuts = np.flatnonzero(ids == self.bar)
             raw, size = ids.tobytes(), ids.itemsize
             for x, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
                 stems[x] = raw[a * size : b * size]
-        rest = [x for x in new if x not in stems]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            stems[x] = self._bytes(e.ids)
+        for x in new:
+            if x not in stems:
+                stems[x] = self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+            self.size += _ENTRY + 2 * len(x) + len(stems[x])
         for w, (stem, tail) in zip(fresh, parts):
-            self.words[w] = stems[stem] + stems[tail]
+            got = self.words[w] = stems[stem] + stems[tail]
+            self.size += _ENTRY + 2 * len(w) + len(got)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned integers of the chosen width."""
+        if not self.by_words:
+            return [self._whole(x) for x in texts]
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.before, self.words = self.words, {"": b""}
+        if self.size > CACHE_BYTES:
+            self.before, self.words, self.stems, self.size = self.words, {"": b""}, {"": b""}, 0
         words, before, fresh = self.words, self.before, []
         for w in {w for s in split for w in s}:
             if w not in words:
@@ -112,9 +132,10 @@ class Encoder:
                     fresh.append(w)
                 else:
                     words[w] = got
+                    self.size += _ENTRY + 2 * len(w) + len(got)
         self._learn(fresh)
         get = words.__getitem__
-        return [self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids) if any(y in x for y in self.special) else b"".join(map(get, s)) for x, s in zip(texts, split)]
+        return [self._whole(x) if any(y in x for y in self.special) else b"".join(map(get, s)) for x, s in zip(texts, split)]
 
 
 class _Writer:
@@ -186,6 +207,7 @@ def _write_files(directory: str, tokenizer: str, end_id: int, length: int, width
             index_sink.close()
             fs.move(name + ".tmp", name + ".arrow")
             fs.move(name + ".index.tmp", name + ".index")
+            Encoder.load(tokenizer, width).forget()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "first_id": first, "documents": docs, "tokens": at}], schema)
 
     return run
@@ -200,10 +222,10 @@ def write(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int = EN
     width = "uint16" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "uint32"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(partitions, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     fs, root = pafs.FileSystem.from_uri(directory)
     fs.create_dir(root, recursive=True)
-    manifest = common.materialize(dealt.mapInArrow(_write_files(directory, tokenizer_path, end_id, sequence, width), "part int, path string, first_id bigint, documents bigint, tokens bigint"), "manifest")
+    manifest = common.materialize(common.map_arrow(dealt, _write_files(directory, tokenizer_path, end_id, sequence, width), "part int, path string, first_id bigint, documents bigint, tokens bigint"), "manifest")
     files = manifest.orderBy("part").collect()  # one row a partition
     start, out = 0, []
     for r in files:
@@ -254,4 +276,4 @@ def read(manifest: DataFrame, directory: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(first + start), part["n_tokens"], pa.array(crc, pa.int64())], schema=schema)
 
     n = manifest.count()
-    return manifest.select("path", "start").repartition(max(1, n)).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return common.map_arrow(manifest.select("path", "start").repartition(max(1, n)), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
