@@ -6,7 +6,11 @@ hashed into a fixed number of buckets. Training counts n-grams per language over
 4 bytes each) is broadcast and batches of whole texts are scored as sparse bucket lists in numpy.
 
 Texts that are null or hold no letter get ``und`` and score 0. Ties go to the language first in order. Without
-training rows every text is ``und``. Repeated rows are scored each; other columns of the input are dropped.
+training rows every text is ``und``. Repeated rows are scored each; other columns of the input are dropped. Rows with a
+null id are scored, never learned from, and not held out.
+
+Texts are taken apart into pieces of bounded size, a long one into several, whose counts and scores add up: memory
+doesn't grow with a text beyond the text itself.
 """
 
 from __future__ import annotations
@@ -21,8 +25,22 @@ from . import common, folding
 BUCKETS = 1 << 16
 #: Labelled rows that a fit reads, about.
 MAX_ROWS = 20_000
+#: Languages at most: their columns are broadcast.
+MAX_LANGUAGES = 512
 UND = "und"
-_CHUNK = 1 << 18  # characters scored at once; a longer text is taken whole
+
+
+def _hashed(c: np.ndarray, before: np.ndarray, far: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the n-grams of 1 to 3 symbols that end at each symbol, from the symbols one and two before it."""
+    shift = np.uint32(32 - (buckets - 1).bit_length())
+    one = c * np.uint32(2654435761)
+    two = one + before * np.uint32(2246822519)
+    three = two + far * np.uint32(3266489917)
+    out = np.empty((len(c), 3), np.uint32)
+    for k, (h, salt) in enumerate(((one, 1), (two, 0x9E3779B9), (three, 0x85EBCA6B))):
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(salt)
+        out[:, k] = ((h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)) >> shift
+    return out.reshape(-1)
 
 
 def hashed_ngrams(texts: list, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -37,28 +55,36 @@ def hashed_ngrams(texts: list, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     c = c[keep]
     first = at[starts]
     pad = np.concatenate([np.zeros(2, np.uint32), c])
-    shift = np.uint32(32 - (buckets - 1).bit_length())
-    one = c * np.uint32(2654435761)
-    two = one + pad[1:-1] * np.uint32(2246822519)
     far = pad[:-2].copy()
     far[first[:-1][first[:-1] < len(c)]] = 0  # not the text before
-    three = two + far * np.uint32(3266489917)
-    out = np.empty((len(c), 3), np.uint32)
-    for k, (h, salt) in enumerate(((one, 1), (two, 0x9E3779B9), (three, 0x85EBCA6B))):
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(salt)
-        out[:, k] = ((h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)) >> shift
-    return out.reshape(-1), first * 3
-
-
-def _parts(texts: list, most: int = _CHUNK):
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t or "") + 1
-    if at < len(texts):
-        yield at, texts[at:]
+    return _hashed(c, pad[1:-1], far, buckets), first * 3
+
+
+def _long(text: str, buckets: int):
+    """Buckets of the n-grams of one text, in pieces; the last two symbols and whether the last character is a letter are
+    carried on."""
+    letter_before, last = False, np.zeros(2, np.uint32)
+    for k in range(0, len(text), common.CHUNK_CHARS):
+        piece = text[k : k + common.CHUNK_CHARS] + (" " if k + common.CHUNK_CHARS >= len(text) else "")
+        c = folding.lower_letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint32)
+        letter = c > 0
+        keep = letter | np.concatenate([[letter_before], letter[:-1]])
+        letter_before, c = bool(letter[-1]), c[keep]
+        pad = np.concatenate([last, c])
+        yield _hashed(c, pad[1:-1], pad[:-2], buckets)
+        last = pad[-2:]
+
+
+def grams_of(texts: list, buckets: int):
+    """Yields (first text, n-gram buckets, where each text's begin plus the end) of consecutive texts; of a long text
+    several times, a piece at a time."""
+    for at, part in common.chunks([t or "" for t in texts], common.CHUNK_CHARS):
+        if len(part[0]) > 2 * common.CHUNK_CHARS:
+            for grams in _long(part[0], buckets):
+                yield at, grams, np.array([0, len(grams)])
+            at, part = at + 1, part[1:]
+        if part:
+            yield at, *hashed_ngrams(part, buckets)
 
 
 def _count(buckets: int):
@@ -67,14 +93,11 @@ def _count(buckets: int):
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in common.small(batches):
-            texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
-            for at, part in _parts(texts):
-                grams, first = hashed_ngrams(part, buckets)
-                for i in range(len(part)):
+            langs = batch["lang"].to_pylist()
+            for at, grams, first in grams_of(batch["text"].to_pylist(), buckets):
+                for i in range(len(first) - 1):
                     own = total.setdefault(langs[at + i], np.zeros(buckets, np.int64))
-                    own += np.bincount(grams[first[i] : first[i + 1]], minlength=buckets) if first[i + 1] - first[i] > buckets // 8 else 0
-                    if first[i + 1] - first[i] <= buckets // 8:
-                        np.add.at(own, grams[first[i] : first[i + 1]], 1)
+                    np.add.at(own, grams[first[i] : first[i + 1]], 1)
         yield pa.RecordBatch.from_pylist([{"lang": k, "counts": v.tobytes()} for k, v in total.items()], schema)
 
     return run
@@ -95,9 +118,11 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, buckets: int = BUCKETS, alpha
     n = rows.select("lang").count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    counted = rows.mapInArrow(_count(buckets), "lang string, counts binary").repartition("lang").mapInArrow(_sum, "lang string, counts binary")
+    counted = common.map_arrow(common.map_arrow(rows, _count(buckets), "lang string, counts binary").repartition("lang"), _sum, "lang string, counts binary")
     got = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}  # a row a language
     langs = sorted(k for k, v in got.items() if v.sum())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; up to {MAX_LANGUAGES} may be broadcast")
     if not langs:
         return [], np.zeros((buckets, 0), np.float32)
     counts = np.stack([got[k] for k in langs], 1) + alpha
@@ -116,24 +141,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         m = shared.value
         for batch in common.small(batches):
             texts = batch["text"].to_pylist()
-            best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
-            for at, part in _parts(texts) if langs else ():
-                grams, first = hashed_ngrams(part, buckets)
-                sums = np.zeros((len(part), len(langs)))
+            sums, seen = np.zeros((len(texts), len(langs))), np.zeros(len(texts), bool)
+            for at, grams, first in grams_of(texts, buckets) if langs else ():
                 full = np.flatnonzero(np.diff(first))
                 if len(full):
-                    sums[full] = np.add.reduceat(m[grams], first[full], axis=0, dtype=np.float64)
-                sums -= sums.max(1, keepdims=True)
-                p = np.exp(sums)
+                    sums[at + full] += np.add.reduceat(m[grams], first[full], axis=0, dtype=np.float64)
+                    seen[at + full] = True
+            best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
+            if langs:
+                p = np.exp(sums - sums.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 top = p.argmax(1)
-                best[at + full], score[at + full] = top[full], p[full, top[full]]
+                best[seen], score[seen] = top[seen], p[seen, top[seen]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names[best], pa.string()), pa.array(score)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted on the labelled rows of docs that aren't held out."""
     model = fit(docs.where(~common.holdout(F.col("doc_id"))), max_rows)
-    return predict(docs, model).select("doc_id", common.holdout(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(common.holdout(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
