@@ -2,18 +2,19 @@
 
 Every page's containers are scored by the text they hold outside links and outside parts that are never content
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; known by tag,
-role or words in class and id). A page votes for the paths of its best containers, written as tags with classes from
-the root on, digits generalised. Spark sums the votes by host and path; each host's winning path then picks the
+role or words in class and id). A page votes for the path of its best container, written as tags with classes from
+the root on, digits generalised; of a very long path the digest stands for it. Spark sums the votes by host and path; each host's winning path then picks the
 containers that its pages' texts are taken from. A page without such a container falls back on its own best one.
 
 Blocks are separated by one space, runs of white space inside a block become one space, character references are
 decoded. A null or empty page, or one without text, gives an empty text. A null url belongs to the host "". Repeated
-pages are handled each. Broken markup is read as far as it goes: missing end tags end with their parents. Other
+pages are handled each. Time and memory are linear in a page's length, however deep or broken its markup is. Broken markup is read as far as it goes: missing end tags end with their parents. Other
 columns are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import Counter
@@ -39,25 +40,68 @@ NOISE = re.compile(
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"[0-9]+")
+_CLOSERS = frozenset().union(*CLOSED_BY.values())
 SHARE = 0.8
+#: Around a container others are taken in that add at least this share of its text, with at most this share of links.
+ADDED, LINKED = 0.05, 0.3
+_PATH = 2000
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "parts", "text", "linked")
-
-    def __init__(self, tag: str, path: str, parent: "Node | None", noise: bool):
-        self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+    __slots__ = ("tag", "label", "digest", "parent", "block", "noise", "parts", "text", "linked")
+
+    def __init__(self, tag: str, label: str, parent: "Node | None", noise: bool):
+        self.tag, self.label, self.parent, self.noise = tag, label, parent, noise
+        #: stands for the labels from the root to here
+        self.digest = b"" if parent is None else parent.digest if not label else _digest(parent.digest, label)
+        #: the nearest node that isn't inline, itself included
+        self.block = parent.block if parent is not None and tag in INLINE else self
         self.parts: list = []  # texts and nodes in page order
         self.text = self.linked = 0
 
+    def path(self) -> str:
+        """The labels of the containers from the root to here, or their digest if they are long."""
+        labels, size, node = [], 0, self
+        while node is not None and size <= _PATH:
+            if node.label:
+                labels.append(node.label)
+                size += len(node.label) + 1
+            node = node.parent
+        return "".join(f">{x}" for x in reversed(labels)) if size <= _PATH else "#" + self.digest.hex()
+
+
+def _digest(parent: bytes, label: str) -> bytes:
+    return hashlib.blake2b(label.encode("utf-8", "replace"), digest_size=12, key=parent).digest()
+
+
+def path_digest(path: str) -> bytes:
+    if path.startswith("#"):
+        return bytes.fromhex(path[1:])
+    out = b""
+    for label in path.split(">")[1:]:
+        out = _digest(out, label)
+    return out
+
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all containers of a page outside noise, with the lengths of their texts."""
     root = Node("", "", None, False)
     at, here, containers = 0, root, []
-    end = len(page)
+    end, last = len(page), page.rfind(">")
+    depth: Counter = Counter()  # open elements by tag
+    closes: dict[str, int] = {}  # the last end tag of each raw tag
+
+    def leave(node: Node) -> Node:
+        """Closes all elements up to node; its parent is open then."""
+        nonlocal here
+        while here is not node:
+            depth[here.tag] -= 1
+            here = here.parent
+        depth[node.tag] -= 1
+        return node.parent
+
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if m is None:
             here.parts.append(page[at:])
             break
@@ -68,24 +112,22 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if depth[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = leave(node)
             continue
-        if here.tag in CLOSED_BY or here.tag in INLINE:
-            node = here  # an open paragraph or item ends where its successor begins, with the inline tags in it
-            while node.tag in INLINE and node.parent is not None:
-                node = node.parent
-            if tag in CLOSED_BY.get(node.tag, ()):
-                here = node.parent
+        if tag in _CLOSERS and here.block.parent is not None and tag in CLOSED_BY.get(here.block.tag, ()):
+            here = leave(here.block)  # an open paragraph or item ends where its successor begins, with the inline tags in it
         if tag in VOID:
             if tag not in INLINE:
                 here.parts.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag not in ("head",) else None
+            if tag not in closes:
+                closes[tag] = max((x.start() for x in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag != "head" and closes[tag] >= at else None
             if close:
                 at = close.end()
                 continue
@@ -94,12 +136,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3] or m[6] or "")}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         noise = here.noise or tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(names)))
-        path = here.path
-        if tag in CONTAINERS:
-            label = ".".join([tag, *sorted(set(attrs.get("class", "").split()))])
-            path = f"{here.path}>{_DIGITS.sub('#', label)}"
-        node = Node(tag, path, here, noise)
+        label = _DIGITS.sub("#", ".".join([tag, *sorted(set(attrs.get("class", "").split()))])).replace(">", "") if tag in CONTAINERS else ""
+        node = Node(tag, label, here, noise)
         here.parts.append(node)
+        depth[tag] += 1
         if tag in CONTAINERS and not noise:
             containers.append(node)
         here = node
@@ -128,7 +168,8 @@ def _measure(root: Node) -> None:
 
 def scored(root: Node, containers: list[Node]) -> list[tuple[float, Node]]:
     """Containers by score, best first: the innermost one with most of the page's text outside links, or an article or
-    main part around it; the score is its share of that text."""
+    main part around it, or else the containers around it as far as they add prose; the score is its share of that
+    text."""
     whole = root.text - root.linked
     if whole <= 0:
         return []
@@ -142,6 +183,13 @@ def scored(root: Node, containers: list[Node]) -> list[tuple[float, Node]]:
             best = node
             break
         node = node.parent
+    else:
+        node = best.parent
+        while node is not None and node.tag not in ("body", "html", ""):
+            more, links = node.text - best.text, node.linked - best.linked
+            if node.label and not node.noise and more >= ADDED * best.text and links <= LINKED * more:
+                best = node
+            node = node.parent
     return [((best.text - best.linked) / whole, best)]
 
 
@@ -173,9 +221,8 @@ def extract(page: str, path: str | None) -> str:
     root, containers = parse(page)
     chosen: list[Node] = []
     if path:
-        for c in containers:  # outermost ones on the path, in page order
-            if c.path == path and not any(_inside(c, x) for x in chosen[-1:]):
-                chosen.append(c)
+        digest = path_digest(path)
+        chosen = [c for c in containers if c.digest == digest]  # no container lies in another one on the same path
         if not any(c.text for c in chosen):
             chosen = []
     if not chosen:
@@ -183,14 +230,6 @@ def extract(page: str, path: str | None) -> str:
     return text_of(chosen)
 
 
-def _inside(node: Node, other: Node) -> bool:
-    while node is not None:
-        if node is other:
-            return True
-        node = node.parent
-    return False
-
-
 def _votes(batches):
     votes: Counter = Counter()
     schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64())])
@@ -203,7 +242,7 @@ def _votes(batches):
     for batch in common.small(batches):
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
             for share, c in scored(*parse(page or "")):
-                votes[host, c.path] += round(1000 * share)  # whole numbers: sums don't depend on their order
+                votes[host, c.path()] += round(1000 * share)  # whole numbers: sums don't depend on their order
         if len(votes) > 100_000:
             yield rows()
     yield rows()
@@ -221,7 +260,7 @@ def host_of(url) -> "F.Column":
 
 def paths(pages: DataFrame) -> DataFrame:
     """host, path: the winning path of each host; ties go to the first in order."""
-    summed = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    summed = common.map_arrow(pages.select("host", "html"), _votes, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return summed.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("w")).select("host", "w.path")
 
 
@@ -229,5 +268,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     won = common.materialize(paths(pages), "paths")
-    texts = pages.join(common.bounded(won, 200_000), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string")
+    texts = common.map_arrow(pages.join(common.bounded(won, 200_000), "host", "left").select("page_id", "url", "html", "path"), _extract, "page_id bigint, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
