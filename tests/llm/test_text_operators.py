@@ -66,6 +66,54 @@ def test_language_ignores_neighbours():
     assert np.array_equal(alone, both[first[1] :])
 
 
+def test_language_by_hand(spark):
+    """Plain naive Bayes over the same n-grams, letter by letter."""
+    rng = random.Random(8)
+    letters = {"aa": "abcde éè", "bb": "defgh ßü", "cc": "ghijk 日本"}
+    rows = [(n, "".join(rng.choices(letters[lang] + " .1", k=rng.randrange(1, 80))).upper() if n % 2 else "".join(rng.choices(letters[lang], k=rng.randrange(1, 80))), lang) for n, lang in enumerate(list(letters) * 30)]
+    df = spark.createDataFrame([(*r, r[2]) for r in rows] + [(1000, None, "aa", "x"), (1001, "abc", None, "x"), (None, "abcabc", "aa", "x")], "doc_id long, text string, lang string, score string")
+    grams = lambda t: langid.hashed_ngrams([t], 1 << 12)[0].tolist()
+    counts = {lang: Counter(g for _, t, x in rows if x == lang for g in grams(t)) for lang in letters}
+    counts["aa"].update(grams("abcabc"))
+    model = langid.fit(df, buckets=1 << 12)
+    assert model[0] == sorted(letters)
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    for i, t, _ in rows:
+        logs = {x: sum(math.log((c[g] + 0.1) / (c.total() + 0.1 * 4096)) for g in grams(t)) for x, c in counts.items()}
+        top = max(logs.values())
+        p = {x: math.exp(v - top) for x, v in logs.items()}
+        if any(c.isalpha() for c in t):
+            assert p[got[i]["lang_pred"]] == pytest.approx(1.0, abs=1e-3) and got[i]["score"] == pytest.approx(1 / sum(p.values()), abs=1e-3)
+        else:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+
+
+def test_language_of_long_texts(monkeypatch):
+    """A text taken apart into pieces has the n-grams of the whole."""
+    text = "Ab  cé 12 日.. x" * 40 + "...   " * 30 + "end"
+    whole, _ = langid.hashed_ngrams([text])
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(common, "CHUNK_CHARS", size)
+        assert np.array_equal(np.concatenate(list(langid._long(text, langid.BUCKETS))), whole)
+        got = list(langid.grams_of(["a b", text, "", text + "  ", "c"], langid.BUCKETS))
+        monkeypatch.undo()
+        for n, t in enumerate(["a b", text, "", text + "  ", "c"]):
+            own = np.concatenate([g[f[n - at] : f[n - at + 1]] for at, g, f in got if at <= n < at + len(f) - 1] or [np.zeros(0)])
+            assert np.array_equal(own, langid.hashed_ngrams([t])[0])
+
+
+def test_language_memory_of_a_long_text(spark):
+    import tracemalloc
+
+    text = "wörter und andere " * 400_000  # 7 MB
+    langid.folding.lower_letters()
+    tracemalloc.start()
+    n = sum(len(g) for _, g, _ in langid.grams_of([text], 1 << 12))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 3 * 6_000_000 and peak < 60 << 20
+
+
 # --- n-gram Jaccard join ---
 
 
@@ -121,6 +169,45 @@ def test_jaccard_odd(spark, odd, none):
     assert ngram_jaccard.components_of(none).count() == 0
 
 
+def kept(rows, k, percent):
+    """The rows (number, id, text) that stay when one row of each group does, by brute force."""
+    groups = brute([(n, t) for n, (_, t) in enumerate(rows)], k, percent)
+    best = {}
+    for n, (i, _) in enumerate(rows):
+        if groups[n][0]:
+            best.setdefault(groups[n][1], []).append((i is None, i or 0, n))
+    alike = lambda g: {m for m in best[g] if m[:2] == min(best[g])[:2]}  # noqa: E731  rows of the smallest id; any one of them
+    return [n for n in range(len(rows)) if not groups[n][0]], [{m[2] for m in alike(g)} for g in best]
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_one_row_of_a_group_stays(spark, repeat):
+    rows = families(9)[:80]
+    if repeat:
+        rows = rows + ODD + [(7, None), (7, rows[7][1]), (7, "a text of its own that nobody else has got"), (None, rows[3][1]), (None, "no id but a text of its own as well")]
+    df = frame(spark, rows)
+    got = ngram_jaccard.keep_first(df, 5, 80)
+    assert got.columns == df.columns
+    empty, groups = kept(rows, 5, 80)
+    have = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert have.total() == len(empty) + len(groups)
+    for n in empty:
+        assert have[rows[n]] > 0
+        have[rows[n]] -= 1
+    for g in groups:
+        one = next(rows[n] for n in g if have[rows[n]] > 0)
+        have[one] -= 1
+
+
+def test_members_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    rows = [(1, i, 1) for i in range(30)] + [(2, i, 1) for i in range(3)]
+    at = ngram_jaccard._dealt(spark.createDataFrame(rows, "signature long, doc_id long, n long"))
+    one, two = (at.select("signature", "low", "high", F.col("doc_id").alias("d" + x), F.col("block").alias("b" + x)) for x in "ab")
+    met = one.join(two, ["signature", "low", "high"]).where("(low = high or ba <> bb) and da < db").select("signature", "da", "db").collect()
+    assert len(met) == len(set(met)) == 30 * 29 // 2 + 3
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 @pytest.mark.parametrize("frequent", [0, 3, 99])
 def test_linked_sets_share_a_signature(percent, frequent):
@@ -167,6 +254,36 @@ def test_nearest(spark):
         vptree.search(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.select("vec_id", "embedding").schema), few)
 
 
+def nearest_by_hand(rows, k, every):
+    """(query, rank) -> (vec_id, score) by comparing all pairs; of rows with one id the smallest vector counts."""
+    own = {}
+    for i, v in rows:
+        own[i] = min(own.get(i, v), v)
+    x = {i: np.array(v, float) for i, v in own.items() if any(v)}
+    out = {}
+    for q in x:
+        if q % every == 0:
+            for n, (s, i) in enumerate(sorted((-float((x[q] * v).sum()), i) for i, v in x.items() if i != q)[:k]):
+                out[q, n + 1] = (i, -s)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bits", "whole", "large", "clusters"])
+def test_nearest_is_exact_on_ties(spark, kind):
+    rng = np.random.default_rng(11)
+    n, d = 900, 6
+    x = {
+        "bits": lambda: rng.integers(0, 2, (n, d)).astype(float),
+        "whole": lambda: rng.integers(-3, 4, (n, d)).astype(float),
+        "large": lambda: rng.integers(-3, 4, (n, d)) * 1e6 + rng.integers(0, 2, (n, 1)),
+        "clusters": lambda: rng.integers(-40, 40, (12, d))[rng.integers(0, 12, n)] + rng.integers(0, 2, (n, d)) * 0.5,
+    }[kind]()
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(7, x[9].tolist()), (20, x[40].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vptree.search(df, df.where("vec_id % 20 = 0"), 20, 1.0, shard_rows=100).collect()}
+    assert got == nearest_by_hand(rows, 20, 20)
+
+
 # --- decontamination ---
 
 
@@ -181,14 +298,14 @@ def leaks(text, items):
     for item, t in items:
         own, _ = windows(t)
         k = min(5, len(own))
-        if not own or len(words) < len(own):
+        if not own or len(words) < k:
             continue
         grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
         c, best = grams(own), 0.0
-        for at in range(len(words) - len(own) + 1):
+        for at in range(max(1, len(words) - len(own) + 1)):
             u = grams(words[at : at + len(own)])
             n = sum((u & c).values())
-            best = max(best, n / (2 * (len(own) - k + 1) - n))
+            best = max(best, n / (u.total() + c.total() - n))
         if best >= 0.8 - 1e-12:
             out[item] = round(best, 9)
     return out
@@ -221,12 +338,40 @@ def test_decontamination(spark, sf, docs, odd, none):
 def test_fingerprints_within_radius():
     rng = np.random.default_rng(4)
     items = [(i, " ".join(f"w{v}" for v in rng.integers(0, 50, 30))) for i in range(40)]
-    index = decontam.Index(items, 5, 0.8, 39)
-    prints = index.sizes[30][1]
-    for f in rng.integers(0, 65536, (30, 8)).astype(np.uint16):
-        f = np.where(rng.random(8) < 0.7, prints[3], f).astype(np.uint16)
-        want = [i for i, p in enumerate(prints) if sum(bin(a ^ b).count("1") for a, b in zip(p.tolist(), f.tolist())) <= 39]
-        assert index.within(30, f[None])[0].tolist() == want
+    index = decontam.Index(items, 5, 0.8, 79).sizes[30][1]
+    asked = np.stack([np.where(rng.random(32) < share, index.prints[i % 40], f) for i, (f, share) in enumerate(zip(rng.integers(0, 256, (400, 32)), rng.random(400)))]).astype(np.uint8)
+    for f, got in zip(asked, index.within(asked)):
+        assert got.tolist() == [i for i, p in enumerate(index.prints) if sum(bin(a ^ b).count("1") for a, b in zip(p.tolist(), f.tolist())) <= 79]
+
+
+@pytest.mark.parametrize("words,run", [(113, 60), (157, 90), (224, 150), (336, 250), (445, 350), (60, 0)])
+def test_repeated_words_are_found(words, run):
+    """Passages that are mostly a run of one word, near the threshold, and other edits of an item."""
+    rng = random.Random(words)
+    index_of = lambda t: decontam.Index([(1, t)], 5, 0.8, decontam.RADIUS)
+    for _ in range(20):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(words - run)] + ["again"] * run
+        item = " ".join(base)
+        edited = list(base)
+        for _ in range(rng.randrange(1, 1 + max(1, words // 60))):
+            edited[rng.randrange(words - run)] = "changed"
+        if run:
+            edited = edited[: words - run // 10] + [f"z{n}" for n in range(run // 10)]
+        want = leaks(" ".join(edited), [(1, item)])
+        h, first, _, _ = common.hash_words([" ".join(edited).encode()], decontam.WORD_GAPS)
+        got = {i: round(sim, 9) for i, _, _, sim in index_of(item).find(h)}
+        assert got == want
+
+
+def test_short_documents_are_whole_windows(spark):
+    item = " ".join(f"w{i}" for i in range(38))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.split(" ", 1)[1]), (2, item.rsplit(" ", 1)[0]), (3, " ".join(item.split()[:30])), (4, " ".join(item.split()[:37])), (5, "w1 w2 w3 w4 w5 w6")]
+    got = {r["doc_id"] for r in decontam.matches(frame(spark, rows), bench).collect()}
+    assert got == {i for i, t in rows if leaks(t, [(1, item)])} == {1, 2, 4}
+    both = frame(spark, [(None, item), (1, item), (1, "clean words"), (2, None)])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in decontam.keep_clean(both, bench).collect() if r["text"]) == [(1, "clean words")]
+    assert decontam.keep_clean(both, bench).columns == both.columns
 
 
 # --- page texts ---
@@ -254,6 +399,36 @@ def test_page_consensus(spark):
     assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_lead_beside_the_body(spark):
+    """On a host without article or main the lead that stands beside the body belongs to the text; menus don't."""
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    page = "<body><div class=links>" + "<a href=x>link text</a> " * 9 + "</div><div id=content><div class=lead>{0}</div><div class=body>{1}</div></div><div class=tail>ok</div></body>"
+    rows = [(i, "http://h.example/a", page.format(words(12, f"lead{i}x"), words(88, f"body{i}x"))) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: words(12, f"lead{i}x") + " " + words(88, f"body{i}x") for i in range(4)}
+
+
+@pytest.mark.parametrize("markup", ["<div>", "<div class=a>", "<a ", "<svg>", "<p><b>", "<td><b>", "<li>x", "</x><div>", "<!-- ", "<a '>\"", "<style>x</style", "<b><tr></tr>"])
+def test_deep_and_broken_markup_is_linear(markup):
+    import time
+    import tracemalloc
+
+    def cost(n):
+        page = "start " + markup * n + " text"
+        began = time.process_time()
+        html_extract.extract(page, None)
+        [c.path() for _, c in html_extract.scored(*html_extract.parse(page))]
+        return time.process_time() - began
+
+    cost(1000)
+    assert cost(100_000) < 30
+    tracemalloc.start()
+    html_extract.parse("<p>some text here" + markup * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+
 # --- token files ---
 
 
@@ -266,7 +441,7 @@ def test_token_files(spark, docs, none, tmp_path):
     manifest = token_files.write(frame(spark, rows), directory, WORDS, sequence=64, partitions=3).cache()
     got = sorted(tuple(r) for r in token_files.read(manifest, directory).collect())
     at, want = 0, []
-    for i, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+    for i, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "")):  # the one repeated id has equal texts
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -282,6 +457,36 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_every_letter_before_a_sign_is_encoded_as_by_the_library():
+    """All letters, marks, numbers and blanks of Unicode beside signs and letters, and random mixtures of them."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORDS), token_files.Encoder(WORDS, "uint16")
+    assert own.by_words
+    rng = random.Random(5)
+    every = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c))[0] in "LMNZ" and not 0x4E10 < c < 0x9F00 and not 0xAC10 < c < 0xD700 and not 0x3500 < c < 0x4D00 and not 0x20010 < c]
+    texts = []
+    for at in range(0, len(every), 8):
+        texts.append(" ".join(x for c in every[at : at + 8] for x in (f"/{c}$", f"a{c}.b", f"{c}*", f"e {c}, A{c}é!", f"{c}'s|", f"\t{c}\n{c}#")))
+    pool = every + list(" .,;:!?*%$&#'|<>/\n\t\u00a0") * 300 + list("abcéßİΣσςAZ09") * 300
+    texts += ["".join(rng.choices(pool, k=rng.randrange(1, 30))) for _ in range(20000)]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    got = own.encode(texts)
+    assert [x for x, a, b in zip(texts, want, got) if np.frombuffer(b, "uint16").tolist() != a.ids] == []
+
+
+def test_token_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    own, rng = token_files.Encoder(WORDS, "uint16"), random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
+    got = [own.encode([t])[0] for t in texts]
+    assert own.size < 40_000 and got == token_files.Encoder(WORDS, "uint16").encode(texts)
+    own.forget()
+    assert own.encode(texts) == got
+
+
 # --- personal data ---
 
 
@@ -328,6 +533,53 @@ def test_personal_data(spark, docs, odd, none):
     assert pii.detect(odd, pii.fit(none)).count() == len(ODD)
 
 
+KEPT = ["Mrs. Ortega", "Dr Weiss", "Klaus Richter", "jane.roe (at) mail (dot) example (dot) org", "j_r [at] web.de", "(415) 555-0123", "415-555-0123"]
+DROPPED = ["James Street was long", "order 415-555-0123 shipped", "serial 415 555 0123", "Mark Avenue", "version (115) 155-0123"]
+
+
+def test_loose_spans(spark):
+    """Loose candidates in the fit: contact details stay, look-alikes go, and nothing else is touched."""
+    rows = [(n, f"we met {t} there") for n, t in enumerate(KEPT * 5)] + [(1000 + n, f"the {t} there") for n, t in enumerate(DROPPED * 5)]
+    rows += [(2000, "a.b@c.de " * 900 + "Klaus Richter " * 900), (2001, "+1 (415) 555-0123 and (415) 555-0123")]
+    df = frame(spark, rows)
+    model = pii.fit(df)
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(df, model).collect()}
+    text = dict(rows)
+    for n, t in enumerate(KEPT * 5):
+        assert [text[n][s["start"] : s["end"]] for s in got[n]] == [t], t
+    assert [text[i] for i in got if 1000 <= i < 2000 and got[i]] == []
+    assert len(got[2000]) == 1800 and [(s["start"], s["end"]) for s in got[2001]] == [(0, 17), (22, 36)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df, model).collect()}
+    assert clean[0] == "we met [NAME] there" and clean[1000] == text[1000]
+    unseen = pii.fit(df.where("false"))
+    assert {r["doc_id"]: len(r["spans"]) for r in pii.detect(df, unseen).collect()} == {i: len(s) for i, s in got.items()}
+
+
+def test_reliabilities_by_hand(spark):
+    """The label model over counts of patterns against one over single candidates."""
+    rng = np.random.default_rng(3)
+    v = rng.choice([-1, 0, 1], (300, 5), p=[0.2, 0.3, 0.5])
+    v[:120] = [1, 1, 0, 1, 0]
+    counts = Counter(tuple(x) for x in v.tolist())
+    kind = pii._learn_kind([{**dict(zip(pii.VOTERS, k)), "size": 1, "count": c} for k, c in counts.items()], 30)
+    prior, right = 1 / 3, [0.8] * 4 + [0.9]
+    for _ in range(30):
+        p = []
+        for x in v:
+            yes, no = prior, 1 - prior
+            for j, vote in enumerate(x):
+                if vote:
+                    yes *= right[j] if vote > 0 else 1 - right[j]
+                    no *= right[j] if vote < 0 else 1 - right[j]
+            p.append(yes / (yes + no))
+        prior = min(0.45, max(0.25, (sum(p) + 1) / (len(v) + 3)))
+        right = [(sum(a if x[j] > 0 else 1 - a for a, x in zip(p, v) if x[j]) + 8) / (sum(1 for x in v if x[j]) + 10) for j in range(5)]
+        right = [min(0.9, max(0.8, r)) for r in right[:4]] + [min(0.95, max(0.9, right[4]))]
+    assert kind.prior == pytest.approx(prior) and [kind.right[k] for k in pii.VOTERS] == pytest.approx(right)
+    z = np.array([kind.weights["bias"] + kind.weights["size", 1] + sum(kind.weights.get((k, int(x)), 0.0) for k, x in zip(pii.VOTERS, row)) for row in v])
+    assert ((z > 0) == (kind.posterior(v.astype(float)) > 0.5)).mean() > 0.97
+
+
 # --- toxicity ---
 
 
@@ -346,7 +598,47 @@ def test_toxicity(spark, odd, none):
     assert toxicity.keep_below(odd, lexicon, 0.3).columns == odd.columns
     unlabelled = toxicity.classify(none, labels)
     assert unlabelled.count() == 0
-    assert {r["predicted"] for r in toxicity.classify(odd, labels.where("false")).collect()} == {0}
+    assert {(r["predicted"], r["score"]) for r in toxicity.classify(odd, labels.where("false")).collect()} == {(0, 0.0)}
+
+
+def test_folding():
+    fold = lambda t: toxicity.fold([t, "x"])[0].split()
+    for t in ("ïdïöt", "id\u200biot", "i\u0301diot", "ІDІОТ", "1d10t", "id!ot", "ＩＤＩＯＴ", "i\u00addiot"):
+        assert fold(t) == ["idiot"], t
+    assert fold("straße año") == ["straße", "ano"] and toxicity.readings(" idiiiot ") == [" idiot ", " idiiot "]
+    lexicon = toxicity.Lexicon({" idiot": 3.0, " ass ": 3.0}, frozenset(), (-3.0, 2.0, 2.0, 1.0))
+    hit = lambda t: lexicon.measure(toxicity.fold([t])[0])[0] > 0
+    assert hit("idiiiiot") and hit("assss") and not hit("as a fine day") and not hit("assist")
+    assert toxicity.Lexicon({}).score(" any ") == 0.0
+
+
+def test_toxicity_by_hand(spark):
+    """Counts, lexicon hits and scores against plain loops without an automaton."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.labelled(docs, labels).collect()
+    lexicon = toxicity.fit(toxicity.labelled(docs, labels))
+    counts = (Counter(), Counter())
+    folded = {r["doc_id"]: toxicity.fold([r["text"]])[0] for r in rows}
+    for r in rows:
+        words = {w for t in toxicity.readings(folded[r["doc_id"]]) for w in t.split()}
+        counts[r["toxic"]].update({" " + w + " " for w in words} | {" " + w[:n] for w in words for n in range(4, 9) if len(w) >= n})
+    sizes = Counter(r["toxic"] for r in rows)
+    odds = lambda k: math.log((counts[1][k] + 0.1) / (sizes[1] + 0.2)) - math.log((counts[0][k] + 0.1) / (sizes[0] + 0.2))
+    assert lexicon.weights and all(w == pytest.approx(odds(k)) and counts[1][k] >= 5 and w >= 1.5 for k, w in lexicon.weights.items())
+
+    def by_hand(text):
+        best = 0.0
+        for t in toxicity.readings(text):
+            words, total = t.split(), 0.0
+            for i, w in enumerate(words):
+                own = max([x for k, x in lexicon.weights.items() if (w == k.strip() if k.endswith(" ") else w.startswith(k.strip()))], default=0.0)
+                around = {(words[i - 1] if i else "") + " " + w, w + " " + (words[i + 1] if i + 1 < len(words) else "")}
+                total += own if not around & lexicon.exceptions else 0.0
+            best = max(best, total and math.log1p(total))
+        return best
+
+    for t in list(folded.values())[:150] + [toxicity.fold(["you iiidiot id1ot an idiot"])[0]]:
+        assert lexicon.measure(t)[0] == pytest.approx(by_hand(t))
 
 
 def test_exceptions():
@@ -358,18 +650,49 @@ def test_exceptions():
 # --- SentencePiece ---
 
 
+def cut_slowly(model, text, key, dropout, seed, drawn=None):
+    """Ids of a text by one agenda a unit; drawn collects the draws of the candidate merges."""
+    limit, symbols = min(2**64 - 1, int(dropout * 2.0**64)), [int(model.chars[ord(c)]) for c in text]
+    inner = {(a, b) for p in model.symbols for a, b in zip(p, p[1:])}
+    units = []
+    for i, c in enumerate(text):
+        pair = tuple("\u2581" if x == " " else x for x in text[i - 1 : i + 1])
+        if i and pair in inner and not {text[i - 1], c} & set("\u2581\0\n"):
+            units[-1].append(i)
+        else:
+            units.append([i])
+    out = []
+    for number, own in enumerate(units):
+        unit = int(model.unit_keys(np.array([key]), np.array([number]), seed)[0])
+        skips = model.skips
+        if drawn is not None:
+            model.skips = lambda *x: drawn.append(r := skips(*x)) or r
+        got = model.agenda([symbols[i] for i in own], unit, limit)
+        model.__dict__.pop("skips", None)
+        for i, s in zip(own, got):
+            if s >= 0:
+                out += [s] if s < model.size else [int(model.bytes[b]) for b in text[i].encode()]
+    return out
+
+
 def test_pieces(spark, docs, odd, none):
     rows = [tuple(r) for r in docs.select("doc_id", "text").limit(40).collect()]
     model = spm.Model.load(PIECES)
-    for _, t in rows[:15]:
-        for segment in t.split("\n")[:3]:
-            for v in (0, 1):
-                if segment:
-                    assert list(model.variant(0.3, 1, v).encode(segment)) == model.agenda(segment, 0.3, 1, v)
+    drawn = []
+    for i, t in [(i, t[:1500]) for i, t in rows[:15]] + [(i or 0, (t or "")[:1500]) for i, t in ODD] + [(5, "aaaa " * 90 + "b" * 200)]:
+        for dropout, seed in ((0.0, 1), (0.1, 1), (0.5, 7), (1.0, 1)):
+            own = drawn if dropout == 0.1 else None
+            assert model.encode([t, t], [i, i], dropout, seed)[1].tolist() == cut_slowly(model, t, i, dropout, seed, own)
+    assert 0.09 < sum(map(bool, drawn)) / len(drawn) < 0.11  # candidates are skipped at the rate asked for
     import sentencepiece
 
     plain = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    assert all(plain.encode(t) == list(model.variant(0.0, 1, 0).encode(" " + t)) for t in ("Hello world", "ab  cd é"))
+    assert all(plain.encode(t) == model.encode([" " + t], [1], 0.0, 1)[0].tolist() for t in ("Hello world", "ab  cd é", rows[0][1]))
+    line = model.encode([" information" * 4000], [1], 0.1, 1)[0]
+    ends = np.flatnonzero([model.out[i].startswith(b" ") for i in line])
+    assert len({tuple(x.tolist()) for x in np.split(line, ends)}) > 50  # the same word is cut in many ways within a line
+    words = model.encode([" government"] * 3000, list(range(3000)), 0.1, 1)
+    assert len({tuple(x.tolist()) for x in words}) > 50 and all(model.decode(x) == " government" for x in words)
     df = frame(spark, rows + ODD)
     coded = spm.encode(df, PIECES).cache()
     assert set(coded.columns) == set(df.columns)
@@ -430,6 +753,10 @@ def test_search_query_matches_sql(spark, sf):
         assert got == sorted(con.sql(queries.ORACLE_SQL[name]).project(", ".join(keys)).fetchall())
 
 
+def bag(rows):
+    return Counter((r["doc_id"], r["text"]) for r in rows)
+
+
 def test_pipeline(spark, sf, none):
     import corpus_pipeline as pipeline
 
@@ -450,7 +777,30 @@ def test_pipeline(spark, sf, none):
         assert df.columns == docs.columns
     out = pipeline.encode_tokens(spark, private, sf)
     assert {r["doc_id"]: r["text"] for r in spm.decode(out, PIECES).collect()} == {r["doc_id"]: r["text"] for r in private.collect()}
-    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ODD], docs.schema)
-    for _, stage in pipeline.STAGES:
-        assert stage(spark, odd, sf).count() >= len({i for i, _ in ODD}) - 1
+
+
+def test_pipeline_on_odd_rows(spark, sf):
+    """Each stage keeps exactly the rows that brute force keeps, whatever ids, texts and columns they have."""
+    import corpus_pipeline as pipeline
+
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    leak = items[0][1]
+    rows = ODD + [(906, None), (7, None), (7, "the real text of this id stays"), (7, leak), (None, leak), (None, None), (9, "mail me: a.b@c.de")]
+    odd = frame(spark, rows)
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, odd, sf)
         assert stage(spark, odd.where("false"), sf).count() == 0
+        assert name == "token_ids" or got.columns == odd.columns
+        if name in ("toxicity", "personal_data"):
+            assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, _ in rows)
+        if name == "personal_data":
+            assert (9, "mail me: [EMAIL]") in bag(got.collect()) and (906, None) in bag(got.collect())
+        if name == "near_duplicates":
+            want = Counter(rows)
+            want[906, "same text twice here"] -= 1
+            want[None, leak] -= 1  # the row with an id stays of the two
+            assert bag(got.collect()) == +want
+        if name == "decontamination":
+            assert bag(got.collect()) == Counter(r for r in rows if r[1] != leak)
+        if name == "token_ids":
+            assert Counter(r["text"] for r in spm.decode(got, PIECES).collect()) == Counter(t or "" for _, t in rows)
