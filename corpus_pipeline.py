@@ -7,7 +7,7 @@ stage's rows into the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import common, decontam, ngram_jaccard, pii, spm, toxicity
@@ -26,27 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by similar shingle sets, and all documents without words;
-    of rows that repeat an id the one with the first text stays. Rows with a null id stay."""
-    found = ngram_jaccard.components_of(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    gone = common.materialize(found.where("component_id <> doc_id").select("doc_id"), "gone")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        docs = docs.withColumn("__nth", nth).where("doc_id is null or __nth = 1").drop("__nth")
-    return docs.join(common.bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group linked by similar shingle sets, that with the smallest id, and all rows without words. Rows
+    that repeat an id or have none are compared like all others."""
+    return ngram_jaccard.keep_first(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), SHINGLE_WORDS, SIMILARITY_PERCENT / 100)
-    gone = common.materialize(found.select("doc_id").distinct(), "leaks")
-    return docs.join(common.bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows without a passage of the benchmark; each is judged by its text alone."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), SHINGLE_WORDS, SIMILARITY_PERCENT / 100)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars counts the new text."""
+    """All documents, personal data replaced by its kind; n_chars counts the new text and is null for a null text."""
     out = pii.redact(docs, pii.fit(docs))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
