@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import json
+import math
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import mercator
@@ -16,6 +18,8 @@ from .raster import simplify
 EXTENT = 4096
 #: Tile units that geometry is clipped to on both axes.
 CLIP_LOW, CLIP_HIGH = -4096, 8191
+#: Degrees that no position reaches.
+BEYOND = 1e9
 
 
 def tile_features(features: DataFrame, minzoom: int, maxzoom: int, margin: float = mercator.TILE_MARGIN) -> DataFrame:
@@ -28,6 +32,22 @@ def tile_features(features: DataFrame, minzoom: int, maxzoom: int, margin: float
     return zoomed.withColumn("x", F.explode(span(x0, x1))).withColumn("y", F.explode(span(y0, y1)))
 
 
+def margin_box(z: int, x: int, y: int, margin: float = mercator.TILE_MARGIN) -> tuple[float, float, float, float]:
+    """Degrees west, south, east, north of a tile grown by the margin, a little more for rounding; the edge of the world
+    takes all that lies beyond it."""
+    n = 1 << z
+    grown = margin + 1e-6
+
+    def lat(row: float) -> float:
+        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * row / n))))
+
+    west = -BEYOND if x - grown <= 0 else (x - grown) / n * 360 - 180
+    east = BEYOND if x + 1 + grown >= n else (x + 1 + grown) / n * 360 - 180
+    north = BEYOND if y - grown <= 0 else lat(y - grown)
+    south = -BEYOND if y + 1 + grown >= n else lat(y + 1 + grown)
+    return west, south, east, north
+
+
 def tile_counts(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
@@ -42,8 +62,6 @@ def flip_lookup(requests: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def project(points, z: int, x: int, y: int):
-    import math
-
     n = 1 << z
     out = []
     for lon, lat in points:
@@ -190,7 +208,7 @@ def _value(v) -> bytes:
 
 
 def encode_layer(name: str, features: list[tuple]) -> bytes:
-    """A tile with one layer of features (id or None, properties, (type, parts))."""
+    """A tile with one layer of features (id or None, properties, (type, parts or their encoded commands))."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     body = b""
@@ -200,29 +218,82 @@ def encode_layer(name: str, features: list[tuple]) -> bytes:
             if v is not None:
                 tags += _varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v).__name__, v), len(values)))
         own = _varint(1 << 3) + _varint(fid) if isinstance(fid, int) and fid >= 0 else b""
-        body += _field(2, own + (_field(2, tags) if tags else b"") + _varint(3 << 3) + _varint(kind) + _field(4, _commands(kind, parts)))
+        body += _field(2, own + (_field(2, tags) if tags else b"") + _varint(3 << 3) + _varint(kind) + _field(4, parts if isinstance(parts, bytes) else _commands(kind, parts)))
     layer = _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values)
     return _field(3, layer + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
 
 
-def build(keyed: DataFrame, layer: str, props: list[str], tolerance: float | None = 1.0) -> DataFrame:
-    """(z, x, y, n, tile): gzipped bytes of each tile with content, from tile_features of a frame with idx, fid, geom
-    (type, coords) and property columns."""
+def _plain(v):
+    return v if v is None or isinstance(v, (bool, int, float, str)) else json.dumps(v)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def build(keyed: DataFrame, layer: str, props: list[str] | None = None, tolerance: float | None = 1.0) -> DataFrame:
+    """(z, x, y, n, tile): gzipped bytes of each tile with content, from tile_features of a frame with idx, fid, geom
+    (type, coords) and property columns, or with a map column props of JSON texts if none are named.
+
+    Geometries are clipped, simplified and encoded where the features are; only what is left of them in a tile goes to
+    the task that joins its features, so that at low zooms the small ones don't travel."""
+    cols = props if props is not None else ["props"]
+
+    def encode(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                coords = [[[(p["x"], p["y"]) for p in line] for line in part] for part in r["geom"]["coords"]]
+                got = cut(r["geom"]["type"], coords, int(r["z"]), int(r["x"]), int(r["y"]), tolerance)
+                if got:
+                    if props is None:
+                        values = {k: _plain(json.loads(v)) for k, v in dict(r["props"] or {}).items() if v is not None}
+                    else:
+                        values = {p: None if pd.isna(r[p]) else r[p].item() if hasattr(r[p], "item") else r[p] for p in props}
+                    out.append((r["z"], r["x"], r["y"], r["idx"], r["fid"], got[0], _commands(*got), json.dumps(values)))
+            yield pd.DataFrame(out, columns=["z", "x", "y", "idx", "fid", "kind", "commands", "values"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         z, x, y = (int(pdf[c].iloc[0]) for c in ("z", "x", "y"))
-        rows = []
-        for r in pdf.sort_values("idx").to_dict("records"):
-            coords = [[[(p["x"], p["y"]) for p in line] for line in part] for part in r["geom"]["coords"]]
-            got = cut(r["geom"]["type"], coords, z, x, y, tolerance)
-            if got:
-                values = {p: (None if pd.isna(r[p]) else r[p]) for p in props}
-                rows.append((int(r["fid"]) if str(r["fid"]).isdigit() else None, values, got))
-        if not rows:
-            return pd.DataFrame({"z": [], "x": [], "y": [], "n": [], "tile": []})
+        rows = [(int(r.fid) if str(r.fid).isdigit() else None, json.loads(r.values_), (int(r.kind), bytes(r.commands))) for r in pdf.rename(columns={"values": "values_"}).sort_values("idx").itertuples()]
         return pd.DataFrame({"z": [z], "x": [x], "y": [y], "n": [len(rows)], "tile": [gzip.compress(encode_layer(layer, rows), 6, mtime=0)]})
 
-    return keyed.select("z", "x", "y", "idx", "fid", "geom", *props).groupBy("z", "x", "y").applyInPandas(run, "z int, x bigint, y bigint, n int, tile binary")
+    rows = keyed.select("z", "x", "y", "idx", "fid", "geom", *cols)
+    cut_ = rows.mapInPandas(encode, "z int, x bigint, y bigint, idx bigint, fid string, kind int, commands binary, values string")
+    return cut_.groupBy("z", "x", "y").applyInPandas(gather, "z int, x bigint, y bigint, n int, tile binary")
+
+
+def write_store(tiles: DataFrame, path: str, layer: str) -> None:
+    """Adds tiles (z, x, y, tile) to a stored pyramid: Parquet by layer and zoom; a zoom that it has already is replaced."""
+    rows = tiles.select(F.lit(layer).alias("layer"), "z", "x", "y", "tile").repartition("z", F.shiftright("x", 6), F.shiftright("y", 6)).sortWithinPartitions("z", "x", "y")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """The tiles of a layer in a store; zoom, x and y of a lookup reach the scan."""
+    return spark.read.parquet(path).where(F.col("layer") == layer).select("z", "x", "y", "tile")
+
+
+EXTENSIONS = {"mvt": ("pbf", "mvt"), "png": ("png",), "jpg": ("jpg", "jpeg"), "webp": ("webp",)}
+
+
+def matches_extension(extension: str, kind: str) -> bool:
+    """Whether a file extension fits a tile format."""
+    return extension.lower() in EXTENSIONS.get(kind, ())
+
+
+def delivered(data: bytes, content_type: str, accept: str = "", known: str | None = None) -> tuple[int, dict, bytes]:
+    """(status, headers, body) of a tile: 304 where the client knows its tag; zipped as stored if the client takes gzip,
+    else unzipped. A body that can't be unzipped is a 500."""
+    tag = etag(data)
+    if known == tag:
+        return 304, {}, b""
+    headers = {"Content-Type": content_type, "ETag": tag, "Cache-Control": "public, max-age=3600"}
+    if data[:2] == b"\x1f\x8b":
+        if "gzip" in accept:
+            headers["Content-Encoding"] = "gzip"
+        else:
+            try:
+                data = gzip.decompress(data)
+            except (OSError, EOFError):
+                return 500, {}, b"corrupt gzip tile"
+    return 200, headers | {"Content-Length": str(len(data))}, data
 
 
 def etag(data: bytes) -> str:
@@ -230,7 +301,7 @@ def etag(data: bytes) -> str:
     h = 0xCBF29CE484222325
     for b in data:
         h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f'"{h:016x}"'
+    return f'"{h:x}"'
 
 
 # --- an independent reader, for tests and lookups ------------------------------------------------------------------

@@ -105,7 +105,7 @@ def _sssp(seeds: str, edges: str = "e", cutoff: str = "") -> str:
         LEFT JOIN recurring.best AS old ON old.req = s.req AND old.node = s.node WHERE (old.cost IS NULL OR s.cost < old.cost) {cutoff})"""
 
 
-_REACH = _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 17 % 200 AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier WHERE s_suppkey < 10", cutoff=f"AND s.cost <= {max(CUTOFFS)}")
+_REACH = _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 7817 % (SELECT count(*) FROM part) AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier", cutoff=f"AND s.cost <= {max(CUTOFFS)}")
 _CUTS = f"(SELECT CAST(unnest([{', '.join(map(str, CUTOFFS))}]) AS INTEGER) AS cutoff)"
 _FRONTIER = f"""{_REACH}, steps AS (SELECT a.req, cutoff, e.src, e.dst, a.cost + e.w <= cutoff AND coalesce(b.cost <= cutoff, false) AS "full", CAST(cutoff - a.cost AS DOUBLE) / e.w AS part
         FROM best a JOIN e ON e.src = a.node LEFT JOIN best b ON b.req = a.req AND b.node = e.dst CROSS JOIN {_CUTS} WHERE a.cost <= cutoff),
@@ -157,9 +157,11 @@ SQL: dict[str, str] = {
     "tile_flip_lookup": "SELECT 9 AS z, a.x, a.y, s.p_name AS tile_data FROM (SELECT DISTINCT c_custkey % 512 AS x, CASE WHEN c_custkey % 2 = 0 THEN 511 - c_custkey % 512 * 31 % 512 ELSE c_custkey * 17 % 512 END AS y FROM customer) a JOIN part s ON s.p_partkey % 512 = a.x AND s.p_partkey * 31 % 512 = 511 - a.y",
     "tile_features": _with("l", _KEYED) + "SELECT z, x, y, feature AS fid FROM keyed",
     "tile_counts": _with("l", _KEYED) + "SELECT z, x, y, count(*) AS n FROM keyed GROUP BY z, x, y",
+    "tile_build": _with("p", "pl AS (SELECT fid AS feature, lon AS xmin, lat AS ymin, lon AS xmax, lat AS ymax FROM p), " + _KEYED.replace("FROM l,", "FROM pl,").replace("generate_series(8, 15)", "generate_series(6, 10)"))
+    + "SELECT z, x, y, CAST(count(*) AS INTEGER) AS n FROM keyed GROUP BY z, x, y",
     "haversine": _with("p qp") + f"SELECT p.fid, qp.fid AS sid, round({hav('p.lon', 'p.lat', 'qp.lon', 'qp.lat')}, 1) AS dist_m FROM p JOIN qp ON p.fid % 10 = qp.fid",
     "meters_per_degree": _with("p") + "SELECT fid, round(greatest(1, 111320::DOUBLE * cos((lat * 2 - 10) * pi() / 180)), 3) AS lon_m, 111132::DOUBLE AS lat_m FROM p",
-    "project_on_segment": _with("s t", f"b AS (SELECT *, {_projected('lon', 'lat')} AS f FROM s JOIN t ON s.sid % 50 = t.user_id WHERE t.seq = 0)") + "SELECT sid, user_id, round(ax + (bx - ax) * f, 6) AS x, round(ay + (by_ - ay) * f, 6) AS y, round(CAST(f AS DOUBLE), 6) AS fraction FROM b",
+    "project_on_segment": _with("s t", f"b AS (SELECT *, {_projected('lon', 'lat')} AS f FROM s JOIN t ON s.sid % 50 = t.user_id)") + "SELECT sid, user_id, seq, round(ax + (bx - ax) * f, 6) AS x, round(ay + (by_ - ay) * f, 6) AS y, round(CAST(f AS DOUBLE), 6) AS fraction FROM b",
     "bbox_center": _with("l") + "SELECT feature AS fid, round((xmin + xmax) / 2, 6) AS lon, round((ymin + ymax) / 2, 6) AS lat FROM l",
     "bbox_parse": """WITH r AS (SELECT c_custkey AS k, CAST(c_custkey % 360 - 180 AS DOUBLE) AS w, CAST(c_custkey % 180 - 90 AS DOUBLE) AS s, CAST(c_custkey * 7 % 360 - 180 AS DOUBLE) AS e, CAST(c_custkey * 11 % 180 - 90 AS DOUBLE) AS n FROM customer),
         v AS (SELECT *, k % 9 NOT IN (0, 1, 3) AND w <= e AND s <= n AS ok FROM r)
@@ -181,13 +183,13 @@ SQL: dict[str, str] = {
             CASE WHEN k % 4 = 3 AND raw IS NOT NULL THEN 'Number' WHEN k % 4 = 1 THEN 'Boolean' ELSE 'String' END AS kind FROM r""",
     "nearest_node": _with("t n", f"near AS (SELECT t.user_id * 1000000 + t.seq AS qid, node, round({hav('t.lon', 't.lat', 'n.mx / 1e6::DOUBLE', 'n.my / 1e6::DOUBLE')}, 3) AS d FROM t JOIN n ON n.mx BETWEEN t.mx - 1000 AND t.mx + 1000 AND n.my BETWEEN t.my - 1000 AND t.my + 1000)")
     + "SELECT qid, node, round(d, 1) AS dist_m FROM near WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, node) = 1",
-    "nearby_edges": _with("t s", f"c AS (SELECT t.user_id * 1000000 + t.seq AS qid, t.lon, t.lat, s.*, {_projected('t.lon', 't.lat')} AS f FROM t JOIN s ON t.mx BETWEEN mx1 - 1000 AND mx2 + 1000 AND t.my BETWEEN my1 - 1000 AND my2 + 1000 WHERE t.seq % 4 = 0), near AS (SELECT qid, sid, round({hav('lon', 'lat', '(ax + (bx - ax) * f)', '(ay + (by_ - ay) * f)')}, 3) AS d FROM c)")
+    "nearby_edges": _with("t s", f"c AS (SELECT t.user_id * 1000000 + t.seq AS qid, t.lon, t.lat, s.*, {_projected('t.lon', 't.lat')} AS f FROM t JOIN s ON t.mx BETWEEN mx1 - 1000 AND mx2 + 1000 AND t.my BETWEEN my1 - 1000 AND my2 + 1000), near AS (SELECT qid, sid, round({hav('lon', 'lat', '(ax + (bx - ax) * f)', '(ay + (by_ - ay) * f)')}, 3) AS d FROM c)")
     + "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, sid) AS INTEGER) AS rank, sid, round(d, 1) AS dist_m FROM near WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, sid) <= 5",
     "sssp": _with("e", _sssp("SELECT 0::BIGINT AS req, 0::BIGINT AS node, 0::BIGINT AS cost"), True) + "SELECT node, cost FROM best",
-    "sssp_relax": _with("e", "e2 AS (SELECT * FROM e WHERE src % 50 < 5 AND dst % 50 < 5 AND src < 250 AND dst < 250), " + _sssp("SELECT 0::BIGINT AS req, 0::BIGINT AS node, 0::BIGINT AS cost", "e2"), True) + "SELECT node, cost FROM best",
+    "sssp_relax": _with("e", _sssp("SELECT 0::BIGINT AS req, 0::BIGINT AS node, 0::BIGINT AS cost"), True) + "SELECT node, cost FROM best",
     "sssp_seeded": _with("e", _sssp("SELECT 0::BIGINT AS req, CAST(node AS BIGINT) AS node, CAST(cost AS BIGINT) AS cost FROM (VALUES (0, 500), (120, 0), (199, 250)) AS v(node, cost)"), True) + "SELECT node, cost FROM best",
-    "shortest_path": _with("e", _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 13 % 200 AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier WHERE s_suppkey < 20"), True)
-    + "SELECT req, cost, CAST(req * 13 % 200 AS BIGINT) AS src, node AS dst FROM best WHERE node = req * 37 % 200",
+    "shortest_path": _with("e", _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 7813 % (SELECT count(*) FROM part) AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier"), True)
+    + "SELECT req, cost, CAST(req * 7813 % (SELECT count(*) FROM part) AS BIGINT) AS src, node AS dst FROM best WHERE node = req * 7837 % (SELECT count(*) FROM part)",
     "isochrone_reach": _with("e", _REACH, True) + f"SELECT req, cutoff, count(*) AS reached FROM best CROSS JOIN {_CUTS} WHERE cost <= cutoff GROUP BY req, cutoff",
     "isochrone_frontier": _with("e", _FRONTIER, True) + 'SELECT req, cutoff, src, dst, "full", round(fraction, 6) AS fraction FROM frontier',
     "raster_cells": _with("n e", _CELLS, True) + "SELECT req, cutoff, gx, gy FROM cells",
@@ -196,7 +198,7 @@ SQL: dict[str, str] = {
         cases(code, x1, y1, x2, y2) AS (VALUES (1, 0, 1, 1, 2), (14, 0, 1, 1, 2), (2, 1, 2, 2, 1), (13, 1, 2, 2, 1), (3, 0, 1, 2, 1), (12, 0, 1, 2, 1), (4, 2, 1, 1, 0), (11, 2, 1, 1, 0), (5, 0, 1, 1, 2), (5, 2, 1, 1, 0), (6, 1, 2, 1, 0), (9, 1, 2, 1, 0), (7, 1, 0, 0, 1), (8, 1, 0, 0, 1), (10, 1, 2, 2, 1), (10, 1, 0, 0, 1))""", True)
     + "SELECT req, cutoff, CAST(x * 2 + x1 AS INTEGER) AS vx1, CAST(y * 2 + y1 AS INTEGER) AS vy1, CAST(x * 2 + x2 AS INTEGER) AS vx2, CAST(y * 2 + y2 AS INTEGER) AS vy2 FROM blocks JOIN cases USING (code)",
     "track_steps": _with("t", f"b AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq))") + f"SELECT user_id AS trace, seq, round({hav('plon', 'plat', 'lon', 'lat')}, 1) AS step_m FROM b",
-    "viterbi": _with("t n", """em AS (SELECT user_id AS trace, t.seq AS step, node AS state, -(abs(t.mx - n.mx) + abs(t.my - n.my)) AS e, n.mx AS nx, n.my AS ny, t.mx, t.my FROM t JOIN n ON abs(t.mx - n.mx) <= 1500 AND abs(t.my - n.my) <= 1500 WHERE t.seq < 8),
+    "viterbi": _with("t n", """em AS (SELECT user_id AS trace, t.seq AS step, node AS state, -(abs(t.mx - n.mx) + abs(t.my - n.my)) AS e, n.mx AS nx, n.my AS ny, t.mx, t.my FROM t JOIN n ON abs(t.mx - n.mx) <= 1500 AND abs(t.my - n.my) <= 1500),
         best(trace, step, state, score, nx, ny, mx, my) AS (SELECT trace, step, state, e, nx, ny, mx, my FROM em WHERE step = 0
             UNION ALL SELECT b.trace, b.step, b.state, max(a.score - abs(abs(b.nx - a.nx) + abs(b.ny - a.ny) - abs(b.mx - a.mx) - abs(b.my - a.my)) + b.e), any_value(b.nx), any_value(b.ny), any_value(b.mx), any_value(b.my) FROM best a JOIN em b ON b.trace = a.trace AND b.step = a.step + 1 GROUP BY b.trace, b.step, b.state),
         ends AS (SELECT trace, max(step) AS step FROM em GROUP BY trace)""", True)

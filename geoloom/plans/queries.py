@@ -182,7 +182,7 @@ def tile_build(spark, sf):
     p = views.points(spark, sf)
     geom = F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("coords"))
     rows = p.select(F.col("fid").alias("idx"), F.col("fid").cast("string").alias("fid"), "name", geom.alias("geom"), F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
-    return tiles.build(tiles.tile_features(rows, 6, 10), "points", ["name"]).select("z", "x", "y", "n", F.length("tile").alias("bytes"))
+    return tiles.build(tiles.tile_features(rows, 6, 10), "points", ["name"]).select("z", "x", "y", "n")
 
 
 @query
@@ -201,10 +201,10 @@ def meters_per_degree(spark, sf):
 @query
 def project_on_segment(spark, sf):
     s = views.segments(spark, sf)
-    t = views.tracks(spark, sf).where("seq = 0")
-    both = s.join(F.broadcast(t), F.col("sid") % 50 == F.col("user_id"))
+    t = views.tracks(spark, sf)
+    both = s.withColumn("user_id", F.col("sid") % 50).join(t, "user_id")
     x, y, share = measure.project_on_segment(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return both.select("sid", "user_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(share, 6).alias("fraction"))
+    return both.select("sid", "user_id", "seq", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(share, 6).alias("fraction"))
 
 
 @query
