@@ -4,7 +4,7 @@ points near a core join the smallest such cluster, the rest is noise (-1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components as cc
@@ -12,25 +12,50 @@ from . import joins
 from .features import UserError
 
 
+def _around(cells: DataFrame, reach: list[tuple[int, int]]) -> DataFrame:
+    """Rows with columns cx, cy, once for each cell at the given offsets."""
+    near = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i, j in reach])
+    return cells.withColumn("__o", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("__o.i"), "cy": F.col("cy") + F.col("__o.j")}).drop("__o")
+
+
+def _close(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+    """Pairs of rows (with x, y and xb, yb) in one cell that lie within eps."""
+    dx, dy = F.col("x") - F.col("xb"), F.col("y") - F.col("yb")
+    return left.join(right, ["cx", "cy"]).where(dx * dx + dy * dy <= eps * eps)
+
+
 def labels(points: DataFrame, eps_m: float, min_points: int) -> DataFrame:
-    """points (id, lon, lat) with x, y and cluster; ids give the input order."""
+    """points (id, lon, lat) with x, y and cluster; ids give the input order.
+
+    Cells have a side of eps / sqrt(2), so that all points of a cell are neighbours: in a cell with min_points points all
+    are core, and its core points belong to one cluster, without any pair of them being formed. Only points of sparser
+    cells count their neighbours, and cells, not points, are linked; pairs are filtered and counted where they arise."""
     if not eps_m > 0 or min_points < 1:
         raise UserError("eps_m must be positive and min_points at least 1")
+    side = eps_m / 2**0.5 * (1 - 1e-9)
     placed = joins.planar(points)
-    pairs = cc.cut(joins.eps_join(placed.select("id", "x", "y"), eps_m), "pairs")
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("id"))
-    core = cc.cut(core, "core")
-    ends = core.withColumnRenamed("id", "b")
-    to_core = pairs.join(ends, "b", "left_semi")
-    among = to_core.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-    found = cc.components(among.where("a < b"))
-    own = core.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("least"))
-    # clusters are few against points; their numbers need one order
-    numbers = own.select("least").distinct().withColumn("cluster", F.dense_rank().over(Window.orderBy("least")) - 1)
-    own = own.join(numbers, "least").select("id", "cluster")
-    border = to_core.join(own.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near")).withColumnRenamed("a", "id")
-    out = placed.join(own, "id", "left").join(border, "id", "left")
-    return out.withColumn("cluster", F.coalesce("cluster", "near", F.lit(-1)).cast("int")).drop("near")
+    rows = cc.cut(placed.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")), "placed")
+    sizes = rows.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    rows = cc.cut(rows.join(sizes, ["cx", "cy"]).withColumn("dense", F.col("n") >= min_points).drop("n"), "sized")
+    every = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    other = rows.select("cx", "cy", F.col("x").alias("xb"), F.col("y").alias("yb"))
+    counted = _close(_around(rows.where("not dense").select("id", "x", "y", "cx", "cy"), every), other, eps_m).groupBy("id").agg(F.count("*").alias("n"))
+    core = rows.where("dense").select("id").unionByName(counted.where(F.col("n") >= min_points).select("id"))
+    rows = cc.cut(rows.drop("dense").join(core.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False))), "cores")
+    core = rows.where("core")
+    # a cell stands for its core points by their smallest id
+    cells = cc.cut(core.groupBy("cx", "cy").agg(F.min("id").alias("cell")), "cells")
+    named = core.join(cells, ["cx", "cy"]).select("id", "x", "y", "cx", "cy", "cell")
+    half = [(i, j) for i, j in every if (i, j) > (0, 0)]
+    linked = _close(_around(named.select("x", "y", "cx", "cy", F.col("cell").alias("a")), half), named.select("cx", "cy", F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("cell").alias("b")), eps_m)
+    found = cc.components(linked.select("a", "b").distinct())
+    own = cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("least"))
+    own = own.join(cc.dense(own.select("least").distinct(), ["least"], "cluster"), "least").select("cell", "cluster")
+    core = cc.cut(named.join(own, "cell").select("id", "x", "y", "cx", "cy", "cluster"), "clusters")
+    rest = _around(rows.where("not core").select("id", "x", "y", "cx", "cy"), every)
+    border = _close(rest, core.select("cx", "cy", F.col("x").alias("xb"), F.col("y").alias("yb"), "cluster"), eps_m).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    out = placed.join(core.select("id", "cluster").unionByName(border), "id", "left")
+    return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int"))
 
 
 def summary(labelled: DataFrame) -> DataFrame:
