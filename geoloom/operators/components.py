@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes df into the folder that driver and executors share and reads it back."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/geoloom"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file:///tmp/checkpoints/geoloom"  # a single JVM
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -19,6 +23,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dense(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with dense numbers from 0 by the order of the keys: rows are sorted in ranges, and each range's first number is
+    the sum of the counts before it (a row a range)."""
+    kept = df.columns
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    rows = cut(rows, "ordered")
+    counts = rows.groupBy(F.shiftright("__m", 33).alias("part")).count().orderBy("part").collect()
+    first, start = 0, []
+    for r in counts:
+        start.append((r["part"], first))
+        first += r["count"]
+    starts = df.sparkSession.createDataFrame(start, "__p bigint, __first bigint")
+    within = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__p", F.shiftright("__m", 33)).join(F.broadcast(starts), "__p").withColumn(name, F.col("__first") + within).select(*kept, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) connect each node with. Labels fall to the smallest
     neighbouring label and then jump along labels, so that long chains take few rounds."""

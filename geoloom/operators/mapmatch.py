@@ -62,15 +62,15 @@ def viterbi(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
 
 def match(points: DataFrame, segments: DataFrame, graph: Graph, radius_m: float = RADIUS_M, sigma: float = SIGMA, beta: float = BETA, k: int = CANDIDATES) -> DataFrame:
     """(trace, length_m, points_total, points_matched, points_unmatched, snapped: array of (seq, sid, x, y, fraction,
-    distance_m), geometry: array of (x, y)) of traces (trace, seq, lon, lat) on segments (sid, ax, ay, bx, by, src, dst,
-    length_m); graph weights are metres and its extra columns lon, lat give each edge's end. Traces of which fewer than
+    distance_m), geometry: array of (x, y)) of traces (trace, seq, lon, lat, perhaps level) on segments (sid, ax, ay, bx,
+    by, src, dst, length_m, perhaps alevel, blevel: then both ends must be on the trace's level); graph weights are metres and its extra columns lon, lat give each edge's end. Traces of which fewer than
     two points have a candidate give no row."""
     if not (radius_m > 0 and sigma > 0 and beta > 0):
         raise UserError("radius_m, sigma and beta must be positive")
     most = points.groupBy("trace").count().agg(F.max("count").alias("n")).first()["n"] or 0
     if most > MAX_POINTS:
         raise UserError(f"a trace has {most} points; up to {MAX_POINTS} are allowed")
-    asked = points.select(F.struct("trace", "seq").alias("qid"), "lon", "lat")
+    asked = points.select(F.struct("trace", "seq").alias("qid"), "lon", "lat", *(["level"] if "level" in points.columns else []))
     near = joins.nearby_segments(asked, segments, radius_m, k).join(segments.select("sid", "src", "dst", F.col("length_m").alias("len"), "ax", "ay", "bx", "by"), "sid")
     cand = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "sid", "x", "y", "fraction", "dist_m", "src", "dst", "len", "ax", "ay", "bx", "by"))).alias("c"))
     rows = points.select("trace", "seq", "lon", "lat", F.struct("trace", "seq").alias("qid")).join(cand, "qid", "left")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import measure, props
 
+from . import components as cc
+
 
 @dataclass(frozen=True)
 class NetworkOptions:
@@ -70,8 +72,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """nodes with dense ids by place and level (a network that local searches use is bounded, so one order is)."""
-    return nodes.withColumn("node", F.row_number().over(Window.orderBy("qx", "qy", "level")) - 1)
+    """nodes with dense ids by place and level."""
+    return cc.dense(nodes, ["qx", "qy", "level"], "node")
 
 
 def travel_seconds(duration: Column, length: Column, speed: Column) -> Column:

@@ -10,11 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions import measure
+
 from . import components as cc
 from .features import UserError
 
 #: Edges of a network that may be broadcast (about 40 bytes each).
 MAX_EDGES = 4_000_000
+#: Nodes of a block, and requests of a portion, in ``relax``.
+BLOCK_NODES, BLOCK_REQUESTS = 20_000, 256
+
+
+def great_circle(lon1, lat1, lon2, lat2):
+    """Metres between positions in degrees; arrays or numbers."""
+    x1, y1, x2, y2 = (np.radians(v) for v in (lon1, lat1, lon2, lat2))
+    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+    return 2 * measure.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
 class Graph:
@@ -68,6 +79,41 @@ class Graph:
                     heapq.heappush(heap, (total, to))
         return best
 
+    def rate(self, lon: np.ndarray, lat: np.ndarray, weight: np.ndarray | None = None) -> float:
+        """The smallest cost of an edge for each metre between its ends, over edges whose ends lie apart; positions are the
+        nodes'. Every path costs at least its ends' distance times this rate, connectors with a fixed time included."""
+        weights = self.weight if weight is None else weight
+        src = np.repeat(np.arange(self.n), np.diff(self.first))
+        apart = great_circle(lon[src], lat[src], lon[self.dst], lat[self.dst])
+        own = apart > 1e-6
+        return float((np.asarray(weights, float)[own] / apart[own]).min(initial=np.inf)) * (1 - 1e-9) if own.any() else 0.0
+
+    def astar(self, src: int, target: int, lon: np.ndarray, lat: np.ndarray, rate: float, weight: np.ndarray | None = None):
+        """Like ``search`` from src until target is settled, guided by the distance to target times ``rate``: costs and
+        paths to the target are those of the plain search, with fewer nodes settled."""
+        weights = self.weight if weight is None else weight
+        best, done, left = {src: (0.0, -1)}, set(), {}
+
+        def rest(node: int) -> float:
+            if node not in left:
+                left[node] = rate * float(great_circle(lon[node], lat[node], lon[target], lat[target]))
+            return left[node]
+
+        heap = [(rest(src), 0.0, src)]
+        while heap:
+            _, cost, node = heapq.heappop(heap)
+            if node in done or cost > best[node][0]:
+                continue
+            done.add(node)
+            if node == target:
+                break
+            for k in range(self.first[node], self.first[node + 1]):
+                to, total = int(self.dst[k]), cost + weights[k]
+                if to not in done and (to not in best or total < best[to][0]):
+                    best[to] = (total, int(self.edge[k]))
+                    heapq.heappush(heap, (total + rest(to), total, to))
+        return {n: best[n] for n in done}
+
     def path(self, best: dict, target: int) -> list[int]:
         """Edge numbers from a seed to target."""
         out = []
@@ -108,15 +154,44 @@ def shortest(requests: DataFrame, graph: Graph, cost_type: str = "bigint") -> Da
     return requests.select("req", "src", "dst").mapInPandas(run, f"req bigint, cost {cost_type}, nodes array<bigint>")
 
 
-def relax(seeds: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(req, node, cost) from seeds (req, node, cost) over edges (src, dst, w), by rounds of joins from the nodes whose cost
-    fell last; for networks of any size."""
-    best = cc.cut(seeds.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax")
-    front, edges = best, cc.cut(edges, "relax")
+def relax(seeds: DataFrame, edges: DataFrame, most_rounds: int = 10_000, block_nodes: int = BLOCK_NODES, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
+    """(req, node, cost) from seeds (req, node, cost) over edges (src, dst, w), for networks of any size.
+
+    Nodes are dealt into blocks by ranges of their ids (numbered by place, blocks are regions). In a round every block
+    that costs have come in for is searched by itself, its requests in portions, and the costs that its outgoing edges
+    carry into other blocks are handed on where they are lower than what is known there. So rounds count the blocks that
+    paths cross, not their edges, and no task holds more than a block and a portion of the requests."""
+    cost = dict(seeds.dtypes)["cost"]
+    block = lambda c: F.floor(F.col(c) / block_nodes).cast("bigint")
+    portions = max(1, -(-seeds.select("req").distinct().count() // block_requests))
+    within = cc.cut(edges.select("src", "dst", "w", block("src").alias("block")), "relax").withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
+    portion = F.pmod(F.xxhash64("req"), F.lit(portions)).cast("int").alias("portion")
+
+    def run(front: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([near["src"], near["dst"], front["node"]]).astype(np.int64))
+        own = near["src"].to_numpy(np.int64)
+        # only nodes of this block have edges here: the search ends at those of others
+        graph = Graph(np.searchsorted(names, own), np.searchsorted(names, near["dst"].to_numpy(np.int64)), near["w"].to_numpy(), len(names))
+        here = front["block"].iloc[0] if len(front) else -1
+        out = []
+        for req, rows in front.groupby("req"):
+            got = graph.search(list(zip(np.searchsorted(names, rows["node"].to_numpy(np.int64)).tolist(), rows["cost"].tolist())))
+            at = names[list(got)]
+            out.append(pd.DataFrame({"req": req, "node": at, "cost": [c for c, _ in got.values()], "leaves": at // block_nodes != here}))
+        return pd.concat(out) if out else pd.DataFrame({"req": [], "node": [], "cost": [], "leaves": []})
+
+    front, best = cc.cut(seeds.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax"), None
     for _ in range(most_rounds):
-        step = front.join(edges, front["node"] == edges["src"]).select("req", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("req", "node").agg(F.min("cost").alias("new"))
-        front = cc.cut(step.join(best, ["req", "node"], "left").where("cost is null or new < cost").select("req", "node", F.col("new").alias("cost")), "relax")
+        asked = front.select("req", "node", "cost", block("node").alias("block"), portion)
+        near = within.join(asked.select("block", "portion").distinct(), ["block", "portion"], "left_semi")
+        found = asked.groupBy("block", "portion").cogroup(near.groupBy("block", "portion")).applyInPandas(run, f"req bigint, node bigint, cost {cost}, leaves boolean")
+        found = cc.cut(found.groupBy("req", "node", "leaves").agg(F.min("cost").alias("cost")), "relax")
+        crossed = found.where("leaves").select("req", "node", F.col("cost").alias("new"))
+        if best is not None:
+            crossed = crossed.join(best, ["req", "node"], "left").where("cost is null or new < cost")
+        front = cc.cut(crossed.select("req", "node", F.col("new").alias("cost")), "relax")
+        known = found.select("req", "node", "cost") if best is None else best.unionByName(found.select("req", "node", "cost"))
+        best = cc.cut(known.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax")
         if front.isEmpty():
             return best
-        best = cc.cut(best.unionByName(front).groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax")
     raise UserError("the search took too many rounds")

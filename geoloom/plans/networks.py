@@ -20,7 +20,7 @@ class Network:
     """Nodes, edges and broadcastable graphs of a line layer (feature, props, parts)."""
 
     def __init__(self, name: str, lines: DataFrame, options: network.NetworkOptions = network.NetworkOptions()):
-        self.name = name
+        self.name, self._segments = name, None
         edges = cc.cut(network.edges_of(lines, options), "edges")
         if edges.isEmpty():
             raise UserError(f"network {name} has no edges")
@@ -32,18 +32,19 @@ class Network:
         self.lon, self.lat, self.level = (rows[c].to_numpy() for c in ("lon", "lat", "level"))
         times = self.graph.extra["time_s"][self.graph.edge]
         self.weights = {"distance": self.graph.weight, "time": times}
+        self.rates = {cost: self.graph.rate(self.lon, self.lat, w) for cost, w in self.weights.items()}
 
     def segments(self) -> DataFrame:
-        """Undirected segments for matching: sid, src, dst, ends, length_m."""
+        """Undirected segments for matching, numbered densely: sid, src, dst, ends with their levels, length_m, feature."""
         one = network.undirected(self.edges)
-        return one.select((F.col("feature").cast("bigint") * 1_000_000 + F.col("part") * 100_000 + F.col("pos") * 2 + F.col("reverse").cast("int")).alias("sid"), "src", "dst", F.col("flon").alias("ax"), F.col("flat").alias("ay"), F.col("tlon").alias("bx"), F.col("tlat").alias("by"), "length_m", "feature")
+        one = one.select("feature", "part", "pos", "reverse", "src", "dst", F.col("flon").alias("ax"), F.col("flat").alias("ay"), F.col("tlon").alias("bx"), F.col("tlat").alias("by"), F.col("flevel").alias("alevel"), F.col("tlevel").alias("blevel"), "length_m")
+        if self._segments is None:
+            self._segments = cc.cut(cc.dense(one, ["feature", "part", "pos", "reverse"], "sid"), "segments")
+        return self._segments
 
     def snap(self, point: tuple[float, float], level: int, radius_m: float) -> tuple[int, float]:
         """(node, metres) of the nearest node on a level; ties go to the smaller node."""
-        lon, lat = np.radians(self.lon), np.radians(self.lat)
-        x, y = math.radians(point[0]), math.radians(point[1])
-        h = np.sin((lat - y) / 2) ** 2 + np.cos(y) * np.cos(lat) * np.sin((lon - x) / 2) ** 2
-        d = np.where(self.level == level, 2 * measure.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h))), np.inf)
+        d = np.where(self.level == level, search.great_circle(self.lon, self.lat, *point), np.inf)
         best = int(np.argmin(np.round(d, 3)))
         if not d[best] <= radius_m:
             raise UserError("no node of the network is near the point")
@@ -79,7 +80,7 @@ def shortest_path(net: Network, params: dict) -> dict:
     radius = radius if radius > 0 else 500.0
     src, d1 = net.snap(start, _level(params, "from_level"), radius)
     dst, d2 = net.snap(end, _level(params, "to_level"), radius)
-    best = net.graph.search([(src, 0.0)], target=dst, weight=net.weights[cost])
+    best = net.graph.astar(src, dst, net.lon, net.lat, net.rates[cost], net.weights[cost])
     if dst not in best:
         raise UserError("the two points aren't connected")
     edges = net.graph.path(best, dst)
@@ -168,18 +169,18 @@ def map_match(net: Network, params: dict) -> dict:
     if not 2 <= len(trace) <= mapmatch.MAX_POINTS:
         raise UserError(f"a trace needs 2 to {mapmatch.MAX_POINTS} points")
     points = [_point(p, "trace") for p in trace]
-    number = lambda name, default: float(params.get(name) or default)
-    spark = net.nodes.sparkSession
-    rows = spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(points)], "trace bigint, seq bigint, lon double, lat double")
+    number = lambda name, default: v if (v := float(params.get(name) or 0)) > 0 else default
+    spark, level = net.nodes.sparkSession, _level(params, "level")
+    rows = spark.createDataFrame([(0, i, x, y, level) for i, (x, y) in enumerate(points)], "trace bigint, seq bigint, lon double, lat double, level int")
     segments = net.segments()
     graph = search.Graph(net.graph.src_of, net.graph.dst_of, _in_order(net.graph), net.graph.n, {"lon": net.graph.extra["tlon"], "lat": net.graph.extra["tlat"]})
-    got = mapmatch.match(rows, segments, graph, number("radius_m", mapmatch.RADIUS_M), number("sigma_m", mapmatch.SIGMA), number("beta_m", mapmatch.BETA)).first()
+    got = mapmatch.match(rows, segments, graph, number("search_radius_m", mapmatch.RADIUS_M), number("sigma_m", mapmatch.SIGMA), number("beta_m", mapmatch.BETA)).first()
     if got is None:
         raise UserError("fewer than two points of the trace are near the network")
     owner = dict(segments.where(F.col("sid").isin([s["sid"] for s in got["snapped"]])).select("sid", "feature").collect())
     return {
         "type": "FeatureCollection",
-        "features": [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[p["x"], p["y"]] for p in got["geometry"]]}, "properties": {"role": "route", "length_m": got["length_m"], "points_total": got["points_total"], "points_matched": got["points_matched"], "points_unmatched": got["points_unmatched"]}}],
+        "features": [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[p["x"], p["y"]] for p in got["geometry"]]}, "properties": {"role": "matched_route", "length_m": got["length_m"], "points_total": got["points_total"], "points_matched": got["points_matched"], "points_unmatched": got["points_unmatched"]}}],
         "points": [{"index": s["seq"], "input": list(points[s["seq"]]), "snapped": [s["x"], s["y"]], "distance_m": s["distance_m"], "feature": {"id": owner[s["sid"]]}} for s in got["snapped"]],
     }
 
