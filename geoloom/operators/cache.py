@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import time
 from collections import OrderedDict
 
@@ -37,6 +40,87 @@ class Lru:
             self._rows.popitem(last=False)
 
 
+_SEGMENT = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+class Disk:
+    """Files below a folder by key (layer/z/x/y), for one machine; a shared store of whole pyramids is tiles.write_store.
+    Entries older than ttl seconds are gone; ``sweep`` also keeps the folder within its size. Keys with odd segments
+    aren't kept."""
+
+    def __init__(self, folder: str, ttl: float = 0.0, max_bytes: int = 0, clock=time.time):
+        self.folder, self.ttl, self.max_bytes, self.clock = folder, ttl, max_bytes, clock
+        os.makedirs(folder, exist_ok=True)
+
+    def _path(self, key: str) -> str | None:
+        parts = key.split("/")
+        if any(p in (".", "..") or not _SEGMENT.fullmatch(p) for p in parts):
+            return None
+        return os.path.join(self.folder, *parts)
+
+    def _old(self, mtime: float) -> bool:
+        return self.ttl > 0 and self.clock() - mtime > self.ttl
+
+    def get(self, key: str) -> bytes | None:
+        path = self._path(key)
+        try:
+            if path is None or self._old(os.stat(path).st_mtime):
+                if path is not None:
+                    os.remove(path)
+                return None
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError:  # not there, or gone meanwhile
+            return None
+
+    def set(self, key: str, value: bytes) -> None:
+        """Writes under another name first, so that no reader sees half a file."""
+        path = self._path(key)
+        if path is None:
+            return
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        handle, name = tempfile.mkstemp(prefix=".tmp-", dir=os.path.dirname(path))
+        with os.fdopen(handle, "wb") as f:
+            f.write(value)
+        os.replace(name, path)
+
+    def entries(self) -> list[tuple[str, int, float]]:
+        """(path, size, mtime) of all files."""
+        out = []
+        for folder, _, names in os.walk(self.folder):
+            for name in names:
+                try:
+                    got = os.stat(path := os.path.join(folder, name))
+                    out.append((path, got.st_size, got.st_mtime))
+                except OSError:
+                    continue
+        return out
+
+    def sweep(self) -> int:
+        """Removes old entries, leftovers of writers that died an hour ago or more, and then the oldest entries until nine
+        tenths of the size are used; returns how many files went. A caller runs it every few minutes."""
+        gone, kept = [], []
+        for path, size, mtime in self.entries():
+            left_over = os.path.basename(path).startswith(".tmp-")
+            if left_over and self.clock() - mtime > 3600 or not left_over and self._old(mtime):
+                gone.append(path)
+            elif not left_over:
+                kept.append((mtime, path, size))
+        total = sum(size for _, _, size in kept)
+        if 0 < self.max_bytes < total:
+            for _, path, size in sorted(kept):
+                if total <= self.max_bytes * 9 // 10:
+                    break
+                gone.append(path)
+                total -= size
+        for path in gone:
+            try:
+                os.remove(path)
+            except OSError:
+                continue
+        return len(gone)
+
+
 class Tiered:
     """A small fast cache over a large one; what the large one has moves up when it is asked for."""
 

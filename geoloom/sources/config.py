@@ -48,6 +48,11 @@ class Config:
     api_keys: list[str] = field(default_factory=list)
     cache_ttl_s: float = 300.0
     cache_entries: int = 10_000
+    disk_dir: str = ""
+    disk_ttl_s: float = 86_400.0
+    disk_mb: int = 512
+    timeout_s: float = 30.0
+    cors: bool = True
     sources: list[SourceConfig] = field(default_factory=list)
     networks: list[NetworkConfig] = field(default_factory=list)
 
@@ -73,6 +78,8 @@ def load(text: str, env_key: str = "API_KEY") -> Config:
     out = Config(
         host=server.get("host", default.host), port=int(server.get("port", default.port)), base_url=server.get("base_url", ""), api_keys=list(server.get("api_keys") or []),
         cache_ttl_s=seconds(cache.get("ttl", default.cache_ttl_s)), cache_entries=int(cache.get("max_entries", default.cache_entries)),
+        disk_dir=str((cache.get("disk") or {}).get("dir") or ""), disk_ttl_s=seconds((cache.get("disk") or {}).get("ttl", default.disk_ttl_s)), disk_mb=int((cache.get("disk") or {}).get("max_size_mb", default.disk_mb)),
+        timeout_s=seconds(server.get("request_timeout", default.timeout_s)), cors=bool(server.get("cors", default.cors)),
         sources=[own(SourceConfig, s) for s in raw.get("sources") or []], networks=[own(NetworkConfig, n) for n in raw.get("networks") or []],
     )
     if os.environ.get(env_key):

@@ -170,8 +170,13 @@ TRACE = [(0.00005, 0.00006), (0.0005, -0.00005), (0.001, 0.00007), (0.0015, -0.0
 
 
 def test_map_match(engine):
-    out = engine.run("map_match", {"network": "walk", "trace": [list(p) for p in TRACE], "radius_m": 40})
+    out = engine.run("map_match", {"network": "walk", "trace": [list(p) for p in TRACE], "search_radius_m": 40})
     route = out["features"][0]["properties"]
+    assert route["role"] == "matched_route"
+    with pytest.raises(UserError):  # no way on that level
+        engine.run("map_match", {"network": "walk", "trace": [list(p) for p in TRACE], "level": 7})
+    close = engine.run("map_match", {"network": "walk", "trace": [list(p) for p in TRACE], "search_radius_m": 0.001})
+    assert close["features"][0]["properties"]["points_matched"] == 4  # those that lie on a street
     assert route["points_matched"] == 9 and 380 <= route["length_m"] <= 500
     assert all(p["distance_m"] <= 10 for p in out["points"])
     for bad in ([[10, 10], [10.001, 10]], [[0, 0]]):
@@ -220,9 +225,10 @@ def test_search_against_relaxation(spark):
     rng = random.Random(5)
     edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30), rng.randrange(1, 50)) for _ in range(90)], "src long, dst long, w long").cache()
     graph = search.Graph.collect(edges, "w", 30)
-    a = {(r["node"], r["cost"]) for r in search.reach(spark.createDataFrame([(0, [(3, 0), (5, 7)])], "req long, seeds array<struct<node:long,cost:long>>"), graph).collect()}
-    b = {(r["node"], r["cost"]) for r in search.relax(spark.createDataFrame([(0, 3, 0), (0, 5, 7)], "req long, node long, cost long"), edges).collect()}
-    assert a == b
+    a = {(r["req"], r["node"], r["cost"]) for r in search.reach(spark.createDataFrame([(0, [(3, 0), (5, 7)]), (1, [(9, 2)])], "req long, seeds array<struct<node:long,cost:long>>"), graph).collect()}
+    seeds = spark.createDataFrame([(0, 3, 0), (0, 5, 7), (1, 9, 2), (1, 9, 5)], "req long, node long, cost long")
+    for sizes in ({}, {"block_nodes": 4}, {"block_nodes": 11, "block_requests": 1}):
+        assert {(r["req"], r["node"], r["cost"]) for r in search.relax(seeds, edges, **sizes).collect()} == a
 
 
 def test_viterbi_exhaustive(spark):
@@ -297,6 +303,194 @@ def test_jdbc_statement():
         jdbc.statement("places", "geom", 3857, None, [], fid="1")
 
 
+def test_jdbc_pages_and_tiles():
+    page = jdbc.statement("s.places", "geom", 4326, "gid", ["name"], limit=20, offset=40)
+    assert page.endswith('FROM "s"."places" WHERE "geom" IS NOT NULL ORDER BY "gid" LIMIT 20 OFFSET 40')
+    assert jdbc.statement("places", "geom", 4326, None, [], limit=0).endswith("LIMIT 10 OFFSET 0") and "ORDER BY" not in jdbc.statement("places", "geom", 4326, None, [], limit=5)
+    assert jdbc.count_statement("places", "geom", 3857, (1, 2, 3, 4)).count("ST_Transform") == 1
+    tile = jdbc.tile_statement("o'k", "places", "geom", 4326, "gid", ["name"], 6, 52, 24)
+    assert "'o''k', 4096, 'geom', 'gid'" in tile and "ST_TileEnvelope(6, 52, 24, margin => 0.03125)" in tile and 't."gid", t."name"' in tile
+    assert "ST_Transform(t." not in jdbc.tile_statement("a", "places", "geom", 3857, None, [], 0, 0, 0)
+
+
+def test_jdbc_introspection():
+    asked = []
+
+    def rows(sql):
+        asked.append(sql)
+        if "geometry_columns" in sql:
+            return [{"srid": 3857}]
+        if "information_schema" in sql:
+            return [{"column_name": "gid", "udt_name": "int4"}, {"column_name": "name", "udt_name": "text"}]
+        if "indisprimary" in sql:
+            return [{"name": "gid"}]
+        if "ST_EstimatedExtent" in sql:
+            return [{"west": 1.0, "south": 2.0, "east": 3.0, "north": 4.0}]
+        return [{"n": 7, "tile": b"x"}]
+
+    t = jdbc.Table(None, "", "s.places", rows=rows)
+    assert (t.srid, t.fields, t.id_column, t.bounds) == (3857, ["gid", "name"], "gid", (1.0, 2.0, 3.0, 4.0))
+    assert t.count() == 7 and t.tile("places", 0, 0, 0) == b"x" and any("3857" in q for q in asked if "Estimated" in q)
+
+    def fails(sql):
+        if "information_schema" in sql:
+            return []
+        raise RuntimeError("no such relation")
+
+    t = jdbc.Table(None, "", "places", rows=fails)
+    assert (t.srid, t.fields, t.id_column, t.bounds) == (4326, [], None, jdbc.WORLD)
+
+
+def test_tile_delivery(engine):
+    status, headers, body = engine.tile_response("three", 6, 52, 24, "pbf", "gzip, br")
+    assert status == 200 and headers["Content-Encoding"] == "gzip" and headers["Content-Type"].endswith("vector-tile") and body[:2] == b"\x1f\x8b"
+    assert engine.tile_response("three", 6, 52, 24, "mvt", "gzip", headers["ETag"]) == (304, {}, b"")
+    plain = engine.tile_response("three", 6, 52, 24, "PBF")
+    assert plain[0] == 200 and "Content-Encoding" not in plain[1] and tiles.decode(plain[2]) == tiles.decode(body) and plain[1]["Content-Length"] == str(len(plain[2]))
+    assert engine.tile_response("three", 6, 52, 24, "png")[0] == 400 and engine.tile_response("three", 2, 9, 1, "pbf")[0] == 400
+    assert engine.tile_response("nope", 6, 52, 24, "pbf")[0] == 404 and engine.tile_response("cities", 6, 0, 0, "pbf")[0] == 204
+    assert tiles.etag(b"") == '"cbf29ce484222325"' and tiles.etag(b"a") == '"af63dc4c8601ec8c"'
+    assert tiles.delivered(b"\x1f\x8bxx", "image/png")[0] == 500
+    w, s, e, n = tiles.margin_box(1, 0, 1)
+    assert w == s == -tiles.BEYOND and 0 < e < 40 and 0 < n < 30
+
+
+def test_tile_store(spark, engine, tmp_path):
+    path = str(tmp_path / "store")
+    engine.store_tiles("cities", 4, 6, path)
+    engine.store_tiles("three", 5, 5, path)
+    engine.store_tiles("cities", 6, 6, path)  # replaces one zoom
+    got = {(r["z"], r["x"], r["y"]): bytes(r["tile"]) for r in tiles.read_store(spark, path, "cities").collect()}
+    want = {(r["z"], r["x"], r["y"]): bytes(r["tile"]) for r in engine.pyramid("cities", 4, 6).collect()}
+    assert got == want and {z for z, _, _ in got} == {4, 5, 6} and tiles.read_store(spark, path, "three").count() > 0
+    assert tiles.decode(engine.tile("cities", 6, 52, 24)) == tiles.decode(want[6, 52, 24])
+
+
+def test_disk_cache(tmp_path):
+    import os
+
+    now = [1000.0]
+    disk = cache.Disk(str(tmp_path / "c"), ttl=60, max_bytes=100, clock=lambda: now[0])
+    for n in range(6):
+        disk.set(f"layer/6/{n}/2", b"x" * 30)
+        os.utime(disk._path(f"layer/6/{n}/2"), (900 + n, 990 + n))
+    assert disk.get("layer/6/3/2") == b"x" * 30 and disk.get("layer/6/9/9") is None
+    disk.set("../evil", b"1")
+    disk.set("a/../b", b"1")
+    disk.set("a b", b"1")
+    assert disk.get("../evil") is None and len(disk.entries()) == 6
+    assert disk.sweep() == 3 and [n for n in range(6) if disk.get(f"layer/6/{n}/2")] == [3, 4, 5]  # 90 bytes stay
+    left = tmp_path / "c" / ".tmp-dead"
+    left.write_bytes(b"half")
+    os.utime(left, (0, 0))
+    now[0] = 1054.5
+    assert disk.get("layer/6/3/2") is None and not os.path.exists(disk._path("layer/6/3/2"))  # 61.5 seconds old
+    now[0] = 1e6
+    assert disk.sweep() == 3 and disk.entries() == []
+    both = cache.Tiered(cache.Lru(10), disk)
+    disk.ttl = 0
+    disk.set("k", b"v")
+    assert both.get("k") == b"v" and both.upper.get("k") == b"v"
+
+
+def test_documents(engine):
+    import xml.etree.ElementTree as tree
+
+    assert {x["rel"] for x in engine.landing()["links"]} == {"self", "conformance", "data", "catalog", "algorithms", "wmts", "health"}
+    assert len(documents.CONFORMANCE["conformsTo"]) == 3
+    status, health = engine.health()
+    assert status == 200 and health["status"] == "ok" and set(health["sources"]) == set(engine.layers)
+    own = {x["name"]: x for x in engine.catalog_document()["layers"]}
+    assert own["cities"]["title"] == "Cities" and own["cities"]["tiles"].endswith("/tiles/cities/{z}/{x}/{y}.pbf") and own["cities"]["items"].endswith("/collections/cities/items")
+    doc = tree.fromstring(engine.wmts())
+    space = {"w": "http://www.opengis.net/wmts/1.0", "o": "http://www.opengis.net/ows/1.1"}
+    assert doc.find("o:ServiceIdentification/o:ServiceType", space).text == "OGC WMTS" and doc.find(".//w:WellKnownScaleSet", space).text.endswith("GoogleMapsCompatible")
+    assert len(doc.findall(".//w:TileMatrix", space)) == 23
+    address = {x.find("o:Identifier", space).text: x.find("w:ResourceURL", space).get("template") for x in doc.findall(".//w:Layer", space)}
+    assert address["cities"] == "/wmts/1.0.0/cities/default/GoogleMapsCompatible/{TileMatrix}/{TileRow}/{TileCol}.pbf"
+    assert engine.describe("map_match")["parameters"]["required"] == ["network", "trace"]
+    with pytest.raises(UserError):
+        engine.describe("nope")
+
+
+def test_keys():
+    may = lambda headers={}, query={}, path="/tiles": documents.allowed(["k1", "k2"], path, headers, query)
+    assert may({"Authorization": "Bearer k2"}) and may({"x-api-key": "k1"}) and may({}, {"api_key": "k1"}) and may(path="/health")
+    assert not may() and not may({"Authorization": "Bearer k3"}) and not may({"Authorization": "Bearer k3"}, {"api_key": "k1"}) and not may({}, {"api_key": ""})
+    assert documents.allowed([], "/tiles", {}, {})
+
+
+def test_rpc_text(engine):
+    assert engine.rpc_text("{", "POST")[1]["error"]["code"] == -32700 and engine.rpc_text("[]")[1]["error"]["code"] == -32700
+    assert engine.rpc_text("{}", "GET") == (405, None) and engine.rpc_text('{"jsonrpc": "2.0", "method": "x"}') == (202, None)
+    asks = lambda v: engine.rpc({"id": 1, "method": "initialize", "params": {"protocolVersion": v}})["result"]["protocolVersion"]
+    assert asks("2024-11-05") == "2024-11-05" and asks("1999-01-01") == "2025-06-18"
+
+
+def test_failed_network_stays_failed(engine):
+    for _ in range(2):
+        with pytest.raises(UserError):
+            engine.network("none")
+    assert isinstance(engine._networks["none"], UserError)
+
+
+def test_dense_numbers(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = network.cc.dense(df, ["k"], "n").collect()
+    assert sorted((r["k"], r["n"]) for r in got) == [(i, i) for i in range(1000)]
+    assert network.cc.dense(df.where("false"), ["k"], "n").count() == 0
+
+
+def test_many_parts_and_positions_have_own_segments(spark):
+    parts = [[(k * 0.01, 0.0), (k * 0.01, 0.001)] for k in range(12)]
+    rows = [(0, {}, [[{"x": x, "y": y} for x, y in p] for p in parts]), (1, {}, [[{"x": 1 + n * 0.0001, "y": 0.0} for n in range(300)]])]
+    lines = spark.createDataFrame(rows, "feature long, props map<string,string>, parts array<array<struct<x:double,y:double>>>")
+    got = networks.Network("n", lines).segments().collect()
+    assert len(got) == 12 + 299 == len({r["sid"] for r in got}) and {r["feature"] for r in got} == {0, 1}
+
+
+def test_levels_in_joins(spark):
+    from geoloom.operators import joins
+
+    q = spark.createDataFrame([(1, 0.0, 60.0, 0), (2, 0.0, 60.0, 2)], "qid long, lon double, lat double, level int")
+    p = spark.createDataFrame([(10, 0.0, 60.0, 1), (11, 0.0002, 60.0, 0), (12, 0.0001, 60.0002, 2)], "pid long, lon double, lat double, level int")
+    assert {(r["qid"], r["pid"]) for r in joins.nearest(q, p, 50.0).collect()} == {(1, 11), (2, 12)}
+    s = spark.createDataFrame([(20, -0.001, 60.0, 0.001, 60.0, 1, 1), (21, -0.001, 60.0001, 0.001, 60.0001, 0, 0), (22, -0.001, 60.0, 0.001, 60.0, 0, 2)], "sid long, ax double, ay double, bx double, by double, alevel int, blevel int")
+    assert {(r["qid"], r["sid"]) for r in joins.nearby_segments(q, s, 50.0).collect()} == {(1, 21)}
+    # neighbours near the pole aren't lost
+    q = spark.createDataFrame([(1, 10.0, 88.0)], "qid long, lon double, lat double")
+    p = spark.createDataFrame([(10, 10.02, 88.0)], "pid long, lon double, lat double")
+    assert joins.nearest(q, p, 100.0).count() == 1
+
+
+@pytest.mark.parametrize("cost", ["time", "distance"])
+def test_guided_search_matches_the_plain_one(engine, cost):
+    net = engine.network("walk")
+    rng = random.Random(4)
+    for src in range(net.graph.n):
+        plain = net.graph.search([(src, 0.0)], weight=net.weights[cost])
+        for dst in range(net.graph.n):
+            got = net.graph.astar(src, dst, net.lon, net.lat, net.rates[cost], net.weights[cost])
+            assert (dst in plain) == (dst in got)
+            if dst in plain:
+                assert got[dst][0] == pytest.approx(plain[dst][0], abs=1e-9)
+                assert sum(net.weights[cost][list(net.graph.edge).index(e)] for e in net.graph.path(got, dst)) == pytest.approx(plain[dst][0], abs=1e-9)
+    n = 40
+    place = lambda k: (k % n * 0.001, k // n * 0.001)
+    pairs = [(k, j) for k in range(n * n) for j in ((k + 1) if k % n < n - 1 else -1, k + n) if 0 <= j < n * n]
+    pairs += [(j, k) for k, j in pairs]
+    import numpy as np
+
+    lon, lat = np.array([place(k) for k in range(n * n)]).T
+    src, dst = np.array(pairs).T
+    w = search.great_circle(lon[src], lat[src], lon[dst], lat[dst]) * np.array([1 + rng.random() * 0.2 for _ in pairs])
+    graph = search.Graph(src, dst, w)
+    a, b = 20 * n + 20, 22 * n + 25
+    plain, guided = graph.search([(a, 0.0)], target=b), graph.astar(a, b, lon, lat, graph.rate(lon, lat))
+    assert guided[b][0] == pytest.approx(plain[b][0]) and len(guided) < len(plain) / 2
+
+
 def test_config():
     good = config.load("server: {port: 9090}\ncache: {ttl: 2m}\nsources:\n- {name: a, type: geojson, path: x}\n- {name: b, type: postgis, dsn: d, table: t}\n")
     assert good.port == 9090 and good.cache_ttl_s == 120 and good.host == "0.0.0.0"
