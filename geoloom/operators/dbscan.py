@@ -54,7 +54,8 @@ def labels(points: DataFrame, eps_m: float, min_points: int) -> DataFrame:
     core = cc.cut(named.join(own, "cell").select("id", "x", "y", "cx", "cy", "cluster"), "clusters")
     rest = _around(rows.where("not core").select("id", "x", "y", "cx", "cy"), every)
     border = _close(rest, core.select("cx", "cy", F.col("x").alias("xb"), F.col("y").alias("yb"), "cluster"), eps_m).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    out = placed.join(core.select("id", "cluster").unionByName(border), "id", "left")
+    named = cc.cut(core.select("id", "cluster").unionByName(border), "labels")  # of known size for the join
+    out = placed.join(named, "id", "left")
     return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int"))
 
 

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import components as cc
+from .features import UserError
+
 #: Cells of one area that a kernel may hold.
 MAX_CELLS = 4_000_000
 
@@ -136,12 +139,15 @@ def polygons(rings: list) -> list[list]:
 
 
 def areas(segments: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
-    """(keys, polygons: array of polygons of rings of (x, y)) from contour segments of bounded areas."""
+    """(keys, polygons: array of polygons of rings of (x, y)) from contour segments of bounded areas, whose sizes are
+    checked before any of them is gathered."""
+    segments = cc.cut(segments, "contours")
+    most = segments.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > MAX_CELLS:
+        raise UserError(f"an area has {most} contour segments; up to {MAX_CELLS} are allowed: use larger cells")
     fields = ", ".join(f"`{k}` {dict(segments.dtypes)[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_CELLS:
-            raise ValueError(f"an area has {len(pdf)} contour segments; up to {MAX_CELLS} are allowed: use larger cells")
         rows = sorted(map(tuple, pdf[["vx1", "vy1", "vx2", "vy2"]].to_numpy().tolist()))
         rings = [simplify(r, tolerance) for r in chain(rows)]
         shapes = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in polygons(rings)]

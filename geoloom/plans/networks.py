@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,27 @@ from geoloom.operators.features import UserError
 MAX_CUTOFFS = 8
 
 
-class Network:
+class Local:
+    """What searches need of a network, in arrays: it can be broadcast."""
+
+    def __init__(self, graph: search.Graph, lon: np.ndarray, lat: np.ndarray, level: np.ndarray):
+        self.graph, self.lon, self.lat, self.level = graph, lon, lat, level
+        self.weights = {"distance": graph.weight, "time": graph.extra["time_s"][graph.edge]}
+        self.rates = {cost: graph.rate(lon, lat, w) for cost, w in self.weights.items()}
+
+    def snap(self, point: tuple[float, float], level: int, radius_m: float) -> tuple[int, float]:
+        """(node, metres) of the nearest node on a level; ties go to the smaller node."""
+        d = np.where(self.level == level, search.great_circle(self.lon, self.lat, *point), np.inf)
+        best = int(np.argmin(np.round(d, 3)))
+        if not d[best] <= radius_m:
+            raise UserError("no node of the network is near the point")
+        return best, float(d[best])
+
+    def place(self, node: int) -> list[float]:
+        return [float(self.lon[node]), float(self.lat[node])]
+
+
+class Network(Local):
     """Nodes, edges and broadcastable graphs of a line layer (feature, props, parts)."""
 
     def __init__(self, name: str, lines: DataFrame, options: network.NetworkOptions = network.NetworkOptions()):
@@ -27,12 +49,12 @@ class Network:
         self.nodes = cc.cut(network.numbered(network.nodes_of(edges)), "nodes")
         self.edges = cc.cut(network.linked(edges, self.nodes), "linked")
         order = ["feature", "part", "pos", "reverse"]
-        self.graph = search.Graph.collect(self.edges, "length_m", self.nodes.count(), order, ["time_s", "feature", "tlon", "tlat"])
+        graph = search.Graph.collect(self.edges, "length_m", self.nodes.count(), order, ["time_s", "feature", "tlon", "tlat"])
         rows = self.nodes.orderBy("node").select("lon", "lat", "level").toPandas()  # as bounded as the graph
-        self.lon, self.lat, self.level = (rows[c].to_numpy() for c in ("lon", "lat", "level"))
-        times = self.graph.extra["time_s"][self.graph.edge]
-        self.weights = {"distance": self.graph.weight, "time": times}
-        self.rates = {cost: self.graph.rate(self.lon, self.lat, w) for cost, w in self.weights.items()}
+        super().__init__(graph, *(rows[c].to_numpy() for c in ("lon", "lat", "level")))
+
+    def local(self) -> Local:
+        return Local(self.graph, self.lon, self.lat, self.level)
 
     def segments(self) -> DataFrame:
         """Undirected segments for matching, numbered densely: sid, src, dst, ends with their levels, length_m, feature."""
@@ -42,17 +64,6 @@ class Network:
             self._segments = cc.cut(cc.dense(one, ["feature", "part", "pos", "reverse"], "sid"), "segments")
         return self._segments
 
-    def snap(self, point: tuple[float, float], level: int, radius_m: float) -> tuple[int, float]:
-        """(node, metres) of the nearest node on a level; ties go to the smaller node."""
-        d = np.where(self.level == level, search.great_circle(self.lon, self.lat, *point), np.inf)
-        best = int(np.argmin(np.round(d, 3)))
-        if not d[best] <= radius_m:
-            raise UserError("no node of the network is near the point")
-        return best, float(d[best])
-
-    def place(self, node: int) -> list[float]:
-        return [float(self.lon[node]), float(self.lat[node])]
-
 
 def _point(value, name: str) -> tuple[float, float]:
     if not (isinstance(value, (list, tuple)) and len(value) == 2 and all(isinstance(v, (int, float)) for v in value) and abs(value[0]) <= 180 and abs(value[1]) <= 90):
@@ -74,7 +85,52 @@ def _level(params: dict, name: str) -> int:
     return level
 
 
-def shortest_path(net: Network, params: dict) -> dict:
+def answer(net: Local, name: str, text: str | None) -> str:
+    """The answer to a request's JSON text as JSON text; mistakes of the caller are answers with an ``error``."""
+    try:
+        params = json.loads(text or "{}")
+        if not isinstance(params, dict):
+            raise UserError("parameters must be an object")
+        return json.dumps({"shortest_path": shortest_path, "isochrone": isochrone}[name](net, params))
+    except (UserError, ValueError) as error:
+        return json.dumps({"error": str(error)})
+
+
+def run_frame(net: Network, name: str, requests: DataFrame) -> DataFrame:
+    """(req, result) for a frame of requests (req, params: JSON text): searches run where the requests are, over the
+    broadcast network. Traces and points have frames of their own, mapmatch.match and dbscan.labels."""
+    if name not in ("shortest_path", "isochrone"):
+        raise UserError(f"{name} takes frames of its own")
+    shared = requests.sparkSession.sparkContext.broadcast(net.local())
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"req": pdf["req"], "result": [answer(shared.value, name, p) for p in pdf["params"]]})
+
+    return requests.select(F.col("req").cast("bigint").alias("req"), "params").mapInPandas(run, "req bigint, result string")
+
+
+def register_functions(net: Network) -> list[str]:
+    """Table functions shortest_path_<network> and isochrone_<network> for SQL: each takes a request's JSON text and gives
+    one row (result); with LATERAL they answer a table of requests."""
+    from pyspark.sql.functions import udtf
+
+    spark = net.nodes.sparkSession
+    shared, names = spark.sparkContext.broadcast(net.local()), []
+    for name in ("shortest_path", "isochrone"):
+
+        class Answer:
+            algorithm = name
+
+            def eval(self, params: str):
+                yield (answer(shared.value, self.algorithm, params),)
+
+        names.append(f"{name}_{net.name}")
+        spark.udtf.register(names[-1], udtf(Answer, returnType="result string"))
+    return names
+
+
+def shortest_path(net: Local, params: dict) -> dict:
     start, end, cost = _point(params.get("from"), "from"), _point(params.get("to"), "to"), _cost(params)
     radius = params.get("snap_radius_m") or 0
     radius = radius if radius > 0 else 500.0
@@ -101,7 +157,7 @@ def shortest_path(net: Network, params: dict) -> dict:
     }
 
 
-def isochrone(net: Network, params: dict) -> dict:
+def isochrone(net: Local, params: dict) -> dict:
     origin, cost, cutoffs = _point(params.get("origin"), "origin"), _cost(params), params.get("cutoffs") or []
     if not 1 <= len(cutoffs) <= MAX_CUTOFFS or not all(isinstance(c, (int, float)) and c > 0 for c in cutoffs):
         raise UserError(f"1 to {MAX_CUTOFFS} positive cutoffs are needed")

@@ -427,6 +427,76 @@ def test_rpc_text(engine):
     assert asks("2024-11-05") == "2024-11-05" and asks("1999-01-01") == "2025-06-18"
 
 
+def test_frames_and_table_functions(spark, engine):
+    asks = [{"from": [0, 0], "to": [0.002, 0.002], "cost": "distance"}, {"from": [10, 10], "to": [0, 0]}, {"from": [0, 0], "to": [0.003, 0.001], "to_level": 2}]
+    rows = spark.createDataFrame([(n, json.dumps(a)) for n, a in enumerate(asks)] + [(3, "nonsense"), (4, None)], "req long, params string")
+    got = {r["req"]: json.loads(r["result"]) for r in engine.run_frame("shortest_path", "walk", rows).collect()}
+    for n in (0, 2):
+        assert got[n] == json.loads(json.dumps(engine.run("shortest_path", {"network": "walk", **asks[n]})))
+    assert all("error" in got[n] for n in (1, 3, 4))
+    with pytest.raises(UserError):
+        engine.run_frame("dbscan", "walk", rows)
+    names = networks.register_functions(engine.network("walk"))
+    assert names == ["shortest_path_walk", "isochrone_walk"]
+    rows.createOrReplaceTempView("asked")
+    sql = {r["req"]: json.loads(r["result"]) for r in spark.sql("SELECT req, result FROM asked, LATERAL shortest_path_walk(params)").collect()}
+    assert sql == got
+    area = json.loads(spark.sql("""SELECT * FROM isochrone_walk('{"origin": [0.001, 0.001], "cutoffs": [60]}')""").first()["result"])
+    assert len(area["features"]) == 1
+
+
+def test_close_and_empty_sources(spark, tmp_path):
+    path = tmp_path / "none.geojson"
+    path.write_text(collection((1, {}, None)))
+    with pytest.raises(UserError):
+        Engine(spark, config.Config(sources=[config.SourceConfig("none", "geojson", str(path))]))
+    e = Engine(spark)
+    e.add(Layer("two", frame(spark, TWO)))
+    assert spark.sql("SELECT * FROM layer_two").count() == 2
+    e.close()
+    assert not e.layers and not spark.catalog.tableExists("layer_two")
+
+
+def test_database_layers_page_in_the_database(spark):
+    class Fake:
+        def count(self, bbox):
+            return 7
+
+        def page(self, limit, offset, bbox):
+            assert (limit, offset, bbox) == (2, 4, (0.0, 0.0, 180.0, 90.0))
+            return frame(spark, TWO)
+
+        def tile(self, name, z, x, y):
+            return b"from the database"
+
+    e = Engine(spark)
+    e.add(Layer("pg", frame(spark, TWO), table=Fake()))
+    got = e.items("pg", [0.0, 0.0, 180.0, 90.0], 2, 4)
+    assert got["numberMatched"] == 7 and got["numberReturned"] == 2 and got["links"] and e.tile("pg", 0, 0, 0) == b"from the database"
+
+
+def test_tilejson_of_stored_tiles(spark):
+    row = [("photos", "", 0, 5, 0.0, 0.0, 1.0, 1.0, {}, "jpg"), ("shapes", "", 0, None, 0.0, 0.0, 1.0, 1.0, {}, "mvt")]
+    layers = spark.createDataFrame(row, "name string, title string, minzoom int, maxzoom int, west double, south double, east double, north double, fields map<string,string>, format string")
+    got = {r["name"]: json.loads(r["document"])["tiles"][0] for r in documents.tilejson(layers, "http://x").collect()}
+    assert got == {"photos": "http://x/tiles/photos/{z}/{x}/{y}.jpg", "shapes": "http://x/tiles/shapes/{z}/{x}/{y}.pbf"}
+
+
+def test_step_scores_by_hand(spark):
+    """A trace along one street: emissions by squared distance, transitions by the detour, the best candidates win."""
+    seg = spark.createDataFrame([(1, 0.0, 0.0, 0.01, 0.0, 0, 1, 1113.2), (2, 0.0, 0.0004, 0.01, 0.0004, 2, 3, 1113.2)], "sid long, ax double, ay double, bx double, by double, src long, dst long, length_m double")
+    import numpy as np
+
+    both = [(0, 1), (1, 0), (2, 3), (3, 2)]
+    ends = {0: (0.0, 0.0), 1: (0.01, 0.0), 2: (0.0, 0.0004), 3: (0.01, 0.0004)}
+    graph = search.Graph(np.array([a for a, _ in both]), np.array([b for _, b in both]), np.full(4, 1113.2), 4, {"lon": np.array([ends[b][0] for _, b in both]), "lat": np.array([ends[b][1] for _, b in both])})
+    # the middle point lies nearer to the other street, but a jump there and back costs more than its distance
+    pts = spark.createDataFrame([(0, 0, 0.001, 0.00005), (0, 1, 0.002, 0.00022), (0, 2, 0.003, 0.00005)], "trace long, seq long, lon double, lat double")
+    got = mapmatch.match(pts, seg, graph, 50.0, 15.0, 30.0).first()
+    assert [s["sid"] for s in got["snapped"]] == [1, 1, 1] and got["points_matched"] == 3
+    assert got["length_m"] == pytest.approx(222.4, abs=0.5)
+
+
 def test_failed_network_stays_failed(engine):
     for _ in range(2):
         with pytest.raises(UserError):
