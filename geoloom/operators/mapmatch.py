@@ -13,7 +13,7 @@ from geoloom.functions import measure
 
 from . import joins
 from .features import UserError
-from .search import Graph
+from .search import Graph, great_circle
 
 RADIUS_M, SIGMA, BETA, CANDIDATES = 50.0, 15.0, 30.0, 5
 #: Loss of a step that no transition reaches.
@@ -83,74 +83,88 @@ def match(points: DataFrame, segments: DataFrame, graph: Graph, radius_m: float
     return rows.select("trace", "seq", "lon", "lat", "c").groupBy("trace").applyInPandas(run, schema)
 
 
-def _haversine(a, b) -> float:
-    (x1, y1), (x2, y2) = a, b
-    p1, p2 = math.radians(y1), math.radians(y2)
-    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(x2 - x1) / 2) ** 2
-    return 2 * measure.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
-
-
-def _exits(c) -> list[tuple[int, float]]:
-    return [(int(c["src"]), c["fraction"] * c["len"]), (int(c["dst"]), (1 - c["fraction"]) * c["len"])]
-
-
-def _entry(best: dict, c) -> tuple[float, int]:
-    """(distance, node) of reaching a candidate by its cheaper end."""
-    return min(((best[n][0] + d, n) for n, d in _exits(c) if n in best), default=(math.inf, -1))
+class _Routes:
+    """Shortest ways between the ends of segments, kept through a trace: its points ask for the same ends again and again."""
+
+    def __init__(self, graph: Graph):
+        self.graph, self.known = graph, {}
+
+    def costs(self, node: int, ends: set[int], limit: float) -> dict:
+        """Search result from a node that is final for the given ends within the limit."""
+        asked, reach, best = self.known.get(node, (set(), 0.0, {}))
+        if not ends <= asked or limit > reach:
+            asked, reach = ends, 2000.0 * 2 ** math.ceil(math.log2(max(1.0, limit / 2000.0)))
+            best = self.graph.search([(node, 0.0)], reach, targets=asked)
+            self.known[node] = (asked, reach, best)
+        return best
+
+    def between(self, before: list, now: list, limit: float) -> np.ndarray:
+        """Metres of the way from each candidate before to each one now; infinite beyond the limit."""
+        into = [self._exits(c) for c in now]
+        every = {n for pair in into for n, _ in pair}
+        out = []
+        for p in before:
+            starts = [(left, self.costs(node, every, limit)) for node, left in self._exits(p)]
+            row = []
+            for c, pair in zip(now, into):
+                if c["sid"] == p["sid"]:
+                    row.append(abs(c["fraction"] - p["fraction"]) * c["len"])
+                    continue
+                ways = [(left + best[n][0], rest) for left, best in starts for n, rest in pair if n in best]
+                row.append(min((to + rest for to, rest in ways if to <= limit), default=math.inf))
+            out.append(row)
+        return np.array(out)
+
+    @staticmethod
+    def _exits(c) -> list[tuple[int, float]]:
+        """Ends of a candidate's segment and the metres to them."""
+        return [(int(c["src"]), c["fraction"] * c["len"]), (int(c["dst"]), (1 - c["fraction"]) * c["len"])]
+
+    def way(self, p, c, limit: float) -> tuple[float, list[tuple[float, float]]]:
+        """(metres, corners) of the way between candidates on two segments; infinite if there is none."""
+        found = (math.inf, -1, -1)
+        for node, left in self._exits(p):
+            ends = {n for n, _ in self._exits(c)}
+            best = self.costs(node, ends, limit)
+            for end, rest in self._exits(c):
+                if end in best and left + best[end][0] <= limit:
+                    found = min(found, (left + best[end][0] + rest, node, end))
+        metres, node, end = found
+        if node < 0:
+            return metres, []
+        corner = (p["ax"], p["ay"]) if node == int(p["src"]) else (p["bx"], p["by"])
+        edges = self.graph.path(self.known[node][2], end)
+        return metres, [corner, *((float(self.graph.extra["lon"][e]), float(self.graph.extra["lat"][e])) for e in edges)]
 
 
 def _match_one(pdf: pd.DataFrame, graph: Graph, sigma: float, beta: float):
+    """The row of one trace: the likeliest chain of candidates, and its route."""
     rows = [r for r in pdf.to_dict("records") if r["c"] is not None and len(r["c"])]
     if len(rows) < 2:
         return None
-    em = [[-0.5 * (c["dist_m"] / sigma) ** 2 for c in r["c"]] for r in rows]
-    scores, backs, trees = [em[0]], [], []
-    for i in range(1, len(rows)):
-        straight = _haversine((rows[i - 1]["lon"], rows[i - 1]["lat"]), (rows[i]["lon"], rows[i]["lat"]))
-        before, now = rows[i - 1]["c"], rows[i]["c"]
-        targets = {n for c in now for n, _ in _exits(c)}
-        reached: dict[tuple, dict] = {}
-        own, back = [-math.inf] * len(now), [-1] * len(now)
-        for j, p in enumerate(before):
-            key = (p["sid"], round(p["fraction"], 9))
-            if key not in reached:
-                reached[key] = graph.search(_exits(p), 10 * straight + 2000, targets=targets)
-            for m, c in enumerate(now):
-                route = abs(c["fraction"] - p["fraction"]) * c["len"] if c["sid"] == p["sid"] else _entry(reached[key], c)[0]
-                if route < math.inf:
-                    total = scores[-1][j] - abs(route - straight) / beta + em[i][m]
-                    if total > own[m]:
-                        own[m], back[m] = total, j
-        top = int(np.argmax(scores[-1]))
-        for m in range(len(now)):
-            if back[m] < 0:
-                own[m], back[m] = scores[-1][top] + em[i][m] + BREAK, top
-        scores.append(own)
+    routes = _Routes(graph)
+    lon, lat = np.array([r["lon"] for r in rows]), np.array([r["lat"] for r in rows])
+    straight = great_circle(lon[:-1], lat[:-1], lon[1:], lat[1:])
+    limits = 10 * straight + 2000
+    emission = [np.array([-0.5 * (c["dist_m"] / sigma) ** 2 for c in r["c"]]) for r in rows]
+    score, backs = emission[0], []
+    for i, (a, b) in enumerate(zip(rows, rows[1:])):
+        total = score[:, None] - np.abs(routes.between(a["c"], b["c"], limits[i]) - straight[i]) / beta
+        back, best = total.argmax(0), total.max(0)
+        cut_off = np.isneginf(best)  # no way leads here: the chain starts anew from the best candidate so far
+        back[cut_off], best[cut_off] = score.argmax(), score.max() + BREAK
+        score = best + emission[i + 1]
         backs.append(back)
-        trees.append(reached)
-    at = [int(np.argmax(scores[-1]))]
+    at = [int(score.argmax())]
     for back in reversed(backs):
-        at.append(back[at[-1]])
-    chosen = [r["c"][m] for r, m in zip(rows, at[::-1])]
-    geometry, length = [(chosen[0]["x"], chosen[0]["y"])], 0.0
-    for i, (p, c) in enumerate(zip(chosen, chosen[1:])):
+        at.append(int(back[at[-1]]))
+    chosen = [r["c"][k] for r, k in zip(rows, reversed(at))]
+    line, length = [(chosen[0]["x"], chosen[0]["y"])], 0.0
+    for p, c, limit in zip(chosen, chosen[1:], limits):
         end = (c["x"], c["y"])
-        if p["sid"] == c["sid"]:
-            length += _haversine(geometry[-1], end)
-        else:
-            best = trees[i].get((p["sid"], round(p["fraction"], 9)), {})
-            distance, node = _entry(best, c)
-            if node >= 0:
-                length += distance
-                edges = graph.path(best, node)
-                first = int(graph.src_of[edges[0]]) if edges else node
-                ends = {int(p["src"]): (p["ax"], p["ay"]), int(p["dst"]): (p["bx"], p["by"])}
-                if first in ends:
-                    geometry.append(ends[first])
-                geometry += [(float(graph.extra["lon"][e]), float(graph.extra["lat"][e])) for e in edges]
-            else:
-                length += _haversine(geometry[-1], end)
-        geometry.append(end)
-    stitched = [g for g, b in zip(geometry, [None, *geometry]) if g != b]
+        metres, corners = routes.way(p, c, limit) if p["sid"] != c["sid"] else (math.inf, [])
+        length += metres if corners else float(great_circle(*line[-1], *end))
+        line += [*corners, end]
+    line = [v for v, last in zip(line, [None, *line]) if v != last]
     snapped = [{"seq": int(r["seq"]), "sid": int(c["sid"]), "x": c["x"], "y": c["y"], "fraction": c["fraction"], "distance_m": round(c["dist_m"], 1)} for r, c in zip(rows, chosen)]
-    return (int(pdf["trace"].iloc[0]), round(length, 1), len(pdf), len(rows), len(pdf) - len(rows), snapped, [{"x": x, "y": y} for x, y in stitched])
+    return (int(pdf["trace"].iloc[0]), round(length, 1), len(pdf), len(rows), len(pdf) - len(rows), snapped, [{"x": x, "y": y} for x, y in line])
