@@ -30,8 +30,8 @@ from . import common
 SEQUENCE = 1024
 BATCH = 64  # sequences a batch
 END_ID = 2
-#: Bytes of words, stems and their ids that a worker keeps in each of two generations, about.
-CACHE_BYTES = 64 << 20
+#: Bytes of words, stems and their ids that a worker keeps in each of two generations, about. They stay from task to task.
+CACHE_BYTES = 160 << 20
 _ENTRY = 180  # bytes of an entry besides its text and ids
 _JOINED = 500
 _TAIL = ".,;:!?*%$&#"
@@ -69,7 +69,7 @@ class Encoder:
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split[0].get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-        self.size, self.words, self.before, self.stems = 0, {"": b""}, {}, {"": b""}
+        self.size, self.words, self.stems, self.words_before, self.stems_before = 0, {"": b""}, {"": b""}, {}, {}
 
     @classmethod
     def load(cls, path: str, width: str) -> "Encoder":
@@ -77,10 +77,6 @@ class Encoder:
             _CACHE[path, width] = cls(path, width)
         return _CACHE[path, width]
 
-    def forget(self) -> None:
-        """Frees the caches, which a worker would else hold through other work."""
-        self.size, self.words, self.before, self.stems = 0, {"": b""}, {}, {"": b""}
-
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
 
@@ -96,7 +92,15 @@ class Encoder:
     def _learn(self, fresh: list[str]) -> None:
         parts = [self._parts(w) for w in fresh]
         stems = self.stems
-        new = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in stems]
+        new = []
+        for x in dict.fromkeys(x for pair in parts for x in pair):
+            if x not in stems:
+                got = self.stems_before.get(x)
+                if got is None:
+                    new.append(x)
+                else:
+                    stems[x] = got
+                    self.size += _ENTRY + 2 * len(x) + len(got)
         plain = [x for x in new if "|" not in x] if self.bar is not None else []
         for at in range(0, len(plain), _JOINED):
             # one call for many of them, kept apart by a sign between blanks that none of them holds
@@ -123,8 +127,8 @@ class Encoder:
             return [self._whole(x) for x in texts]
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if self.size > CACHE_BYTES:
-            self.before, self.words, self.stems, self.size = self.words, {"": b""}, {"": b""}, 0
-        words, before, fresh = self.words, self.before, []
+            self.words_before, self.words, self.stems_before, self.stems, self.size = self.words, {"": b""}, self.stems, {"": b""}, 0
+        words, before, fresh = self.words, self.words_before, []
         for w in {w for s in split for w in s}:
             if w not in words:
                 got = before.get(w)
@@ -207,7 +211,6 @@ def _write_files(directory: str, tokenizer: str, end_id: int, length: int, width
             index_sink.close()
             fs.move(name + ".tmp", name + ".arrow")
             fs.move(name + ".index.tmp", name + ".index")
-            Encoder.load(tokenizer, width).forget()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "first_id": first, "documents": docs, "tokens": at}], schema)
 
     return run
