@@ -78,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+             w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+             s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]))) END AS sh FROM w),
+             t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+             shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+             links AS (SELECT a, b FROM shared WHERE 100 * c >= 90 * (na + nb - c)),
+             lab(node, label) USING KEY (node) AS (
+                 SELECT doc_id AS node, doc_id AS label FROM s
+                 UNION SELECT links.b AS node, min(lab.label) AS label FROM lab JOIN links ON links.a = lab.node JOIN recurring.lab AS old ON old.node = links.b WHERE lab.label < old.label GROUP BY links.b)
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, lab.label AS component_id FROM s JOIN lab ON lab.node = s.doc_id""",
     "op3_vantage_point_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
              ok AS (SELECT DISTINCT ON (vec_id) vec_id, e FROM v

