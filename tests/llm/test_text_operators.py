@@ -747,7 +747,8 @@ def test_search_query_matches_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    for name, keys in (("op3_vantage_point_search", ["query_id", "rank", "vec_id"]), ("op10_chat_trees", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])):
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name, keys in (("op2_ngram_jaccard", ["doc_id", "n_shingles", "component_id"]), ("op3_vantage_point_search", ["query_id", "rank", "vec_id"]), ("op10_chat_trees", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])):
         got = sorted(tuple(r) for r in queries.QUERIES[name](spark, sf).select(*keys).collect())
         assert got == sorted(con.sql(queries.ORACLE_SQL[name]).project(", ".join(keys)).fetchall())
 
