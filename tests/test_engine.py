@@ -112,7 +112,7 @@ def test_network_counts(spark):
     a, b = net.snap((0, 0), 0, 10)[0], net.snap((0.002, 0.002), 0, 10)[0]
     best = net.graph.search([(a, 0.0)], target=b)
     assert len(net.graph.path(best, b)) == 4
-    ew, ns = mapmatch._haversine((0, 0), (0.002, 0)), mapmatch._haversine((0, 0), (0, 0.002))
+    ew, ns = search.great_circle(0, 0, 0.002, 0), search.great_circle(0, 0, 0, 0.002)
     assert abs(best[b][0] - ew - ns) < 1
     assert network.undirected(net.edges).count() == 12
     near = __import__("geoloom.operators.joins", fromlist=["x"]).nearby_segments(spark.createDataFrame([(1, 0.0005, 0.00002)], "qid long, lon double, lat double"), net.segments(), 50.0, 3).orderBy("rank").first()
@@ -131,7 +131,7 @@ def test_levels(spark):
     rows = [(None, {"level": 1}, line((0, 0), (0.001, 0))), (None, {"level": 2}, line((0, 0), (0.001, 0))), (None, {"level_from": 1, "level_to": 2, "duration_s": 30}, line((0, 0), (0, 0)))]
     net = networks.Network("n", frame(spark, collection(*rows)).selectExpr("idx as feature", "props", "geom.coords[0] as parts"))
     a, b = net.snap((0.001, 0), 1, 1)[0], net.snap((0.001, 0), 2, 1)[0]
-    walk = mapmatch._haversine((0, 0), (0.001, 0)) / (5 / 3.6)
+    walk = search.great_circle(0, 0, 0.001, 0) / (5 / 3.6)
     assert a != b and abs(net.graph.search([(a, 0.0)], weight=net.weights["time"])[b][0] - 2 * walk - 30) < 1
 
 
