@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, html_extract, langid, ngram_jaccard, pii, spm, token_files, toxicity, vptree
+from . import chat, common, crc_ring, decontam, html_extract, langid, ngram_jaccard, oracle, periodic_runs, pii, setsketch, spm, token_files, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(chat.chain(rows)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_crc_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_ring.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=3, percent=5).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.components_of(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -75,9 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weak_supervision": op7_weak_supervision,
     "op8_toxicity": op8_toxicity,
     "op10_chat_trees": op10_chat_trees,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_crc_ring": op12_crc_ring,
+    "op13_setsketch": op13_setsketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    **oracle.SQL,
     "op2_ngram_jaccard": r"""
         WITH RECURSIVE d AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
              w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
