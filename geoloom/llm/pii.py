@@ -4,25 +4,32 @@ Candidates come from patterns. Strict ones (email, ip, card, phone, checked by t
 stay. Loose ones (spelt-out emails, phone numbers without a plus, names after a title or from a gazetteer) are kept if
 the final classifier says so. Five labelers vote for (1), against (-1) or abstain (0) on every candidate: a second
 regular expression for the usual way to write it, its arithmetic (Luhn, ranges, numbering plan, lengths), a gazetteer
-(top-level domains, card issuers, calling codes, given names), words of contact before it, and words before or after it
-and signs around it that speak against it.
+(top-level domains, card issuers, calling codes, given names), words before it that tell of contact or of something else,
+and words and signs around it that speak against it.
 
 Expectation-maximisation over the counts of vote patterns (a fixed number of rows) estimates, for each kind of
-candidate, how common personal data is among them and how often each labeler is right when it votes; Beta priors
-(right in 8 of 10 votes, one candidate in three) stand in where a corpus says little. A logistic classifier over votes
-and length is then trained for each kind on the probabilities of the patterns seen, and with little weight on those of
-all other patterns, so that it decides on patterns that come up later, too.
+candidate, how common personal data is among them and how often each labeler is right when it votes. Nothing bounds the
+estimates; pseudo-counts (right in 8 of 10 votes, one candidate in three, of names two) decide only where a corpus says
+little. What votes can't tell is not estimated from them: a labeler that only ever votes one way would confirm itself, so
+it takes no part in the rounds and is measured once by what the others found, and where fewer than three vote both ways the
+classes stay open and pseudo-counts stand. Labelers that nearly always say the same share one say. Names after a title and
+after a given name are kinds of their own, as the word that makes them candidates is no independent vote. A logistic
+classifier over votes and length is then trained for each kind on the probabilities of the patterns seen, and with little
+weight on those of all other patterns, so that it decides on patterns that come up later, too.
+
+Titles, given names, domains and places come from gazetteers, which are an input (``Gazetteers.read`` takes a table).
 
 All counts cover all rows. Positions are code points, end exclusive. Spans of the loose patterns that touch a base span,
 or an earlier loose one, are left out. A null text is empty. Repeated rows are handled each. Without candidates
-only the priors decide. An input column of the names ``spans`` or ``text`` in ``redact``'s result is replaced.
+only the priors decide. Columns of any names may stand beside the text; they stay as they are.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-import math
+import re
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,40 +49,74 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELT_EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,32}|\.[A-Za-z0-9-]{1,32}){1,4}"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?<![0-9][\x20])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])(?![\x20.][0-9])"
-TITLES = "Mr|Mrs|Ms|Miss|Mx|Sir|Lady|Dr|Prof|Rev|Herr|Frau|Herrn|Monsieur|Madame|Mademoiselle|Mme|Mlle|Maître|Señor|Señora|Señorita|Sr|Sra|Srta|Don|Doña"
-FIRST_NAMES = (
-    "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Christopher|Daniel|Matthew|Anthony|Mark|Donald|Steven|Andrew|Paul|Joshua|Kenneth|Kevin|Brian|George|Edward|Ronald|Timothy|Jason|Jeffrey|Ryan|Jacob|Gary|Nicholas|Eric|Jonathan|Stephen|Larry|Justin|Scott|Brandon|"
-    "Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Nancy|Lisa|Betty|Margaret|Sandra|Ashley|Kimberly|Emily|Donna|Michelle|Carol|Amanda|Dorothy|Melissa|Deborah|Stephanie|Rebecca|Sharon|Laura|Cynthia|Kathleen|Amy|Angela|Shirley|Anna|Emma|"
-    "Hans|Peter|Klaus|Jürgen|Wolfgang|Günter|Dieter|Stefan|Andreas|Uwe|Bernd|Matthias|Frank|Jens|Ursula|Monika|Petra|Sabine|Renate|Helga|Karin|Brigitte|Ingrid|Erika|Andrea|Claudia|Susanne|Gabriele|Heike|Anja|"
-    "Jean|Pierre|Philippe|Alain|Patrick|Nicolas|Christophe|Laurent|Frédéric|Julien|François|Jacques|Olivier|Marie|Nathalie|Isabelle|Sylvie|Catherine|Françoise|Valérie|Christine|Monique|Sophie|Sandrine|Céline|Claude|Camille|"
-    "José|Juan|Antonio|Manuel|Francisco|Javier|Carlos|Jesús|Miguel|Alejandro|Rafael|Pedro|Pablo|Luis|Fernando|Carmen|María|Josefa|Isabel|Dolores|Pilar|Teresa|Ana|Lucía|Cristina|Marta|Elena|Rosa"
-)
-NAME = rf"(?=[A-Z])(?<![\p{{L}}])(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}{{1,24}}|(?:{FIRST_NAMES})\x20\p{{Lu}}\p{{Ll}}{{1,24}})(?![\p{{L}}])"
-DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|tv|app|dev|eu|uk|us|ca|au|nz|ie|in|de|at|ch|li|fr|be|lu|es|mx|ar|cl|pe|ve|it|nl|pt|br|pl|cz|se|no|dk|fi|gr|ru|ua|tr|jp|cn|kr|za"
-PLACES = "Street|St|Avenue|Ave|Road|Rd|Lane|Boulevard|Square|Bridge|Park|Hall|House|School|College|University|Institute|Library|Museum|Hospital|Church|Airport|Station|Inc|Ltd|LLC|GmbH|AG|SA|Foundation|Prize|Award|Medal|Act|Theorem|Straße|Platz|Schule|Preis|Rue|Calle|Plaza|Premio|Prix"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 FOR = r"(?i)(?:e-?mail|mail|contact|kontakt|contacto|correo|courriel|write to|reach|call|tel|tél|phone|fon|téléphone|teléfono|fax|mobile|handy|card|karte|tarjeta|carte|visa|credit|address|adresse|name|nom|nombre|dear|liebe|lieber|cher|chère|estimado|estimada|ip|host)\W{0,3}$"
 AGAINST = r"(?i)(?:version|isbn|issn|serial|order|invoice|figure|fig|section|chapter|no\.|nr\.|id|§|#|\$|€|=)\W{0,2}$"
 
 # First a sign that some pattern with digits can match, then a test for each pattern: most texts are read once.
 DIGITS = r"[0-9][0-9.\x20()-]"
-#: (kind, base, pattern, whether it needs digits, strings of which one must occur, test or None)
-PATTERNS = (
-    ("email", True, EMAIL, False, ("@",), None),
-    ("ip", True, IP, True, (".",), r"[0-9]\.[0-9]"),
-    ("card", True, CARD, True, (), r"[0-9](?:[\x20-]?[0-9]){13}"),
-    ("phone", True, PHONE, True, ("+",), r"\+[0-9]"),
-    ("email", False, SPELT_EMAIL, False, ("at)", "at]"), r"[\[(]at[\])]"),
-    ("phone", False, LOCAL_PHONE, True, (), r"[0-9]{3}[\x20.-][0-9]{4}"),
-    ("name", False, NAME, False, (), rf"(?=[A-Z])(?:(?:{TITLES})\.?|{FIRST_NAMES})\x20\p{{Lu}}"),
-)
-VOTERS = ("usual", "checks", "gazetteer", "context", "against")
-#: Pseudo-counts: right and wrong votes of each labeler, and candidates that are personal data and that aren't.
+
+#: Entries of all gazetteers together, which become patterns.
+MOST_ENTRIES = 20_000
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Alternatives of words, as patterns: what stands before a name, given names, top-level domains, and words that make
+    a place or an institution of what looks like a name. The defaults are a start; a corpus wants lists of its own."""
+
+    titles: str = "Mr|Mrs|Ms|Miss|Mx|Sir|Lady|Dr|Prof|Rev|Herr|Frau|Herrn|Monsieur|Madame|Mademoiselle|Mme|Mlle|Maître|Señor|Señora|Señorita|Sr|Sra|Srta|Don|Doña"
+    names: str = (
+        "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Christopher|Daniel|Matthew|Anthony|Mark|Donald|Steven|Andrew|Paul|Joshua|Kenneth|Kevin|Brian|George|Edward|Ronald|Timothy|Jason|Jeffrey|Ryan|Jacob|Gary|Nicholas|Eric|Jonathan|Stephen|Larry|Justin|Scott|Brandon|"
+        "Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Nancy|Lisa|Betty|Margaret|Sandra|Ashley|Kimberly|Emily|Donna|Michelle|Carol|Amanda|Dorothy|Melissa|Deborah|Stephanie|Rebecca|Sharon|Laura|Cynthia|Kathleen|Amy|Angela|Shirley|Anna|Emma|"
+        "Hans|Peter|Klaus|Jürgen|Wolfgang|Günter|Dieter|Stefan|Andreas|Uwe|Bernd|Matthias|Frank|Jens|Ursula|Monika|Petra|Sabine|Renate|Helga|Karin|Brigitte|Ingrid|Erika|Andrea|Claudia|Susanne|Gabriele|Heike|Anja|"
+        "Jean|Pierre|Philippe|Alain|Patrick|Nicolas|Christophe|Laurent|Frédéric|Julien|François|Jacques|Olivier|Marie|Nathalie|Isabelle|Sylvie|Catherine|Françoise|Valérie|Christine|Monique|Sophie|Sandrine|Céline|Claude|Camille|"
+        "José|Juan|Antonio|Manuel|Francisco|Javier|Carlos|Jesús|Miguel|Alejandro|Rafael|Pedro|Pablo|Luis|Fernando|Carmen|María|Josefa|Isabel|Dolores|Pilar|Teresa|Ana|Lucía|Cristina|Marta|Elena|Rosa"
+    )
+    domains: str = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|tv|app|dev|eu|uk|us|ca|au|nz|ie|in|de|at|ch|li|fr|be|lu|es|mx|ar|cl|pe|ve|it|nl|pt|br|pl|cz|se|no|dk|fi|gr|ru|ua|tr|jp|cn|kr|za"
+    places: str = "Street|St|Avenue|Ave|Road|Rd|Lane|Boulevard|Square|Bridge|Park|Hall|House|School|College|University|Institute|Library|Museum|Hospital|Church|Airport|Station|Inc|Ltd|LLC|GmbH|AG|SA|Foundation|Prize|Award|Medal|Act|Theorem|Straße|Platz|Schule|Preis|Rue|Calle|Plaza|Premio|Prix"
+
+    @classmethod
+    def read(cls, entries: DataFrame) -> "Gazetteers":
+        """From rows (list, entry), where list is the name of a gazetteer; lists without rows keep their defaults."""
+        rows = entries.where("entry is not null and entry <> ''").select("list", "entry").distinct().limit(MOST_ENTRIES + 1).collect()
+        if len(rows) > MOST_ENTRIES:
+            raise ValueError(f"gazetteers may have {MOST_ENTRIES} entries")
+        known = {f.name for f in fields(cls)}
+        if unknown := {r["list"] for r in rows} - known:
+            raise ValueError(f"no such gazetteers: {sorted(map(str, unknown))}")
+        # longer entries first, so that none hides behind its own beginning
+        return cls(**{name: "|".join(re.escape(e) for e in sorted((r["entry"] for r in rows if r["list"] == name), key=lambda e: (-len(e), e))) for name in {r["list"] for r in rows}})
+
+
+def patterns(lists: Gazetteers) -> tuple:
+    """(name, kind, base, pattern, whether it needs digits, strings of which one must occur, test or None)"""
+    word = r"\x20\p{Lu}\p{Ll}{1,24}(?![\p{L}])"
+    titled, given = rf"(?:{lists.titles})\.?", rf"(?:{lists.names})"
+    return (
+        ("email", "email", True, EMAIL, False, ("@",), None),
+        ("ip", "ip", True, IP, True, (".",), r"[0-9]\.[0-9]"),
+        ("card", "card", True, CARD, True, (), r"[0-9](?:[\x20-]?[0-9]){13}"),
+        ("phone", "phone", True, PHONE, True, ("+",), r"\+[0-9]"),
+        ("spelt", "email", False, SPELT_EMAIL, False, ("at)", "at]"), r"[\[(]at[\])]"),
+        ("local", "phone", False, LOCAL_PHONE, True, (), r"[0-9]{3}[\x20.-][0-9]{4}"),
+        ("titled", "name", False, rf"(?=\p{{Lu}})(?<![\p{{L}}]){titled}{word}", False, (), rf"(?=\p{{Lu}}){titled}\x20\p{{Lu}}"),
+        ("given", "name", False, rf"(?=\p{{Lu}})(?<![\p{{L}}]){given}{word}", False, (), rf"(?=\p{{Lu}}){given}\x20\p{{Lu}}"),
+    )
+
+
+PATTERNS = tuple(p[:3] for p in patterns(Gazetteers()))
+VOTERS = ("usual", "checks", "gazetteer", "context", "around")
+#: Pseudo-counts: right and wrong votes of each labeler, and candidates that are personal data and that aren't; of names
+#: after a title or a given name most are.
 RIGHT, WRONG, YES, NO = 8.0, 2.0, 1.0, 2.0
-#: Bounds of the estimates. A labeler that mostly votes alone would else confirm itself: as it is, no single vote for a
-#: candidate outweighs one against it, and none is kept without evidence.
-RIGHT_WITHIN = {"against": (0.9, 0.95)}
-RIGHT_ELSE, PRIOR_WITHIN = (0.8, 0.9), (0.25, 0.45)
+RIGHT_AROUND, WRONG_AROUND = 9.0, 1.0
+TELLING = {"titled": (2.0, 1.0), "given": (2.0, 1.0)}
+#: Labelers that say the same on this share of the candidates share one vote.
+SAME = 0.99
+#: A labeler votes both ways if the rarer one is this share of its votes and so many; so many such labelers tell classes.
+RARER_SHARE, RARER, ENOUGH = 0.01, 20, 3
+ROUNDS = 1000
 #: Weight of a vote pattern that the corpus doesn't show in the training of the classifier.
 UNSEEN = 0.05
 
@@ -99,38 +140,38 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no if no is not None else ~yes, -1).otherwise(0)
 
 
-def votes(kind: str, base: bool, value: Column, before: Column, after: Column) -> list[Column]:
+def votes(name: str, value: Column, before: Column, after: Column, lists: Gazetteers) -> list[Column]:
     """The labelers' votes on a candidate and the text around it, in the order of VOTERS."""
     n = F.length(_digits(value))
     odd = after.rlike(r"^[\p{L}\p{N}_=]")
-    if kind == "email":
-        usual = _vote(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$")) if base else _vote(value.rlike(r"[\[(]dot[\])]\x20?[A-Za-z]{2,}$"), value.rlike("[0-9]$"))
+    if name in ("email", "spelt"):
+        usual = _vote(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$")) if name == "email" else _vote(value.rlike(r"[\[(]dot[\])]\x20?[A-Za-z]{2,}$"), value.rlike("[0-9]$"))
         checks = _vote(F.length(value).between(6, 254), F.lit(True))
-        gazetteer = _vote(value.rlike(rf"(?i)(?:\.|dot[\])]\x20?)(?:{DOMAINS})$"))
-    elif kind == "ip":
+        gazetteer = _vote(value.rlike(rf"(?i)(?:\.|dot[\])]\x20?)(?:{lists.domains})$"))
+    elif name == "ip":
         usual = _vote(value.rlike(r"^(?:[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$"))
         checks = _vote(valid("ip", value))
         gazetteer = _vote(value.rlike(r"^(?:10|127|172|192|169)\."), value.rlike(r"^(?:0|22[4-9]|23[0-9]|2[4-9][0-9])\."))
-    elif kind == "card":
+    elif name == "card":
         usual = _vote(value.rlike(r"^(?:[0-9]{4}(?:[\x20-]?)){3}[0-9]{4}$|^[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}$"))
         checks = _vote(valid("card", value))
         gazetteer = _vote(value.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6)"))
-    elif kind == "phone" and base:
+    elif name == "phone":
         usual = _vote(value.rlike(r"^\+[1-9][0-9]{0,2}[\x20(.-]"), value.rlike(r"^\+0"))
         checks = _vote(n.between(10, 15))
         gazetteer = _vote(value.rlike(r"^\+(?:1|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1-6]|9[0-8])"))
-    elif kind == "phone":
-        usual = _vote(value.rlike(r"^\("), F.lit(False))
+    elif name == "local":
+        usual = _vote(value.rlike(r"^\("), ~value.rlike(r"^[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}$"))
         checks = _vote(value.rlike(r"^\(?[2-9][0-8][0-9]\)?[\x20.-]?[2-9]"))  # area code and exchange of the numbering plan
         gazetteer = _vote(value.rlike(r"^\(?(?:800|888|877|866|855|844|833)"), value.rlike(r"^\(?(?:900|976|[0-9]11)"))
     else:
-        usual = _vote(value.rlike(rf"^(?:{TITLES})\b"), F.lit(False))
+        usual = _vote(value.rlike(rf"^(?:{lists.titles})\b"), F.lit(False))
         checks = _vote(F.lit(False), F.length(F.substring_index(value, " ", -1)) < 3)
-        gazetteer = _vote(value.rlike(rf"(?:^|\x20)(?:{FIRST_NAMES})(?:\x20|$)"), F.lit(False))
-        odd = odd | value.rlike(rf"\x20(?:{PLACES})$") | after.rlike(rf"^\x20(?:{PLACES})\b")
-    context = F.when(before.rlike(FOR), 1).otherwise(0)
-    against = F.when(before.rlike(AGAINST) | odd, -1).otherwise(0)
-    return [usual, checks, gazetteer, context, against]
+        gazetteer = _vote(value.rlike(rf"(?:^|\x20)(?:{lists.names})(?:\x20|$)"), F.lit(False))
+        odd = odd | value.rlike(rf"\x20(?:{lists.places})$") | after.rlike(rf"^\x20(?:{lists.places})\b")
+    context = F.when(before.rlike(AGAINST), -1).when(before.rlike(FOR), 1).otherwise(0)
+    around = F.when(odd, -1).otherwise(0)
+    return [usual, checks, gazetteer, context, around]
 
 
 def _may(text: Column, digits: Column, needs: bool, strings: tuple, test: str | None) -> Column:
@@ -158,13 +199,13 @@ def _starts(pieces: Column, found: Column) -> Column:
     return F.flatten(each)
 
 
-def _hits(kind: str, base: bool, pieces: Column, found: Column, starts: Column | None = None) -> Column:
+def _hits(name: str, kind: str, base: bool, pieces: Column, found: Column, lists: Gazetteers, starts: Column | None = None) -> Column:
     """A struct for each match: kind, base, value, votes, length class and, with starts, its place."""
 
     def one(value: Column, i: Column) -> Column:
         before, after = F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT))
-        fields = [F.lit(kind).alias("kind"), F.lit(base).alias("base"), (valid(kind, value) if base else F.lit(True)).alias("valid")]
-        fields += [v.cast("int").alias(name) for name, v in zip(VOTERS, votes(kind, base, value, before, after))]
+        fields = [F.lit(name).alias("pattern"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), (valid(kind, value) if base else F.lit(True)).alias("valid")]
+        fields += [v.cast("int").alias(voter) for voter, v in zip(VOTERS, votes(name, value, before, after, lists))]
         fields.append(F.least(F.floor(F.length(value) / 8), F.lit(3)).cast("int").alias("size"))
         if starts is not None:
             fields += [F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(value)).alias("end")]
@@ -173,73 +214,92 @@ def _hits(kind: str, base: bool, pieces: Column, found: Column, starts: Column |
     return F.transform(found, one)
 
 
-def _with_matches(docs: DataFrame, text: Column, places: bool) -> tuple[DataFrame, list[Column]]:
+def _with_matches(docs: DataFrame, text: Column, places: bool, lists: Gazetteers) -> tuple[DataFrame, list[Column]]:
     """docs with helper columns, and an array column of hits for each pattern."""
+    known = patterns(lists)
     docs = docs.withColumn("__digits", text.rlike(DIGITS))
-    docs = docs.withColumns({f"__may{k}": _may(text, F.col("__digits"), *p[3:]) for k, p in enumerate(PATTERNS)})
-    for k, p in enumerate(PATTERNS):
-        pieces, found = _matched(text, p[2], F.col(f"__may{k}"))
+    docs = docs.withColumns({f"__may{k}": _may(text, F.col("__digits"), *p[4:]) for k, p in enumerate(known)})
+    for k, p in enumerate(known):
+        pieces, found = _matched(text, p[3], F.col(f"__may{k}"))
         docs = docs.withColumns({f"__pieces{k}": pieces, f"__found{k}": found})
     if places:
-        docs = docs.withColumns({f"__starts{k}": F.when(F.size(f"__found{k}") > 0, _starts(F.col(f"__pieces{k}"), F.col(f"__found{k}"))) for k in range(len(PATTERNS))})
-    hits = [_hits(kind, base, F.col(f"__pieces{k}"), F.col(f"__found{k}"), F.col(f"__starts{k}") if places else None) for k, (kind, base, *_) in enumerate(PATTERNS)]
+        docs = docs.withColumns({f"__starts{k}": F.when(F.size(f"__found{k}") > 0, _starts(F.col(f"__pieces{k}"), F.col(f"__found{k}"))) for k in range(len(known))})
+    hits = [_hits(*p[:3], F.col(f"__pieces{k}"), F.col(f"__found{k}"), lists, F.col(f"__starts{k}") if places else None) for k, p in enumerate(known)]
     return docs, hits
 
 
 class Kind:
-    """What is known of the candidates of one pattern: the share that is personal data, how often each labeler is right,
-    and the classifier's weights."""
+    """What is known of the candidates of one pattern: the share that is personal data, how often each labeler is right
+    when it votes, each labeler's share of a say, and the classifier's weights."""
+
+    def __init__(self, prior: float, right: np.ndarray, share: np.ndarray):
+        self.prior, self.rights, self.share, self.weights = prior, right, share, {}
 
-    def __init__(self, prior: float, right: dict[str, float], weights: dict):
-        self.prior, self.right, self.weights = prior, right, weights
+    def posterior(self, votes: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of vote patterns by the label model, or by some of its labelers."""
+        odds = self.share * np.log(self.rights / (1 - self.rights)) * (1 if of is None else of)
+        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + votes @ odds)))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probabilities of vote patterns by the label model."""
-        odds = np.array([math.log(self.right[name] / (1 - self.right[name])) for name in VOTERS])
-        return 1 / (1 + np.exp(-(math.log(self.prior / (1 - self.prior)) + votes @ odds)))
+    @property
+    def right(self) -> dict[str, float]:
+        return dict(zip(VOTERS, self.rights.tolist()))
 
 
 class Model:
-    """A Kind for each (kind, base)."""
+    """A Kind for each pattern, and the gazetteers that they were learnt with."""
 
-    def __init__(self, kinds: dict):
-        self.kinds = kinds
+    def __init__(self, kinds: dict, lists: Gazetteers):
+        self.kinds, self.lists = kinds, lists
 
-    def probability(self, kind: str, base: bool, hit: Column) -> Column:
-        weights = self.kinds[kind, base].weights
+    def probability(self, name: str, hit: Column) -> Column:
+        weights = self.kinds[name].weights
         z = F.lit(weights["bias"])
         for (field, value), w in ((k, w) for k, w in weights.items() if k != "bias"):
             z = z + F.when(hit[field] == value, F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
-    def keeps(self, kind: str, base: bool, hit: Column) -> Column:
-        return hit["valid"] if base else self.probability(kind, base, hit) >= THRESHOLD
+    def keeps(self, name: str, base: bool, hit: Column) -> Column:
+        return hit["valid"] if base else self.probability(name, hit) >= THRESHOLD
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = 50) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lists: Gazetteers = Gazetteers()) -> Model:
     """Counts the vote patterns of all candidates and learns from the counts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows, hits = _with_matches(docs.select(text.alias("__text")), F.col("__text"), False)
+    rows, hits = _with_matches(docs.select(text.alias("__text")), F.col("__text"), False, lists)
     flat = rows.select(F.explode(F.concat(*hits)).alias("h")).select("h.*").where("valid or not base or kind = 'card'")
-    got = flat.groupBy("kind", "base", *VOTERS, "size").count().collect()  # at most kinds x 3^5 x sizes rows
-    return _learn([r.asDict() for r in got], rounds)
+    got = [r.asDict() for r in flat.groupBy("pattern", *VOTERS, "size").count().collect()]  # at most patterns x 3^5 x sizes rows
+    return Model({name: _learn_kind([r for r in got if r["pattern"] == name], *TELLING.get(name, (YES, NO))) for name, *_ in PATTERNS}, lists)
 
 
-def _learn(patterns: list[dict], rounds: int) -> Model:
-    return Model({(kind, base): _learn_kind([r for r in patterns if (r["kind"], r["base"]) == (kind, base)], rounds) for kind, base, *_ in PATTERNS})
+def _shares(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each labeler's share of a say: labelers that say the same on nearly all candidates, and not always, have one."""
+    if not len(n):
+        return np.ones(len(VOTERS))
+    varies = np.array([len(np.unique(v[:, j])) > 1 for j in range(len(VOTERS))])
+    same = np.array([[n @ (v[:, j] == v[:, k]) >= SAME * n.sum() for k in range(len(VOTERS))] for j in range(len(VOTERS))])
+    return 1 / np.maximum(1, (same & varies & varies[:, None]).sum(1))
 
 
-def _learn_kind(patterns: list[dict], rounds: int) -> Kind:
+def _learn_kind(patterns: list[dict], yes: float = YES, no: float = NO) -> Kind:
     v = np.array([[r[k] for k in VOTERS] for r in patterns], float).reshape(-1, len(VOTERS))
     n = np.array([r["count"] for r in patterns], float)
-    within = lambda name, x: min(max(x, RIGHT_WITHIN.get(name, RIGHT_ELSE)[0]), RIGHT_WITHIN.get(name, RIGHT_ELSE)[1])
-    kind = Kind(YES / (YES + NO), {name: within(name, RIGHT / (RIGHT + WRONG)) for name in VOTERS}, {})
-    for _ in range(rounds):
-        p = kind.posterior(v)
-        kind.prior = min(max(float((n @ p + YES) / (n.sum() + YES + NO)), PRIOR_WITHIN[0]), PRIOR_WITHIN[1])
-        for j, name in enumerate(VOTERS):
-            agree = n @ np.where(v[:, j] > 0, p, np.where(v[:, j] < 0, 1 - p, 0.0))
-            kind.right[name] = within(name, float((agree + RIGHT) / (n @ (v[:, j] != 0) + RIGHT + WRONG)))
+    right, wrong = (np.array([a] * 4 + [b]) for a, b in ((RIGHT, RIGHT_AROUND), (WRONG, WRONG_AROUND)))
+    kind = Kind(yes / (yes + no), right / (right + wrong), _shares(v, n))
+    rarer = np.minimum(n @ (v > 0), n @ (v < 0))
+    both_ways = (rarer >= RARER) & (rarer >= RARER_SHARE * (n @ (v != 0)))
+
+    def estimate(p: np.ndarray, of: np.ndarray) -> None:
+        agree = np.array([n @ np.where(v[:, j] > 0, p, np.where(v[:, j] < 0, 1 - p, 0.0)) for j in range(len(VOTERS))])
+        kind.rights = np.where(of, (agree + right) / (n @ (v != 0) + right + wrong), kind.rights)
+
+    if (both_ways * kind.share).sum() >= ENOUGH:
+        for _ in range(ROUNDS):
+            p = kind.posterior(v, both_ways)
+            before, kind.prior = kind.prior, float((n @ p + yes) / (n.sum() + yes + no))
+            estimate(p, both_ways)
+            if abs(kind.prior - before) < 1e-10:
+                break
+        estimate(kind.posterior(v, both_ways), ~both_ways)  # by what the others found, so that none confirms itself
     every = np.array(list(itertools.product((-1, 0, 1), repeat=len(VOTERS))), float)
     votes_, size = np.concatenate([v, np.repeat(every, 4, 0)]), np.concatenate([[r["size"] for r in patterns], np.tile(np.arange(4), len(every))])
     weight = np.concatenate([n / max(1.0, n.sum()) * min(n.sum(), 1e4), np.full(4 * len(every), UNSEEN)])
@@ -261,10 +321,10 @@ def _learn_kind(patterns: list[dict], rounds: int) -> Kind:
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and spans (array of kind, base, start, end; by start, then kind as listed)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows, hits = _with_matches(docs.select(F.col(id_col), text.alias("__text")), F.col("__text"), True)
+    rows, hits = _with_matches(docs.select(F.col(id_col), text.alias("__text")), F.col("__text"), True, model.lists)
     order = F.array(*[F.lit(k) for k in KINDS])
     slim = lambda h: F.struct(h["start"].alias("start"), F.array_position(order, h["kind"]).cast("int").alias("nth"), h["end"].alias("end"), h["kind"].alias("kind"), h["base"].alias("base"))
-    kept = [F.transform(F.filter(h, functools.partial(model.keeps, kind, base)), slim) for h, (kind, base, *_) in zip(hits, PATTERNS)]
+    kept = [F.transform(F.filter(h, functools.partial(model.keeps, name, base)), slim) for h, (name, _, base) in zip(hits, PATTERNS)]
     rows = rows.select(id_col, F.array_sort(F.concat(*kept[:4])).alias("__base"), F.array_sort(F.concat(*kept[4:])).alias("__loose"))
     # base spans in chunks with their reach, so that a loose span isn't compared with each of them
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("__base") - 1) / _CHUNK).cast("int")), lambda c: F.slice("__base", c * _CHUNK + 1, F.lit(_CHUNK)))
@@ -291,22 +351,25 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def _shown(kind: str, base: bool, model: Model):
-    return lambda m, h: F.when(model.keeps(kind, base, h), F.lit(f"[{kind.upper()}]")).otherwise(m)
+def _shown(name: str, kind: str, base: bool, model: Model):
+    return lambda m, h: F.when(model.keeps(name, base, h), F.lit(f"[{kind.upper()}]")).otherwise(m)
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with every kept span of the text replaced by its kind in brackets; base patterns go first, in the order of the
     kinds, and loose ones last. A null text stays null."""
-    columns = docs.columns
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("__digits", F.col("__text").rlike(DIGITS))
-    for kind, base, pattern, needs, strings, test in PATTERNS:
-        rows = rows.withColumn("__may", _may(F.col("__text"), F.col("__digits"), needs, strings, test))
-        pieces, found = _matched(F.col("__text"), pattern, F.col("__may"))
-        rows = rows.withColumns({"__pieces": pieces, "__found": found})
-        hits = _hits(kind, base, F.col("__pieces"), F.col("__found"))
-        shown = F.zip_with("__found", hits, _shown(kind, base, model))
-        whole = F.array_join(F.zip_with("__pieces", shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-        rows = rows.withColumn("__text", F.when(F.size("__found") > 0, whole).otherwise(F.col("__text")))
-    return rows.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__text"))).select(*common.cols(columns))
+    own = f"c{docs.columns.index(text_col)}"
+    rows = common.plain(docs)  # no name of docs meets a helper's
+    kept = rows.columns
+    rows = rows.withColumn("text", F.coalesce(F.col(own).cast("string"), F.lit("")))
+    rows = rows.withColumn("digits", F.col("text").rlike(DIGITS))
+    for name, kind, base, pattern, needs, strings, test in patterns(model.lists):
+        rows = rows.withColumn("may", _may(F.col("text"), F.col("digits"), needs, strings, test))
+        pieces, found = _matched(F.col("text"), pattern, F.col("may"))
+        rows = rows.withColumns({"pieces": pieces, "found": found})
+        hits = _hits(name, kind, base, F.col("pieces"), F.col("found"), model.lists)
+        shown = F.zip_with("found", hits, _shown(name, kind, base, model))
+        whole = F.array_join(F.zip_with("pieces", shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        rows = rows.withColumn("text", F.when(F.size("found") > 0, whole).otherwise(F.col("text")))
+    rows = rows.withColumn(own, F.when(F.col(own).isNotNull(), F.col("text")))
+    return rows.select(*kept).toDF(*docs.columns)

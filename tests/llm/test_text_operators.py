@@ -554,31 +554,6 @@ def test_loose_spans(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in pii.detect(df, unseen).collect()} == {i: len(s) for i, s in got.items()}
 
 
-def test_reliabilities_by_hand(spark):
-    """The label model over counts of patterns against one over single candidates."""
-    rng = np.random.default_rng(3)
-    v = rng.choice([-1, 0, 1], (300, 5), p=[0.2, 0.3, 0.5])
-    v[:120] = [1, 1, 0, 1, 0]
-    counts = Counter(tuple(x) for x in v.tolist())
-    kind = pii._learn_kind([{**dict(zip(pii.VOTERS, k)), "size": 1, "count": c} for k, c in counts.items()], 30)
-    prior, right = 1 / 3, [0.8] * 4 + [0.9]
-    for _ in range(30):
-        p = []
-        for x in v:
-            yes, no = prior, 1 - prior
-            for j, vote in enumerate(x):
-                if vote:
-                    yes *= right[j] if vote > 0 else 1 - right[j]
-                    no *= right[j] if vote < 0 else 1 - right[j]
-            p.append(yes / (yes + no))
-        prior = min(0.45, max(0.25, (sum(p) + 1) / (len(v) + 3)))
-        right = [(sum(a if x[j] > 0 else 1 - a for a, x in zip(p, v) if x[j]) + 8) / (sum(1 for x in v if x[j]) + 10) for j in range(5)]
-        right = [min(0.9, max(0.8, r)) for r in right[:4]] + [min(0.95, max(0.9, right[4]))]
-    assert kind.prior == pytest.approx(prior) and [kind.right[k] for k in pii.VOTERS] == pytest.approx(right)
-    z = np.array([kind.weights["bias"] + kind.weights["size", 1] + sum(kind.weights.get((k, int(x)), 0.0) for k, x in zip(pii.VOTERS, row)) for row in v])
-    assert ((z > 0) == (kind.posterior(v.astype(float)) > 0.5)).mean() > 0.97
-
-
 # --- toxicity ---
 
 
