@@ -190,6 +190,8 @@ SQL: dict[str, str] = {
     "sssp_seeded": _with("e", _sssp("SELECT 0::BIGINT AS req, CAST(node AS BIGINT) AS node, CAST(cost AS BIGINT) AS cost FROM (VALUES (0, 500), (120, 0), (199, 250)) AS v(node, cost)"), True) + "SELECT node, cost FROM best",
     "shortest_path": _with("e", _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 7813 % (SELECT count(*) FROM part) AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier"), True)
     + "SELECT req, cost, CAST(req * 7813 % (SELECT count(*) FROM part) AS BIGINT) AS src, node AS dst FROM best WHERE node = req * 7837 % (SELECT count(*) FROM part)",
+    "path_lengths": _with("e", _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 7813 % (SELECT count(*) FROM part) AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier"), True)
+    + "SELECT req, cost FROM best WHERE node = req * 7837 % (SELECT count(*) FROM part) AND node <> req * 7813 % (SELECT count(*) FROM part)",
     "isochrone_reach": _with("e", _REACH, True) + f"SELECT req, cutoff, count(*) AS reached FROM best CROSS JOIN {_CUTS} WHERE cost <= cutoff GROUP BY req, cutoff",
     "isochrone_frontier": _with("e", _FRONTIER, True) + 'SELECT req, cutoff, src, dst, "full", round(fraction, 6) AS fraction FROM frontier',
     "raster_cells": _with("n e", _CELLS, True) + "SELECT req, cutoff, gx, gy FROM cells",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, measure, mercator, props
-from geoloom.operators import cache, dbscan, features, joins, mapmatch, network, raster, search, tiles
+from geoloom.operators import cache, dbscan, features, joins, mapmatch, network, overlay, raster, search, tiles
 from geoloom.sources import geojson
 
 from . import documents, views
@@ -314,46 +314,48 @@ def nearby_edges(spark, sf):
     return joins.nearby_segments(asked, s, 50.0, 5, 41.0).select("qid", "rank", "sid", F.round("dist_m", 1).alias("dist_m"))
 
 
-def _graph(spark, sf):
-    return search.Graph.collect(views.edges(spark, sf), "w")
-
-
 @query
 def sssp(spark, sf):
-    asked = spark.createDataFrame([(0, [(0, 0)])], "req bigint, seeds array<struct<node:bigint,cost:bigint>>")
-    return search.reach(asked, _graph(spark, sf)).select("node", "cost")
+    seeds = spark.createDataFrame([(0, 0, 0)], "req bigint, node bigint, cost bigint")
+    return overlay.costs(overlay.build(views.edges(spark, sf)), seeds).select("node", "cost")
 
 
 @query
 def sssp_relax(spark, sf):
-    """The relational form over the whole lattice."""
+    """The same by rounds over the blocks of the network itself."""
     return search.relax(spark.createDataFrame([(0, 0, 0)], "req bigint, node bigint, cost bigint"), views.edges(spark, sf)).select("node", "cost")
 
 
 @query
 def sssp_seeded(spark, sf):
-    asked = spark.createDataFrame([(0, [(0, 500), (120, 0), (199, 250)])], "req bigint, seeds array<struct<node:bigint,cost:bigint>>")
-    return search.reach(asked, _graph(spark, sf)).select("node", "cost")
+    seeds = spark.createDataFrame([(0, 0, 500), (0, 120, 0), (0, 199, 250)], "req bigint, node bigint, cost bigint")
+    return overlay.costs(overlay.build(views.edges(spark, sf)), seeds).select("node", "cost")
 
 
 def _requests(spark, sf, **factors):
-    """A request of each supplier: its key times each factor, modulo the number of nodes, spreads over the whole lattice. The
-    searches cost the most, so the few rows are dealt over all cores."""
+    """A request of each supplier: its key times each factor, modulo the number of nodes, spreads over the whole lattice."""
     n = views.nodes(spark, sf).count()
-    asked = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("req"), *[(F.col("s_suppkey") * f % n).alias(c) for c, f in factors.items()])
-    return asked.repartition(spark.sparkContext.defaultParallelism)
+    return views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("req"), *[(F.col("s_suppkey") * f % n).cast("bigint").alias(c) for c, f in factors.items()])
 
 
 @query
 def shortest_path(spark, sf):
-    got = search.shortest(_requests(spark, sf, src=7813, dst=7837), _graph(spark, sf))
+    got = overlay.paths(overlay.build(views.edges(spark, sf)), _requests(spark, sf, src=7813, dst=7837))
     return got.select("req", "cost", F.col("nodes")[0].alias("src"), F.element_at("nodes", -1).alias("dst"))
 
 
+@query
+def path_lengths(spark, sf):
+    """The edges of each path of shortest_path that are edges of the lattice, and the sum of their costs."""
+    edges = views.edges(spark, sf)
+    got = overlay.paths(overlay.build(edges), _requests(spark, sf, src=7813, dst=7837))
+    steps = got.where(F.size("nodes") > 1).select("req", F.explode(F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst")))).alias("s")).select("req", "s.src", "s.dst")
+    return steps.join(edges, ["src", "dst"]).groupBy("req").agg(F.sum("w").alias("cost"))
+
+
 def _reached(spark, sf):
-    seeds = F.array(F.struct("node", F.lit(0).cast("bigint").alias("cost")))
-    asked = _requests(spark, sf, node=7817)
-    return search.reach(asked.select("req", seeds.alias("seeds")), _graph(spark, sf), max(CUTOFFS))
+    seeds = _requests(spark, sf, node=7817).withColumn("cost", F.lit(0).cast("bigint"))
+    return overlay.rounds(seeds, overlay.with_blocks(views.edges(spark, sf), overlay.BLOCK_NODES), cutoff=max(CUTOFFS)).select("req", "node", "cost")
 
 
 @query
