@@ -1,24 +1,30 @@
-"""Hidden-Markov map matching: candidates relationally, the lattice of each trace by a local kernel."""
+"""Hidden-Markov map matching without a graph or a trace in one place.
+
+Candidates of a point are the segments near it, by an equi-join on cells. The ways between the ends of neighbouring points'
+candidates are looked up in an origin-destination table: each pair of nodes once, searched in blocks of the network no
+further than its pairs ask for. The lattices of all traces are solved by products of step matrices (``lattice``). Steps of
+the chosen sequence that broke (no way within the limit) are searched again without a limit and cut only where the network
+doesn't connect them."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import measure
 
-from . import joins
+from . import components as cc
+from . import joins, lattice, overlay
 from .features import UserError
-from .search import Graph, great_circle
 
 RADIUS_M, SIGMA, BETA, CANDIDATES = 50.0, 15.0, 30.0, 5
-#: Loss of a step that no transition reaches.
+#: Loss of a step to a candidate that no way within the limit leads to.
 BREAK = -1000.0
-MAX_POINTS = 10_000
+#: Metres of a way that a step may take: so many times the straight distance, and so many more.
+DETOUR, SLACK_M = 10.0, 2000.0
 
 
 def track_steps(points: DataFrame) -> DataFrame:
@@ -28,143 +34,142 @@ def track_steps(points: DataFrame) -> DataFrame:
 
 
 def viterbi(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
-    """(trace, score, state): the best total of a state sequence per trace and its last state, from emissions (trace,
-    step, state, e) and transitions (trace, step, state_from, state_to, t) into each step; steps count from 0. Ties
-    take the smaller state; a state that no transition reaches ends there. A trace is one group of bounded length."""
-    e = emissions.groupBy("trace").agg(F.collect_list(F.struct("step", "state", "e")).alias("es"))
-    t = transitions.groupBy("trace").agg(F.collect_list(F.struct("step", "state_from", "state_to", "t")).alias("ts"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for trace, es, ts in zip(pdf["trace"], pdf["es"], pdf["ts"]):
-                by: dict[int, dict] = {}
-                for x in es:
-                    by.setdefault(x["step"], {})[x["state"]] = x["e"]
-                moves: dict[int, list] = {}
-                for x in ts if ts is not None else ():
-                    moves.setdefault(x["step"], []).append((x["state_from"], x["state_to"], x["t"]))
-                best = dict(by.get(0, {}))
-                for step in range(1, max(by) + 1):
-                    following: dict[int, int] = {}
-                    for a, b, w in moves.get(step, ()):
-                        if a in best and b in by.get(step, {}):
-                            total = best[a] + w + by[step][b]
-                            following[b] = max(following.get(b, total), total)
-                    best = following
-                if best:
-                    score = max(best.values())
-                    out.append((trace, score, min(s for s, v in best.items() if v == score)))
-            yield pd.DataFrame(out, columns=["trace", "score", "state"])
-
-    return e.join(t, "trace", "left").mapInPandas(run, "trace bigint, score bigint, state bigint")
-
-
-def match(points: DataFrame, segments: DataFrame, graph: Graph, radius_m: float = RADIUS_M, sigma: float = SIGMA, beta: float = BETA, k: int = CANDIDATES) -> DataFrame:
-    """(trace, length_m, points_total, points_matched, points_unmatched, snapped: array of (seq, sid, x, y, fraction,
-    distance_m), geometry: array of (x, y)) of traces (trace, seq, lon, lat, perhaps level) on segments (sid, ax, ay, bx,
-    by, src, dst, length_m, perhaps alevel, blevel: then both ends must be on the trace's level); graph weights are metres and its extra columns lon, lat give each edge's end. Traces of which fewer than
-    two points have a candidate give no row."""
-    if not (radius_m > 0 and sigma > 0 and beta > 0):
-        raise UserError("radius_m, sigma and beta must be positive")
-    most = points.groupBy("trace").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if most > MAX_POINTS:
-        raise UserError(f"a trace has {most} points; up to {MAX_POINTS} are allowed")
+    """(trace, score, state): the best total of a state sequence per trace and its last state; see ``lattice.best``."""
+    return lattice.best(emissions, transitions)
+
+
+def od_table(pairs: DataFrame, edges: DataFrame, block_nodes: int = overlay.BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
+    """Costs of the distinct pairs (src, dst, most) of nodes over ``with_blocks`` edges, each source searched until its
+    targets are settled or its greatest ``most`` is passed: (src, dst, cost) of the pairs within it, and what was reached,
+    (req, node, cost, before), for ``ways``. Pairs that aren't connected within it have no row."""
+    wanted = cc.cut(pairs.groupBy("src").agg(F.max("most").alias("most"), F.collect_set("dst").alias("targets")), "wanted")
+    seeds = wanted.select(F.col("src").alias("req"), F.col("src").alias("node"), F.lit(0.0).alias("cost"))
+    reached = overlay.rounds(seeds, edges, block_nodes, limits=wanted.withColumnRenamed("src", "req"))
+    costs = reached.join(wanted.select(F.col("src").alias("req"), F.explode("targets").alias("node")), ["req", "node"])
+    return costs.select(F.col("req").alias("src"), F.col("node").alias("dst"), "cost"), reached
+
+
+def ways(pairs: DataFrame, reached: DataFrame, portions: int = 0) -> DataFrame:
+    """(src, dst, nodes) of the pairs: the nodes of their ways after src, from what ``od_table`` reached."""
+    portions = portions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(portions)).alias("portion")
+
+    def run(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        before = {(r, n): b for r, n, b in zip(found["req"].tolist(), found["node"].tolist(), found["before"].astype("Int64").tolist())}
+        out = []
+        for src, dst in zip(wanted["src"].tolist(), wanted["dst"].tolist()):
+            nodes, at = [], dst
+            while at != src:
+                nodes.append(at)
+                at = before[src, at]
+            out.append((src, dst, nodes[::-1]))
+        return pd.DataFrame(out, columns=["src", "dst", "nodes"])
+
+    asked = pairs.select("src", "dst").distinct().select("src", "dst", key("src"))
+    rows = reached.join(asked.select(F.col("src").alias("req")).distinct(), "req", "left_semi").select("req", "node", "before", key("req"))
+    return asked.groupBy("portion").cogroup(rows.groupBy("portion")).applyInPandas(run, "src bigint, dst bigint, nodes array<bigint>")
+
+
+def candidates(points: DataFrame, segments: DataFrame, radius_m: float, k: int) -> DataFrame:
+    """(trace, step, seq, lon, lat, state, sid, x, y, fraction, dist_m, src, dst, len) of the points with a candidate; their
+    steps count from 0, and state is the candidate's rank."""
     asked = points.select(F.struct("trace", "seq").alias("qid"), "lon", "lat", *(["level"] if "level" in points.columns else []))
-    near = joins.nearby_segments(asked, segments, radius_m, k).join(segments.select("sid", "src", "dst", F.col("length_m").alias("len"), "ax", "ay", "bx", "by"), "sid")
-    cand = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "sid", "x", "y", "fraction", "dist_m", "src", "dst", "len", "ax", "ay", "bx", "by"))).alias("c"))
-    rows = points.select("trace", "seq", "lon", "lat", F.struct("trace", "seq").alias("qid")).join(cand, "qid", "left")
-    shared = points.sparkSession.sparkContext.broadcast(graph)
-    schema = "trace bigint, length_m double, points_total int, points_matched int, points_unmatched int, snapped array<struct<seq:bigint,sid:bigint,x:double,y:double,fraction:double,distance_m:double>>, geometry array<struct<x:double,y:double>>"
+    near = joins.nearby_segments(asked, segments, radius_m, k).join(segments.select("sid", "src", "dst", F.col("length_m").alias("len")), "sid")
+    near = cc.cut(near.select("qid.trace", "qid.seq", F.col("rank").cast("bigint").alias("state"), "sid", "x", "y", "fraction", "dist_m", "src", "dst", "len"), "near")
+    steps = cc.cut(cc.dense(near.select("trace", "seq").distinct(), ["trace", "seq"], "n"), "steps")
+    steps = steps.join(steps.groupBy("trace").agg(F.min("n").alias("first"), F.count("*").alias("matched")), "trace").where("matched > 1")
+    steps = steps.select("trace", "seq", (F.col("n") - F.col("first")).cast("int").alias("step"))
+    return near.join(steps, ["trace", "seq"]).join(points.select("trace", "seq", "lon", "lat"), ["trace", "seq"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([row] if (row := _match_one(pdf.sort_values("seq"), shared.value, sigma, beta)) else [], columns=["trace", "length_m", "points_total", "points_matched", "points_unmatched", "snapped", "geometry"])
 
-    return rows.select("trace", "seq", "lon", "lat", "c").groupBy("trace").applyInPandas(run, schema)
+def _exits(c: Column) -> Column:
+    """Ends of a candidate's segment and the metres to them."""
+    return F.array(F.struct(c["src"].alias("node"), (c["fraction"] * c["len"]).alias("m")), F.struct(c["dst"].alias("node"), ((1 - c["fraction"]) * c["len"]).alias("m")))
 
 
-class _Routes:
-    """Shortest ways between the ends of segments, kept through a trace: its points ask for the same ends again and again."""
+def _steps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(trace, step, straight, most, p, c): candidates p before and c in each step."""
+    fields = ["seq", "state", "sid", "x", "y", "fraction", "src", "dst", "len", "lon", "lat"]
+    a = first.select("trace", (F.col("step") + 1).alias("step"), F.struct(*fields).alias("p"))
+    both = a.join(second.select("trace", "step", F.struct(*fields).alias("c")), ["trace", "step"])
+    straight = measure.haversine(F.col("p.lon"), F.col("p.lat"), F.col("c.lon"), F.col("c.lat"))
+    return both.withColumn("straight", straight).withColumn("most", DETOUR * F.col("straight") + SLACK_M)
 
-    def __init__(self, graph: Graph):
-        self.graph, self.known = graph, {}
 
-    def costs(self, node: int, ends: set[int], limit: float) -> dict:
-        """Search result from a node that is final for the given ends within the limit."""
-        asked, reach, best = self.known.get(node, (set(), 0.0, {}))
-        if not ends <= asked or limit > reach:
-            asked, reach = ends, 2000.0 * 2 ** math.ceil(math.log2(max(1.0, limit / 2000.0)))
-            best = self.graph.search([(node, 0.0)], reach, targets=asked)
-            self.known[node] = (asked, reach, best)
-        return best
+def _by_ends(steps: DataFrame) -> DataFrame:
+    """The steps between different segments, a row for each end left by and each end entered by: a, left, b, rest."""
+    out = steps.where("p.sid <> c.sid").withColumn("o", F.explode(_exits(F.col("p")))).withColumn("i", F.explode(_exits(F.col("c"))))
+    return out.withColumns({"a": F.col("o.node"), "left": F.col("o.m"), "b": F.col("i.node"), "rest": F.col("i.m")}).drop("o", "i")
 
-    def between(self, before: list, now: list, limit: float) -> np.ndarray:
-        """Metres of the way from each candidate before to each one now; infinite beyond the limit."""
-        into = [self._exits(c) for c in now]
-        every = {n for pair in into for n, _ in pair}
-        out = []
-        for p in before:
-            starts = [(left, self.costs(node, every, limit)) for node, left in self._exits(p)]
-            row = []
-            for c, pair in zip(now, into):
-                if c["sid"] == p["sid"]:
-                    row.append(abs(c["fraction"] - p["fraction"]) * c["len"])
-                    continue
-                ways = [(left + best[n][0], rest) for left, best in starts for n, rest in pair if n in best]
-                row.append(min((to + rest for to, rest in ways if to <= limit), default=math.inf))
-            out.append(row)
-        return np.array(out)
-
-    @staticmethod
-    def _exits(c) -> list[tuple[int, float]]:
-        """Ends of a candidate's segment and the metres to them."""
-        return [(int(c["src"]), c["fraction"] * c["len"]), (int(c["dst"]), (1 - c["fraction"]) * c["len"])]
-
-    def way(self, p, c, limit: float) -> tuple[float, list[tuple[float, float]]]:
-        """(metres, corners) of the way between candidates on two segments; infinite if there is none."""
-        found = (math.inf, -1, -1)
-        for node, left in self._exits(p):
-            ends = {n for n, _ in self._exits(c)}
-            best = self.costs(node, ends, limit)
-            for end, rest in self._exits(c):
-                if end in best and left + best[end][0] <= limit:
-                    found = min(found, (left + best[end][0] + rest, node, end))
-        metres, node, end = found
-        if node < 0:
-            return metres, []
-        corner = (p["ax"], p["ay"]) if node == int(p["src"]) else (p["bx"], p["by"])
-        edges = self.graph.path(self.known[node][2], end)
-        return metres, [corner, *((float(self.graph.extra["lon"][e]), float(self.graph.extra["lat"][e])) for e in edges)]
-
-
-def _match_one(pdf: pd.DataFrame, graph: Graph, sigma: float, beta: float):
-    """The row of one trace: the likeliest chain of candidates, and its route."""
-    rows = [r for r in pdf.to_dict("records") if r["c"] is not None and len(r["c"])]
-    if len(rows) < 2:
-        return None
-    routes = _Routes(graph)
-    lon, lat = np.array([r["lon"] for r in rows]), np.array([r["lat"] for r in rows])
-    straight = great_circle(lon[:-1], lat[:-1], lon[1:], lat[1:])
-    limits = 10 * straight + 2000
-    emission = [np.array([-0.5 * (c["dist_m"] / sigma) ** 2 for c in r["c"]]) for r in rows]
-    score, backs = emission[0], []
-    for i, (a, b) in enumerate(zip(rows, rows[1:])):
-        total = score[:, None] - np.abs(routes.between(a["c"], b["c"], limits[i]) - straight[i]) / beta
-        back, best = total.argmax(0), total.max(0)
-        cut_off = np.isneginf(best)  # no way leads here: the chain starts anew from the best candidate so far
-        back[cut_off], best[cut_off] = score.argmax(), score.max() + BREAK
-        score = best + emission[i + 1]
-        backs.append(back)
-    at = [int(score.argmax())]
-    for back in reversed(backs):
-        at.append(int(back[at[-1]]))
-    chosen = [r["c"][k] for r, k in zip(rows, reversed(at))]
-    line, length = [(chosen[0]["x"], chosen[0]["y"])], 0.0
-    for p, c, limit in zip(chosen, chosen[1:], limits):
-        end = (c["x"], c["y"])
-        metres, corners = routes.way(p, c, limit) if p["sid"] != c["sid"] else (math.inf, [])
-        length += metres if corners else float(great_circle(*line[-1], *end))
-        line += [*corners, end]
-    line = [v for v, last in zip(line, [None, *line]) if v != last]
-    snapped = [{"seq": int(r["seq"]), "sid": int(c["sid"]), "x": c["x"], "y": c["y"], "fraction": c["fraction"], "distance_m": round(c["dist_m"], 1)} for r, c in zip(rows, chosen)]
-    return (int(pdf["trace"].iloc[0]), round(length, 1), len(pdf), len(rows), len(pdf) - len(rows), snapped, [{"x": x, "y": y} for x, y in line])
+
+def match_steps(points: DataFrame, segments: DataFrame, edges: DataFrame, radius_m: float = RADIUS_M, sigma: float = SIGMA, beta: float = BETA, k: int = CANDIDATES, block_nodes: int = overlay.BLOCK_NODES) -> DataFrame:
+    """(trace, step, seq, sid, x, y, fraction, distance_m, metres, corners) of the matched points of traces (trace, seq,
+    lon, lat, perhaps level): the chosen place on segments (sid, ax, ay, bx, by, src, dst, length_m, perhaps alevel, blevel:
+    then both ends must be on the trace's level), and the metres and nodes of the way from the point before over edges (src,
+    dst, w in metres); metres are null on the first point, nodes where both lie on one segment or nothing connects them.
+    Traces of which fewer than two points have a candidate give no row. No trace is gathered anywhere."""
+    if not (radius_m > 0 and sigma > 0 and beta > 0):
+        raise UserError("radius_m, sigma and beta must be positive")
+    own = overlay.with_blocks(edges, block_nodes)
+    found = cc.cut(candidates(points, segments, radius_m, k), "candidates")
+    steps = cc.cut(_steps(found, found), "steps")
+    ends = cc.cut(_by_ends(steps), "ends")
+    costs, reached = od_table(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "most"), own, block_nodes)
+    costs = cc.cut(costs.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("cost").alias("between")), "od")
+    routed = ends.select("trace", "step", "p", "c", "most", "left", "rest", "a", "b").join(costs, ["a", "b"], "left")
+    routed = routed.withColumn("between", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("between"))).where(F.col("left") + F.col("between") <= F.col("most"))
+    routed = routed.withColumn("metres", F.col("left") + F.col("between") + F.col("rest"))
+    best = routed.groupBy("trace", "step", F.col("p.state").alias("state_from"), F.col("c.state").alias("state_to")).agg(F.min(F.struct("metres", "a", "b")).alias("w"))
+    along = F.when(F.col("p.sid") == F.col("c.sid"), F.abs(F.col("c.fraction") - F.col("p.fraction")) * F.col("c.len"))
+    moves = steps.select("trace", "step", F.col("p.state").alias("state_from"), F.col("c.state").alias("state_to"), "straight", along.alias("along"))
+    moves = moves.join(best, ["trace", "step", "state_from", "state_to"], "left").withColumn("metres", F.coalesce("along", "w.metres"))
+    moves = cc.cut(moves, "moves")
+    cut_off = moves.groupBy("trace", "step", "state_to").agg(F.count("metres").alias("ways")).where("ways = 0").select("trace", "step", "state_to", F.lit(BREAK).alias("lost"))
+    t = moves.join(cut_off, ["trace", "step", "state_to"], "left").withColumn("t", F.coalesce(-F.abs(F.col("metres") - F.col("straight")) / beta, "lost"))
+    emissions = found.select("trace", "step", "state", (-0.5 * (F.col("dist_m") / sigma) ** 2).alias("e"))
+    chosen = lattice.sequence(emissions, t.where("t is not null").select("trace", "step", "state_from", "state_to", "t"))
+    line = cc.cut(found.join(chosen, ["trace", "step", "state"]), "chosen")
+    return _routed(line, moves, edges, reached)
+
+
+def _routed(line: DataFrame, moves: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """line with the metres and nodes of the way into each step; broken steps are searched without a limit."""
+    taken = line.select("trace", (F.col("step") + 1).alias("step"), F.col("state").alias("state_from")).join(line.select("trace", "step", F.col("state").alias("state_to")), ["trace", "step"])
+    taken = cc.cut(taken.join(moves, ["trace", "step", "state_from", "state_to"]).select("trace", "step", "along", "w", "metres"), "taken")
+    known = taken.where("along is null and w is not null").select("trace", "step", "metres", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    apart = cc.cut(known.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "apart")
+    opened = ways(apart, reached).select(F.col("src").alias("a"), F.col("dst").alias("b"), "nodes")
+    known = known.join(opened, ["a", "b"], "left").select("trace", "step", "metres", F.concat(F.array("a"), F.coalesce("nodes", F.array().cast("array<bigint>"))).alias("nodes"))
+    broken = cc.cut(taken.where("metres is null").select("trace", "step"), "broken")
+    if not broken.isEmpty():
+        before = line.withColumn("step", F.col("step") + 1).join(broken, ["trace", "step"], "left_semi").withColumn("step", F.col("step") - 1)
+        ends = _by_ends(_steps(before, line.join(broken, ["trace", "step"], "left_semi")))
+        asked = cc.cut(ends.select("a", "b").distinct(), "again")
+        ids = cc.cut(cc.dense(asked, ["a", "b"], "req"), "requests")
+        far = overlay.paths(overlay.build(edges), ids.select("req", F.col("a").alias("src"), F.col("b").alias("dst")))
+        far = ends.join(ids, ["a", "b"]).join(far, "req").withColumn("metres", F.col("left") + F.col("cost") + F.col("rest"))
+        far = far.groupBy("trace", "step").agg(F.min(F.struct("metres", "a", "b", "nodes")).alias("w")).select("trace", "step", "w.metres", "w.nodes")
+        known = known.unionByName(far)
+    same = taken.where("along is not null").select("trace", "step", F.lit(None).cast("double").alias("metres"), F.lit(None).cast("array<bigint>").alias("nodes"))
+    last = line.select("trace", (F.col("step") + 1).alias("step"), F.col("x").alias("px"), F.col("y").alias("py"))
+    out = line.join(known.unionByName(same), ["trace", "step"], "left").join(last, ["trace", "step"], "left")
+    straight = measure.haversine(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
+    return out.select("trace", "step", "seq", "sid", "x", "y", "fraction", F.round("dist_m", 1).alias("distance_m"), F.when(F.col("px").isNotNull(), F.coalesce("metres", straight)).alias("metres"), "nodes")
+
+
+def match(points: DataFrame, segments: DataFrame, edges: DataFrame, radius_m: float = RADIUS_M, sigma: float = SIGMA, beta: float = BETA, k: int = CANDIDATES, block_nodes: int = overlay.BLOCK_NODES) -> DataFrame:
+    """(trace, length_m, points_total, points_matched, points_unmatched, snapped: array of (seq, sid, x, y, fraction,
+    distance_m), geometry: array of (x, y)): the steps of ``match_steps`` as one row a trace."""
+    steps = cc.cut(match_steps(points, segments, edges, radius_m, sigma, beta, k, block_nodes), "matched")
+    places = segments.select(F.col("src").alias("node"), F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("at")).unionByName(segments.select(F.col("dst").alias("node"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("at")))
+    places = places.groupBy("node").agg(F.min("at").alias("at"))
+    corners = steps.select("trace", "step", F.posexplode("nodes").alias("i", "node")).join(places, "node").select("trace", "step", "i", "at")
+    own = steps.select("trace", "step", F.lit(1 << 30).alias("i"), F.struct("x", "y").alias("at"))
+    line = corners.unionByName(own).groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("step", "i", "at"))).alias("l"))
+    at = F.transform("l", lambda v: v["at"])
+    line = line.select("trace", at.alias("l")).select("trace", F.filter("l", lambda v, i: (i == 0) | (v != F.get("l", i - 1))).alias("geometry"))
+    snapped = F.array_sort(F.collect_list(F.struct("seq", "sid", "x", "y", "fraction", "distance_m"))).alias("snapped")
+    found = steps.groupBy("trace").agg(F.round(F.sum("metres"), 1).alias("length_m"), F.count("*").cast("int").alias("points_matched"), snapped)
+    total = points.groupBy("trace").agg(F.count("*").cast("int").alias("points_total"))
+    out = found.join(total, "trace").join(line, "trace").withColumn("points_unmatched", F.col("points_total") - F.col("points_matched"))
+    return out.select("trace", "length_m", "points_total", "points_matched", "points_unmatched", "snapped", "geometry")

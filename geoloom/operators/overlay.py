@@ -44,9 +44,11 @@ def _neighbours(near: pd.DataFrame) -> dict[int, list]:
     return out
 
 
-def _reached(near: dict[int, list], seeds, cutoff: float) -> tuple[dict, dict]:
-    """(cost, node before) of all nodes that seeds (node, cost) reach within the cutoff."""
-    best, before, heap = {}, {}, []
+def _reached(near: dict[int, list], seeds, cutoff: float, targets=()) -> tuple[dict, dict]:
+    """(cost, node before) of all nodes that seeds (node, cost) reach within the cutoff; with targets only until all of
+    them are settled, nodes beyond may be missing then."""
+    best, before, heap, open_ = {}, {}, [], set(targets)
+    ends = bool(open_)
     for node, cost in seeds:
         if cost <= cutoff and cost < best.get(node, math.inf):
             best[node], before[node] = cost, None
@@ -56,6 +58,10 @@ def _reached(near: dict[int, list], seeds, cutoff: float) -> tuple[dict, dict]:
         cost, node = heapq.heappop(heap)
         if cost > best[node]:
             continue
+        if ends:
+            open_.discard(node)
+            if not open_:
+                break
         for to, w in near.get(node, ()):
             total = cost + w
             if total <= cutoff and total < best.get(to, math.inf):
@@ -77,17 +83,20 @@ def _dealt(rows: DataFrame, sizes: DataFrame, key: str | None = None) -> DataFra
 
 def search_blocks(seeds: DataFrame, edges: DataFrame, block_nodes: int, cutoff: float = math.inf, portion_of: int = BLOCK_REQUESTS) -> DataFrame:
     """(req, node, cost, before, leaves): each seed's block searched by itself from seeds (req, node, cost), over
-    ``with_blocks`` edges. Nodes of other blocks that its edges lead to are reached (leaves), not searched from."""
-    cost = dict(seeds.dtypes)["cost"]
-    asked = seeds.select("req", "node", "cost", block_of("node", block_nodes).alias("block"))
+    ``with_blocks`` edges. Nodes of other blocks that its edges lead to are reached (leaves), not searched from. Seeds with
+    columns most and targets have a cutoff of their own and need no more than the costs of these nodes."""
+    cost, own = dict(seeds.dtypes)["cost"], [c for c in ("most", "targets") if c in seeds.columns]
+    asked = seeds.select("req", "node", "cost", *own, block_of("node", block_nodes).alias("block"))
     sizes = _portions(asked, "req", portion_of)
 
     def run(key, front: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("req", "node", "cost", "before")}
         if len(front):
-            near = _neighbours(around)
-            for req, rows in front.groupby("req", sort=False):
-                best, before = _reached(near, zip(rows["node"].tolist(), rows["cost"].tolist()), cutoff)
+            near, asked = _neighbours(around), {}
+            for req, node, cost, *rest in front[["req", "node", "cost", *own]].itertuples(index=False, name=None):
+                asked.setdefault(req, ([], rest))[0].append((node, cost))
+            for req, (rows, rest) in asked.items():
+                best, before = _reached(near, rows, *(rest or [cutoff]))
                 out["req"] += [req] * len(best)
                 out["node"] += best
                 out["cost"] += best.values()
@@ -99,13 +108,15 @@ def search_blocks(seeds: DataFrame, edges: DataFrame, block_nodes: int, cutoff:
     return groups.applyInPandas(run, f"req bigint, node bigint, cost {cost}, before bigint, leaves boolean")
 
 
-def rounds(seeds: DataFrame, edges: DataFrame, block_nodes: int = BLOCK_NODES, cutoff: float = math.inf, portion_of: int = BLOCK_REQUESTS) -> DataFrame:
+def rounds(seeds: DataFrame, edges: DataFrame, block_nodes: int = BLOCK_NODES, cutoff: float = math.inf, portion_of: int = BLOCK_REQUESTS, limits: DataFrame | None = None) -> DataFrame:
     """(req, node, cost, before) of all nodes that seeds (req, node, cost) reach over ``with_blocks`` edges; before is the
-    node before on a cheapest way, null at a seed. There are as many rounds as blocks that the ways cross."""
+    node before on a cheapest way, null at a seed. There are as many rounds as blocks that the ways cross. With limits
+    (req, most, targets) each request has a cutoff and needs no more than the costs of its targets."""
     front = cc.cut(seeds.groupBy("req", "node").agg(F.min("cost").alias("cost")), "front")
     best = None
     for nth in range(MOST_ROUNDS):
-        found = cc.cut(search_blocks(front, edges, block_nodes, cutoff, portion_of).withColumn("nth", F.lit(nth)), "found")
+        asked = front if limits is None else front.join(limits, "req")
+        found = cc.cut(search_blocks(asked, edges, block_nodes, cutoff, portion_of).withColumn("nth", F.lit(nth)), "found")
         crossed = found.where("leaves").select("req", "node", F.col("cost").alias("new"))
         # of equal costs the earlier one stays, so that no two ways of the same cost lead to each other
         rows = found.select("req", "node", "cost", "nth", "before")

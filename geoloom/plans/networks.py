@@ -15,7 +15,7 @@ from geoloom.operators import mapmatch, network, raster, search
 from geoloom.operators import components as cc
 from geoloom.operators.features import UserError
 
-MAX_CUTOFFS = 8
+MAX_CUTOFFS, MAX_POINTS = 8, 10_000
 
 
 class Local:
@@ -222,15 +222,15 @@ def _area(segments: list, cell_m: float | None) -> list:
 
 def map_match(net: Network, params: dict) -> dict:
     trace = params.get("trace") or []
-    if not 2 <= len(trace) <= mapmatch.MAX_POINTS:
-        raise UserError(f"a trace needs 2 to {mapmatch.MAX_POINTS} points")
+    if not 2 <= len(trace) <= MAX_POINTS:
+        raise UserError(f"a trace needs 2 to {MAX_POINTS} points")
     points = [_point(p, "trace") for p in trace]
     number = lambda name, default: v if (v := float(params.get(name) or 0)) > 0 else default
     spark, level = net.nodes.sparkSession, _level(params, "level")
     rows = spark.createDataFrame([(0, i, x, y, level) for i, (x, y) in enumerate(points)], "trace bigint, seq bigint, lon double, lat double, level int")
     segments = net.segments()
-    graph = search.Graph(net.graph.src_of, net.graph.dst_of, _in_order(net.graph), net.graph.n, {"lon": net.graph.extra["tlon"], "lat": net.graph.extra["tlat"]})
-    got = mapmatch.match(rows, segments, graph, number("search_radius_m", mapmatch.RADIUS_M), number("sigma_m", mapmatch.SIGMA), number("beta_m", mapmatch.BETA)).first()
+    edges = net.edges.select("src", "dst", F.col("length_m").alias("w"))
+    got = mapmatch.match(rows, segments, edges, number("search_radius_m", mapmatch.RADIUS_M), number("sigma_m", mapmatch.SIGMA), number("beta_m", mapmatch.BETA)).first()
     if got is None:
         raise UserError("fewer than two points of the trace are near the network")
     owner = dict(segments.where(F.col("sid").isin([s["sid"] for s in got["snapped"]])).select("sid", "feature").collect())
@@ -239,9 +239,3 @@ def map_match(net: Network, params: dict) -> dict:
         "features": [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[p["x"], p["y"]] for p in got["geometry"]]}, "properties": {"role": "matched_route", "length_m": got["length_m"], "points_total": got["points_total"], "points_matched": got["points_matched"], "points_unmatched": got["points_unmatched"]}}],
         "points": [{"index": s["seq"], "input": list(points[s["seq"]]), "snapped": [s["x"], s["y"]], "distance_m": s["distance_m"], "feature": {"id": owner[s["sid"]]}} for s in got["snapped"]],
     }
-
-
-def _in_order(graph: search.Graph) -> np.ndarray:
-    out = np.empty(len(graph.edge))
-    out[graph.edge] = graph.weight
-    return out

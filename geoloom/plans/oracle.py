@@ -105,6 +105,12 @@ def _sssp(seeds: str, edges: str = "e", cutoff: str = "") -> str:
         LEFT JOIN recurring.best AS old ON old.req = s.req AND old.node = s.node WHERE (old.cost IS NULL OR s.cost < old.cost) {cutoff})"""
 
 
+_NEAR = f"""near AS (SELECT t.user_id * 1000000 + t.seq AS qid, node, round({hav('t.lon', 't.lat', 'n.mx / 1e6::DOUBLE', 'n.my / 1e6::DOUBLE')}, 3) AS d FROM t JOIN n ON n.mx BETWEEN t.mx - 1000 AND t.mx + 1000 AND n.my BETWEEN t.my - 1000 AND t.my + 1000),
+    nearest AS (SELECT * FROM near WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, node) = 1)"""
+_LATTICE = """em AS (SELECT user_id AS trace, t.seq AS step, node AS state, -(abs(t.mx - n.mx) + abs(t.my - n.my)) AS e, n.mx AS nx, n.my AS ny, t.mx, t.my FROM t JOIN n ON abs(t.mx - n.mx) <= 1500 AND abs(t.my - n.my) <= 1500),
+        best(trace, step, state, score, nx, ny, mx, my) AS (SELECT trace, step, state, e, nx, ny, mx, my FROM em WHERE step = 0
+            UNION ALL SELECT b.trace, b.step, b.state, max(a.score - abs(abs(b.nx - a.nx) + abs(b.ny - a.ny) - abs(b.mx - a.mx) - abs(b.my - a.my)) + b.e), any_value(b.nx), any_value(b.ny), any_value(b.mx), any_value(b.my) FROM best a JOIN em b ON b.trace = a.trace AND b.step = a.step + 1 GROUP BY b.trace, b.step, b.state),
+        ends AS (SELECT trace, max(step) AS step FROM em GROUP BY trace)"""
 _REACH = _sssp("SELECT CAST(s_suppkey AS BIGINT) AS req, CAST(s_suppkey * 7817 % (SELECT count(*) FROM part) AS BIGINT) AS node, 0::BIGINT AS cost FROM supplier", cutoff=f"AND s.cost <= {max(CUTOFFS)}")
 _CUTS = f"(SELECT CAST(unnest([{', '.join(map(str, CUTOFFS))}]) AS INTEGER) AS cutoff)"
 _FRONTIER = f"""{_REACH}, steps AS (SELECT a.req, cutoff, e.src, e.dst, a.cost + e.w <= cutoff AND coalesce(b.cost <= cutoff, false) AS "full", CAST(cutoff - a.cost AS DOUBLE) / e.w AS part
@@ -181,8 +187,7 @@ SQL: dict[str, str] = {
             coalesce(CASE k % 4 WHEN 0 THEN raw IN ('1', '-1') WHEN 1 THEN k % 3 = 0 WHEN 2 THEN k % 3 = 0 ELSE CAST(raw AS DOUBLE) <> 0 END, false) AS as_bool,
             coalesce(CASE k % 4 WHEN 0 THEN raw WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END WHEN 2 THEN CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'no' END ELSE raw END, '') AS as_string,
             CASE WHEN k % 4 = 3 AND raw IS NOT NULL THEN 'Number' WHEN k % 4 = 1 THEN 'Boolean' ELSE 'String' END AS kind FROM r""",
-    "nearest_node": _with("t n", f"near AS (SELECT t.user_id * 1000000 + t.seq AS qid, node, round({hav('t.lon', 't.lat', 'n.mx / 1e6::DOUBLE', 'n.my / 1e6::DOUBLE')}, 3) AS d FROM t JOIN n ON n.mx BETWEEN t.mx - 1000 AND t.mx + 1000 AND n.my BETWEEN t.my - 1000 AND t.my + 1000)")
-    + "SELECT qid, node, round(d, 1) AS dist_m FROM near WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, node) = 1",
+    "nearest_node": _with("t n", _NEAR) + "SELECT qid, node, round(d, 1) AS dist_m FROM nearest",
     "nearby_edges": _with("t s", f"c AS (SELECT t.user_id * 1000000 + t.seq AS qid, t.lon, t.lat, s.*, {_projected('t.lon', 't.lat')} AS f FROM t JOIN s ON t.mx BETWEEN mx1 - 1000 AND mx2 + 1000 AND t.my BETWEEN my1 - 1000 AND my2 + 1000), near AS (SELECT qid, sid, round({hav('lon', 'lat', '(ax + (bx - ax) * f)', '(ay + (by_ - ay) * f)')}, 3) AS d FROM c)")
     + "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, sid) AS INTEGER) AS rank, sid, round(d, 1) AS dist_m FROM near WHERE d <= 50 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, sid) <= 5",
     "sssp": _with("e", _sssp("SELECT 0::BIGINT AS req, 0::BIGINT AS node, 0::BIGINT AS cost"), True) + "SELECT node, cost FROM best",
@@ -200,11 +205,16 @@ SQL: dict[str, str] = {
         cases(code, x1, y1, x2, y2) AS (VALUES (1, 0, 1, 1, 2), (14, 0, 1, 1, 2), (2, 1, 2, 2, 1), (13, 1, 2, 2, 1), (3, 0, 1, 2, 1), (12, 0, 1, 2, 1), (4, 2, 1, 1, 0), (11, 2, 1, 1, 0), (5, 0, 1, 1, 2), (5, 2, 1, 1, 0), (6, 1, 2, 1, 0), (9, 1, 2, 1, 0), (7, 1, 0, 0, 1), (8, 1, 0, 0, 1), (10, 1, 2, 2, 1), (10, 1, 0, 0, 1))""", True)
     + "SELECT req, cutoff, CAST(x * 2 + x1 AS INTEGER) AS vx1, CAST(y * 2 + y1 AS INTEGER) AS vy1, CAST(x * 2 + x2 AS INTEGER) AS vx2, CAST(y * 2 + y2 AS INTEGER) AS vy2 FROM blocks JOIN cases USING (code)",
     "track_steps": _with("t", f"b AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq))") + f"SELECT user_id AS trace, seq, round({hav('plon', 'plat', 'lon', 'lat')}, 1) AS step_m FROM b",
-    "viterbi": _with("t n", """em AS (SELECT user_id AS trace, t.seq AS step, node AS state, -(abs(t.mx - n.mx) + abs(t.my - n.my)) AS e, n.mx AS nx, n.my AS ny, t.mx, t.my FROM t JOIN n ON abs(t.mx - n.mx) <= 1500 AND abs(t.my - n.my) <= 1500),
-        best(trace, step, state, score, nx, ny, mx, my) AS (SELECT trace, step, state, e, nx, ny, mx, my FROM em WHERE step = 0
-            UNION ALL SELECT b.trace, b.step, b.state, max(a.score - abs(abs(b.nx - a.nx) + abs(b.ny - a.ny) - abs(b.mx - a.mx) - abs(b.my - a.my)) + b.e), any_value(b.nx), any_value(b.ny), any_value(b.mx), any_value(b.my) FROM best a JOIN em b ON b.trace = a.trace AND b.step = a.step + 1 GROUP BY b.trace, b.step, b.state),
-        ends AS (SELECT trace, max(step) AS step FROM em GROUP BY trace)""", True)
+    "viterbi": _with("t n", _LATTICE, True)
     + "SELECT trace, CAST(score AS BIGINT) AS score, state FROM best JOIN ends USING (trace, step) QUALIFY row_number() OVER (PARTITION BY trace ORDER BY score DESC, state) = 1",
+    "od_costs": _with("t n e", _NEAR + ", pairs AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM nearest a JOIN nearest b ON b.qid = a.qid + 1 AND a.node <> b.node), "
+        + _sssp("SELECT DISTINCT src AS req, src AS node, 0::BIGINT AS cost FROM pairs", cutoff="AND s.cost <= 1500"), True)
+    + "SELECT src, dst, cost FROM pairs JOIN best ON best.req = src AND best.node = dst",
+    "viterbi_states": _with("t n", _LATTICE + """,
+        path(trace, step, state, score, nx, ny, mx, my) AS (SELECT trace, step, state, score, nx, ny, mx, my FROM best JOIN ends USING (trace, step) QUALIFY row_number() OVER (PARTITION BY trace ORDER BY score DESC, state) = 1
+            UNION ALL SELECT a.trace, a.step, min(a.state), arg_min(a.score, a.state), arg_min(a.nx, a.state), arg_min(a.ny, a.state), any_value(a.mx), any_value(a.my) FROM path b JOIN best a ON a.trace = b.trace AND a.step = b.step - 1
+                AND a.score - abs(abs(b.nx - a.nx) + abs(b.ny - a.ny) - abs(b.mx - a.mx) - abs(b.my - a.my)) - abs(b.mx - b.nx) - abs(b.my - b.ny) = b.score GROUP BY a.trace, a.step)""", True)
+    + "SELECT trace, CAST(step AS INTEGER) AS step, state FROM path",
     "ring_area": _with("t", "q AS (SELECT user_id, seq, mx - 116010000 AS x, my - 39903000 AS y, count(*) OVER (PARTITION BY user_id) AS m FROM t)") + "SELECT a.user_id AS fid, CAST(sum(a.x * b.y - b.x * a.y) AS DOUBLE) / 2 AS area FROM q a JOIN q b ON b.user_id = a.user_id AND b.seq = (a.seq + 1) % a.m WHERE a.m > 1 GROUP BY a.user_id",
     "safe_key": "SELECT c_custkey AS fid, CASE c_custkey % 5 WHEN 0 THEN '../' || c_name WHEN 1 THEN 'tiles/' || c_custkey || '/52/24' WHEN 2 THEN 'a/../' || c_custkey WHEN 3 THEN c_custkey || ' x' ELSE 'a.b-' || c_custkey END AS key, c_custkey % 5 IN (1, 4) AS safe FROM customer",
     "scan_geojson": _with("p") + "SELECT CAST(fid AS VARCHAR) AS fid, 'Point' AS type, lon, lat, name, fid % 10 = 0 AS scattered FROM p",

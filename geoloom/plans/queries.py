@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, measure, mercator, props
-from geoloom.operators import cache, dbscan, features, joins, mapmatch, network, overlay, raster, search, tiles
+from geoloom.operators import cache, dbscan, features, joins, lattice, mapmatch, network, overlay, raster, search, tiles
 from geoloom.sources import geojson
 
 from . import documents, views
@@ -435,13 +435,34 @@ def viterbi(spark, sf):
 
 
 @query
-def map_match(spark, sf):
+def viterbi_states(spark, sf):
+    """The whole sequences, by step."""
+    e, t = _lattice_hmm(spark, sf)
+    return lattice.sequence(e.select("trace", "step", "state", "e"), t)
+
+
+def _street_lattice(spark, sf):
     s = views.segments(spark, sf)
     s = s.withColumn("length_m", measure.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    both = s.select("src", "dst", "length_m", F.col("bx").alias("lon"), F.col("by").alias("lat")).unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", F.col("ax").alias("lon"), F.col("ay").alias("lat")))
-    graph = search.Graph.collect(both, "length_m", extra=["lon", "lat"])
+    edges = s.select("src", "dst", F.col("length_m").alias("w"))
+    return s.select("sid", "ax", "ay", "bx", "by", "src", "dst", "length_m"), edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+@query
+def od_costs(spark, sf):
+    """Costs between the nodes nearest to consecutive points of each track, up to 1500."""
+    near = nearest_node(spark, sf).select("qid", "node")
+    steps = near.join(near.select((F.col("qid") + 1).alias("qid"), F.col("node").alias("src")), "qid").where("node <> src")
+    pairs = steps.select("src", F.col("node").alias("dst"), F.lit(1500.0).alias("most"))
+    edges = views.edges(spark, sf).select("src", "dst", F.col("w").cast("double").alias("w"))
+    return mapmatch.od_table(pairs, overlay.with_blocks(edges, overlay.BLOCK_NODES))[0].select("src", "dst", F.col("cost").cast("bigint").alias("cost"))
+
+
+@query
+def map_match(spark, sf):
+    segments, edges = _street_lattice(spark, sf)
     t = views.tracks(spark, sf).select(F.col("user_id").alias("trace"), "seq", "lon", "lat")
-    got = mapmatch.match(t, s.select("sid", "ax", "ay", "bx", "by", "src", "dst", "length_m"), graph)
+    got = mapmatch.match(t, segments, edges)
     return got.select("trace", "length_m", "points_total", "points_matched", "points_unmatched", F.size("geometry").alias("vertices"))
 
 

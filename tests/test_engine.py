@@ -485,14 +485,10 @@ def test_tilejson_of_stored_tiles(spark):
 def test_step_scores_by_hand(spark):
     """A trace along one street: emissions by squared distance, transitions by the detour, the best candidates win."""
     seg = spark.createDataFrame([(1, 0.0, 0.0, 0.01, 0.0, 0, 1, 1113.2), (2, 0.0, 0.0004, 0.01, 0.0004, 2, 3, 1113.2)], "sid long, ax double, ay double, bx double, by double, src long, dst long, length_m double")
-    import numpy as np
-
-    both = [(0, 1), (1, 0), (2, 3), (3, 2)]
-    ends = {0: (0.0, 0.0), 1: (0.01, 0.0), 2: (0.0, 0.0004), 3: (0.01, 0.0004)}
-    graph = search.Graph(np.array([a for a, _ in both]), np.array([b for _, b in both]), np.full(4, 1113.2), 4, {"lon": np.array([ends[b][0] for _, b in both]), "lat": np.array([ends[b][1] for _, b in both])})
+    edges = spark.createDataFrame([(0, 1, 1113.2), (1, 0, 1113.2), (2, 3, 1113.2), (3, 2, 1113.2)], "src long, dst long, w double")
     # the middle point lies nearer to the other street, but a jump there and back costs more than its distance
     pts = spark.createDataFrame([(0, 0, 0.001, 0.00005), (0, 1, 0.002, 0.00022), (0, 2, 0.003, 0.00005)], "trace long, seq long, lon double, lat double")
-    got = mapmatch.match(pts, seg, graph, 50.0, 15.0, 30.0).first()
+    got = mapmatch.match(pts, seg, edges, 50.0, 15.0, 30.0).first()
     assert [s["sid"] for s in got["snapped"]] == [1, 1, 1] and got["points_matched"] == 3
     assert got["length_m"] == pytest.approx(222.4, abs=0.5)
 
