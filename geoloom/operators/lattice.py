@@ -100,10 +100,13 @@ def _levels(first: DataFrame, pieces: int, totals: str) -> list[DataFrame]:
     return levels
 
 
-def _climbed(emissions: DataFrame, transitions: DataFrame) -> tuple[list[DataFrame], str]:
-    totals = "bigint" if dict(emissions.dtypes)["e"] in ("bigint", "int") else "double"
+def _pieces(emissions: DataFrame) -> int:
     last = emissions.agg(F.max("step").alias("s")).first()["s"]
-    return _levels(_matrices(emissions, transitions, totals), 0 if last is None else last // PIECE + 1, totals), totals
+    return 0 if last is None else last // PIECE + 1
+
+
+def _kind(emissions: DataFrame) -> str:
+    return "bigint" if dict(emissions.dtypes)["e"] in ("bigint", "int") else "double"
 
 
 def _best(top: DataFrame) -> DataFrame:
@@ -114,13 +117,40 @@ def _best(top: DataFrame) -> DataFrame:
 def best(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
     """(trace, score, state): the best total of a state sequence per trace and its last state, from emissions (trace,
     step, state, e) and transitions (trace, step, state_from, state_to, t) into each step; steps count from 0."""
-    return _best(_climbed(cc.cut(emissions, "emissions"), cc.cut(transitions, "transitions"))[0][-1])
+    emissions, transitions = cc.cut(emissions, "emissions"), cc.cut(transitions, "transitions")
+    totals = _kind(emissions)
+    return _best(_levels(_matrices(emissions, transitions, totals), _pieces(emissions), totals)[-1])
+
+
+def _followed(moves: list[tuple[int, dict[int, list]]], at: dict, here: int | None = None) -> list[tuple[int, int]]:
+    """(step, state) of the best way through steps from totals at, the last step first; here is the state to end in."""
+    backs = []
+    for _, m in moves:
+        back = {b: min((-(at[a] + w), a) for a, w in ways if a in at) for b, ways in m.items() if any(a in at for a, _ in ways)}
+        at = {b: -v for b, (v, _) in back.items()}
+        backs.append({b: a for b, (_, a) in back.items()})
+    if not at:
+        return []
+    here, out = min((-v, s) for s, v in at.items())[1] if here is None else here, []
+    for (step, _), back in zip(reversed(moves), reversed(backs)):
+        out.append((step, here))
+        here = back[here]
+    return out
 
 
 def sequence(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
     """(trace, step, state) of the best sequence of each trace."""
     emissions, transitions = cc.cut(emissions, "emissions"), cc.cut(transitions, "transitions")
-    levels, totals = _climbed(emissions, transitions)
+    totals, pieces, shape = _kind(emissions), _pieces(emissions), "trace bigint, step int, state bigint"
+    if pieces <= 1:  # all traces are short: no matrices are needed
+
+        def alone(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            steps = _into(e, t)
+            found = _followed(steps, {START: 0}) if [s for s, _ in steps] == list(range(len(steps))) else []
+            return pd.DataFrame([(key[0], *f) for f in found], columns=["trace", "step", "state"])
+
+        return _by_piece(emissions, transitions).applyInPandas(alone, shape)
+    levels = _levels(_matrices(emissions, transitions, totals), pieces, totals)
     end = _best(levels[-1])
     # what each piece starts with: totals of states before it (ends false), and the state it ends in (ends true)
     zero = F.lit(0).cast(totals)
@@ -147,22 +177,14 @@ def sequence(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
 
     def follow(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         own = e["step"] < 0  # what the piece starts with and ends in, see below
-        start, steps = e[own], _into(e[~own], t)
-        out: list[tuple] = []
+        start, found = e[own], []
         if len(start):
-            at, backs = dict(start.loc[start["step"] == -1, ["state", "e"]].itertuples(index=False, name=None)), []
-            for _, m in steps:
-                back = {b: min((-(at[a] + w), a) for a, w in ways if a in at) for b, ways in m.items() if any(a in at for a, _ in ways)}
-                at = {b: -v for b, (v, _) in back.items()}
-                backs.append({b: a for b, (_, a) in back.items()})
-            here = int(start.loc[start["step"] == -2, "state"].iloc[0])
-            for (step, _), back in zip(reversed(steps), reversed(backs)):
-                out.append((key[0], step, here))
-                here = back[here]
-        return pd.DataFrame(out, columns=["trace", "step", "state"])
+            at = dict(start.loc[start["step"] == -1, ["state", "e"]].itertuples(index=False, name=None))
+            found = _followed(_into(e[~own], t), at, int(start.loc[start["step"] == -2, "state"].iloc[0]))
+        return pd.DataFrame([(key[0], *f) for f in found], columns=["trace", "step", "state"])
 
     piece = F.floor(F.col("step") / PIECE).alias("piece")
     told = known.select("trace", "piece", F.when(F.col("ends"), -2).otherwise(-1).alias("step"), "state", F.col("w").alias("e"))
     rows = emissions.select("trace", piece, F.col("step").cast("int"), F.col("state").cast("bigint"), F.col("e").cast(totals)).unionByName(told)
     moves = transitions.select("trace", piece, "step", "state_from", "state_to", "t").groupBy("trace", "piece")
-    return rows.groupBy("trace", "piece").cogroup(moves).applyInPandas(follow, "trace bigint, step int, state bigint")
+    return rows.groupBy("trace", "piece").cogroup(moves).applyInPandas(follow, shape)

@@ -82,54 +82,60 @@ def candidates(points: DataFrame, segments: DataFrame, radius_m: float, k: int)
     return near.join(steps, ["trace", "seq"]).join(points.select("trace", "seq", "lon", "lat"), ["trace", "seq"])
 
 
-def _exits(c: Column) -> Column:
-    """Ends of a candidate's segment and the metres to them."""
-    return F.array(F.struct(c["src"].alias("node"), (c["fraction"] * c["len"]).alias("m")), F.struct(c["dst"].alias("node"), ((1 - c["fraction"]) * c["len"]).alias("m")))
+#: Of a candidate: its place, the ends of its segment (0 and 1) and the metres to them.
+_KEPT = ["state", "sid", "lon", "lat", "n0", "n1", "m0", "m1"]
+_COMBINATIONS = [(i, j) for i in (0, 1) for j in (0, 1)]
 
 
 def _steps(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(trace, step, straight, most, p, c): candidates p before and c in each step."""
-    fields = ["seq", "state", "sid", "x", "y", "fraction", "src", "dst", "len", "lon", "lat"]
-    a = first.select("trace", (F.col("step") + 1).alias("step"), F.struct(*fields).alias("p"))
-    both = a.join(second.select("trace", "step", F.struct(*fields).alias("c")), ["trace", "step"])
-    straight = measure.haversine(F.col("p.lon"), F.col("p.lat"), F.col("c.lon"), F.col("c.lat"))
-    return both.withColumn("straight", straight).withColumn("most", DETOUR * F.col("straight") + SLACK_M)
+    """(trace, step, straight, most, and the kept columns of the candidates before, p, and in each step, c)."""
+    def ends(rows, step, prefix):
+        rows = rows.withColumns({"n0": F.col("src"), "n1": F.col("dst"), "m0": F.col("fraction") * F.col("len"), "m1": (1 - F.col("fraction")) * F.col("len")})
+        return rows.select("trace", step.alias("step"), *[F.col(c).alias(prefix + c) for c in _KEPT])
 
+    both = ends(first, F.col("step") + 1, "p").join(ends(second, F.col("step"), "c"), ["trace", "step"])
+    straight = measure.haversine(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat"))
+    return both.withColumn("straight", straight).withColumn("most", DETOUR * F.col("straight") + SLACK_M).drop("plon", "plat", "clon", "clat")
 
-def _by_ends(steps: DataFrame) -> DataFrame:
-    """The steps between different segments, a row for each end left by and each end entered by: a, left, b, rest."""
-    out = steps.where("p.sid <> c.sid").withColumn("o", F.explode(_exits(F.col("p")))).withColumn("i", F.explode(_exits(F.col("c"))))
-    return out.withColumns({"a": F.col("o.node"), "left": F.col("o.m"), "b": F.col("i.node"), "rest": F.col("i.m")}).drop("o", "i")
+
+def _segment_pairs(steps: DataFrame) -> DataFrame:
+    """(psid, csid, a, b, i, j, most): the nodes between which ways of each pair of different segments lead, once."""
+    ends = [F.first(c).alias(c) for c in ("pn0", "pn1", "cn0", "cn1")]
+    pairs = steps.where("psid <> csid").groupBy("psid", "csid").agg(F.max("most").alias("most"), *ends)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"pn{i}").alias("a"), F.col(f"cn{j}").alias("b")) for i, j in _COMBINATIONS])
+    return pairs.withColumn("e", F.explode(each)).select("psid", "csid", "e.a", "e.b", "e.i", "e.j", "most")
 
 
 def match_steps(points: DataFrame, segments: DataFrame, edges: DataFrame, radius_m: float = RADIUS_M, sigma: float = SIGMA, beta: float = BETA, k: int = CANDIDATES, block_nodes: int = overlay.BLOCK_NODES) -> DataFrame:
-    """(trace, step, seq, sid, x, y, fraction, distance_m, metres, corners) of the matched points of traces (trace, seq,
-    lon, lat, perhaps level): the chosen place on segments (sid, ax, ay, bx, by, src, dst, length_m, perhaps alevel, blevel:
-    then both ends must be on the trace's level), and the metres and nodes of the way from the point before over edges (src,
-    dst, w in metres); metres are null on the first point, nodes where both lie on one segment or nothing connects them.
-    Traces of which fewer than two points have a candidate give no row. No trace is gathered anywhere."""
+    """(trace, step, seq, sid, x, y, fraction, distance_m, metres, nodes) of the matched points of traces (trace, seq, lon,
+    lat, perhaps level): the chosen place on segments (sid, ax, ay, bx, by, src, dst, length_m, perhaps alevel, blevel: then
+    both ends must be on the trace's level), and the metres and nodes of the way from the point before over edges (src, dst,
+    w in metres); metres are null on the first point, nodes where both lie on one segment or nothing connects them. Traces
+    of which fewer than two points have a candidate give no row. No trace is gathered anywhere."""
     if not (radius_m > 0 and sigma > 0 and beta > 0):
         raise UserError("radius_m, sigma and beta must be positive")
-    own = overlay.with_blocks(edges, block_nodes)
     found = cc.cut(candidates(points, segments, radius_m, k), "candidates")
-    steps = cc.cut(_steps(found, found), "steps")
-    ends = cc.cut(_by_ends(steps), "ends")
-    costs, reached = od_table(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "most"), own, block_nodes)
-    costs = cc.cut(costs.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("cost").alias("between")), "od")
-    routed = ends.select("trace", "step", "p", "c", "most", "left", "rest", "a", "b").join(costs, ["a", "b"], "left")
-    routed = routed.withColumn("between", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("between"))).where(F.col("left") + F.col("between") <= F.col("most"))
-    routed = routed.withColumn("metres", F.col("left") + F.col("between") + F.col("rest"))
-    best = routed.groupBy("trace", "step", F.col("p.state").alias("state_from"), F.col("c.state").alias("state_to")).agg(F.min(F.struct("metres", "a", "b")).alias("w"))
-    along = F.when(F.col("p.sid") == F.col("c.sid"), F.abs(F.col("c.fraction") - F.col("p.fraction")) * F.col("c.len"))
-    moves = steps.select("trace", "step", F.col("p.state").alias("state_from"), F.col("c.state").alias("state_to"), "straight", along.alias("along"))
-    moves = moves.join(best, ["trace", "step", "state_from", "state_to"], "left").withColumn("metres", F.coalesce("along", "w.metres"))
-    moves = cc.cut(moves, "moves")
+    steps = _steps(found, found)
+    pairs = cc.cut(_segment_pairs(steps), "pairs")
+    costs, reached = od_table(pairs.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "most"), overlay.with_blocks(edges, block_nodes), block_nodes)
+    between = pairs.join(costs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cost"), ["a", "b"], "left")
+    cost = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("cost"))
+    between = between.groupBy("psid", "csid").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), cost)).alias(f"b{i}{j}") for i, j in _COMBINATIONS])
+    routed = steps.join(cc.cut(between, "between"), ["psid", "csid"], "left")
+
+    def way(i: int, j: int) -> Column:
+        ok = F.col(f"pm{i}") + F.col(f"b{i}{j}") <= F.col("most")
+        return F.when(ok, F.struct((F.col(f"pm{i}") + F.col(f"b{i}{j}") + F.col(f"cm{j}")).alias("metres"), F.col(f"pn{i}").alias("a"), F.col(f"cn{j}").alias("b")))
+
+    # of one segment its two ends are nodes 0 and 1 on either side: the stretch between the places
+    along = F.when(F.col("psid") == F.col("csid"), F.abs(F.col("pm0") - F.col("cm0")))
+    moves = routed.select("trace", "step", F.col("pstate").alias("state_from"), F.col("cstate").alias("state_to"), "straight", along.alias("along"), F.least(*[way(i, j) for i, j in _COMBINATIONS]).alias("w"))
+    moves = cc.cut(moves.withColumn("metres", F.coalesce("along", "w.metres")), "moves")
     cut_off = moves.groupBy("trace", "step", "state_to").agg(F.count("metres").alias("ways")).where("ways = 0").select("trace", "step", "state_to", F.lit(BREAK).alias("lost"))
     t = moves.join(cut_off, ["trace", "step", "state_to"], "left").withColumn("t", F.coalesce(-F.abs(F.col("metres") - F.col("straight")) / beta, "lost"))
     emissions = found.select("trace", "step", "state", (-0.5 * (F.col("dist_m") / sigma) ** 2).alias("e"))
     chosen = lattice.sequence(emissions, t.where("t is not null").select("trace", "step", "state_from", "state_to", "t"))
-    line = cc.cut(found.join(chosen, ["trace", "step", "state"]), "chosen")
-    return _routed(line, moves, edges, reached)
+    return _routed(cc.cut(found.join(chosen, ["trace", "step", "state"]), "chosen"), moves, edges, reached)
 
 
 def _routed(line: DataFrame, moves: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -143,11 +149,12 @@ def _routed(line: DataFrame, moves: DataFrame, edges: DataFrame, reached: DataFr
     broken = cc.cut(taken.where("metres is null").select("trace", "step"), "broken")
     if not broken.isEmpty():
         before = line.withColumn("step", F.col("step") + 1).join(broken, ["trace", "step"], "left_semi").withColumn("step", F.col("step") - 1)
-        ends = _by_ends(_steps(before, line.join(broken, ["trace", "step"], "left_semi")))
-        asked = cc.cut(ends.select("a", "b").distinct(), "again")
-        ids = cc.cut(cc.dense(asked, ["a", "b"], "req"), "requests")
-        far = overlay.paths(overlay.build(edges), ids.select("req", F.col("a").alias("src"), F.col("b").alias("dst")))
-        far = ends.join(ids, ["a", "b"]).join(far, "req").withColumn("metres", F.col("left") + F.col("cost") + F.col("rest"))
+        steps = cc.cut(_steps(before, line.join(broken, ["trace", "step"], "left_semi")), "again")
+        ends = cc.cut(_segment_pairs(steps).select("a", "b").distinct(), "ends")
+        ids = cc.cut(cc.dense(ends, ["a", "b"], "req"), "requests")
+        far = cc.cut(overlay.paths(overlay.build(edges), ids.select("req", F.col("a").alias("src"), F.col("b").alias("dst"))).join(ids, "req"), "far")
+        each = F.array(*[F.struct(F.col(f"pn{i}").alias("a"), F.col(f"cn{j}").alias("b"), (F.col(f"pm{i}") + F.col(f"cm{j}")).alias("own")) for i, j in _COMBINATIONS])
+        far = steps.select("trace", "step", F.explode(each).alias("e")).select("trace", "step", "e.*").join(far, ["a", "b"]).withColumn("metres", F.col("own") + F.col("cost"))
         far = far.groupBy("trace", "step").agg(F.min(F.struct("metres", "a", "b", "nodes")).alias("w")).select("trace", "step", "w.metres", "w.nodes")
         known = known.unionByName(far)
     same = taken.where("along is not null").select("trace", "step", F.lit(None).cast("double").alias("metres"), F.lit(None).cast("array<bigint>").alias("nodes"))
