@@ -13,7 +13,9 @@ estimate, or where the sizes rule it out. All others are verified on the whole s
 A band value that many documents share would name all pairs of them. These are never emitted: each value first proposes
 a star around its best-connected member; verified links are merged into components. After that a value only concerns
 members of different components: these are dealt into blocks by a hash, and pairs of blocks compare the sketches of such
-members where they are, and hand on the few pairs that the likelihood leaves.
+members where they are. A first round, over some of the bands, hands on no more of the likely pairs than join its members
+(a forest, the likeliest pairs first); once these are verified and merged, the last round hands on the likely pairs that
+are left, each from the first band that both its documents share.
 
 Copies (equal sets) are one class throughout and represented by their smallest id. Nulls and empty texts have an empty set
 and no links; fewer than k words are one shingle. Rows with a null id are left out. Repeated ids count as one document,
@@ -35,6 +37,10 @@ BANDS = REGISTERS // BAND
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Natural logarithm of how much less likely the threshold may be before a pair is dropped.
 SLACK = 20.0
+#: Equal registers below which a pair of the threshold's similarity lies less than once in 10^12 times.
+SIGMAS = 7.2
+#: Bands of the first round; of the pairs at the threshold it meets 97 in 100.
+FIRST_BANDS = 16
 #: Shingles hashed at once, and members of a band value that meet in one task.
 CHUNK, BLOCK = 1 << 16, 256
 
@@ -158,7 +164,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
-    """(value, doc_id, n), a row for each band."""
+    """(band, value, doc_id, n), a row for each band."""
 
     def run(batches):
         for batch in batches:
@@ -166,7 +172,7 @@ def _banded(sketches: DataFrame) -> DataFrame:
                 values = band_values(_unpack(batch["sketch"])).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n"], pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * BANDS, pa.int32()), pa.array(values.ravel()))], ["doc_id", "n", "values"])
 
-    return common.map_arrow(sketches, run, "doc_id bigint, n bigint, values array<bigint>").select(F.explode("values").alias("value"), "doc_id", "n")
+    return common.map_arrow(sketches, run, "doc_id bigint, n bigint, values array<bigint>").select(F.posexplode("values").alias("band", "value"), "doc_id", "n")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -183,25 +189,53 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return common.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a bigint, b bigint")
 
 
-def _compare(rows: list, percent: int) -> list[tuple[int, int]]:
-    """The pairs of a group's members that may link: of different components, in both of two blocks or all in one."""
+def _compare(rows: list, percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of a group's members that may link: of different components, in both of two blocks or all in one. With forest
+    only as many as join the members' components, else all that share no earlier band."""
     doc, size, part, block = (np.array([r[c] for r in rows]) for c in ("doc_id", "n", "c", "block"))
-    one = np.flatnonzero(block == block.min())
-    two = np.flatnonzero(block == block.max())
+    low, high = block.min(), block.max()
+    two = np.flatnonzero(block == high)
     sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(-1, REGISTERS)
-    out = []
-    for i in one:
+    share = percent / 100
+    least = REGISTERS * share - SIGMAS * np.sqrt(REGISTERS * share * (1 - share))
+    left, right, equal = [], [], []
+    for i in np.flatnonzero(block == low):
         j = two[(part[two] != part[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i]))]
-        if block.min() == block.max():
+        if low == high:
             j = j[j > i]
         if len(j):
-            more, less = (sketches[i] > sketches[j]).sum(1), (sketches[i] < sketches[j]).sum(1)
-            for x in j[may_link(np.full(len(j), size[i]), size[j], more, less, percent)]:
-                out.append((min(doc[i], doc[x]), max(doc[i], doc[x])))
-    return out
-
-
-def _within(dealt: DataFrame, percent: int) -> DataFrame:
+            same = (sketches[j] == sketches[i]).sum(1)
+            j, same = j[same >= least], same[same >= least]
+            left += [i] * len(j)
+            right += j.tolist()
+            equal += same.tolist()
+    a, b, same = (np.array(x, np.int64) for x in (left, right, equal))
+    keep = np.zeros(len(a), bool)
+    for at in range(0, len(a), 4096):
+        x, y = sketches[a[at : at + 4096]], sketches[b[at : at + 4096]]
+        keep[at : at + 4096] = may_link(size[a[at : at + 4096]], size[b[at : at + 4096]], (x > y).sum(1), (x < y).sum(1), percent)
+        if not forest:
+            shared = (x[:, : BANDS * BAND] == y[:, : BANDS * BAND]).reshape(-1, BANDS, BAND).all(2)
+            keep[at : at + 4096] &= shared.argmax(1) == rows[0]["band"]
+    a, b, same = a[keep], b[keep], same[keep]
+    if forest:
+        chosen, top = [], {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        for x in np.argsort(-same, kind="stable"):
+            one, other = root(part[a[x]]), root(part[b[x]])
+            if one != other:
+                top[one] = other
+                chosen.append(x)
+        a, b = a[chosen], b[chosen]
+    return [(min(x, y), max(x, y)) for x, y in zip(doc[a].tolist(), doc[b].tolist())]
+
+
+def _within(dealt: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of members that meet in a group (value, low, high); groups lie together and are read one by one."""
     rows = dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
 
@@ -212,11 +246,11 @@ def _within(dealt: DataFrame, percent: int) -> DataFrame:
             for r in batch.to_pylist():
                 key = (r["value"], r["low"], r["high"])
                 if key != group:
-                    found += _compare(held, percent) if len(held) > 1 else []
+                    found += _compare(held, percent, forest) if len(held) > 1 else []
                     group, held = key, []
                 held.append(r)
             yield _pairs(found)
-        yield _pairs(_compare(held, percent) if len(held) > 1 else [])
+        yield _pairs(_compare(held, percent, forest) if len(held) > 1 else [])
 
     return common.map_arrow(rows, run, "a bigint, b bigint")
 
@@ -251,7 +285,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def _links(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) that connect the components of all links between the sketched documents."""
     flat = common.materialize(_banded(sketches), "bands")
-    sizes = flat.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = flat.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")  # a value belongs to one band
     members = common.materialize(flat.join(sizes, "value"), "members")
     degree = members.groupBy("doc_id").agg(F.sum("m").alias("degree"))
     star = F.max(F.struct("degree", (-F.col("doc_id")).alias("id"), "n")).alias("s")
@@ -260,18 +294,24 @@ def _links(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFr
     tried = members.join(lead, "value").where((F.col("doc_id") != F.col("lead")) & (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
     tried = common.materialize(tried.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "stars")
     links = common.materialize(ngram_jaccard._verified(common.materialize(_likely(tried, sketches, percent), "likely"), docs, k, percent), "links")
-    more = common.materialize(_rest(members, lead, links, tried, sketches, percent), "rest")
-    return links.unionByName(common.materialize(ngram_jaccard._verified(more, docs, k, percent), "links"))
+    for forest in (True, False):
+        likely = _open(members, lead, links, sketches, percent, forest).join(tried, ["a", "b"], "left_anti")
+        likely = common.materialize(likely, "likely")
+        links = common.materialize(links.unionByName(ngram_jaccard._verified(likely, docs, k, percent)), "links")
+        tried = tried.unionByName(likely)
+    return links
 
 
-def _rest(members: DataFrame, lead: DataFrame, links: DataFrame, tried: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs that no star has tried, between members of a band value that links haven't connected yet."""
+def _open(members: DataFrame, lead: DataFrame, links: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct likely pairs (a, b) of members of a band value that links haven't connected yet; with forest those of the
+    first bands, and of these no more than would join the members."""
     found = ngram_jaccard.components(links).withColumnRenamed("node", "doc_id")
-    open_ = members.where("m > 2").join(lead.select("value", F.col("lead").alias("doc_id")), ["value", "doc_id"], "left_anti")
-    open_ = common.materialize(open_.join(found, "doc_id", "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("c")), "open")
-    apart = open_.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y")
+    rows = members.where((F.col("m") > 2) & (F.col("band") < (FIRST_BANDS if forest else BANDS)))
+    rows = rows.join(lead.select("value", F.col("lead").alias("doc_id")), ["value", "doc_id"], "left_anti")
+    rows = common.materialize(rows.join(found, "doc_id", "left").select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("c")), "open")
+    apart = rows.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y")
     apart = apart.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = open_.join(apart, "value").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(apart, "value").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("value", "low", "high", "doc_id", "n", "c", "block", "sketch")
-    return _within(rows, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return _within(rows.select("band", "value", "low", "high", "doc_id", "n", "c", "block", "sketch"), percent, forest).distinct()

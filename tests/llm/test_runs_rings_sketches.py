@@ -257,14 +257,18 @@ def test_sketched_components_by_hand(spark, monkeypatch, block):
     assert got == components_by_hand(rows, 2, 80) and len({c for _, c, _ in got.values()}) < len(got)
 
 
-def test_open_members_meet_once_in_blocks():
-    """Members of different components in the same value are compared in some pair of blocks, whoever leads."""
+def test_open_members_meet_in_blocks():
+    """Members of different components are compared in some pair of blocks, in the first band that they share."""
     rng = np.random.default_rng(8)
     a, b = _sets(rng, 300, 0.85)
     x, y, z = setsketch.sketch_sets([a, b, rng.integers(0, 2**63, 300, dtype=np.uint64)])
-    rows = [{"doc_id": i, "n": 300, "c": c, "block": block, "sketch": s.tobytes()} for i, c, block, s in [(1, 1, 0, x), (2, 2, 1, y), (3, 3, 1, z), (4, 1, 1, y)]]
-    assert setsketch._compare(rows, 80) == [(1, 2)]
-    assert setsketch._compare([r | {"block": 0} for r in rows], 80) == [(1, 2), (2, 4)]
+    first = int((setsketch.band_values(x[None]) == setsketch.band_values(y[None]))[0].argmax())
+    rows = [{"doc_id": i, "n": 300, "c": c, "block": block, "band": first, "sketch": s.tobytes()} for i, c, block, s in [(1, 1, 0, x), (2, 2, 1, y), (3, 3, 1, z), (4, 1, 1, y)]]
+    assert setsketch._compare(rows, 80, False) == [(1, 2)]
+    one = [r | {"block": 0, "band": b} for b in (0, first) for r in rows]
+    assert setsketch._compare([r for r in one[4:] if r["doc_id"] != 4], 80, False) == [(1, 2)]
+    assert setsketch._compare([r | {"band": first + 1} for r in rows], 80, False) == []
+    assert setsketch._compare([r | {"block": 0} for r in rows], 80, True) == [(2, 4)]  # which also joins 1, as it is with 4
 
 
 def test_sketches_of_odd_rows(spark):
