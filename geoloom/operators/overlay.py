@@ -24,7 +24,7 @@ from . import components as cc
 from .features import UserError
 
 #: Nodes of a block, blocks of the base network in a block of the overlay, and requests of a portion.
-BLOCK_NODES, FAN, BLOCK_REQUESTS = 4096, 16, 256
+BLOCK_NODES, FAN, BLOCK_REQUESTS = 4096, 16, 64
 MOST_ROUNDS = 10_000
 
 
@@ -72,7 +72,7 @@ def _reached(near: dict[int, list], seeds, cutoff: float, targets=()) -> tuple[d
 
 def _portions(rows: DataFrame, key: str, portion_of: int) -> DataFrame:
     """(block, portions) of rows (block, key): about ``portion_of`` values of key share a portion."""
-    return cc.cut(rows.groupBy("block").agg(F.ceil(F.approx_count_distinct(key) / portion_of).cast("int").alias("portions")), "portions")
+    return rows.groupBy("block").agg(F.ceil(F.approx_count_distinct(key) / portion_of).cast("int").alias("portions"))
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame, key: str | None = None) -> DataFrame:
@@ -229,7 +229,7 @@ def _opened(hops: DataFrame, overlay: Overlay) -> DataFrame:
     def run(wanted: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         near, rows = _neighbours(around), []
         for a, own in wanted.groupby("a"):
-            _, before = _reached(near, [(a, 0)], math.inf)
+            _, before = _reached(near, [(a, 0)], math.inf, own["b"])
             for b in own["b"].tolist():
                 nodes, at = [], b
                 while at != a:

@@ -14,12 +14,14 @@ from .features import UserError
 MAX_CELLS = 4_000_000
 
 
-def frontier(reached: DataFrame, edges: DataFrame, cutoffs: list) -> DataFrame:
+def frontier(reached: DataFrame, edges: DataFrame, cutoffs: list | DataFrame) -> DataFrame:
     """(req, cutoff, src, dst, full, fraction): the edges and beginnings of edges that lie within each cutoff; reached has
-    req, node, cost and edges src, dst, w."""
+    req, node, cost and edges src, dst, w. cutoffs are those of all requests, or a frame (req, cutoff)."""
     at = reached.select("req", F.col("node").alias("src"), F.col("cost").alias("cu"))
     to = reached.select("req", F.col("node").alias("dst"), F.col("cost").alias("cv"))
-    steps = at.join(edges.select("src", "dst", "w"), "src").join(to, ["req", "dst"], "left").withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs]))).where("cu <= cutoff")
+    steps = at.join(edges.select("src", "dst", "w"), "src").join(to, ["req", "dst"], "left")
+    steps = steps.join(cutoffs, "req") if isinstance(cutoffs, DataFrame) else steps.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs])))
+    steps = steps.where("cu <= cutoff")
     full = (F.col("cu") + F.col("w") <= F.col("cutoff")) & (F.col("cv") <= F.col("cutoff"))
     part = (F.col("cutoff") - F.col("cu")).cast("double") / F.col("w")
     out = steps.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("fraction", F.when(F.col("full"), 1.0).when(F.col("w") > 0, part).otherwise(0.0))

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 import math
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import measure
-from geoloom.operators import mapmatch, network, raster, search
+from geoloom.operators import mapmatch, network, overlay, raster, search
 from geoloom.operators import components as cc
 from geoloom.operators.features import UserError
 
+from . import frames
+
 MAX_CUTOFFS, MAX_POINTS = 8, 10_000
 
 
@@ -38,23 +40,34 @@ class Local:
         return [float(self.lon[node]), float(self.lat[node])]
 
 
-class Network(Local):
-    """Nodes, edges and broadcastable graphs of a line layer (feature, props, parts)."""
+class Network:
+    """Nodes and edges of a line layer (feature, props, parts), and what searches need of them: overlays for frames of
+    requests, and for single answers over networks that are small enough a graph in arrays."""
 
     def __init__(self, name: str, lines: DataFrame, options: network.NetworkOptions = network.NetworkOptions()):
-        self.name, self._segments = name, None
+        self.name, self._segments, self._local, self._overlays = name, None, None, {}
         edges = cc.cut(network.edges_of(lines, options), "edges")
         if edges.isEmpty():
             raise UserError(f"network {name} has no edges")
         self.nodes = cc.cut(network.numbered(network.nodes_of(edges)), "nodes")
         self.edges = cc.cut(network.linked(edges, self.nodes), "linked")
-        order = ["feature", "part", "pos", "reverse"]
-        graph = search.Graph.collect(self.edges, "length_m", self.nodes.count(), order, ["time_s", "feature", "tlon", "tlat"])
-        rows = self.nodes.orderBy("node").select("lon", "lat", "level").toPandas()  # as bounded as the graph
-        super().__init__(graph, *(rows[c].to_numpy() for c in ("lon", "lat", "level")))
+
+    @cached_property
+    def small(self) -> bool:
+        return self.edges.count() <= search.MAX_EDGES
 
     def local(self) -> Local:
-        return Local(self.graph, self.lon, self.lat, self.level)
+        if self._local is None:
+            order = ["feature", "part", "pos", "reverse"]
+            graph = search.Graph.collect(self.edges, "length_m", self.nodes.count(), order, ["time_s", "feature", "tlon", "tlat"])
+            rows = self.nodes.orderBy("node").select("lon", "lat", "level").toPandas()  # as bounded as the graph
+            self._local = Local(graph, *(rows[c].to_numpy() for c in ("lon", "lat", "level")))
+        return self._local
+
+    def overlay(self, cost: str) -> overlay.Overlay:
+        if cost not in self._overlays:
+            self._overlays[cost] = overlay.build(self.edges.select("src", "dst", F.col("time_s" if cost == "time" else "length_m").alias("w")))
+        return self._overlays[cost]
 
     def segments(self) -> DataFrame:
         """Undirected segments for matching, numbered densely: sid, src, dst, ends with their levels, length_m, feature."""
@@ -85,52 +98,27 @@ def _level(params: dict, name: str) -> int:
     return level
 
 
-def answer(net: Local, name: str, text: str | None) -> str:
-    """The answer to a request's JSON text as JSON text; mistakes of the caller are answers with an ``error``."""
-    try:
-        params = json.loads(text or "{}")
-        if not isinstance(params, dict):
-            raise UserError("parameters must be an object")
-        return json.dumps({"shortest_path": shortest_path, "isochrone": isochrone}[name](net, params))
-    except (UserError, ValueError) as error:
-        return json.dumps({"error": str(error)})
-
-
 def run_frame(net: Network, name: str, requests: DataFrame) -> DataFrame:
-    """(req, result) for a frame of requests (req, params: JSON text): searches run where the requests are, over the
-    broadcast network. Traces and points have frames of their own, mapmatch.match and dbscan.labels."""
+    """(req, result) for a frame of requests (req, params: JSON text), answered together (``frames``). Traces and points
+    have frames of their own, mapmatch.match and dbscan.labels."""
     if name not in ("shortest_path", "isochrone"):
         raise UserError(f"{name} takes frames of its own")
-    shared = requests.sparkSession.sparkContext.broadcast(net.local())
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"req": pdf["req"], "result": [answer(shared.value, name, p) for p in pdf["params"]]})
-
-    return requests.select(F.col("req").cast("bigint").alias("req"), "params").mapInPandas(run, "req bigint, result string")
-
-
-def register_functions(net: Network) -> list[str]:
-    """Table functions shortest_path_<network> and isochrone_<network> for SQL: each takes a request's JSON text and gives
-    one row (result); with LATERAL they answer a table of requests."""
-    from pyspark.sql.functions import udtf
-
-    spark = net.nodes.sparkSession
-    shared, names = spark.sparkContext.broadcast(net.local()), []
-    for name in ("shortest_path", "isochrone"):
-
-        class Answer:
-            algorithm = name
+    return (frames.shortest_paths if name == "shortest_path" else frames.isochrones)(net, requests)
 
-            def eval(self, params: str):
-                yield (answer(shared.value, self.algorithm, params),)
 
-        names.append(f"{name}_{net.name}")
-        spark.udtf.register(names[-1], udtf(Answer, returnType="result string"))
-    return names
+def _single(net: Network, name: str, params: dict) -> dict:
+    """One answer of a network that is too large to be gathered."""
+    rows = net.nodes.sparkSession.createDataFrame([(0, json.dumps(params))], "req bigint, params string")
+    out = json.loads(run_frame(net, name, rows).first()["result"])
+    if "error" in out:
+        raise UserError(out["error"])
+    return out
 
 
-def shortest_path(net: Local, params: dict) -> dict:
+def shortest_path(net: Network, params: dict) -> dict:
+    if not net.small:
+        return _single(net, "shortest_path", params)
+    net = net.local()
     start, end, cost = _point(params.get("from"), "from"), _point(params.get("to"), "to"), _cost(params)
     radius = params.get("snap_radius_m") or 0
     radius = radius if radius > 0 else 500.0
@@ -157,7 +145,10 @@ def shortest_path(net: Local, params: dict) -> dict:
     }
 
 
-def isochrone(net: Local, params: dict) -> dict:
+def isochrone(net: Network, params: dict) -> dict:
+    if not net.small:
+        return _single(net, "isochrone", params)
+    net = net.local()
     origin, cost, cutoffs = _point(params.get("origin"), "origin"), _cost(params), params.get("cutoffs") or []
     if not 1 <= len(cutoffs) <= MAX_CUTOFFS or not all(isinstance(c, (int, float)) and c > 0 for c in cutoffs):
         raise UserError(f"1 to {MAX_CUTOFFS} positive cutoffs are needed")

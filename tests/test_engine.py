@@ -109,9 +109,10 @@ def test_network_counts(spark):
     lines = frame(spark, collection(*GRID)).selectExpr("idx as feature", "props", "geom.coords[0] as parts")
     net = networks.Network("n", lines)
     assert net.nodes.count() == 9 and net.edges.count() == 24
-    a, b = net.snap((0, 0), 0, 10)[0], net.snap((0.002, 0.002), 0, 10)[0]
-    best = net.graph.search([(a, 0.0)], target=b)
-    assert len(net.graph.path(best, b)) == 4
+    own = net.local()
+    a, b = own.snap((0, 0), 0, 10)[0], own.snap((0.002, 0.002), 0, 10)[0]
+    best = own.graph.search([(a, 0.0)], target=b)
+    assert len(own.graph.path(best, b)) == 4
     ew, ns = search.great_circle(0, 0, 0.002, 0), search.great_circle(0, 0, 0, 0.002)
     assert abs(best[b][0] - ew - ns) < 1
     assert network.undirected(net.edges).count() == 12
@@ -123,13 +124,15 @@ def test_oneway(spark):
     one = frame(spark, collection((None, {"oneway": "yes"}, line((0, 0), (0.001, 0))))).selectExpr("idx as feature", "props", "geom.coords[0] as parts")
     net = networks.Network("n", one, network.NetworkOptions(speed_kmh=50, oneway_field="oneway"))
     assert net.edges.count() == 1
-    a, b = net.snap((0, 0), 0, 1)[0], net.snap((0.001, 0), 0, 1)[0]
-    assert b in net.graph.search([(a, 0.0)]) and a not in net.graph.search([(b, 0.0)])
+    own = net.local()
+    a, b = own.snap((0, 0), 0, 1)[0], own.snap((0.001, 0), 0, 1)[0]
+    assert b in own.graph.search([(a, 0.0)]) and a not in own.graph.search([(b, 0.0)])
 
 
 def test_levels(spark):
     rows = [(None, {"level": 1}, line((0, 0), (0.001, 0))), (None, {"level": 2}, line((0, 0), (0.001, 0))), (None, {"level_from": 1, "level_to": 2, "duration_s": 30}, line((0, 0), (0, 0)))]
     net = networks.Network("n", frame(spark, collection(*rows)).selectExpr("idx as feature", "props", "geom.coords[0] as parts"))
+    net = net.local()
     a, b = net.snap((0.001, 0), 1, 1)[0], net.snap((0.001, 0), 2, 1)[0]
     walk = search.great_circle(0, 0, 0.001, 0) / (5 / 3.6)
     assert a != b and abs(net.graph.search([(a, 0.0)], weight=net.weights["time"])[b][0] - 2 * walk - 30) < 1
@@ -427,22 +430,42 @@ def test_rpc_text(engine):
     assert asks("2024-11-05") == "2024-11-05" and asks("1999-01-01") == "2025-06-18"
 
 
-def test_frames_and_table_functions(spark, engine):
-    asks = [{"from": [0, 0], "to": [0.002, 0.002], "cost": "distance"}, {"from": [10, 10], "to": [0, 0]}, {"from": [0, 0], "to": [0.003, 0.001], "to_level": 2}]
-    rows = spark.createDataFrame([(n, json.dumps(a)) for n, a in enumerate(asks)] + [(3, "nonsense"), (4, None)], "req long, params string")
+def test_frames_of_paths(spark, engine):
+    asks = [{"from": [0, 0], "to": [0.002, 0.002], "cost": "distance"}, {"from": [10, 10], "to": [0, 0]}, {"from": [0, 0], "to": [0.003, 0.001], "to_level": 2}, {"from": [0, 0], "to": [0, 0]}, {"from": [0, 0], "to": [0, 0], "cost": "beauty"}, {"from": [0, 0]}]
+    rows = spark.createDataFrame([(n, json.dumps(a)) for n, a in enumerate(asks)] + [(6, "nonsense"), (7, None)], "req long, params string")
     got = {r["req"]: json.loads(r["result"]) for r in engine.run_frame("shortest_path", "walk", rows).collect()}
-    for n in (0, 2):
-        assert got[n] == json.loads(json.dumps(engine.run("shortest_path", {"network": "walk", **asks[n]})))
-    assert all("error" in got[n] for n in (1, 3, 4))
+    for n in (0, 2, 3):
+        a, b = got[n]["features"][0], engine.run("shortest_path", {"network": "walk", **asks[n]})["features"][0]
+        assert a["properties"]["levels_visited"] == b["properties"]["levels_visited"] and a["properties"]["cost"] == b["properties"]["cost"]
+        for c in ("length_m", "duration_s"):
+            assert a["properties"][c] == pytest.approx(b["properties"][c], abs=0.2)
+        line, other = a["geometry"]["coordinates"], b["geometry"]["coordinates"]
+        assert len(line) == len(other) and line[0] == other[0] and line[-1] == other[-1]
+    assert all("error" in got[n] for n in (1, 4, 5, 6, 7)) and len(got) == 8
     with pytest.raises(UserError):
         engine.run_frame("dbscan", "walk", rows)
-    names = networks.register_functions(engine.network("walk"))
-    assert names == ["shortest_path_walk", "isochrone_walk"]
-    rows.createOrReplaceTempView("asked")
-    sql = {r["req"]: json.loads(r["result"]) for r in spark.sql("SELECT req, result FROM asked, LATERAL shortest_path_walk(params)").collect()}
-    assert sql == got
-    area = json.loads(spark.sql("""SELECT * FROM isochrone_walk('{"origin": [0.001, 0.001], "cutoffs": [60]}')""").first()["result"])
-    assert len(area["features"]) == 1
+
+
+def test_frames_of_areas(spark, engine, monkeypatch):
+    asks = [{"origin": [0.001, 0.001], "cutoffs": [60, 300]}, {"origin": [0.001, 0.001], "cutoffs": [150], "cost": "distance"}, {"origin": [0.001, 0.001], "cutoffs": []}, {"origin": [9, 9], "cutoffs": [60]}]
+    rows = spark.createDataFrame([(n, json.dumps(a)) for n, a in enumerate(asks)], "req long, params string")
+    got = {r["req"]: json.loads(r["result"]) for r in engine.run_frame("isochrone", "walk", rows).collect()}
+    area = lambda f: sum(abs(raster.ring_area(p[0])) - sum(abs(raster.ring_area(h)) for h in p[1:]) for p in f["geometry"]["coordinates"])
+    for n in (0, 1):
+        want = engine.run("isochrone", {"network": "walk", **asks[n]})["features"]
+        assert [f["properties"] for f in got[n]["features"]] == [f["properties"] for f in want]
+        for a, b in zip(got[n]["features"], want):
+            assert area(a) == pytest.approx(area(b), rel=0.03)
+            assert inside(a["geometry"]["coordinates"], (0.001, 0.001))
+    assert "error" in got[2] and "error" in got[3]
+    # a network that is too large to be gathered is asked in the same way
+    net = engine.network("walk")
+    monkeypatch.setattr(search, "MAX_EDGES", 1)
+    net.__dict__.pop("small", None)
+    assert engine.run("isochrone", {"network": "walk", **asks[1]})["features"][0]["properties"] == got[1]["features"][0]["properties"]
+    with pytest.raises(UserError):
+        engine.run("isochrone", {"network": "walk", **asks[3]})
+    net.__dict__.pop("small", None)
 
 
 def test_close_and_empty_sources(spark, tmp_path):
@@ -534,6 +557,7 @@ def test_levels_in_joins(spark):
 def test_guided_search_matches_the_plain_one(engine, cost):
     net = engine.network("walk")
     rng = random.Random(4)
+    net = net.local()
     for src in range(net.graph.n):
         plain = net.graph.search([(src, 0.0)], weight=net.weights[cost])
         for dst in range(net.graph.n):
