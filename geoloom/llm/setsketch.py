@@ -42,7 +42,7 @@ SIGMAS = 7.2
 #: Bands of the first round; of the pairs at the threshold it meets 97 in 100.
 FIRST_BANDS = 16
 #: Shingles hashed at once, and members of a band value that meet in one task.
-CHUNK, BLOCK = 1 << 16, 256
+CHUNK, BLOCK = 1 << 16, 1024
 
 _SEED = common.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR = (_SEED[:REGISTERS] >> np.uint64(32)).astype(np.uint32)
@@ -274,17 +274,17 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     read = common.materialize(sketch(docs, k), "read")
     own = read.select("doc_id", "n", "h1", "h2")
     classes = common.materialize(own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    sketches = common.materialize(read.select("doc_id", "n", "sketch").join(common.bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), "sketches")
-    links = _links(docs, sketches, k, percent)
+    reps = common.bounded(classes.select(F.col("rep").alias("doc_id")))
+    links = _links(docs, read.select("doc_id", "n", "sketch"), reps, k, percent)
     found = ngram_jaccard.components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _links(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified pairs (a, b) that connect the components of all links between the sketched documents."""
-    flat = common.materialize(_banded(sketches), "bands")
+def _links(docs: DataFrame, sketches: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified pairs (a, b) that connect the components of all links between the documents of reps."""
+    flat = _banded(sketches.join(reps, "doc_id", "left_semi"))  # read twice: cheaper than writing it
     sizes = flat.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")  # a value belongs to one band
     members = common.materialize(flat.join(sizes, "value"), "members")
     degree = members.groupBy("doc_id").agg(F.sum("m").alias("degree"))

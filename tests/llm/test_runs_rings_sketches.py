@@ -238,7 +238,7 @@ def components_by_hand(rows, k, percent):
     return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [1024, 4])
 def test_sketched_components_by_hand(spark, monkeypatch, block):
     """Chains, stars and crowds of near copies, in blocks of few members too."""
     monkeypatch.setattr(setsketch, "BLOCK", block)
