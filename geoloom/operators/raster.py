@@ -1,17 +1,22 @@
-"""Isochrone areas: frontier segments, raster cells, dilation and marching squares, relationally; rings by a local kernel."""
+"""Isochrone areas: frontier segments, raster cells, dilation, marching squares, rings and their nesting, by joins. Rings are
+followed inside blocks of the grid, each a small group, and their parts are put together by pointer jumping; no group holds
+an area."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components as cc
-from .features import UserError
 
-#: Cells of one area that a kernel may hold.
+#: Cells of the area of a single answer, which one task draws; frames have no such bound.
 MAX_CELLS = 4_000_000
+#: Side of a block that rings are followed in, on the half-cell lattice.
+RING_BLOCK = 128
 
 
 def frontier(reached: DataFrame, edges: DataFrame, cutoffs: list | DataFrame) -> DataFrame:
@@ -50,13 +55,13 @@ CASES = {1: "LT", 2: "TR", 3: "LR", 4: "RB", 5: "LT RB", 6: "TB", 7: "BL", 8: "B
 SIDES = {"L": (0, 1), "T": (1, 2), "R": (2, 1), "B": (1, 0)}
 
 
-def marching_segments(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """Contour segments (keys, vx1, vy1, vx2, vy2 on the half-cell lattice) around the marked cells. A block has its lower
-    left corner at a cell's middle; y grows upward."""
+def marching_segments(marked: DataFrame, keys: list[str], table: list[tuple] | None = None) -> DataFrame:
+    """Contour segments (keys, vx1, vy1, vx2, vy2 on the half-cell lattice) around the marked cells, in the order of CASES
+    or of a table (code, x1, y1, x2, y2). A block has its lower left corner at a cell's middle; y grows upward."""
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(b).alias("b")) for i, j, b in ((0, -1, 1), (-1, -1, 2), (-1, 0, 4), (0, 0, 8))])
     blocks = marked.withColumn("__c", F.explode(corners)).select(*keys, (F.col("gx") + F.col("__c.i")).alias("x"), (F.col("gy") + F.col("__c.j")).alias("y"), F.col("__c.b").alias("b"))
     codes = blocks.groupBy(*keys, "x", "y").agg(F.sum("b").alias("code")).where("code < 15")
-    rows = [(code, *SIDES[s[0]], *SIDES[s[1]]) for code, text in CASES.items() for s in text.split()]
+    rows = table or [(code, *SIDES[s[0]], *SIDES[s[1]]) for code, text in CASES.items() for s in text.split()]
     table = marked.sparkSession.createDataFrame(rows, "code long, x1 int, y1 int, x2 int, y2 int")
     return codes.join(F.broadcast(table), "code").select(*keys, *[(F.col(a) * 2 + F.col(f"{a}{i}")).cast("int").alias(f"v{a}{i}") for i in (1, 2) for a in ("x", "y")])
 
@@ -140,19 +145,119 @@ def polygons(rings: list) -> list[list]:
     return out
 
 
-def areas(segments: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
-    """(keys, polygons: array of polygons of rings of (x, y)) from contour segments of bounded areas, whose sizes are
-    checked before any of them is gathered."""
-    segments = cc.cut(segments, "contours")
-    most = segments.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if most > MAX_CELLS:
-        raise UserError(f"an area has {most} contour segments; up to {MAX_CELLS} are allowed: use larger cells")
-    fields = ", ".join(f"`{k}` {dict(segments.dtypes)[k]}" for k in keys)
+def _directed() -> list[tuple]:
+    """(code, x1, y1, x2, y2): the segments of CASES with the marked side on their left."""
+    corners = {1: (0, 2), 2: (2, 2), 4: (2, 0), 8: (0, 0)}
+    rows = []
+    for code, text in CASES.items():
+        for pair in text.split():
+            (x1, y1), (x2, y2) = SIDES[pair[0]], SIDES[pair[1]]
+            # the corner beside the segment's middle, to its left: the one it cuts off, or one of a straight segment's two
+            left = {bit: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for bit, (x, y) in corners.items()}
+            near = min(corners, key=lambda bit: ((corners[bit][0] - (x1 + x2) / 2) ** 2 + (corners[bit][1] - (y1 + y2) / 2) ** 2, bit))
+            rows.append((code, x1, y1, x2, y2) if (left[near] > 0) == bool(code & near) else (code, x2, y2, x1, y1))
+    return rows
+
+
+def contours(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """The segments of ``marching_segments``, each with the marked cells on its left: exactly one leaves every point that
+    one comes to."""
+    return marching_segments(marked, keys, _directed())
+
+
+def rings(contour: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rx, ry, pos, x, y, x2, y2) of directed contour segments: the ring, named by its smallest point, and the place
+    of each segment's first point in it, from 0 at that point."""
+    near = [F.floor(F.col(c) / RING_BLOCK) for c in ("vx1", "vy1")]
+    fields = ", ".join(f"`{k}` {dict(contour.dtypes)[k]}" for k in keys)
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        ahead = {(a, b): (c, d) for a, b, c, d in pdf[["vx1", "vy1", "vx2", "vy2"]].itertuples(index=False, name=None)}
+        # parts begin where nothing in the block leads; what is left then are rings inside it
+        begins = sorted(ahead.keys() - set(ahead.values()))
+        out, seen = [], set()
+        for first in [*begins, *sorted(ahead)]:
+            at, pos = first, 0
+            while at in ahead and at not in seen:
+                seen.add(at)
+                out.append((*first, pos, *at, *ahead[at]))
+                at, pos = ahead[at], pos + 1
+        parts = pd.DataFrame(out, columns=["px", "py", "idx", "x", "y", "x2", "y2"])
+        return parts.assign(**{k: pdf[k].iloc[0] for k in keys})
+
+    parts = contour.withColumns({"bx": near[0], "by": near[1]}).groupBy(*keys, "bx", "by").applyInPandas(follow, f"{fields}, px int, py int, idx int, x int, y int, x2 int, y2 int")
+    parts = cc.cut(parts, "parts")
+    # a part's last segment leads to the beginning of the next one, which is itself where the ring lies in one block
+    part = [*keys, "px", "py"]
+    ends = parts.groupBy(*part).agg(F.max(F.struct("idx", "x2", "y2")).alias("e")).select(*part, F.col("e.x2").alias("nx"), F.col("e.y2").alias("ny"), (F.col("e.idx") + 1).alias("n"))
+    whole = ends.where("px = nx and py = ny").select(*part, F.col("px").alias("rx"), F.col("py").alias("ry"), F.lit(0).alias("before"))
+    placed = whole.unionByName(_joined_parts(cc.cut(ends.where("px <> nx or py <> ny"), "ends"), keys))
+    out = parts.join(placed, part).withColumn("pos", F.col("before") + F.col("idx"))
+    # parts start at the smallest point of a ring inside one block; of others it may lie inside a part
+    least = out.groupBy(*keys, "rx", "ry").agg(F.min(F.struct("x", "y", "pos")).alias("l"), F.count("*").alias("n"))
+    out = out.join(least, [*keys, "rx", "ry"])
+    return out.select(*keys, F.col("l.x").alias("rx"), F.col("l.y").alias("ry"), F.pmod(F.col("pos") - F.col("l.pos"), F.col("n")).cast("int").alias("pos"), "x", "y", "x2", "y2")
+
+
+def _joined_parts(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, px, py, rx, ry, before): the ring of each part, by its smallest part, and the points before the part, from
+    parts (px, py) of n points that lead to (nx, ny), by pointer jumping."""
+    most = ends.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    rounds, part = math.ceil(math.log2(most)) if most > 1 else 0, [*keys, "px", "py"]
+    jump = lambda df, *kept: df.select(*keys, F.col("px").alias("nx"), F.col("py").alias("ny"), *[F.col(a).alias(b) for a, b in kept])
+    # the smallest part of each ring: of 2, 4, 8 ... parts ahead
+    state = ends.select(*part, "nx", "ny", F.struct("px", "py").alias("least"))
+    for _ in range(rounds):
+        ahead = jump(state, ("nx", "mx"), ("ny", "my"), ("least", "other"))
+        state = cc.cut(state.join(ahead, [*keys, "nx", "ny"]).select(*part, F.col("mx").alias("nx"), F.col("my").alias("ny"), F.least("least", "other").alias("least")), "least")
+    # cut before that part, the points up to the ring's end: again of 2, 4, 8 ... parts
+    state = ends.join(state.select(*part, "least"), part).withColumn("last", (F.col("nx") == F.col("least.px")) & (F.col("ny") == F.col("least.py")))
+    for _ in range(rounds):
+        ahead = jump(state, ("nx", "mx"), ("ny", "my"), ("n", "more"), ("last", "ended"))
+        go = lambda a, b: F.when(F.col("last"), F.col(a)).otherwise(F.col(b)).alias(a)
+        sums = F.when(F.col("last"), F.col("n")).otherwise(F.col("n") + F.col("more")).alias("n")
+        state = cc.cut(state.join(ahead, [*keys, "nx", "ny"]).select(*part, go("nx", "mx"), go("ny", "my"), sums, "least", (F.col("last") | F.col("ended")).alias("last")), "ranks")
+    size = state.groupBy(*keys, "least").agg(F.max("n").alias("size"))
+    return state.join(size, [*keys, "least"]).select(*part, F.col("least.px").alias("rx"), F.col("least.py").alias("ry"), (F.col("size") - F.col("n")).cast("int").alias("before"))
+
+
+def nesting(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rx, ry, n, area2, ox, oy) of ``rings``: their points, twice their signed area (holes are negative) and the
+    outer ring that they belong to. A hole looks to its left along the half-cell row of its first crossing: the nearest
+    crossing there is of its outer ring, or of another hole with the same one."""
+    ring = [*keys, "rx", "ry"]
+    sizes = points.groupBy(*ring).agg(F.count("*").alias("n"), F.sum((F.col("x") * F.col("y2") - F.col("x2") * F.col("y")).cast("bigint")).alias("area2"))
+    sizes = cc.cut(sizes, "sizes")
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    # in twice the lattice's units: where a segment is in the middle of the row
+    crossings = points.where("y <> y2").withColumn("row", F.explode(F.sequence(low, high - 1))).select(*ring, "row", (F.col("x") + F.col("x2")).alias("at"))
+    row = Window.partitionBy(*keys, "row").orderBy("at")
+    left = crossings.withColumns({"lx": F.lag("rx").over(row), "ly": F.lag("ry").over(row)})
+    first = left.join(sizes.where("area2 < 0").select(*ring), ring, "left_semi").groupBy(*ring).agg(F.min(F.struct("at", "row", "lx", "ly")).alias("f"))
+    state = first.select(*ring, F.col("f.lx").alias("ox"), F.col("f.ly").alias("oy"))
+    outer = sizes.where("area2 > 0").select(*ring, F.col("rx").alias("ox"), F.col("ry").alias("oy"))
+    state = cc.cut(outer.unionByName(state), "outer")
+    while True:  # holes point at holes until all point at outer rings
+        ahead = state.select(*keys, F.col("rx").alias("ox"), F.col("ry").alias("oy"), F.col("ox").alias("mx"), F.col("oy").alias("my"))
+        after = cc.cut(state.join(ahead, [*keys, "ox", "oy"]).select(*ring, F.col("mx").alias("ox"), F.col("my").alias("oy"), ((F.col("ox") != F.col("mx")) | (F.col("oy") != F.col("my"))).alias("moved")), "outer")
+        state = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return sizes.join(state, ring)
+
+
+def areas(marked: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
+    """(keys, polygons: array of polygons of rings of (x, y), the outer ring first) around marked cells. Rings are simplified
+    one by one; those with fewer than four points then go, and holes of an outer ring with it."""
+    points = cc.cut(rings(contours(marked, keys), keys), "rings")
+    own = cc.cut(nesting(points, keys), "nesting")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(map(tuple, pdf[["vx1", "vy1", "vx2", "vy2"]].to_numpy().tolist()))
-        rings = [simplify(r, tolerance) for r in chain(rows)]
-        shapes = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in polygons(rings)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "polygons": [shapes]})
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def simplified(lines: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": float(x), "y": float(y)} for x, y in simplify([(p["x"], p["y"]) for p in line], tolerance)] for line in lines])
 
-    return segments.groupBy(*keys).applyInPandas(run, f"{fields}, polygons array<array<array<struct<x:double,y:double>>>>")
+    line = points.groupBy(*keys, "rx", "ry").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("l"))
+    line = line.withColumn("l", F.concat("l", F.slice("l", 1, 1))).select(*keys, "rx", "ry", simplified(F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("ring"))
+    line = line.where(F.size("ring") >= 4).join(own, [*keys, "rx", "ry"])
+    polygon = line.groupBy(*keys, "ox", "oy").agg(F.array_sort(F.collect_list(F.struct((F.col("area2") < 0).alias("hole"), "rx", "ry", "ring"))).alias("p"))
+    polygon = polygon.where(~F.get("p", F.lit(0))["hole"]).select(*keys, "ox", "oy", F.transform("p", lambda r: r["ring"]).alias("polygon"))
+    return polygon.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ox", "oy", "polygon"))).alias("l")).select(*keys, F.transform("l", lambda p: p["polygon"]).alias("polygons"))

@@ -121,7 +121,7 @@ def _areas(net, asked: DataFrame, frontier: DataFrame) -> DataFrame:
     keys = ["req", "cutoff"]
     inside = segments.join(grid, keys).select(*keys, *[((F.col(c + i) - F.col("min" + c)) / F.col(s)).alias(n + c) for c, s in (("x", "cw"), ("y", "ch")) for i, n in (("1", "a"), ("2", "b"))])
     marked = raster.dilate(raster.cells(inside, 1.0, keys), keys)
-    shapes = raster.areas(raster.marching_segments(marked, keys), keys).join(grid, keys)
+    shapes = raster.areas(marked, keys).join(grid, keys)
     place = lambda v: F.array(F.col("minx") + v["x"] / 2 * F.col("cw"), F.col("miny") + v["y"] / 2 * F.col("ch"))
     return shapes.where(F.size("polygons") > 0).select(*keys, F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, place))).alias("shape"))
 

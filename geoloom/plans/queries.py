@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, measure, mercator, props
+from geoloom.operators import components as cc
 from geoloom.operators import cache, dbscan, features, joins, lattice, mapmatch, network, overlay, raster, search, tiles
 from geoloom.sources import geojson
 
@@ -391,19 +392,33 @@ def raster_dilate(spark, sf):
     return raster.dilate(raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"]), ["req", "cutoff"])
 
 
-def _contours(spark, sf):
-    marked = raster.dilate(raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"]), ["req", "cutoff"])
-    return raster.marching_segments(marked, ["req", "cutoff"])
+def _marked(spark, sf):
+    return raster.dilate(raster.cells(_lattice_segments(spark, sf), 4, ["req", "cutoff"]), ["req", "cutoff"])
 
 
 @query
 def marching_segments(spark, sf):
-    return _contours(spark, sf)
+    return raster.marching_segments(_marked(spark, sf), ["req", "cutoff"])
+
+
+@query
+def contour_rings(spark, sf):
+    """Rings with their points, signed area and outer ring."""
+    keys = ["req", "cutoff"]
+    points = cc.cut(raster.rings(raster.contours(_marked(spark, sf), keys), keys), "rings")
+    return raster.nesting(points, keys)
+
+
+@query
+def ring_points(spark, sf):
+    keys = ["req", "cutoff"]
+    points = raster.rings(raster.contours(_marked(spark, sf), keys), keys)
+    return points.groupBy(*keys, "rx", "ry").agg(F.sum(F.col("pos").cast("bigint") * (F.col("x") * 1000 + F.col("y"))).alias("ranked"))
 
 
 @query
 def isochrone_areas(spark, sf):
-    shapes = raster.areas(_contours(spark, sf), ["req", "cutoff"])
+    shapes = raster.areas(_marked(spark, sf), ["req", "cutoff"])
     return shapes.select("req", "cutoff", F.size("polygons").alias("polygons"), F.round(F.aggregate("polygons", F.lit(0.0), lambda s, p: s + F.abs(measure.ring_area(p[0]))), 1).alias("area"))
 
 
