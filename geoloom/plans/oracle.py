@@ -107,6 +107,16 @@ def _sssp(seeds: str, edges: str = "e", cutoff: str = "") -> str:
 
 _NEAR = f"""near AS (SELECT t.user_id * 1000000 + t.seq AS qid, node, round({hav('t.lon', 't.lat', 'n.mx / 1e6::DOUBLE', 'n.my / 1e6::DOUBLE')}, 3) AS d FROM t JOIN n ON n.mx BETWEEN t.mx - 1000 AND t.mx + 1000 AND n.my BETWEEN t.my - 1000 AND t.my + 1000),
     nearest AS (SELECT * FROM near WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, node) = 1)"""
+_CONTOUR = """, blocks AS (SELECT req, cutoff, gx + i AS x, gy + j AS y, sum(b) AS code FROM wide, (VALUES (0, -1, 1), (-1, -1, 2), (-1, 0, 4), (0, 0, 8)) AS c(i, j, b) GROUP BY req, cutoff, gx + i, gy + j HAVING sum(b) < 15),
+        cases(code, x1, y1, x2, y2) AS (VALUES (1, 0, 1, 1, 2), (14, 0, 1, 1, 2), (2, 1, 2, 2, 1), (13, 1, 2, 2, 1), (3, 0, 1, 2, 1), (12, 0, 1, 2, 1), (4, 2, 1, 1, 0), (11, 2, 1, 1, 0), (5, 0, 1, 1, 2), (5, 2, 1, 1, 0), (6, 1, 2, 1, 0), (9, 1, 2, 1, 0), (7, 1, 0, 0, 1), (8, 1, 0, 0, 1), (10, 1, 2, 2, 1), (10, 1, 0, 0, 1))"""
+# segments with the marked cell to their left, points as one number, and each point's ring by its smallest point
+_RINGS = """, seg AS (SELECT req, cutoff, x * 2 + x1 AS ax, y * 2 + y1 AS ay, x * 2 + x2 AS bx, y * 2 + y2 AS by_ FROM blocks JOIN cases USING (code)),
+        sided AS (SELECT *, CASE WHEN ax <> bx AND ay <> by_ THEN (ax + bx - by_ + ay) // 2 ELSE ax - (by_ - ay) // 2 END AS cx, CASE WHEN ax <> bx AND ay <> by_ THEN (ay + by_ + bx - ax) // 2 ELSE ay + (bx - ax) // 2 END AS cy FROM seg),
+        ends AS (SELECT s.req, s.cutoff, CASE WHEN w.gx IS NULL THEN bx ELSE ax END AS x1, CASE WHEN w.gx IS NULL THEN by_ ELSE ay END AS y1, CASE WHEN w.gx IS NULL THEN ax ELSE bx END AS x2, CASE WHEN w.gx IS NULL THEN ay ELSE by_ END AS y2
+                 FROM sided s LEFT JOIN wide w ON w.req = s.req AND w.cutoff = s.cutoff AND w.gx * 2 = s.cx AND w.gy * 2 = s.cy),
+        directed AS (SELECT *, CAST((x1 + 1000) * 1000000 + y1 + 1000 AS BIGINT) AS p1, CAST((x2 + 1000) * 1000000 + y2 + 1000 AS BIGINT) AS p2 FROM ends),
+        lab(req, cutoff, p1, label) USING KEY (req, cutoff, p1) AS (SELECT req, cutoff, p1, p1 AS label FROM directed
+            UNION SELECT d.req, d.cutoff, d.p2, min(l.label) FROM lab l JOIN directed d ON d.req = l.req AND d.cutoff = l.cutoff AND d.p1 = l.p1 JOIN recurring.lab AS old ON old.req = d.req AND old.cutoff = d.cutoff AND old.p1 = d.p2 WHERE l.label < old.label GROUP BY d.req, d.cutoff, d.p2)"""
 _LATTICE = """em AS (SELECT user_id AS trace, t.seq AS step, node AS state, -(abs(t.mx - n.mx) + abs(t.my - n.my)) AS e, n.mx AS nx, n.my AS ny, t.mx, t.my FROM t JOIN n ON abs(t.mx - n.mx) <= 1500 AND abs(t.my - n.my) <= 1500),
         best(trace, step, state, score, nx, ny, mx, my) AS (SELECT trace, step, state, e, nx, ny, mx, my FROM em WHERE step = 0
             UNION ALL SELECT b.trace, b.step, b.state, max(a.score - abs(abs(b.nx - a.nx) + abs(b.ny - a.ny) - abs(b.mx - a.mx) - abs(b.my - a.my)) + b.e), any_value(b.nx), any_value(b.ny), any_value(b.mx), any_value(b.my) FROM best a JOIN em b ON b.trace = a.trace AND b.step = a.step + 1 GROUP BY b.trace, b.step, b.state),
@@ -201,9 +211,19 @@ SQL: dict[str, str] = {
     "isochrone_frontier": _with("e", _FRONTIER, True) + 'SELECT req, cutoff, src, dst, "full", round(fraction, 6) AS fraction FROM frontier',
     "raster_cells": _with("n e", _CELLS, True) + "SELECT req, cutoff, gx, gy FROM cells",
     "raster_dilate": _with("n e", _DILATED, True) + "SELECT req, cutoff, gx, gy FROM wide",
-    "marching_segments": _with("n e", _DILATED + """, blocks AS (SELECT req, cutoff, gx + i AS x, gy + j AS y, sum(b) AS code FROM wide, (VALUES (0, -1, 1), (-1, -1, 2), (-1, 0, 4), (0, 0, 8)) AS c(i, j, b) GROUP BY req, cutoff, gx + i, gy + j HAVING sum(b) < 15),
-        cases(code, x1, y1, x2, y2) AS (VALUES (1, 0, 1, 1, 2), (14, 0, 1, 1, 2), (2, 1, 2, 2, 1), (13, 1, 2, 2, 1), (3, 0, 1, 2, 1), (12, 0, 1, 2, 1), (4, 2, 1, 1, 0), (11, 2, 1, 1, 0), (5, 0, 1, 1, 2), (5, 2, 1, 1, 0), (6, 1, 2, 1, 0), (9, 1, 2, 1, 0), (7, 1, 0, 0, 1), (8, 1, 0, 0, 1), (10, 1, 2, 2, 1), (10, 1, 0, 0, 1))""", True)
+    "marching_segments": _with("n e", _DILATED + _CONTOUR, True)
     + "SELECT req, cutoff, CAST(x * 2 + x1 AS INTEGER) AS vx1, CAST(y * 2 + y1 AS INTEGER) AS vy1, CAST(x * 2 + x2 AS INTEGER) AS vx2, CAST(y * 2 + y2 AS INTEGER) AS vy2 FROM blocks JOIN cases USING (code)",
+    "contour_rings": _with("n e", _DILATED + _CONTOUR + _RINGS + """,
+        sizes AS (SELECT req, cutoff, label, count(*) AS n, CAST(sum(x1 * y2 - x2 * y1) AS BIGINT) AS area2 FROM directed JOIN lab USING (req, cutoff, p1) GROUP BY req, cutoff, label),
+        edges AS (SELECT d.*, label, area2 FROM directed d JOIN lab USING (req, cutoff, p1) JOIN sizes USING (req, cutoff, label) WHERE area2 > 0),
+        around AS (SELECT h.req, h.cutoff, h.label, e.label AS outer_, any_value(e.area2) AS a FROM (SELECT *, label // 1000000 - 1000 + 0.01::DOUBLE AS px, label % 1000000 - 1000 + 0.013::DOUBLE AS py FROM sizes WHERE area2 < 0) h
+                   JOIN edges e ON e.req = h.req AND e.cutoff = h.cutoff AND (e.y1 > h.py) <> (e.y2 > h.py) AND h.px < (e.x2 - e.x1) * (h.py - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY h.req, h.cutoff, h.label, e.label HAVING count(*) % 2 = 1),
+        owner AS (SELECT req, cutoff, label, arg_min(outer_, a) AS o FROM around GROUP BY req, cutoff, label)""", True)
+    + "SELECT req, cutoff, CAST(label // 1000000 - 1000 AS INTEGER) AS rx, CAST(label % 1000000 - 1000 AS INTEGER) AS ry, n, area2, CAST(coalesce(o, label) // 1000000 - 1000 AS INTEGER) AS ox, CAST(coalesce(o, label) % 1000000 - 1000 AS INTEGER) AS oy FROM sizes LEFT JOIN owner USING (req, cutoff, label)",
+    "ring_points": _with("n e", _DILATED + _CONTOUR + _RINGS + """,
+        walk(req, cutoff, label, pos, p) AS (SELECT DISTINCT req, cutoff, label, 0, label FROM lab
+            UNION ALL SELECT w.req, w.cutoff, w.label, w.pos + 1, d.p2 FROM walk w JOIN directed d ON d.req = w.req AND d.cutoff = w.cutoff AND d.p1 = w.p AND d.p2 <> w.label)""", True)
+    + "SELECT req, cutoff, CAST(label // 1000000 - 1000 AS INTEGER) AS rx, CAST(label % 1000000 - 1000 AS INTEGER) AS ry, CAST(sum(pos * ((p // 1000000 - 1000) * 1000 + p % 1000000 - 1000)) AS BIGINT) AS ranked FROM walk GROUP BY req, cutoff, label",
     "track_steps": _with("t", f"b AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq))") + f"SELECT user_id AS trace, seq, round({hav('plon', 'plat', 'lon', 'lat')}, 1) AS step_m FROM b",
     "viterbi": _with("t n", _LATTICE, True)
     + "SELECT trace, CAST(score AS BIGINT) AS score, state FROM best JOIN ends USING (trace, step) QUALIFY row_number() OVER (PARTITION BY trace ORDER BY score DESC, state) = 1",
