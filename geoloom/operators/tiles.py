@@ -156,6 +156,10 @@ def cut(kind: str, coords, z: int, x: int, y: int, tolerance: float | None = 1.0
 # --- encoding ----------------------------------------------------------------------------------------------------
 
 
+#: Places in the input whose features make a part of a tile.
+PART_FEATURES = 1 << 16
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:
@@ -209,54 +213,111 @@ def _value(v) -> bytes:
 
 def encode_layer(name: str, features: list[tuple]) -> bytes:
     """A tile with one layer of features (id or None, properties, (type, parts or their encoded commands))."""
-    keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    body = b""
+    part = Part()
     for fid, props, (kind, parts) in features:
-        tags = b""
-        for k, v in props.items():
-            if v is not None:
-                tags += _varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v).__name__, v), len(values)))
+        own = {k: _value(v) for k, v in props.items() if v is not None}
+        part.add(fid, list(own), list(own.values()), kind, parts if isinstance(parts, bytes) else _commands(kind, parts))
+    return part.layer(name)
+
+
+class Part:
+    """Some features of a tile's layer with key and value dictionaries of their own; parts merge by new tags."""
+
+    def __init__(self, keys: list[str] = (), values: list[bytes] = (), features: list[tuple] = ()):
+        self.keys, self.values = {k: i for i, k in enumerate(keys)}, {v: i for i, v in enumerate(values)}
+        self.features = list(features)  # (encoded id, tags, encoded type and geometry)
+
+    def add(self, fid: int | None, keys: list[str], values: list[bytes], kind: int, commands: bytes) -> None:
+        tags = [t for k, v in zip(keys, values) for t in (self.keys.setdefault(k, len(self.keys)), self.values.setdefault(v, len(self.values)))]
         own = _varint(1 << 3) + _varint(fid) if isinstance(fid, int) and fid >= 0 else b""
-        body += _field(2, own + (_field(2, tags) if tags else b"") + _varint(3 << 3) + _varint(kind) + _field(4, parts if isinstance(parts, bytes) else _commands(kind, parts)))
-    layer = _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values)
-    return _field(3, layer + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
+        self.features.append((own, tags, _varint(3 << 3) + _varint(kind) + _field(4, commands)))
+
+    def merge(self, other: "Part") -> None:
+        """Appends the other part's features."""
+        keys = [self.keys.setdefault(k, len(self.keys)) for k in other.keys]
+        values = [self.values.setdefault(v, len(self.values)) for v in other.values]
+        for own, tags, rest in other.features:
+            self.features.append((own, [(values if i % 2 else keys)[t] for i, t in enumerate(tags)], rest))
+
+    def layer(self, name: str) -> bytes:
+        body = b"".join(_field(2, own + (_field(2, b"".join(map(_varint, tags))) if tags else b"") + rest) for own, tags, rest in self.features)
+        layer = _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, v) for v in self.values)
+        return _field(3, layer + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
 
 
 def _plain(v):
     return v if v is None or isinstance(v, (bool, int, float, str)) else json.dumps(v)
 
 
+def _runs(batches, keys: list[str]):
+    """(key, rows as tuples) of consecutive rows with the same key."""
+    held, group = [], None
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            key = tuple(getattr(row, k) for k in keys)
+            if key != group:
+                if held:
+                    yield group, held
+                group, held = key, []
+            held.append(row)
+    if held:
+        yield group, held
+
+
 def build(keyed: DataFrame, layer: str, props: list[str] | None = None, tolerance: float | None = 1.0) -> DataFrame:
     """(z, x, y, n, tile): gzipped bytes of each tile with content, from tile_features of a frame with idx, fid, geom
     (type, coords) and property columns, or with a map column props of JSON texts if none are named.
 
-    Geometries are clipped, simplified and encoded where the features are; only what is left of them in a tile goes to
-    the task that joins its features, so that at low zooms the small ones don't travel."""
+    Geometries are clipped, simplified and encoded where the features are; only what is left of them in a tile travels.
+    Features of a tile are joined in parts by ranges of PART_FEATURES places in the input (idx), each with its own
+    dictionaries, and the parts of a tile are merged by new tags: a crowded tile is encoded in many tasks."""
     cols = props if props is not None else ["props"]
 
     def encode(batches):
         for pdf in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                coords = [[[(p["x"], p["y"]) for p in line] for line in part] for part in r["geom"]["coords"]]
-                got = cut(r["geom"]["type"], coords, int(r["z"]), int(r["x"]), int(r["y"]), tolerance)
+            for z, x, y, idx, fid, geom, *own in pdf.itertuples(index=False, name=None):
+                coords = [[[(p["x"], p["y"]) for p in line] for line in part] for part in geom["coords"]]
+                got = cut(geom["type"], coords, int(z), int(x), int(y), tolerance)
                 if got:
                     if props is None:
-                        values = {k: _plain(json.loads(v)) for k, v in dict(r["props"] or {}).items() if v is not None}
+                        values = {k: _plain(json.loads(v)) for k, v in dict(own[0] or {}).items() if v is not None}
                     else:
-                        values = {p: None if pd.isna(r[p]) else r[p].item() if hasattr(r[p], "item") else r[p] for p in props}
-                    out.append((r["z"], r["x"], r["y"], r["idx"], r["fid"], got[0], _commands(*got), json.dumps(values)))
-            yield pd.DataFrame(out, columns=["z", "x", "y", "idx", "fid", "kind", "commands", "values"])
+                        values = {p: v.item() if hasattr(v, "item") else v for p, v in zip(props, own) if not pd.isna(v)}
+                    values = {k: _value(v) for k, v in values.items() if v is not None}
+                    out.append((z, x, y, idx, fid, got[0], _commands(*got), list(values), list(values.values())))
+            yield pd.DataFrame(out, columns=["z", "x", "y", "idx", "fid", "kind", "commands", "keys", "vals"])
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, x, y = (int(pdf[c].iloc[0]) for c in ("z", "x", "y"))
-        rows = [(int(r.fid) if str(r.fid).isdigit() else None, json.loads(r.values_), (int(r.kind), bytes(r.commands))) for r in pdf.rename(columns={"values": "values_"}).sort_values("idx").itertuples()]
-        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "n": [len(rows)], "tile": [gzip.compress(encode_layer(layer, rows), 6, mtime=0)]})
+    def parts(batches):
+        out = []
+        for key, rows in _runs(batches, ["z", "x", "y", "part"]):
+            own = Part()
+            for r in rows:
+                own.add(int(r.fid) if str(r.fid).isdigit() else None, list(r.keys), [bytes(v) for v in r.vals], int(r.kind), bytes(r.commands))
+            out.append((*key, len(rows), list(own.keys), list(own.values), [{"own": a, "tags": t, "rest": c} for a, t, c in own.features]))
+            if len(out) == 100:
+                yield pd.DataFrame(out, columns=["z", "x", "y", "part", "n", "keys", "vals", "features"])
+                out = []
+        yield pd.DataFrame(out, columns=["z", "x", "y", "part", "n", "keys", "vals", "features"])
+
+    def merge(batches):
+        out = []
+        for key, rows in _runs(batches, ["z", "x", "y"]):
+            whole = Part()
+            for r in rows:
+                whole.merge(Part(list(r.keys), [bytes(v) for v in r.vals], [(bytes(f["own"]), list(f["tags"]), bytes(f["rest"])) for f in r.features]))
+            out.append((*key, sum(int(r.n) for r in rows), gzip.compress(whole.layer(layer), 6, mtime=0)))
+            if len(out) == 100:
+                yield pd.DataFrame(out, columns=["z", "x", "y", "n", "tile"])
+                out = []
+        yield pd.DataFrame(out, columns=["z", "x", "y", "n", "tile"])
 
     rows = keyed.select("z", "x", "y", "idx", "fid", "geom", *cols)
-    cut_ = rows.mapInPandas(encode, "z int, x bigint, y bigint, idx bigint, fid string, kind int, commands binary, values string")
-    return cut_.groupBy("z", "x", "y").applyInPandas(gather, "z int, x bigint, y bigint, n int, tile binary")
+    tile, spread = "z int, x bigint, y bigint", int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut_ = rows.mapInPandas(encode, f"{tile}, idx bigint, fid string, kind int, commands binary, keys array<string>, vals array<binary>").withColumn("part", F.floor(F.col("idx") / PART_FEATURES))
+    cut_ = cut_.repartition(spread, "z", "x", "y", "part").sortWithinPartitions("z", "x", "y", "part", "idx")
+    made = cut_.mapInPandas(parts, f"{tile}, part bigint, n int, keys array<string>, vals array<binary>, features array<struct<own:binary,tags:array<int>,rest:binary>>")
+    return made.repartition(spread, "z", "x", "y").sortWithinPartitions("z", "x", "y", "part").mapInPandas(merge, f"{tile}, n int, tile binary")
 
 
 def write_store(tiles: DataFrame, path: str, layer: str) -> None:

@@ -175,6 +175,8 @@ SQL: dict[str, str] = {
     "tile_counts": _with("l", _KEYED) + "SELECT z, x, y, count(*) AS n FROM keyed GROUP BY z, x, y",
     "tile_build": _with("p", "pl AS (SELECT fid AS feature, lon AS xmin, lat AS ymin, lon AS xmax, lat AS ymax FROM p), " + _KEYED.replace("FROM l,", "FROM pl,").replace("generate_series(8, 15)", "generate_series(6, 10)"))
     + "SELECT z, x, y, CAST(count(*) AS INTEGER) AS n FROM keyed GROUP BY z, x, y",
+    "tile_contents": _with("p", "pl AS (SELECT fid AS feature, lon AS xmin, lat AS ymin, lon AS xmax, lat AS ymax FROM p), " + _KEYED.replace("FROM l,", "FROM pl,").replace("generate_series(8, 15)", "generate_series(6, 10)"))
+    + "SELECT z, x, y, sha256(string_agg(p.fid || ':' || p.name || chr(10), '' ORDER BY p.fid)) AS content FROM keyed JOIN p ON p.fid = keyed.feature GROUP BY z, x, y",
     "haversine": _with("p qp") + f"SELECT p.fid, qp.fid AS sid, round({hav('p.lon', 'p.lat', 'qp.lon', 'qp.lat')}, 1) AS dist_m FROM p JOIN qp ON p.fid % 10 = qp.fid",
     "meters_per_degree": _with("p") + "SELECT fid, round(greatest(1, 111320::DOUBLE * cos((lat * 2 - 10) * pi() / 180)), 3) AS lon_m, 111132::DOUBLE AS lat_m FROM p",
     "project_on_segment": _with("s t", f"b AS (SELECT *, {_projected('lon', 'lat')} AS f FROM s JOIN t ON s.sid % 50 = t.user_id)") + "SELECT sid, user_id, seq, round(ax + (bx - ax) * f, 6) AS x, round(ay + (by_ - ay) * f, 6) AS y, round(CAST(f AS DOUBLE), 6) AS fraction FROM b",

@@ -178,12 +178,26 @@ def tile_counts(spark, sf):
     return tiles.tile_counts(_keyed(spark, sf))
 
 
-@query
-def tile_build(spark, sf):
+def _built(spark, sf):
     p = views.points(spark, sf)
     geom = F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("coords"))
     rows = p.select(F.col("fid").alias("idx"), F.col("fid").cast("string").alias("fid"), "name", geom.alias("geom"), F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
-    return tiles.build(tiles.tile_features(rows, 6, 10), "points", ["name"]).select("z", "x", "y", "n")
+    return tiles.build(tiles.tile_features(rows, 6, 10), "points", ["name"])
+
+
+@query
+def tile_build(spark, sf):
+    return _built(spark, sf).select("z", "x", "y", "n")
+
+
+@query
+def tile_contents(spark, sf):
+    """A hash of the ids and names that each tile's bytes decode to, in the tile's order."""
+    @F.pandas_udf("string")
+    def content(tile: pd.Series) -> pd.Series:
+        return pd.Series(["".join(f"{f['id']}:{f['properties']['name']}\n" for f in tiles.decode(bytes(t))["points"]) for t in tile])
+
+    return _built(spark, sf).select("z", "x", "y", F.sha2(content("tile"), 256).alias("content"))
 
 
 @query
