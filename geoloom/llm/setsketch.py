@@ -14,8 +14,10 @@ A band value that many documents share would name all pairs of them. These are n
 a star around its best-connected member; verified links are merged into components. After that a value only concerns
 members of different components: these are dealt into blocks by a hash, and pairs of blocks compare the sketches of such
 members where they are. A first round, over some of the bands, hands on no more of the likely pairs than join its members
-(a forest, the likeliest pairs first); once these are verified and merged, the last round hands on the likely pairs that
-are left, each from the first band that both its documents share.
+(a forest, the likeliest pairs first), which are verified and merged. The next one names the documents that still have a
+likely partner in another component, in the first band that both share. Only these bring their shingles along in the last
+round, shortened to 32 bits each, so that pairs are counted out where they meet; what they share can only be overstated by
+that. Links found are again handed on as a forest and verified on whole sets like all others.
 
 Copies (equal sets) are one class throughout and represented by their smallest id. Nulls and empty texts have an empty set
 and no links; fewer than k words are one shingle. Rows with a null id are left out. Repeated ids count as one document,
@@ -189,10 +191,10 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return common.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a bigint, b bigint")
 
 
-def _compare(rows: list, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a group's members that may link: of different components, in both of two blocks or all in one. With forest
-    only as many as join the members' components, else all that share no earlier band."""
-    doc, size, part, block = (np.array([r[c] for r in rows]) for c in ("doc_id", "n", "c", "block"))
+def _likely_within(rows: list, percent: int, first_band: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal registers) of a group's members that may link: of different components, in both of two blocks or all in
+    one; with first_band those that share no earlier band."""
+    size, part, block = (np.array([r[c] for r in rows]) for c in ("n", "c", "block"))
     low, high = block.min(), block.max()
     two = np.flatnonzero(block == high)
     sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(-1, REGISTERS)
@@ -206,37 +208,73 @@ def _compare(rows: list, percent: int, forest: bool) -> list[tuple[int, int]]:
         if len(j):
             same = (sketches[j] == sketches[i]).sum(1)
             j, same = j[same >= least], same[same >= least]
-            left += [i] * len(j)
-            right += j.tolist()
-            equal += same.tolist()
-    a, b, same = (np.array(x, np.int64) for x in (left, right, equal))
+            left.append(np.full(len(j), i))
+            right.append(j)
+            equal.append(same)
+    a, b, same = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right, equal))
     keep = np.zeros(len(a), bool)
     for at in range(0, len(a), 4096):
-        x, y = sketches[a[at : at + 4096]], sketches[b[at : at + 4096]]
-        keep[at : at + 4096] = may_link(size[a[at : at + 4096]], size[b[at : at + 4096]], (x > y).sum(1), (x < y).sum(1), percent)
-        if not forest:
+        i, j = a[at : at + 4096], b[at : at + 4096]
+        x, y = sketches[i], sketches[j]
+        keep[at : at + 4096] = may_link(size[i], size[j], (x > y).sum(1), (x < y).sum(1), percent)
+        if first_band:
             shared = (x[:, : BANDS * BAND] == y[:, : BANDS * BAND]).reshape(-1, BANDS, BAND).all(2)
             keep[at : at + 4096] &= shared.argmax(1) == rows[0]["band"]
-    a, b, same = a[keep], b[keep], same[keep]
-    if forest:
-        chosen, top = [], {}
-
-        def root(c):
-            while top.get(c, c) != c:
-                c = top[c]
-            return c
-
-        for x in np.argsort(-same, kind="stable"):
-            one, other = root(part[a[x]]), root(part[b[x]])
-            if one != other:
-                top[one] = other
-                chosen.append(x)
-        a, b = a[chosen], b[chosen]
-    return [(min(x, y), max(x, y)) for x, y in zip(doc[a].tolist(), doc[b].tolist())]
-
-
-def _within(dealt: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of members that meet in a group (value, low, high); groups lie together and are read one by one."""
+    return a[keep], b[keep], same[keep]
+
+
+def _forest(rows: list, pairs, holds) -> list[tuple[int, int]]:
+    """The pairs (i, j), in order, that hold and join members of components that no pair before has joined."""
+    top: dict = {}
+
+    def root(c):
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    out = []
+    for i, j in pairs:
+        one, other = root(rows[i]["c"]), root(rows[j]["c"])
+        if one != other and holds(i, j):
+            top[one] = other
+            x, y = rows[i]["doc_id"], rows[j]["doc_id"]
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
+def _joining(rows: list, percent: int) -> list[tuple[int, int]]:
+    """A forest of likely pairs, the likeliest first."""
+    a, b, same = _likely_within(rows, percent, False)
+    order = np.argsort(-same, kind="stable")
+    return _forest(rows, zip(a[order].tolist(), b[order].tolist()), lambda i, j: True)
+
+
+def _hopeful(rows: list, percent: int) -> list[tuple[int, int]]:
+    """The members that have a likely partner, each as a pair with itself."""
+    a, b, _ = _likely_within(rows, percent, True)
+    return [(rows[i]["doc_id"],) * 2 for i in np.unique(np.concatenate([a, b])).tolist()]
+
+
+def _counted(rows: list, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that share enough, by their shortened shingles."""
+    a, b, same = _likely_within(rows, percent, True)
+    short: dict[int, np.ndarray] = {}
+
+    def links(i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in short:
+                short[k] = np.unique(np.frombuffer(rows[k]["tokens"], np.uint32))
+        na, nb = rows[i]["n"], rows[j]["n"]
+        both = len(np.intersect1d(short[i], short[j], assume_unique=True)) + (na - len(short[i])) + (nb - len(short[j]))
+        return 100 * both >= percent * (na + nb - both)
+
+    order = np.argsort(-same, kind="stable")
+    return _forest(rows, zip(a[order].tolist(), b[order].tolist()), links)
+
+
+def _within(dealt: DataFrame, percent: int, compare) -> DataFrame:
+    """Distinct pairs (a, b) that ``compare`` finds in the groups (value, low, high); these lie together and are read one
+    by one."""
     rows = dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
 
     def run(batches):
@@ -246,13 +284,13 @@ def _within(dealt: DataFrame, percent: int, forest: bool) -> DataFrame:
             for r in batch.to_pylist():
                 key = (r["value"], r["low"], r["high"])
                 if key != group:
-                    found += _compare(held, percent, forest) if len(held) > 1 else []
+                    found += compare(held, percent) if len(held) > 1 else []
                     group, held = key, []
                 held.append(r)
             yield _pairs(found)
-        yield _pairs(_compare(held, percent, forest) if len(held) > 1 else [])
+        yield _pairs(compare(held, percent) if len(held) > 1 else [])
 
-    return common.map_arrow(rows, run, "a bigint, b bigint")
+    return common.map_arrow(rows, run, "a bigint, b bigint").distinct()
 
 
 def _pairs(found: list) -> pa.RecordBatch:
@@ -294,24 +332,41 @@ def _links(docs: DataFrame, sketches: DataFrame, reps: DataFrame, k: int, percen
     tried = members.join(lead, "value").where((F.col("doc_id") != F.col("lead")) & (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
     tried = common.materialize(tried.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "stars")
     links = common.materialize(ngram_jaccard._verified(common.materialize(_likely(tried, sketches, percent), "likely"), docs, k, percent), "links")
-    for forest in (True, False):
-        likely = _open(members, lead, links, sketches, percent, forest).join(tried, ["a", "b"], "left_anti")
-        likely = common.materialize(likely, "likely")
-        links = common.materialize(links.unionByName(ngram_jaccard._verified(likely, docs, k, percent)), "links")
-        tried = tried.unionByName(likely)
-    return links
+    rows = _open(members.where(F.col("band") < FIRST_BANDS), lead, links)
+    likely = _within(_dealt(rows, sketches), percent, _joining).join(tried, ["a", "b"], "left_anti")
+    links = common.materialize(links.unionByName(ngram_jaccard._verified(common.materialize(likely, "likely"), docs, k, percent)), "links")
+    rows = _open(members, lead, links)
+    hopeful = common.materialize(_within(_dealt(rows, sketches), percent, _hopeful).select(F.col("a").alias("doc_id")).distinct(), "hopeful")
+    few = common.bounded(hopeful)
+    tokens = common.materialize(_shortened(docs.join(few, "doc_id", "left_semi"), k), "tokens")
+    found = _within(_dealt(rows.join(few, "doc_id", "left_semi"), sketches.join(tokens, "doc_id")), percent, _counted)
+    return links.unionByName(ngram_jaccard._verified(common.materialize(found, "found"), docs, k, percent))
 
 
-def _open(members: DataFrame, lead: DataFrame, links: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct likely pairs (a, b) of members of a band value that links haven't connected yet; with forest those of the
-    first bands, and of these no more than would join the members."""
+def _shortened(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, tokens: the shingles of doc_id, text as 32-bit numbers."""
+
+    def run(batches):
+        for batch in common.small(batches):
+            sets = [(u >> np.uint64(32)).astype(np.uint32).tobytes() for u in common.shingle_sets(batch["text"], k)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+
+    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, tokens binary")
+
+
+def _open(members: DataFrame, lead: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, value, doc_id, c) of the members, but for its leader, of each value that has several components."""
     found = ngram_jaccard.components(links).withColumnRenamed("node", "doc_id")
-    rows = members.where((F.col("m") > 2) & (F.col("band") < (FIRST_BANDS if forest else BANDS)))
-    rows = rows.join(lead.select("value", F.col("lead").alias("doc_id")), ["value", "doc_id"], "left_anti")
+    rows = members.where("m > 2").join(lead.select("value", F.col("lead").alias("doc_id")), ["value", "doc_id"], "left_anti")
     rows = common.materialize(rows.join(found, "doc_id", "left").select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("c")), "open")
-    apart = rows.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x < y")
-    apart = apart.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(apart, "value").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    apart = rows.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("value")
+    return rows.join(apart, "value", "left_semi")
+
+
+def _dealt(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """rows with what their documents carry, in blocks of about BLOCK members of a value, once for each pair of blocks (low,
+    high) that theirs is in: two members meet in one of these groups, none of which grows with the value."""
+    sizes = rows.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "value").join(carried, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return _within(rows.select("band", "value", "low", "high", "doc_id", "n", "c", "block", "sketch"), percent, forest).distinct()
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
