@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from geoloom.functions import geometry
 from geoloom.functions.mercator import to_degrees
-from geoloom.operators.features import UserError
+from geoloom.operators.features import UserError, bbox_filter
 
 SRS = (0, 3857, 4326)
 FORMATS = {"pbf": "application/vnd.mapbox-vector-tile", "mvt": "application/vnd.mapbox-vector-tile", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
@@ -46,22 +47,73 @@ def pick_layer(path: str, want: str | None = None) -> tuple[str, str, int]:
     return found[0]
 
 
-def _ranges(path: str, table: str) -> list[Range]:
-    with _open(path) as db:
-        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(table)}").fetchone()
-    return [Range(a, a + ROWS_PER_TASK) for a in range(low, high + 1, ROWS_PER_TASK)] if low is not None else [Range(0, 0)]
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
-class _GpkgReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.table, self.column, self.srs = options["path"], *pick_layer(options["path"], options.get("layer"))
+class _SqliteReader(DataSourceReader):
+    """Reads a table by ranges of its rowids; filters on some whole-number columns become conditions of the query, which
+    an index of the table or the rowids themselves then answer."""
+
+    #: columns of the rows that filters are taken over for, and their names in the table
+    pushed: dict[str, str] = {}
+
+    def __init__(self, path: str, table: str):
+        self.path, self.table, self.conditions, self.values, self.exact = path, table, [], [], set()
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = self.pushed.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+            if column and type(f) in _SIGNS and isinstance(f.value, int):
+                self.conditions.append(f"{column} {_SIGNS[type(f)]} ?")
+                self.values.append(f.value)
+                if isinstance(f, EqualTo):
+                    self.exact.add(f.attribute[0])
+            elif column and isinstance(f, In) and 0 < len(f.value) <= 500 and all(isinstance(v, int) for v in f.value):
+                self.conditions.append(f"{column} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            else:
+                yield f
 
     def partitions(self):
-        return _ranges(self.path, self.table)
+        where = f" WHERE {' AND '.join(self.conditions)}" if self.conditions else ""
+        if self.exact and self.exact == set(self.pushed):
+            return [Range(-(1 << 63), (1 << 63) - 1)]  # one row, by the index
+        with _open(self.path) as db:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}{where}", self.values).fetchone()
+        return [Range(a, a + ROWS_PER_TASK) for a in range(low, high + 1, ROWS_PER_TASK)] if low is not None else [Range(0, 0)]
+
+    def query(self, what: str, partition: Range) -> tuple[str, list]:
+        """The query of a range, and its values."""
+        conditions, values = list(self.conditions), list(self.values)
+        if partition.low > -(1 << 63):
+            conditions += ["rowid >= ?", "rowid < ?"]
+            values += [partition.low, partition.high]
+        return f"SELECT {what} FROM {quoted(self.table)} WHERE {' AND '.join(conditions)}", values
+
+
+class _GpkgReader(_SqliteReader):
+    pushed = {"idx": "rowid"}
+
+    def __init__(self, options):
+        table, self.column, self.srs = pick_layer(options["path"], options.get("layer"))
+        super().__init__(options["path"], table)
+        if options.get("box"):
+            self._within([float(v) for v in options["box"].split(",")])
+
+    def _within(self, box: list[float]) -> None:
+        """Rows whose boxes in the table's R-tree, if it has one, meet a box in degrees."""
+        tree = f"rtree_{self.table}_{self.column}"
+        with _open(self.path) as db:
+            if not db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (tree,)).fetchone():
+                return
+        west, south, east, north = box if self.srs != 3857 else [*_metres(box[0], box[1]), *_metres(box[2], box[3])]
+        self.conditions.append(f"rowid IN (SELECT id FROM {quoted(tree)} WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?)")
+        self.values += [west, east, south, north]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         with _open(self.path) as db:
-            rows = db.execute(f"SELECT rowid, * FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (partition.low, partition.high))
+            query, values = self.query("rowid, *", partition)
+            rows = db.execute(f"{query} ORDER BY rowid", values)
             names = [c[0] for c in rows.description][1:]
             for rowid, *values in rows:
                 props, fid, blob = {}, None, None
@@ -78,7 +130,8 @@ class _GpkgReader(DataSourceReader):
 
 
 class GeoPackage(DataSource):
-    """Rows (idx, fid, props, blob, srs) of a GeoPackage's feature table; options path and layer."""
+    """Rows (idx, fid, props, blob, srs) of a GeoPackage's feature table; options path, layer, and a box in degrees that rows
+    beyond may be left out of by the table's R-tree."""
 
     @classmethod
     def name(cls):
@@ -91,16 +144,15 @@ class GeoPackage(DataSource):
         return _GpkgReader(self.options)
 
 
-class _MbtilesReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
+class _MbtilesReader(_SqliteReader):
+    pushed = {c: c for c in ("zoom_level", "tile_column", "tile_row")}
 
-    def partitions(self):
-        return _ranges(self.path, "tiles")
+    def __init__(self, options):
+        super().__init__(options["path"], "tiles")
 
     def read(self, partition: Range) -> Iterator[tuple]:
         with _open(self.path) as db:
-            yield from db.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+            yield from db.execute(*self.query("zoom_level, tile_column, tile_row, tile_data", partition))
 
 
 class Mbtiles(DataSource):
@@ -120,18 +172,28 @@ class Mbtiles(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoPackage)
     spark.dataSource.register(Mbtiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def _metres(lon: float, lat: float) -> tuple[float, float]:
+    """Web Mercator of a position; the poles are cut off where the projection ends."""
+    lat = max(-85.05112877980659, min(85.05112877980659, lat))
+    return math.radians(lon) * 6378137.0, math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378137.0
 
 
-def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Feature frame of a GeoPackage's feature table, in degrees; a broken geometry fails the read."""
+def read_gpkg(spark: SparkSession, path: str, layer: str | None = None, box: tuple | None = None) -> DataFrame:
+    """Feature frame of a GeoPackage's feature table, in degrees; a broken geometry fails the read. With a box only the
+    features whose boxes meet it, which the table's R-tree finds if it has one."""
     register(spark)
     pick_layer(path, layer)
-    rows = spark.read.format("gpkg").options(path=path, **({"layer": layer} if layer else {})).load()
+    options = {**({"layer": layer} if layer else {}), **({"box": ",".join(map(repr, map(float, box)))} if box else {})}
+    rows = spark.read.format("gpkg").options(path=path, **options).load()
     got = rows.withColumn("g", geometry.gpb_geometry("blob"))
     geom = F.when(F.col("g.ok"), F.col("g.geom")).otherwise(F.raise_error(F.lit("not a GeoPackage geometry")).cast(geometry.GEOM))
     moved = F.struct(geom["type"].alias("type"), F.transform(geom["coords"], lambda part: F.transform(part, lambda line: F.transform(line, _degrees))).alias("coords"))
     geom = F.when(F.col("srs") == 3857, F.when(geom.isNotNull(), moved)).otherwise(geom)
-    return geometry.features(got.select("idx", "fid", "props", geom.alias("geom")))
+    out = geometry.features(got.select("idx", "fid", "props", geom.alias("geom")))
+    return bbox_filter(out, *box) if box else out
 
 
 def _degrees(p):
