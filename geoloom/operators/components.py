@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df into the folder that driver and executors share and reads it back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that driver and executors share, deleted when the session's JVM ends."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -19,8 +18,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df into the folder that driver and executors share and reads it back."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dense(df: DataFrame, keys: list[str], name: str) -> DataFrame:

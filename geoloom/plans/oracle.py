@@ -150,6 +150,7 @@ def _projected(lon: str, lat: str) -> str:
 
 SQL: dict[str, str] = {
     "bbox_filter": _with("p") + f"SELECT CAST(fid AS VARCHAR) AS fid, lon, lat FROM p WHERE {_box}",
+    "curve_box": _with("p") + f"SELECT CAST(fid AS VARCHAR) AS fid, lon, lat FROM p WHERE {_box}",
     "items_page": _with("p", f"m AS (SELECT * FROM p WHERE {_box}), pg AS (SELECT * FROM m ORDER BY fid LIMIT 25 OFFSET 10)")
     + "SELECT fid AS idx, CAST(fid AS VARCHAR) AS fid, name, (SELECT count(*) FROM m) AS number_matched, (SELECT count(*) FROM pg) AS number_returned, (SELECT count(*) FROM m) > 10 + (SELECT count(*) FROM pg) AS has_next FROM pg",
     "feature_by_id": _with("p") + "SELECT CAST(fid AS VARCHAR) AS fid, name, kind, lon, lat FROM p WHERE fid = 42",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry, measure, mercator, props
 from geoloom.operators import components as cc
-from geoloom.operators import cache, dbscan, features, joins, lattice, mapmatch, network, overlay, raster, search, tiles
+from geoloom.operators import cache, curve, dbscan, features, joins, lattice, mapmatch, network, overlay, raster, search, tiles
 from geoloom.sources import geojson
 
 from . import documents, views
@@ -32,6 +32,14 @@ def bbox_filter(spark, sf):
     return features.bbox_filter(views.features(spark, sf), *BOX).select("fid", "lon", "lat")
 
 
+@query
+def curve_box(spark, sf):
+    """bbox_filter from a store along the curve."""
+    path = cc.scratch(spark, "curve")
+    curve.write(views.features(spark, sf), path)
+    return curve.read(spark, path, BOX).select("fid", "lon", "lat")
+
+
 @query
 def items_page(spark, sf):
     page = features.page(features.bbox_filter(views.features(spark, sf), *BOX), offset=10, limit=25)
