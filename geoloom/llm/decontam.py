@@ -8,11 +8,12 @@ fewer than k words are one shingle. A document shorter than the item is one wind
 A window of n shingles and an item of c can only be that similar if they share threshold / (1 + threshold) * (n + c) of
 them; windows of which fewer occur in the benchmark at all are left out by running sums. The others get a 256-bit
 SimHash, in which the j-th occurrence of a shingle counts as a feature of its own: so every feature weighs 1, and the
-weighted similarity is that of the sets of features. Items of the window's size are looked up in a multi-index of
-32 8-bit blocks: a table for each block tells for a block's value the items whose block differs in at most
-b = radius // 32 bits. Two fingerprints within ``radius`` are that near in at least 32 - radius // (b + 1) blocks, so
-the items that so many tables name are all items within the radius, and some more. Their whole fingerprints are
-compared, and the exact similarity then decides.
+weighted similarity is that of the sets of features. Items of the window's size are found by a multi-index of 32 8-bit
+blocks: a table for each block tells for a block's value, as a mask over these items, those whose block differs in at
+most b = radius // 32 bits. Two fingerprints within ``radius`` are that near in at least 32 - radius // (b + 1) blocks,
+so the items that so many masks name are all items within the radius, and some more. Their whole fingerprints are
+compared, and the exact similarity then decides. Adding the masks up takes 32 bits for each item of the window's size,
+near or not: with a radius of nearly a third of the bits, lists of the near ones would hold a seventh of the items a block.
 
 At a similarity of 0.8 each bit differs with probability 0.152 whatever the words are, 39 of 256 on average with a
 deviation of 5.7; the default radius of 79 is passed by about one such window in 10^11.

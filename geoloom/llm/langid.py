@@ -118,11 +118,12 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, buckets: int = BUCKETS, alpha
     n = rows.select("lang").count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    named = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()  # before tasks hold a count for each
+    if named > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; so many may be broadcast")
     counted = common.map_arrow(common.map_arrow(rows, _count(buckets), "lang string, counts binary").repartition("lang"), _sum, "lang string, counts binary")
     got = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}  # a row a language
     langs = sorted(k for k, v in got.items() if v.sum())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; up to {MAX_LANGUAGES} may be broadcast")
     if not langs:
         return [], np.zeros((buckets, 0), np.float32)
     counts = np.stack([got[k] for k in langs], 1) + alpha

@@ -66,6 +66,14 @@ def test_language_ignores_neighbours():
     assert np.array_equal(alone, both[first[1] :])
 
 
+def test_too_many_languages_are_noticed_first(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(i, "some text", f"l{i % 4}") for i in range(40)]
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langid.fit(spark.createDataFrame([r for r in rows if r[2] != "l3"], "doc_id long, text string, lang string"))[0]) == 3
+
+
 def test_language_by_hand(spark):
     """Plain naive Bayes over the same n-grams, letter by letter."""
     rng = random.Random(8)
