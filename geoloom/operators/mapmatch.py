@@ -44,7 +44,7 @@ def od_table(pairs: DataFrame, edges: DataFrame, block_nodes: int = overlay.BLOC
     (req, node, cost, before), for ``ways``. Pairs that aren't connected within it have no row."""
     wanted = cc.cut(pairs.groupBy("src").agg(F.max("most").alias("most"), F.collect_set("dst").alias("targets")), "wanted")
     seeds = wanted.select(F.col("src").alias("req"), F.col("src").alias("node"), F.lit(0.0).alias("cost"))
-    reached = overlay.rounds(seeds, edges, block_nodes, limits=wanted.withColumnRenamed("src", "req"))
+    reached = overlay.rounds(seeds, edges, block_nodes, portion_of=512, limits=wanted.withColumnRenamed("src", "req"))
     costs = reached.join(wanted.select(F.col("src").alias("req"), F.explode("targets").alias("node")), ["req", "node"])
     return costs.select(F.col("req").alias("src"), F.col("node").alias("dst"), "cost"), reached
 

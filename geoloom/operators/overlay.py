@@ -25,6 +25,8 @@ from .features import UserError
 
 #: Nodes of a block, blocks of the base network in a block of the overlay, and requests of a portion.
 BLOCK_NODES, FAN, BLOCK_REQUESTS = 4096, 16, 64
+#: Nodes of a block for searches that end at a cutoff, so that few leave theirs.
+WIDE_NODES = 1 << 16
 MOST_ROUNDS = 10_000
 
 
@@ -118,6 +120,8 @@ def rounds(seeds: DataFrame, edges: DataFrame, block_nodes: int = BLOCK_NODES, c
         asked = front if limits is None else front.join(limits, "req")
         found = cc.cut(search_blocks(asked, edges, block_nodes, cutoff, portion_of).withColumn("nth", F.lit(nth)), "found")
         crossed = found.where("leaves").select("req", "node", F.col("cost").alias("new"))
+        if best is None and crossed.isEmpty():
+            return found.select("req", "node", "cost", "before")
         # of equal costs the earlier one stays, so that no two ways of the same cost lead to each other
         rows = found.select("req", "node", "cost", "nth", "before")
         rows = (rows if best is None else best.unionByName(rows)).groupBy("req", "node").agg(F.min(F.struct("cost", "nth", F.col("before").isNotNull().alias("inner"), "before")).alias("b"))

@@ -378,7 +378,8 @@ def path_lengths(spark, sf):
 
 def _reached(spark, sf):
     seeds = _requests(spark, sf, node=7817).withColumn("cost", F.lit(0).cast("bigint"))
-    return overlay.rounds(seeds, overlay.with_blocks(views.edges(spark, sf), overlay.BLOCK_NODES), cutoff=max(CUTOFFS)).select("req", "node", "cost")
+    edges = overlay.with_blocks(views.edges(spark, sf), overlay.WIDE_NODES)
+    return overlay.rounds(seeds, edges, overlay.WIDE_NODES, cutoff=max(CUTOFFS)).select("req", "node", "cost")
 
 
 @query
