@@ -353,7 +353,7 @@ def delivered(data: bytes, content_type: str, accept: str = "", known: str | Non
             try:
                 data = gzip.decompress(data)
             except (OSError, EOFError):
-                return 500, {}, b"corrupt gzip tile"
+                return 500, {}, b"the stored tile can't be unzipped"
     return 200, headers | {"Content-Length": str(len(data))}, data
 
 
