@@ -44,7 +44,7 @@ SIGMAS = 7.2
 #: Bands of the first round; of the pairs at the threshold it meets 97 in 100.
 FIRST_BANDS = 16
 #: Shingles hashed at once, and members of a band value that meet in one task.
-CHUNK, BLOCK = 1 << 16, 1024
+CHUNK, BLOCK = 1 << 16, 2048
 
 _SEED = common.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR = (_SEED[:REGISTERS] >> np.uint64(32)).astype(np.uint32)

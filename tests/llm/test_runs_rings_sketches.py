@@ -238,7 +238,7 @@ def components_by_hand(rows, k, percent):
     return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [2048, 4])
 def test_sketched_components_by_hand(spark, monkeypatch, block):
     """Chains, stars and crowds of near copies, in blocks of few members too."""
     monkeypatch.setattr(setsketch, "BLOCK", block)
@@ -261,14 +261,18 @@ def test_open_members_meet_in_blocks():
     """Members of different components are compared in some pair of blocks, in the first band that they share."""
     rng = np.random.default_rng(8)
     a, b = _sets(rng, 300, 0.85)
-    x, y, z = setsketch.sketch_sets([a, b, rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    c = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    x, y, z = setsketch.sketch_sets([a, b, c])
     first = int((setsketch.band_values(x[None]) == setsketch.band_values(y[None]))[0].argmax())
-    rows = [{"doc_id": i, "n": 300, "c": c, "block": block, "band": first, "sketch": s.tobytes()} for i, c, block, s in [(1, 1, 0, x), (2, 2, 1, y), (3, 3, 1, z), (4, 1, 1, y)]]
-    assert setsketch._compare(rows, 80, False) == [(1, 2)]
-    one = [r | {"block": 0, "band": b} for b in (0, first) for r in rows]
-    assert setsketch._compare([r for r in one[4:] if r["doc_id"] != 4], 80, False) == [(1, 2)]
-    assert setsketch._compare([r | {"band": first + 1} for r in rows], 80, False) == []
-    assert setsketch._compare([r | {"block": 0} for r in rows], 80, True) == [(2, 4)]  # which also joins 1, as it is with 4
+    short = lambda u: (u >> np.uint64(32)).astype(np.uint32).tobytes()
+    rows = [{"doc_id": i, "n": 300, "c": c, "block": block, "band": first, "sketch": s.tobytes(), "tokens": short(u)} for i, c, block, s, u in [(1, 1, 0, x, a), (2, 2, 1, y, b), (3, 3, 1, z, c), (4, 1, 1, y, b)]]
+    assert setsketch._counted(rows, 80) == setsketch._joining(rows, 80) == [(1, 2)]
+    assert setsketch._hopeful(rows, 80) == [(1, 1), (2, 2)]
+    assert setsketch._counted([r | {"band": first + 1} for r in rows], 80) == []
+    one = [r | {"block": 0, "band": 0 if r["doc_id"] == 4 else first} for r in rows]
+    assert setsketch._joining(one, 80) == [(2, 4)]  # which also joins 1, as it is with 4
+    # what is likely by the sketches alone is counted out
+    assert setsketch._counted([r | {"tokens": short(c)} if r["doc_id"] == 1 else r for r in rows], 80) == []
 
 
 def test_sketches_of_odd_rows(spark):
