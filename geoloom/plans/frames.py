@@ -96,7 +96,7 @@ def isochrones(net, requests: DataFrame) -> DataFrame:
         own = good.where(F.col("p.cost") == cost)
         edges, cutoffs = _weighted(net, cost), own.select("req", F.explode(F.array_distinct("p.cutoffs")).alias("cutoff"))
         limits = own.select("req", F.array_max("p.cutoffs").alias("most"))
-        reached = cc.cut(overlay.rounds(own.select("req", "node", F.lit(0.0).alias("cost")), net.overlay(cost).edges, net.overlay(cost).block_nodes, limits=limits), "reached")
+        reached = cc.cut(overlay.rounds(own.select("req", "node", F.lit(0.0).alias("cost")), overlay.with_blocks(edges, overlay.BLOCK_NODES), limits=limits), "reached")
         counts = reached.join(cutoffs, "req").where("cost <= cutoff").groupBy("req", "cutoff").agg(F.count("*").alias("reached"))
         shapes = _areas(net, own, raster.frontier(reached, edges, cutoffs))
         feature = _feature("MultiPolygon", F.col("shape"), cutoff=F.col("cutoff"), cost=F.lit(cost), reached_nodes=F.col("reached"))
