@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import measure
 
-from . import components as cc
+from . import overlay
 from .features import UserError
 
 #: Edges of a network that may be broadcast (about 40 bytes each).
@@ -154,44 +154,10 @@ def shortest(requests: DataFrame, graph: Graph, cost_type: str = "bigint") -> Da
     return requests.select("req", "src", "dst").mapInPandas(run, f"req bigint, cost {cost_type}, nodes array<bigint>")
 
 
-def relax(seeds: DataFrame, edges: DataFrame, most_rounds: int = 10_000, block_nodes: int = BLOCK_NODES, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
+def relax(seeds: DataFrame, edges: DataFrame, block_nodes: int = BLOCK_NODES, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
     """(req, node, cost) from seeds (req, node, cost) over edges (src, dst, w), for networks of any size.
 
-    Nodes are dealt into blocks by ranges of their ids (numbered by place, blocks are regions). In a round every block
-    that costs have come in for is searched by itself, its requests in portions, and the costs that its outgoing edges
-    carry into other blocks are handed on where they are lower than what is known there. So rounds count the blocks that
-    paths cross, not their edges, and no task holds more than a block and a portion of the requests."""
-    cost = dict(seeds.dtypes)["cost"]
-    block = lambda c: F.floor(F.col(c) / block_nodes).cast("bigint")
-    portions = max(1, -(-seeds.select("req").distinct().count() // block_requests))
-    within = cc.cut(edges.select("src", "dst", "w", block("src").alias("block")), "relax").withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
-    portion = F.pmod(F.xxhash64("req"), F.lit(portions)).cast("int").alias("portion")
-
-    def run(front: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([near["src"], near["dst"], front["node"]]).astype(np.int64))
-        own = near["src"].to_numpy(np.int64)
-        # only nodes of this block have edges here: the search ends at those of others
-        graph = Graph(np.searchsorted(names, own), np.searchsorted(names, near["dst"].to_numpy(np.int64)), near["w"].to_numpy(), len(names))
-        here = front["block"].iloc[0] if len(front) else -1
-        out = []
-        for req, rows in front.groupby("req"):
-            got = graph.search(list(zip(np.searchsorted(names, rows["node"].to_numpy(np.int64)).tolist(), rows["cost"].tolist())))
-            at = names[list(got)]
-            out.append(pd.DataFrame({"req": req, "node": at, "cost": [c for c, _ in got.values()], "leaves": at // block_nodes != here}))
-        return pd.concat(out) if out else pd.DataFrame({"req": [], "node": [], "cost": [], "leaves": []})
-
-    front, best = cc.cut(seeds.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax"), None
-    for _ in range(most_rounds):
-        asked = front.select("req", "node", "cost", block("node").alias("block"), portion)
-        near = within.join(asked.select("block", "portion").distinct(), ["block", "portion"], "left_semi")
-        found = asked.groupBy("block", "portion").cogroup(near.groupBy("block", "portion")).applyInPandas(run, f"req bigint, node bigint, cost {cost}, leaves boolean")
-        found = cc.cut(found.groupBy("req", "node", "leaves").agg(F.min("cost").alias("cost")), "relax")
-        crossed = found.where("leaves").select("req", "node", F.col("cost").alias("new"))
-        if best is not None:
-            crossed = crossed.join(best, ["req", "node"], "left").where("cost is null or new < cost")
-        front = cc.cut(crossed.select("req", "node", F.col("new").alias("cost")), "relax")
-        known = found.select("req", "node", "cost") if best is None else best.unionByName(found.select("req", "node", "cost"))
-        best = cc.cut(known.groupBy("req", "node").agg(F.min("cost").alias("cost")), "relax")
-        if front.isEmpty():
-            return best
-    raise UserError("the search took too many rounds")
+    Nodes are dealt into blocks by ranges of their ids (numbered by place, blocks are regions), and costs go up from the
+    seeds' blocks to wider ones and down again (``overlay``): the rounds count the levels of blocks, not the blocks that
+    paths cross, and no task holds more than a block and a portion of the requests."""
+    return overlay.costs(overlay.build(edges, block_nodes, portion_of=block_requests), seeds)
