@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components as cc
@@ -17,6 +17,8 @@ from . import components as cc
 MAX_CELLS = 4_000_000
 #: Side of a block that rings are followed in, on the half-cell lattice.
 RING_BLOCK = 128
+#: Segments that one group follows, in many blocks; cells of a task, and the side of their tiles.
+GROUP_ROWS, TASK_CELLS, TILE_SIDE = 100_000, 250_000, 64
 
 
 def frontier(reached: DataFrame, edges: DataFrame, cutoffs: list | DataFrame) -> DataFrame:
@@ -35,18 +37,41 @@ def frontier(reached: DataFrame, edges: DataFrame, cutoffs: list | DataFrame) ->
 
 def cells(segments: DataFrame, cell: float | int, keys: list[str]) -> DataFrame:
     """Distinct cells (keys, gx, gy) that segments (ax, ay, bx, by from a grid's origin) touch at half-cell steps."""
+    segments = cc.cut(segments, "segments")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     steps = F.floor(F.greatest(F.abs(dx), F.abs(dy)) / cell * 2).cast("int") + 1
     out = segments.withColumn("__n", steps).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n"))))
     share = F.col("__i") / F.col("__n")
     gx, gy = F.floor((F.col("ax") + dx * share) / cell + 0.5).cast("int"), F.floor((F.col("ay") + dy * share) / cell + 0.5).cast("int")
-    return out.select(*keys, gx.alias("gx"), gy.alias("gy")).distinct()
+    return _together(out.select(*keys, gx.alias("gx"), gy.alias("gy")), keys, -(-segments.count() * 8 // TASK_CELLS)).distinct().select(*keys, "gx", "gy")
+
+
+def _tile(c: str) -> Column:
+    return F.floor(F.col(c) / TILE_SIDE).cast("int")
+
+
+def _together(rows: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Cells (keys, gx, gy) with their tile (tx, ty), those of a tile in one task; tasks don't grow with the input."""
+    rows = rows.withColumns({"tx": _tile("gx"), "ty": _tile("gy")})
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *keys, "tx", "ty")
+
+
+def _spread(marked: DataFrame, keys: list[str], moves: list[tuple]) -> DataFrame:
+    """(keys, tx, ty, gx, gy, m) of cells moved by each of moves (i, j, m), dealt by the tile that they come to: cells at the
+    edges of a tile go to its neighbours as well, so that what is moved needs no further shuffle."""
+    marked = cc.cut(marked, "marked")
+    tasks = max(-(-marked.count() // TASK_CELLS), marked.sparkSession.sparkContext.defaultParallelism)
+    ends = lambda c, k: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / TILE_SIDE).cast("int") for d in sorted({m[k] for m in moves})]))
+    dealt = marked.withColumn("tx", F.explode(ends("gx", 0))).withColumn("ty", F.explode(ends("gy", 1))).repartition(tasks, *keys, "tx", "ty")
+    moved = dealt.withColumn("__d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m")) for i, j, m in moves])))
+    moved = moved.select(*keys, "tx", "ty", (F.col("gx") + F.col("__d.i")).alias("gx"), (F.col("gy") + F.col("__d.j")).alias("gy"), F.col("__d.m").alias("m"))
+    return moved.where((_tile("gx") == F.col("tx")) & (_tile("gy") == F.col("ty")))
 
 
 def dilate(marked: DataFrame, keys: list[str]) -> DataFrame:
     """Cells and their eight neighbours."""
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return marked.withColumn("__d", F.explode(near)).select(*keys, (F.col("gx") + F.col("__d.i")).alias("gx"), (F.col("gy") + F.col("__d.j")).alias("gy")).distinct()
+    moved = _spread(marked, keys, [(i, j, 0) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return moved.select(*keys, "tx", "ty", "gx", "gy").distinct().select(*keys, "gx", "gy")
 
 
 # Sides that the contour joins for each pattern of a block's corners (top left 1, top right 2, bottom right
@@ -58,9 +83,8 @@ SIDES = {"L": (0, 1), "T": (1, 2), "R": (2, 1), "B": (1, 0)}
 def marching_segments(marked: DataFrame, keys: list[str], table: list[tuple] | None = None) -> DataFrame:
     """Contour segments (keys, vx1, vy1, vx2, vy2 on the half-cell lattice) around the marked cells, in the order of CASES
     or of a table (code, x1, y1, x2, y2). A block has its lower left corner at a cell's middle; y grows upward."""
-    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(b).alias("b")) for i, j, b in ((0, -1, 1), (-1, -1, 2), (-1, 0, 4), (0, 0, 8))])
-    blocks = marked.withColumn("__c", F.explode(corners)).select(*keys, (F.col("gx") + F.col("__c.i")).alias("x"), (F.col("gy") + F.col("__c.j")).alias("y"), F.col("__c.b").alias("b"))
-    codes = blocks.groupBy(*keys, "x", "y").agg(F.sum("b").alias("code")).where("code < 15")
+    moved = _spread(marked, keys, [(0, -1, 1), (-1, -1, 2), (-1, 0, 4), (0, 0, 8)])
+    codes = moved.groupBy(*keys, "tx", "ty", "gx", "gy").agg(F.sum("m").alias("code")).where("code < 15").select(*keys, F.col("gx").alias("x"), F.col("gy").alias("y"), "code")
     rows = table or [(code, *SIDES[s[0]], *SIDES[s[1]]) for code, text in CASES.items() for s in text.split()]
     table = marked.sparkSession.createDataFrame(rows, "code long, x1 int, y1 int, x2 int, y2 int")
     return codes.join(F.broadcast(table), "code").select(*keys, *[(F.col(a) * 2 + F.col(f"{a}{i}")).cast("int").alias(f"v{a}{i}") for i in (1, 2) for a in ("x", "y")])
@@ -168,24 +192,35 @@ def contours(marked: DataFrame, keys: list[str]) -> DataFrame:
 def rings(contour: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rx, ry, pos, x, y, x2, y2) of directed contour segments: the ring, named by its smallest point, and the place
     of each segment's first point in it, from 0 at that point."""
-    near = [F.floor(F.col(c) / RING_BLOCK) for c in ("vx1", "vy1")]
+    near = [F.floor(F.col(c) / RING_BLOCK).cast("int") for c in ("vx1", "vy1")]
     fields = ", ".join(f"`{k}` {dict(contour.dtypes)[k]}" for k in keys)
+    contour = cc.cut(contour, "contour")
+    portions = max(1, -(-contour.count() // GROUP_ROWS))
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        ahead = {(a, b): (c, d) for a, b, c, d in pdf[["vx1", "vy1", "vx2", "vy2"]].itertuples(index=False, name=None)}
+        """The parts of many blocks, each followed by itself."""
+        block = pdf.groupby([*keys, "bx", "by"], sort=False).ngroup().to_numpy(np.int64)
+        x, y, x2, y2 = (pdf[c].to_numpy(np.int64) for c in ("vx1", "vy1", "vx2", "vy2"))
+        order = np.lexsort((y, x, block))
+        block, x, y, x2, y2 = (v[order] for v in (block, x, y, x2, y2))
+        (left, across), (low, wide) = ((m := min(u.min(), v.min()), max(u.max(), v.max()) - m + 1) for u, v in ((x, x2), (y, y2)))
+        named = lambda u, v: (block * across + (u - left)) * wide + (v - low)  # noqa: E731  in the order of the segments
+        own, to = named(x, y), named(x2, y2)
+        at = np.minimum(np.searchsorted(own, to), len(own) - 1)
+        ahead = np.where(own[at] == to, at, -1)
         # parts begin where nothing in the block leads; what is left then are rings inside it
-        begins = sorted(ahead.keys() - set(ahead.values()))
-        out, seen = [], set()
-        for first in [*begins, *sorted(ahead)]:
-            at, pos = first, 0
-            while at in ahead and at not in seen:
-                seen.add(at)
-                out.append((*first, pos, *at, *ahead[at]))
-                at, pos = ahead[at], pos + 1
-        parts = pd.DataFrame(out, columns=["px", "py", "idx", "x", "y", "x2", "y2"])
-        return parts.assign(**{k: pdf[k].iloc[0] for k in keys})
-
-    parts = contour.withColumns({"bx": near[0], "by": near[1]}).groupBy(*keys, "bx", "by").applyInPandas(follow, f"{fields}, px int, py int, idx int, x int, y int, x2 int, y2 int")
+        begins = np.setdiff1d(np.arange(len(own)), ahead)
+        ahead, head, idx = ahead.tolist(), [-1] * len(own), [0] * len(own)
+        for first in [*begins.tolist(), *range(len(own))]:
+            k, pos = first, 0
+            while k >= 0 and head[k] < 0:
+                head[k], idx[k] = first, pos
+                k, pos = ahead[k], pos + 1
+        parts = pd.DataFrame({"px": x[head], "py": y[head], "idx": idx, "x": x, "y": y, "x2": x2, "y2": y2})
+        return pd.concat([parts, pdf[keys].iloc[order].reset_index(drop=True)], axis=1)
+
+    parts = contour.withColumns({"bx": near[0], "by": near[1]}).withColumn("portion", F.pmod(F.xxhash64(*keys, "bx", "by"), F.lit(portions)))
+    parts = parts.groupBy("portion").applyInPandas(follow, f"{fields}, px int, py int, idx int, x int, y int, x2 int, y2 int")
     parts = cc.cut(parts, "parts")
     # a part's last segment leads to the beginning of the next one, which is itself where the ring lies in one block
     part = [*keys, "px", "py"]

@@ -81,3 +81,20 @@ def test_many_holes_in_a_row(spark):
     points = raster.rings(raster.contours(spark.createDataFrame([(1, *c) for c in cells], "req long, gx int, gy int"), ["req"]), ["req"])
     got = raster.nesting(points, ["req"]).groupBy("ox", "oy").agg(F.count("*").alias("n")).collect()
     assert len(got) == 1 and got[0]["n"] == 301
+
+
+def test_tasks_and_groups_follow_the_rows(spark, monkeypatch):
+    """Many small areas share a group of rings; cells are dealt into as many tasks as they need."""
+    from geoloom.operators import raster
+
+    rows = [(r, x, y) for r in range(60) for x in range(-70, -58 + r % 3) for y in range(60, 67) if (x, y) != (-64, 63)]
+    marked = spark.createDataFrame(rows, "req long, gx int, gy int")
+    by_hand = {(r, x + i, y + j) for r, x, y in rows for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    monkeypatch.setattr(raster, "TASK_CELLS", 200)
+    wide = raster.dilate(marked, ["req"])
+    assert wide.rdd.getNumPartitions() >= len(rows) // 200 and wide.count() == len(by_hand) and {tuple(r) for r in wide.collect()} == by_hand
+    got = []
+    for most in (100, 1 << 20):
+        monkeypatch.setattr(raster, "GROUP_ROWS", most)
+        got.append({tuple(r) for r in raster.rings(raster.contours(marked, ["req"]), ["req"]).collect()})
+    assert got[0] == got[1] and len({r[:3] for r in got[0]}) == 120
