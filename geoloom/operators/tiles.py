@@ -6,13 +6,16 @@ import gzip
 import json
 import math
 import struct
+import zlib
+from array import array
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import mercator
 
+from . import components as cc
 from .raster import simplify
 
 EXTENT = 4096
@@ -157,7 +160,9 @@ def cut(kind: str, coords, z: int, x: int, y: int, tolerance: float | None = 1.0
 
 
 #: Places in the input whose features make a part of a tile.
-PART_FEATURES = 1 << 16
+PART_FEATURES = 1 << 14
+#: Bytes of a tile that are zipped or unzipped at once.
+ZIP_BYTES = 1 << 16
 
 
 def _varint(n: int) -> bytes:
@@ -211,6 +216,21 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
+def _id(fid: int | None) -> bytes:
+    return _varint(1 << 3) + _varint(fid) if isinstance(fid, int) and fid >= 0 else b""
+
+
+def _shape(kind: int, commands: bytes) -> bytes:
+    return _varint(3 << 3) + _varint(kind) + _field(4, commands)
+
+
+def _feature(own: bytes, tags: bytes, rest: bytes) -> bytes:
+    return _field(2, own + (_field(2, tags) if tags else b"") + rest)
+
+
+_LAYER_END = _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2)
+
+
 def encode_layer(name: str, features: list[tuple]) -> bytes:
     """A tile with one layer of features (id or None, properties, (type, parts or their encoded commands))."""
     part = Part()
@@ -229,8 +249,7 @@ class Part:
 
     def add(self, fid: int | None, keys: list[str], values: list[bytes], kind: int, commands: bytes) -> None:
         tags = [t for k, v in zip(keys, values) for t in (self.keys.setdefault(k, len(self.keys)), self.values.setdefault(v, len(self.values)))]
-        own = _varint(1 << 3) + _varint(fid) if isinstance(fid, int) and fid >= 0 else b""
-        self.features.append((own, tags, _varint(3 << 3) + _varint(kind) + _field(4, commands)))
+        self.features.append((_id(fid), tags, _shape(kind, commands)))
 
     def merge(self, other: "Part") -> None:
         """Appends the other part's features."""
@@ -240,28 +259,48 @@ class Part:
             self.features.append((own, [(values if i % 2 else keys)[t] for i, t in enumerate(tags)], rest))
 
     def layer(self, name: str) -> bytes:
-        body = b"".join(_field(2, own + (_field(2, b"".join(map(_varint, tags))) if tags else b"") + rest) for own, tags, rest in self.features)
+        body = b"".join(_feature(own, b"".join(map(_varint, tags)), rest) for own, tags, rest in self.features)
         layer = _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, v) for v in self.values)
-        return _field(3, layer + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2))
+        return _field(3, layer + _LAYER_END)
 
 
 def _plain(v):
     return v if v is None or isinstance(v, (bool, int, float, str)) else json.dumps(v)
 
 
-def _runs(batches, keys: list[str]):
-    """(key, rows as tuples) of consecutive rows with the same key."""
-    held, group = [], None
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            key = tuple(getattr(row, k) for k in keys)
-            if key != group:
-                if held:
-                    yield group, held
-                group, held = key, []
-            held.append(row)
-    if held:
-        yield group, held
+class _Zipped:
+    """gzip of what is added, in chunks of one size: the bytes don't depend on how it was cut, and only zipped ones are held."""
+
+    def __init__(self):
+        self.zip, self.held, self.out = zlib.compressobj(6, zlib.DEFLATED, 31), bytearray(), []
+
+    def add(self, data: bytes) -> None:
+        self.held += data
+        whole = len(self.held) // ZIP_BYTES * ZIP_BYTES
+        for at in range(0, whole, ZIP_BYTES):
+            self.out.append(self.zip.compress(self.held[at : at + ZIP_BYTES]))
+        del self.held[:whole]
+
+    def end(self) -> bytes:
+        return b"".join([*self.out, self.zip.compress(self.held), self.zip.flush()])
+
+
+def _tags(features: DataFrame) -> DataFrame:
+    """(z, x, y, part, kind, v, tag, fresh) of the keys (kind 0) and values (kind 1) in each part of a tile: their place in the
+    tile's dictionary, which is in order of first use, and whether this part is the first to use them. No dictionary is
+    gathered: places are counted in the parts, and each part's first place is the sum of the counts before it."""
+    tile = ["z", "x", "y"]
+    both = F.concat(F.transform("keys", lambda k: F.struct(F.lit(0).alias("kind"), k.cast("binary").alias("v"))), F.transform("vals", lambda v: F.struct(F.lit(1).alias("kind"), v.alias("v"))))
+    each = features.select(*tile, "part", "idx", F.posexplode(both).alias("pos", "e")).select(*tile, "part", "e.kind", "e.v", F.struct("idx", "pos").alias("f"))
+    used = each.groupBy(*tile, "part", "kind", "v").agg(F.min("f").alias("f"))
+    first = used.groupBy(*tile, "kind", "v").agg(F.min(F.struct("f", "part")).alias("s")).select(*tile, "kind", "v", "s.f", F.col("s.part").alias("home"))
+    place = F.row_number().over(Window.partitionBy(*tile, "kind", "home").orderBy("f", "v")) - 1
+    before = Window.partitionBy(*tile, "kind").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    starts = first.groupBy(*tile, "kind", "home").agg(F.count("*").alias("m")).select(*tile, "kind", "home", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    placed = first.select(*tile, "kind", "v", "home", place.alias("place")).join(starts, [*tile, "kind", "home"])
+    placed = placed.select(*tile, "kind", "v", "home", (F.col("start") + F.col("place")).alias("tag"))
+    tags = used.join(placed, [*tile, "kind", "v"]).select(*tile, "part", "kind", "v", "tag", (F.col("part") == F.col("home")).alias("fresh"))
+    return tags.toDF(*tags.columns)  # names of its own beside features
 
 
 def build(keyed: DataFrame, layer: str, props: list[str] | None = None, tolerance: float | None = 1.0) -> DataFrame:
@@ -269,8 +308,9 @@ def build(keyed: DataFrame, layer: str, props: list[str] | None = None, toleranc
     (type, coords) and property columns, or with a map column props of JSON texts if none are named.
 
     Geometries are clipped, simplified and encoded where the features are; only what is left of them in a tile travels.
-    Features of a tile are joined in parts by ranges of PART_FEATURES places in the input (idx), each with its own
-    dictionaries, and the parts of a tile are merged by new tags: a crowded tile is encoded in many tasks."""
+    The dictionaries of a tile are numbered by joins (``_tags``). Features are encoded in parts by ranges of PART_FEATURES
+    places in the input (idx), so that a crowded tile is encoded in many tasks; the task that joins a tile's parts reads
+    them one after the other and holds no more than its zipped bytes."""
     cols = props if props is not None else ["props"]
 
     def encode(batches):
@@ -285,39 +325,60 @@ def build(keyed: DataFrame, layer: str, props: list[str] | None = None, toleranc
                     else:
                         values = {p: v.item() if hasattr(v, "item") else v for p, v in zip(props, own) if not pd.isna(v)}
                     values = {k: _value(v) for k, v in values.items() if v is not None}
-                    out.append((z, x, y, idx, fid, got[0], _commands(*got), list(values), list(values.values())))
-            yield pd.DataFrame(out, columns=["z", "x", "y", "idx", "fid", "kind", "commands", "keys", "vals"])
+                    out.append((z, x, y, idx, idx // PART_FEATURES, _id(int(fid) if str(fid).isdigit() else None), _shape(got[0], _commands(*got)), list(values), list(values.values())))
+            yield pd.DataFrame(out, columns=["z", "x", "y", "idx", "part", "own", "rest", "keys", "vals"])
+
+    def pieces(key, rows, tags):
+        known = ({}, {})
+        for kind, v, tag in zip(tags["kind"].tolist(), tags["v"], tags["tag"].tolist()):
+            known[kind][bytes(v)] = _varint(tag)
+        rows = rows.sort_values("idx", kind="stable")
+        body = bytearray()
+        for own, rest, keys, vals in zip(rows["own"], rows["rest"], rows["keys"], rows["vals"]):
+            body += _feature(own, b"".join(known[0][k.encode()] + known[1][bytes(v)] for k, v in zip(keys, vals)), rest)
+        fresh = tags[tags["fresh"]].sort_values("tag")
+        out = [(*key, 0, len(rows), bytes(body))]
+        for kind in (0, 1):
+            own = b"".join(_field(3 + kind, bytes(v)) for v in fresh.loc[fresh["kind"] == kind, "v"])
+            out += [(*key, 1 + kind, 0, own)] if own else []
+        return pd.DataFrame(out, columns=["z", "x", "y", "part", "section", "n", "data"])
+
+    def join(batches):
+        out, held, now, zipped, total = [], 0, None, None, 0
+
+        def ended():
+            zipped.add(_LAYER_END)
+            out.append((*now, total, zipped.end()))
+            return len(out[-1][-1])
 
-    def parts(batches):
-        out = []
-        for key, rows in _runs(batches, ["z", "x", "y", "part"]):
-            own = Part()
-            for r in rows:
-                own.add(int(r.fid) if str(r.fid).isdigit() else None, list(r.keys), [bytes(v) for v in r.vals], int(r.kind), bytes(r.commands))
-            out.append((*key, len(rows), list(own.keys), list(own.values), [{"own": a, "tags": t, "rest": c} for a, t, c in own.features]))
-            if len(out) == 100:
-                yield pd.DataFrame(out, columns=["z", "x", "y", "part", "n", "keys", "vals", "features"])
-                out = []
-        yield pd.DataFrame(out, columns=["z", "x", "y", "part", "n", "keys", "vals", "features"])
-
-    def merge(batches):
-        out = []
-        for key, rows in _runs(batches, ["z", "x", "y"]):
-            whole = Part()
-            for r in rows:
-                whole.merge(Part(list(r.keys), [bytes(v) for v in r.vals], [(bytes(f["own"]), list(f["tags"]), bytes(f["rest"])) for f in r.features]))
-            out.append((*key, sum(int(r.n) for r in rows), gzip.compress(whole.layer(layer), 6, mtime=0)))
-            if len(out) == 100:
-                yield pd.DataFrame(out, columns=["z", "x", "y", "n", "tile"])
-                out = []
+        for pdf in batches:
+            for z, x, y, data, size, n in pdf.itertuples(index=False, name=None):
+                if (z, x, y) != now:
+                    held += ended() if now else 0
+                    if len(out) == 100 or held > 1 << 22:
+                        yield pd.DataFrame(out, columns=["z", "x", "y", "n", "tile"])
+                        out, held = [], 0
+                    now, zipped, total = (z, x, y), _Zipped(), n
+                    name = _field(1, layer.encode())
+                    zipped.add(_varint(3 << 3 | 2) + _varint(len(name) + int(size) + len(_LAYER_END)) + name)
+                zipped.add(data)
+        if now:
+            ended()
         yield pd.DataFrame(out, columns=["z", "x", "y", "n", "tile"])
 
     rows = keyed.select("z", "x", "y", "idx", "fid", "geom", *cols)
     tile, spread = "z int, x bigint, y bigint", int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut_ = rows.mapInPandas(encode, f"{tile}, idx bigint, fid string, kind int, commands binary, keys array<string>, vals array<binary>").withColumn("part", F.floor(F.col("idx") / PART_FEATURES))
-    cut_ = cut_.repartition(spread, "z", "x", "y", "part").sortWithinPartitions("z", "x", "y", "part", "idx")
-    made = cut_.mapInPandas(parts, f"{tile}, part bigint, n int, keys array<string>, vals array<binary>, features array<struct<own:binary,tags:array<int>,rest:binary>>")
-    return made.repartition(spread, "z", "x", "y").sortWithinPartitions("z", "x", "y", "part").mapInPandas(merge, f"{tile}, n int, tile binary")
+    rows = cc.cut(rows.mapInPandas(encode, f"{tile}, idx bigint, part bigint, own binary, rest binary, keys array<string>, vals array<binary>"), "features")
+    by = ["z", "x", "y", "part"]
+    made = rows.groupBy(*by).cogroup(_tags(rows).groupBy(*by)).applyInPandas(pieces, f"{tile}, part bigint, section int, n int, data binary")
+    made = cc.cut(made, "pieces")
+    # a tile's sums come before its pieces as a row of their own: after a join by the same columns the optimizer leaves the
+    # repartition out, and adaptive execution may then read a tile's pieces in many tasks
+    pieces_ = made.select("z", "x", "y", "section", "part", "data", F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("n"))
+    sums = made.groupBy("z", "x", "y").agg(F.sum(F.octet_length("data")).alias("size"), F.sum("n").cast("int").alias("n"))
+    sums = sums.select("z", "x", "y", F.lit(-1).alias("section"), F.lit(0).cast("bigint").alias("part"), F.lit(b"").alias("data"), "size", "n")
+    rows = sums.unionByName(pieces_).repartition(spread, "z", "x", "y").sortWithinPartitions("z", "x", "y", "section", "part")
+    return rows.select("z", "x", "y", "data", "size", "n").mapInPandas(join, f"{tile}, n int, tile binary")
 
 
 def write_store(tiles: DataFrame, path: str, layer: str) -> None:
@@ -441,3 +502,96 @@ def decode(tile: bytes) -> dict:
                     parts[-1].append((x, y))
             out[name].append({"id": f.get(1), "type": f[3], "properties": {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2])}, "geometry": parts})
     return out
+
+
+def _varint_at(data, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        b = data[at]
+        at += 1
+        n |= (b & 0x7F) << shift
+        if b < 0x80:
+            return n, at
+        shift += 7
+
+
+def _layer_fields(tile: bytes):
+    """(number of the layer in the tile, field, payload or number) of a tile's layers in order, unzipped chunk by chunk."""
+    zipped = zlib.decompressobj(31) if tile[:2] == b"\x1f\x8b" else None
+    view, data, at, read, layer, left = memoryview(tile), b"", 0, 0, -1, 0
+
+    def more(least: int) -> None:
+        nonlocal data, at, read
+        parts, size = [data[at:]], len(data) - at
+        while size < least and read < len(view):
+            part = view[read : read + ZIP_BYTES]
+            read += ZIP_BYTES
+            parts.append(zipped.decompress(part) if zipped else bytes(part))
+            size += len(parts[-1])
+        data, at = b"".join(parts), 0
+
+    while True:
+        if len(data) - at < 32:
+            more(32)
+        if at == len(data):
+            return
+        start = at
+        key, at = _varint_at(data, at)
+        n, after = _varint_at(data, at) if key & 7 in (0, 2) else (8 if key & 7 == 1 else 4, at)
+        at = after
+        if left == 0 and key == 3 << 3 | 2:
+            layer, left = layer + 1, n
+            continue
+        inside = left > 0
+        taken = at - start
+        got = n
+        if key & 7:
+            if len(data) - at < n:
+                more(n)
+            got = data[at : at + n]
+            at += n
+            taken += n
+        if inside:
+            left -= taken
+            yield layer, key >> 3, got
+
+
+def properties(tile: bytes, layer: str):
+    """(id, properties) of the features of a tile's layer in order, without their geometry. Only the dictionaries are held,
+    as bytes, beside a chunk of the unzipped tile."""
+    names, keys, values, ends = {}, {}, {}, {}
+    for k, field, got in _layer_fields(tile):
+        if field == 1:
+            names[k] = got.decode()
+        elif field == 3:
+            keys.setdefault(k, []).append(got.decode())
+        elif field == 4:
+            values.setdefault(k, bytearray()).extend(got)
+            ends.setdefault(k, array("q", [0])).append(len(values[k]))
+
+    def value(k: int, i: int):
+        data = bytes(values[k][ends[k][i] : ends[k][i + 1]])
+        kind, at = _varint_at(data, 0)
+        if kind & 7 == 1:
+            return struct.unpack("<d", data[at:])[0]
+        n, at = _varint_at(data, at)
+        return data[at:].decode() if kind & 7 == 2 else bool(n)
+
+    for k, field, got in _layer_fields(tile):
+        if field != 2 or names[k] != layer:
+            continue
+        fid, own, at = None, {}, 0
+        while at < len(got):
+            key, at = _varint_at(got, at)
+            n, at = _varint_at(got, at)
+            if key == 1 << 3:
+                fid = n
+            elif key == 2 << 3 | 2:
+                end = at + n
+                while at < end:
+                    a, at = _varint_at(got, at)
+                    b, at = _varint_at(got, at)
+                    own[keys[k][a]] = value(k, b)
+            elif key & 7 == 2:
+                at += n
+        yield fid, own
