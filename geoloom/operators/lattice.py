@@ -10,6 +10,7 @@ which a step is missing, has no sequence."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from . import components as cc
 
 #: Steps of a piece, and matrices multiplied by one task.
 PIECE, FAN = 1024, 64
+#: Transitions of the short traces (of one piece) that one task solves together, about.
+TOGETHER = 400_000
 #: The state before a trace, and both states in the one row of a matrix that no way passes.
 START, NONE = -1, -2
 
@@ -114,12 +117,77 @@ def _best(top: DataFrame) -> DataFrame:
     return found.groupBy("trace").agg(F.max(F.struct("w", (-F.col("j")).alias("j"))).alias("b")).select("trace", F.col("b.w").alias("score"), (-F.col("b.j")).alias("state"))
 
 
+def _forward(e: pd.DataFrame, t: pd.DataFrame):
+    """(trace codes, steps, states, totals, place of the best state before or -1, whether reached) of the states of whole
+    traces, in order of step, trace and state, and the places of the states in which the traces with a sequence end."""
+    e = e.drop_duplicates(["trace", "step", "state"], keep="last")
+    traces, code = np.unique(e["trace"].to_numpy(), return_inverse=True)
+    states, rank = np.unique(e["state"].to_numpy(), return_inverse=True)
+    step = e["step"].to_numpy().astype(np.int64)
+    key = lambda s, c, r: (s * len(traces) + c) * len(states) + r
+    order = np.argsort(own := key(step, code, rank))
+    own, step, code, rank, gain = own[order], step[order], code[order], rank[order], e["e"].to_numpy()[order]
+
+    def found(all_, values):
+        at = np.minimum(np.searchsorted(all_, values), len(all_) - 1)
+        return at, all_[at] == values
+
+    tc, ok = found(traces, t["trace"].to_numpy())
+    fr, known = found(states, t["state_from"].to_numpy())
+    to, both = found(states, t["state_to"].to_numpy())
+    ts = t["step"].to_numpy().astype(np.int64)
+    a, before = found(own, key(ts - 1, tc, fr))
+    b, after = found(own, key(ts, tc, to))
+    keep = ok & known & both & before & after & (ts > 0)
+    a, b, w = a[keep], b[keep], t["t"].to_numpy()[keep]
+    by = np.lexsort((a, b))  # smaller states come first
+    a, b, w = a[by], b[by], w[by]
+    w = w + gain[b]
+    total, back, reached = gain.copy(), np.full(len(own), -1), step == 0
+    last = int(step.max())
+    bounds = np.searchsorted(step[b], np.arange(last + 2))
+    for s in range(1, last + 1):
+        i, j, v = a[bounds[s] : bounds[s + 1]], b[bounds[s] : bounds[s + 1]], w[bounds[s] : bounds[s + 1]]
+        open_ = reached[i]
+        i, j, v = i[open_], j[open_], v[open_]
+        if len(i):
+            v = total[i] + v
+            first = np.flatnonzero(np.diff(j, prepend=-1))
+            top = np.maximum.reduceat(v, first)
+            best = np.flatnonzero(v == np.repeat(top, np.diff(first, append=len(j))))
+            best = best[np.diff(j[best], prepend=-1) != 0]  # of equal ways the first
+            total[j[best]], back[j[best]], reached[j[best]] = v[best], i[best], True
+    # steps without a gap, and the end among the states of the last one
+    ends = np.zeros(len(traces), np.int64)
+    np.maximum.at(ends, code, step)
+    steps = np.bincount(code[np.flatnonzero(np.diff(step * len(traces) + code, prepend=-1))], minlength=len(traces))
+    at = np.flatnonzero(reached & (step == ends[code]) & (steps == ends + 1)[code])
+    at = at[np.lexsort((rank[at], -total[at], code[at]))]
+    at = at[np.diff(code[at], prepend=-1) != 0]
+    return traces[code], step, states[rank], total, back, at
+
+
+def _together(emissions: DataFrame, transitions: DataFrame, run, schema: str) -> DataFrame:
+    """What run makes of the emissions and transitions of many whole traces at once."""
+    portions = max(-(-transitions.count() // TOGETHER), 1)
+    portion = F.pmod(F.xxhash64(F.col("trace").cast("bigint")), F.lit(portions)).alias("portion")
+    e = emissions.select(portion, "trace", "step", "state", "e").groupBy("portion")
+    t = transitions.select(portion, "trace", "step", "state_from", "state_to", "t").groupBy("portion")
+    return e.cogroup(t).applyInPandas(lambda e, t: run(*_forward(e, t)) if len(e) else run(*[np.zeros(0, np.int64)] * 6), schema)
+
+
 def best(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
     """(trace, score, state): the best total of a state sequence per trace and its last state, from emissions (trace,
     step, state, e) and transitions (trace, step, state_from, state_to, t) into each step; steps count from 0."""
     emissions, transitions = cc.cut(emissions, "emissions"), cc.cut(transitions, "transitions")
-    totals = _kind(emissions)
-    return _best(_levels(_matrices(emissions, transitions, totals), _pieces(emissions), totals)[-1])
+    totals, pieces = _kind(emissions), _pieces(emissions)
+    if pieces <= 1:  # all traces are short: no matrices are needed
+
+        def ends(trace, step, state, total, back, at) -> pd.DataFrame:
+            return pd.DataFrame({"trace": trace[at], "score": total[at], "state": state[at]})
+
+        return _together(emissions, transitions, ends, f"trace bigint, score {totals}, state bigint")
+    return _best(_levels(_matrices(emissions, transitions, totals), pieces, totals)[-1])
 
 
 def _followed(moves: list[tuple[int, dict[int, list]]], at: dict, here: int | None = None) -> list[tuple[int, int]]:
@@ -144,12 +212,16 @@ def sequence(emissions: DataFrame, transitions: DataFrame) -> DataFrame:
     totals, pieces, shape = _kind(emissions), _pieces(emissions), "trace bigint, step int, state bigint"
     if pieces <= 1:  # all traces are short: no matrices are needed
 
-        def alone(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-            steps = _into(e, t)
-            found = _followed(steps, {START: 0}) if [s for s, _ in steps] == list(range(len(steps))) else []
-            return pd.DataFrame([(key[0], *f) for f in found], columns=["trace", "step", "state"])
+        def follow_all(trace, step, state, total, back, at) -> pd.DataFrame:
+            taken = []
+            while len(at):
+                taken.append(at)
+                at = back[at]
+                at = at[at >= 0]
+            taken = np.concatenate([np.zeros(0, np.int64), *taken])
+            return pd.DataFrame({"trace": trace[taken], "step": step[taken], "state": state[taken]})
 
-        return _by_piece(emissions, transitions).applyInPandas(alone, shape)
+        return _together(emissions, transitions, follow_all, shape)
     levels = _levels(_matrices(emissions, transitions, totals), pieces, totals)
     end = _best(levels[-1])
     # what each piece starts with: totals of states before it (ends false), and the state it ends in (ends true)

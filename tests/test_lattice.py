@@ -177,3 +177,25 @@ def test_od_table(spark):
     weight = {(a, b): w for a, b, w in edges}
     for (s, d), nodes in found.items():
         assert sum(weight[x] for x in zip([s, *nodes], nodes)) == want[s, d] and [s, *nodes][-1] == d
+
+
+def test_short_traces_are_solved_together(spark):
+    """One task takes many short traces, and finds what the piece-wise kernel finds: ties, gaps and dead ends included."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        e = pd.DataFrame([(tr * 7, s, q * 3, -int(rng.integers(4))) for tr in range(5) for s in range(1 + tr) if rng.random() > 0.05 for q in rng.permutation(5)[: rng.integers(1, 4)]], columns=["trace", "step", "state", "e"])
+        t = pd.DataFrame([(tr * 7, s, a * 3, b * 3, -int(rng.integers(3))) for tr in range(5) for s in range(1 + tr) for a in range(5) for b in range(5) if rng.random() < 0.6], columns=["trace", "step", "state_from", "state_to", "t"])
+        want = []
+        for trace in sorted(set(e["trace"])):
+            steps = lattice._into(e[e["trace"] == trace], t[t["trace"] == trace])
+            found = lattice._followed(steps, {lattice.START: 0}) if [s for s, _ in steps] == list(range(len(steps))) else []
+            want += [(trace, *f) for f in found]
+        trace, step, state, _, back, at = lattice._forward(e, t)
+        got = []
+        while len(at):
+            got += [(int(trace[i]), int(step[i]), int(state[i])) for i in at]
+            at = back[at][back[at] >= 0]
+        assert sorted(got) == sorted(want)
