@@ -15,8 +15,8 @@ a star around its best-connected member; verified links are merged into componen
 members of different components: these are dealt into blocks by a hash, and pairs of blocks compare the sketches of such
 members where they are. A first round, over some of the bands, hands on no more of the likely pairs than join its members
 (a forest, the likeliest pairs first), which are verified and merged. The next one names the documents that still have a
-likely partner in another component, in the first band that both share. Only these bring their shingles along in the last
-round, shortened to 32 bits each, so that pairs are counted out where they meet; what they share can only be overstated by
+likely partner in another component, and the first band that both share. Only there these bring their shingles along in the
+last round, shortened to 32 bits each, so that pairs are counted out where they meet; what they share can only be overstated by
 that. Links found are again handed on as a forest and verified on whole sets like all others.
 
 Copies (equal sets) are one class throughout and represented by their smallest id. Nulls and empty texts have an empty set
@@ -255,6 +255,11 @@ def _hopeful(rows: list, percent: int) -> list[tuple[int, int]]:
     return [(rows[i]["doc_id"],) * 2 for i in np.unique(np.concatenate([a, b])).tolist()]
 
 
+def _meeting(rows: list, percent: int) -> list[tuple[int, int]]:
+    """(value, member) of the hopeful members; pairs meet in the same value again."""
+    return [(rows[0]["value"], i) for i, _ in _hopeful(rows, percent)]
+
+
 def _counted(rows: list, percent: int) -> list[tuple[int, int]]:
     """A forest of the pairs that share enough, by their shortened shingles."""
     a, b, same = _likely_within(rows, percent, True)
@@ -331,18 +336,27 @@ def _links(docs: DataFrame, sketches: DataFrame, reps: DataFrame, k: int, percen
     lead = common.materialize(lead, "leads")
     tried = members.join(lead, "value").where((F.col("doc_id") != F.col("lead")) & (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
     tried = common.materialize(tried.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "stars")
+    sketches = common.materialize(_needed(sketches, members, tried), "sketches")
     links = common.materialize(ngram_jaccard._verified(common.materialize(_likely(tried, sketches, percent), "likely"), docs, k, percent), "links")
     rows = _open(members.where(F.col("band") < FIRST_BANDS), lead, links)
     likely = _within(_dealt(rows, sketches), percent, _joining).join(tried, ["a", "b"], "left_anti")
     links = common.materialize(links.unionByName(ngram_jaccard._verified(common.materialize(likely, "likely"), docs, k, percent)), "links")
     rows = _open(members, lead, links)
-    hopeful = common.materialize(_within(_dealt(rows, sketches), percent, _hopeful).select(F.col("a").alias("doc_id")).distinct(), "hopeful")
-    few = common.bounded(hopeful)
+    hopeful = common.materialize(_within(_dealt(rows, sketches), percent, _meeting).toDF("value", "doc_id"), "hopeful")
+    few = common.bounded(hopeful.select("doc_id").distinct())
     tokens = common.materialize(_shortened(docs.join(few, "doc_id", "left_semi"), k), "tokens")
-    found = _within(_dealt(rows.join(few, "doc_id", "left_semi"), sketches.join(tokens, "doc_id")), percent, _counted)
+    met = rows.join(common.bounded(hopeful), ["value", "doc_id"], "left_semi")
+    found = _within(_dealt(met, sketches.join(few, "doc_id", "left_semi").join(tokens, "doc_id")), percent, _counted)
     return links.unionByName(ngram_jaccard._verified(common.materialize(found, "found"), docs, k, percent))
 
 
+def _needed(sketches: DataFrame, members: DataFrame, tried: DataFrame) -> DataFrame:
+    """The sketches that any comparison reads: of the pairs tried and of the values that more than two members share. Whole
+    sketches travel once for this, later only these."""
+    asked = tried.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.where("m > 2").select("doc_id"))
+    return sketches.join(asked.distinct(), "doc_id", "left_semi")
+
+
 def _shortened(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, tokens: the shingles of doc_id, text as 32-bit numbers."""
 

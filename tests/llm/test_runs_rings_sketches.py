@@ -275,6 +275,34 @@ def test_open_members_meet_in_blocks():
     assert setsketch._counted([r | {"tokens": short(c)} if r["doc_id"] == 1 else r for r in rows], 80) == []
 
 
+def test_few_sketches_travel(spark, monkeypatch):
+    """Only sketches that a comparison reads are carried, and in the last round only where a likely pair first meets."""
+    rng, dealt = random.Random(12), []
+    common_part = [f"c{i}" for i in range(100)]
+    near = [" ".join(common_part[:j] + [f"x{j}y"] + common_part[j + 1 :]) for j in range(2, 98, 2)]
+    alone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    docs = frame(spark, list(enumerate(near + alone)))
+    plain = setsketch._dealt
+
+    def counted(rows, carried):
+        dealt.append((carried.columns, rows.count(), carried.select("doc_id").distinct().count()))
+        return plain(rows, carried)
+
+    monkeypatch.setattr(setsketch, "_dealt", counted)
+    monkeypatch.setattr(setsketch, "_joining", lambda rows, percent: [])  # leaves more to the later rounds
+    got = {r["doc_id"]: tuple(r)[1:] for r in setsketch.components_of(docs, 2, 80).collect()}
+    assert got == components_by_hand(list(enumerate(near + alone)), 2, 80)
+    assert len(dealt) == 3 and all(n <= len(near) for _, _, n in dealt)
+
+    # a pair that shares several values brings its tokens to one of them
+    a, b = _sets(np.random.default_rng(8), 300, 0.95)
+    x, y = setsketch.sketch_sets([a, b])
+    shared = np.flatnonzero(setsketch.band_values(x[None])[0] == setsketch.band_values(y[None])[0]).tolist()
+    group = lambda band: [{"value": 100 + band, "doc_id": i, "n": 300, "c": i, "block": 0, "band": band, "sketch": s.tobytes()} for i, s in ((1, x), (2, y))]
+    assert len(shared) > 1
+    assert [p for band in shared for p in setsketch._meeting(group(band), 80)] == [(100 + shared[0], 1), (100 + shared[0], 2)]
+
+
 def test_sketches_of_odd_rows(spark):
     odd = frame(spark, ODD)
     got = {r["doc_id"]: tuple(r)[1:] for r in setsketch.components_of(odd, 2, 80).collect()}
