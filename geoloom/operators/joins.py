@@ -67,6 +67,19 @@ def nearby_segments(queries: DataFrame, segments: DataFrame, radius_m: float, k:
     """(qid, rank, sid, x, y, fraction, dist_m) of the k segments (sid, ax, ay, bx, by) nearest to each query (qid, lon,
     lat) within the radius, with the nearest point of each; where queries have a column level and segments alevel and
     blevel, only segments with both ends on that level. Ties go to the smaller sid."""
+    place = place_of(queries)
+    asked = queries.select(*place).distinct().select(F.struct(*place).alias("qid"), *place)
+    near = place_segments(asked, segments, radius_m, k, most_lat).select("qid.*", "rank", "sid", "x", "y", "fraction", "dist_m")
+    return queries.select("qid", *place).join(near, place).select("qid", "rank", "sid", "x", "y", "fraction", "dist_m")
+
+
+def place_of(points: DataFrame) -> list[str]:
+    """The columns that say where points are."""
+    return ["lon", "lat", *(["level"] if "level" in points.columns else [])]
+
+
+def place_segments(queries: DataFrame, segments: DataFrame, radius_m: float, k: int = 5, most_lat: float | None = None) -> DataFrame:
+    """``nearby_segments`` of queries at different places: where many share one, its cell would be a task of all of them."""
     w, h = _degree_cells(radius_m, _most_lat(queries, radius_m) if most_lat is None else most_lat)
     if "level" in queries.columns and "alevel" in segments.columns:
         segments = segments.where("alevel = blevel").withColumnRenamed("alevel", "level")

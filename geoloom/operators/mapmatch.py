@@ -73,13 +73,15 @@ def ways(pairs: DataFrame, reached: DataFrame, portions: int = 0) -> DataFrame:
 def candidates(points: DataFrame, segments: DataFrame, radius_m: float, k: int) -> DataFrame:
     """(trace, step, seq, lon, lat, state, sid, x, y, fraction, dist_m, src, dst, len) of the points with a candidate; their
     steps count from 0, and state is the candidate's rank."""
-    asked = points.select(F.struct("trace", "seq").alias("qid"), "lon", "lat", *(["level"] if "level" in points.columns else []))
-    near = joins.nearby_segments(asked, segments, radius_m, k).join(segments.select("sid", "src", "dst", F.col("length_m").alias("len")), "sid")
-    near = cc.cut(near.select("qid.trace", "qid.seq", F.col("rank").cast("bigint").alias("state"), "sid", "x", "y", "fraction", "dist_m", "src", "dst", "len"), "near")
-    steps = cc.cut(cc.dense(near.select("trace", "seq").distinct(), ["trace", "seq"], "n"), "steps")
+    place = joins.place_of(points)
+    asked = points.select(*place).distinct().select(F.struct(*place).alias("qid"), *place)  # a place of many points once
+    near = joins.place_segments(asked, segments, radius_m, k).join(segments.select("sid", "src", "dst", F.col("length_m").alias("len")), "sid")
+    near = cc.cut(near.select("qid.*", F.col("rank").cast("bigint").alias("state"), "sid", "x", "y", "fraction", "dist_m", "src", "dst", "len"), "near")
+    met = cc.cut(points.select("trace", "seq", *place).join(near.select(*place).distinct(), place, "left_semi"), "met")
+    steps = cc.cut(cc.dense(met.select("trace", "seq").distinct(), ["trace", "seq"], "n"), "steps")
     steps = steps.join(steps.groupBy("trace").agg(F.min("n").alias("first"), F.count("*").alias("matched")), "trace").where("matched > 1")
     steps = steps.select("trace", "seq", (F.col("n") - F.col("first")).cast("int").alias("step"))
-    return near.join(steps, ["trace", "seq"]).join(points.select("trace", "seq", "lon", "lat"), ["trace", "seq"])
+    return met.join(steps, ["trace", "seq"]).join(near, place).drop("level")
 
 
 #: Of a candidate: its place, the ends of its segment (0 and 1) and the metres to them.
@@ -130,11 +132,11 @@ def match_steps(points: DataFrame, segments: DataFrame, edges: DataFrame, radius
     # of one segment its two ends are nodes 0 and 1 on either side: the stretch between the places
     along = F.when(F.col("psid") == F.col("csid"), F.abs(F.col("pm0") - F.col("cm0")))
     moves = routed.select("trace", "step", F.col("pstate").alias("state_from"), F.col("cstate").alias("state_to"), "straight", along.alias("along"), F.least(*[way(i, j) for i, j in _COMBINATIONS]).alias("w"))
-    moves = cc.cut(moves.withColumn("metres", F.coalesce("along", "w.metres")), "moves")
-    cut_off = moves.groupBy("trace", "step", "state_to").agg(F.count("metres").alias("ways")).where("ways = 0").select("trace", "step", "state_to", F.lit(BREAK).alias("lost"))
-    t = moves.join(cut_off, ["trace", "step", "state_to"], "left").withColumn("t", F.coalesce(-F.abs(F.col("metres") - F.col("straight")) / beta, "lost"))
+    moves = moves.withColumn("metres", F.coalesce("along", "w.metres"))
+    lost = F.when(F.count("metres").over(Window.partitionBy("trace", "step", "state_to")) == 0, BREAK)  # dealt by trace and step already
+    moves = cc.cut(moves.withColumn("t", F.coalesce(-F.abs(F.col("metres") - F.col("straight")) / beta, lost)), "moves")
     emissions = found.select("trace", "step", "state", (-0.5 * (F.col("dist_m") / sigma) ** 2).alias("e"))
-    chosen = lattice.sequence(emissions, t.where("t is not null").select("trace", "step", "state_from", "state_to", "t"))
+    chosen = lattice.sequence(emissions, moves.where("t is not null").select("trace", "step", "state_from", "state_to", "t"))
     return _routed(cc.cut(found.join(chosen, ["trace", "step", "state"]), "chosen"), moves, edges, reached)
 
 

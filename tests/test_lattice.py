@@ -5,8 +5,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from geoloom.operators import lattice, mapmatch, overlay
+from geoloom.operators import joins, lattice, mapmatch, overlay
 
 
 def viterbi_by_hand(e, t):
@@ -199,3 +200,19 @@ def test_short_traces_are_solved_together(spark):
             got += [(int(trace[i]), int(step[i]), int(state[i])) for i in at]
             at = back[at][back[at] >= 0]
         assert sorted(got) == sorted(want)
+
+
+def test_a_place_is_asked_once(spark, monkeypatch):
+    """Points that share a place are joined with segments once, whatever their traces; no two of a level are mixed."""
+    asked, plain = [], joins.place_segments
+    monkeypatch.setattr(joins, "place_segments", lambda q, *a, **k: asked.append(q.count()) or plain(q, *a, **k))
+    edge = [(1, 116.0, 39.9, 116.001, 39.9, 0, 1, 85.0, 0, 0), (2, 116.001, 39.9, 116.002, 39.9, 1, 2, 85.0, 0, 0), (3, 116.0, 39.9, 116.001, 39.9, 3, 4, 85.0, 1, 1)]
+    segments = spark.createDataFrame(edge, "sid long, ax double, ay double, bx double, by double, src long, dst long, length_m double, alevel smallint, blevel smallint")
+    edges = segments.selectExpr("src", "dst", "length_m as w").union(segments.selectExpr("dst", "src", "length_m as w"))
+    xs = [116.0002, 116.0008, 116.0014, 116.0008]
+    pts = spark.createDataFrame([(t, i, x, 39.90005, 1 if t == 7 else 0) for t in range(30) for i, x in enumerate(xs)], "trace long, seq long, lon double, lat double, level smallint")
+    got = mapmatch.match_steps(pts, segments, edges).groupBy("trace").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("sid")).alias("sids")).collect()
+    assert {r["trace"]: (r["n"], r["sids"]) for r in got} == {t: (4, [3]) if t == 7 else (4, [1, 2]) for t in range(30)}
+    near = joins.nearby_segments(pts.select((F.col("trace") * 10 + F.col("seq")).alias("qid"), "lon", "lat"), segments.drop("alevel", "blevel"), 50.0)
+    assert near.where("qid % 10 = 1").select("rank", "sid").distinct().count() == 3 and near.where("qid % 10 = 1").count() == 90
+    assert asked == [6, 3]  # 120 points before
